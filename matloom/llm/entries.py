@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matloom.llm import bpe, mixing
+from matloom.llm import bpe, media, mixing, pii, secrets, warc
 from matloom.sources.tables import table as read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,5 +21,21 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digests=True)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_bpe": op5_bpe}
+def op3_pii(spark, sf_dir):
+    return pii.scan(read(spark, sf_dir, "documents"))
+
+
+def op6_media(spark, sf_dir):
+    return media.of_texts(read(spark, sf_dir, "documents"), digests=True)
+
+
+def op7_warc(spark, sf_dir):
+    return warc.read(warc.archive(spark, read(spark, sf_dir, "pages")))
+
+
+def op9_secrets(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_pii, op5_bpe, op6_media, op7_warc, op9_secrets)}
 ORACLES = {"op1_mixing": mixing.MIX_SQL}
