@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matloom.llm import bpe, media, mixing, pii, secrets, warc
+from matloom.llm import bpe, media, mixing, nearest, pii, secrets, warc
 from matloom.sources.tables import table as read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,10 @@ def op5_bpe(spark, sf_dir):
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), digests=True)
 
 
+def op2_nearest(spark, sf_dir):
+    return nearest.among(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=20, every=20)
+
+
 def op3_pii(spark, sf_dir):
     return pii.scan(read(spark, sf_dir, "documents"))
 
@@ -37,5 +41,5 @@ def op9_secrets(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_pii, op5_bpe, op6_media, op7_warc, op9_secrets)}
-ORACLES = {"op1_mixing": mixing.MIX_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_pii, op5_bpe, op6_media, op7_warc, op9_secrets)}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op2_nearest": nearest.NEAREST_SQL}
