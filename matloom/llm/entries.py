@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matloom.llm import bpe, media, mixing, nearest, pii, secrets, warc
+from matloom.llm import bpe, media, mixing, nearest, neardup, pii, quality, secrets, warc
 from matloom.sources.tables import table as read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,9 +37,17 @@ def op7_warc(spark, sf_dir):
     return warc.read(warc.archive(spark, read(spark, sf_dir, "pages")))
 
 
+def op8_neardup(spark, sf_dir):
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op9_secrets(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_pii, op5_bpe, op6_media, op7_warc, op9_secrets)}
+def op10_quality(spark, sf_dir):
+    return quality.score(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_pii, op5_bpe, op6_media, op7_warc, op8_neardup, op9_secrets, op10_quality)}
 ORACLES = {"op1_mixing": mixing.MIX_SQL, "op2_nearest": nearest.NEAREST_SQL}
