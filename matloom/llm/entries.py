@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matloom.llm import bpe, media, mixing, nearest, neardup, pii, quality, secrets, warc
+from matloom.llm import bpe, licenses, media, mixing, nearest, neardup, pii, quality, secrets, warc
 from matloom.sources.tables import table as read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,11 @@ def op1_mixing(spark, sf_dir):
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_licenses(spark, sf_dir):
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    return licenses.scan(read(spark, sf_dir, "documents"), F.concat_ws("/", part("source"), part("lang"), part("doc_id")))
+
+
 def op5_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -49,5 +54,5 @@ def op10_quality(spark, sf_dir):
     return quality.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_pii, op5_bpe, op6_media, op7_warc, op8_neardup, op9_secrets, op10_quality)}
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op2_nearest": nearest.NEAREST_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_pii, op4_licenses, op5_bpe, op6_media, op7_warc, op8_neardup, op9_secrets, op10_quality)}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op2_nearest": nearest.NEAREST_SQL, "op4_licenses": licenses.SCAN_SQL}
