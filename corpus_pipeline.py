@@ -1,11 +1,50 @@
-"""Placeholder of the corpus pipeline: its stages are added with their operators."""
+"""The corpus pipeline: reject poor documents, keep one of each near-duplicate group, mask secrets, mix sources, encode.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before has kept. All but the last
+return the columns of `docs`. A secret's stretch becomes `[secret]`; a document that the mix takes twice is
+two rows; the last stage returns each row's token count and the digests of its ids and of the decoded text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from matloom.llm import bpe, mixing, neardup, quality, secrets
+from matloom.plans.materialize import cut
+from matloom.sources.tables import table
+
+TOKENIZER = "word_bpe_49k.json"
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs)
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.keep_one(docs)
+
+
+def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.emit(mixing.mix(docs))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(docs, public_tokenizers.path(TOKENIZER), digests=True)
+
+
+STAGES = [("quality", good), ("near-duplicates", distinct), ("secrets", masked), ("mixing", mixed), ("encoding", encoded)]
+#: The learned classifier and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
