@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from matloom.queries import graphs, matrices  # noqa: F401
+from matloom.queries.base import ORACLES, QUERIES  # noqa: F401
