@@ -82,7 +82,7 @@ def one_hot(labels: DataFrame) -> DataFrame:
 
 def rank(x: DataFrame, ties: str = "average", off_by_one: bool = False) -> DataFrame:
     """id, rank from 1: ties get their average, or with "max" the largest rank (`off_by_one`: one less for ties). Distinct values are counted first, so a common value is one row."""
-    counts = running(x.groupBy("value").agg(F.count(F.lit(1)).alias("n")), ["value"], "n", "before")
+    counts = running(x.groupBy("value").agg(F.count(F.lit(1)).alias("n")), ["value"], {"n": "before"})
     n, before = F.col("n"), F.col("before")
     top = before + n - (F.when(n > 1, 1).otherwise(0) if off_by_one else F.lit(0))
     r = before + (n + 1) / 2 if ties == "average" else top.cast("double")

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from matloom.plans.materialize import cut
 
 
-def running(df: DataFrame, order: list[str], value: str, into: str) -> DataFrame:
-    """`df` with `into`: the sum of `value` over the rows before, in `order`, which must be unique.
+def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """`df` with, for each (column, name) of `sums`, the sum of the column over the rows before, in `order`, which must be unique.
 
     Rows are range-partitioned and written once, so that partitions keep their places; each sums its own rows, and
     one small window over the partitions' totals gives their offsets.
@@ -17,6 +17,8 @@ def running(df: DataFrame, order: list[str], value: str, into: str) -> DataFrame
     placed = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     zero = lambda c: F.coalesce(c, F.lit(0))
-    offsets = placed.groupBy("_part").agg(F.sum(value).alias("_sum")).select("_part", zero(F.sum("_sum").over(before)).alias("_off"))
+    totals = placed.groupBy("_part").agg(*[F.sum(c).alias(f"_s_{n}") for c, n in sums.items()])
+    offsets = totals.select("_part", *[zero(F.sum(f"_s_{n}").over(before)).alias(f"_o_{n}") for n in sums.values()])
     own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn(into, zero(F.sum(value).over(own))).join(F.broadcast(offsets), "_part").withColumn(into, F.col(into) + F.col("_off")).drop("_part", "_off")
+    got = placed.select("*", *[zero(F.sum(c).over(own)).alias(n) for c, n in sums.items()]).join(F.broadcast(offsets), "_part")
+    return got.select(*[c for c in placed.columns if c != "_part"], *[(F.col(n) + F.col(f"_o_{n}")).alias(n) for n in sums.values()])
