@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matloom.llm import spans
+from matloom.llm.sampling import least_hashed
 from matloom.llm.spans import Span
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -255,8 +256,7 @@ def find(field: Field | None):
 
 
 def fit(docs: DataFrame, sample: int) -> Field | None:
-    some = docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample)
-    return train([r[0] for r in some.collect()])
+    return train(least_hashed(docs.where(F.col("text").rlike("[0-9@]")), sample))
 
 
 def scan(docs: DataFrame, sample: int = 1000) -> DataFrame:

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matloom.llm.sampling import least_hashed
+
 BITS = 14
 KEEP = 0.5
 SYMBOLS = np.frombuffer(b"#$%&*+<=>@[]^_`{|}~\\/", np.uint8)
@@ -115,9 +117,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Indices and values: the hashed trigrams' shares, then both shares of repetition."""
     h = hashed(text)
     if not len(h):
-        return np.zeros(0, np.int64), np.zeros(0)
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
     at, n = np.unique(h, return_counts=True)
-    return np.concatenate([at.astype(np.int64), [1 << BITS, (1 << BITS) + 1]]), np.concatenate([n / len(h), repetition(text.encode().split())])
+    return np.concatenate([at, [1 << BITS, (1 << BITS) + 1]]).astype(np.int32), np.concatenate([n / len(h), repetition(text.encode().split())]).astype(np.float32)
 
 
 @dataclass
@@ -142,10 +144,11 @@ def train(texts: list[str], targets: list[float], rounds: int = 200, rate: float
     size = (1 << BITS) + 2
     each = [features(t) for t in texts]
     cols, vals = np.concatenate([a for a, _ in each]), np.concatenate([v for _, v in each])
-    rows = np.repeat(np.arange(len(texts)), [len(a) for a, _ in each])
+    rows = np.repeat(np.arange(len(texts), dtype=np.int32), [len(a) for a, _ in each])
+    del each
     n, y = len(texts), np.array(targets)
     scale = 1 / np.sqrt(np.bincount(cols, vals, size) / n + 1e-4)
-    x = vals * scale[cols]
+    x = vals * scale[cols].astype(np.float32)
     w, b, vw, vb = np.zeros(size), float(np.log((y.mean() + 0.01) / (1.01 - y.mean()))), np.zeros(size), 0.0
     for _ in range(rounds):
         z = b + np.bincount(rows, x * w[cols], n)
@@ -162,7 +165,7 @@ class Model:
     scorer: Scorer
 
 
-def fit(docs: DataFrame, sample: int = 4000) -> Model:
+def fit(docs: DataFrame, sample: int = 1500) -> Model:
     """Votes of all documents, then the scorer on a bounded sample of them."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,15 +174,14 @@ def fit(docs: DataFrame, sample: int = 4000) -> Model:
 
     table = docs.select("text").mapInArrow(tally, "pattern int").groupBy("pattern").count().collect()
     posterior = agree({r[0]: r[1] for r in table})
-    some = docs.select("text", "doc_id").where(F.length("text") > 0).orderBy(F.xxhash64("text", "doc_id"), "doc_id", "text").limit(sample).collect()
-    texts = [r[0] for r in some]
+    texts = least_hashed(docs.where(F.length("text") > 0), sample)
     return Model(posterior, train(texts, [posterior[pattern(votes(t))] for t in texts]))
 
 
 SCORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("votes", T.StringType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
 
-def score(docs: DataFrame, sample: int = 4000) -> DataFrame:
+def score(docs: DataFrame, sample: int = 1500) -> DataFrame:
     """doc_id, votes (a character for each labeller: 1, 0 or -), posterior, score, keep: one row per row."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
 
@@ -198,7 +200,7 @@ def score(docs: DataFrame, sample: int = 4000) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCORED)
 
 
-def keep(docs: DataFrame, sample: int = 4000) -> DataFrame:
+def keep(docs: DataFrame, sample: int = 1500) -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
     at = docs.columns.index("text")

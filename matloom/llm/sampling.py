@@ -1,0 +1,19 @@
+"""A bounded sample of rows that does not depend on how they are dealt out."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def least_hashed(docs: DataFrame, n: int) -> list[str]:
+    """The texts of the n documents (doc_id, text; repeated rows count once) with the least hashes, in their order.
+
+    The n-th hash is found first, so that tasks send numbers and not texts; then only the texts below it are read.
+    """
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
+    hashes = rows.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    if hashes is None:
+        return []
+    got = rows.where(F.col("h") <= hashes).dropDuplicates(["h"]).collect()
+    return [r["text"] for r in sorted(got, key=lambda r: r["h"])]
