@@ -211,7 +211,9 @@ def test_archetypes_of_a_separable_matrix(spark):
     x = np.concatenate([corners, rng.dirichlet(np.ones(3) * 2, 20) @ corners])
     v = vectors_of(spark, x)
     assert sorted(i for i, _ in simplex.spa(v, 3)) == [0, 1, 2]
-    got = archetypes.pipeline(v, 2, 4, rounds=20)
+    with pytest.raises(ValueError):
+        archetypes.pipeline(v, 3, 3, rounds=20, least_obs=99)
+    got = archetypes.pipeline(v, 2, 4, rounds=20, least_obs=1)
     h = np.array([r.vec for r in got.weights.collect()])
     assert np.allclose(h.sum(1), 1) and h.min() >= 0 and got.labels.count() == 23
 
