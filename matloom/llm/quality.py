@@ -39,13 +39,13 @@ def _vote(bad: bool, good: bool) -> int:
 
 
 def repetition(words: list[bytes]) -> tuple[float, float]:
-    """The share of words that repeat one of the two before them, and the share that is not new within 200 words, in the worst such stretch."""
+    """The share of words that repeat the one before them, and the share that is not new within 200 words, in the worst such stretch."""
     n = len(words)
     if n < 3:
         return 0.0, 0.0
-    echo = (sum(map(eq, words, words[1:])) + sum(map(eq, words, words[2:]))) / n
+    echo = sum(map(eq, words, words[1:])) / n
     stale = max(1 - len(set(words[i : i + 200])) / len(words[i : i + 200]) for i in range(0, max(1, n - 100), 200))
-    return min(1.0, echo), stale
+    return echo, stale
 
 
 def votes(text: str) -> tuple[int, ...]:
