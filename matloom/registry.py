@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from matloom.queries import graphs, kernels, matrices, statistics  # noqa: F401
+from matloom.queries import graphs, kernels, matrices, statistics, streams  # noqa: F401
 from matloom.queries.base import ORACLES, QUERIES  # noqa: F401
