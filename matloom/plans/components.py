@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from matloom.plans.materialize import cut
 
 EDGES = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
+#: Nodes that a task joins at once.
 FLUSH = 500_000
 
 
@@ -40,7 +41,7 @@ class Forest:
 
 
 def contract(edges: DataFrame) -> DataFrame:
-    """The edges of each task as stars around the least node of each of their components, at most FLUSH nodes at a time."""
+    """The edges of each task as stars around the least node of each of their components, about FLUSH edges at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
@@ -53,7 +54,7 @@ def contract(edges: DataFrame) -> DataFrame:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if a != b:
                     forest.join(a, b)
-            if len(forest.up) > FLUSH:
+            if len(forest.up) > 2 * FLUSH:
                 yield stars()
                 forest = Forest()
         yield stars()
@@ -62,10 +63,17 @@ def contract(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """node, component (its least node) for every node of `edges` (u, v). Alternates large stars and small stars until nothing changes, each round from written tables."""
-    now = cut(contract(edges).distinct(), name)
+    """node, component (its least node) for every node of `edges` (u, v).
+
+    Each task contracts its own edges first. If what is left fits one task, that one joins them; else large stars and
+    small stars alternate until nothing changes, each round from written tables.
+    """
+    now = cut(contract(edges), name)
+    few = now.limit(FLUSH + 1).count() <= FLUSH
+    if few:
+        now = cut(contract(now.coalesce(1)), name)
     mark = None
-    while True:
+    while not few:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

@@ -239,3 +239,20 @@ def test_layout_is_finite_and_repeats(spark, tiny):
     start = nodes.selectExpr("id", "array(cos(id), sin(id)) AS vec")
     one, two = [rows(layout.layout(g, start, "umap", epochs=50)) for _ in range(2)]
     assert one == two and np.isfinite([v for _, v in one]).all()
+
+
+def test_components_beyond_one_task(spark, monkeypatch):
+    import random
+
+    from matloom.plans import components as module
+
+    rng = random.Random(0)
+    pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(350)]
+    edges = spark.createDataFrame(pairs, "u long, v long").repartition(5)
+    few = rows(components(edges))
+    monkeypatch.setattr(module, "FLUSH", 3)
+    assert rows(components(edges)) == few
+    forest = module.Forest()
+    for a, b in pairs:
+        forest.join(a, b)
+    assert few == sorted((x, forest.root(x)) for x in {n for a, b in pairs if a != b for n in (a, b)})
