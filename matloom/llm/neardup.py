@@ -7,14 +7,14 @@ doc_id). Nodes that agree on a band of `ROWS` registers share a band bucket; a b
 empty makes none. A pair with Jaccard similarity 0.85 meets in none of the 32 bands with a
 probability of about 6e-11.
 
-No bucket is expanded into pairs. Each member is compared with the bucket's hub, its least
-node. A pair that meets in buckets of two only is dropped first when the collision-corrected
+No bucket is expanded into pairs. A bucket's hub is its least node, and members are compared with
+it: first with the least of all hubs they have, later, where that leaves a bucket in several components, with the bucket's own. A pair that meets in buckets of two only is dropped first when the collision-corrected
 Jaccard estimate of its registers is five deviations below the threshold; all others are verified on full
 sets, and keep how they differ from their hub: which of its shingles they lack, and which they add.
 Members that the hub does not link are then compared with each other exactly through those differences
 (what two members share follows from what each lacks and adds), as blocked matrix products
-inside the bucket, for members of different components only. So every link between nodes that
-share a bucket is found, or both ends are already in one component. A bucket of any size is cut into blocks, and pairs of blocks
+among the members of one hub, for different components only. So every link between nodes that
+share a bucket is found, or both ends are already in one component. A hub's members are cut into blocks, however many they are, and pairs of blocks
 are spread over tasks.
 
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Fewer than five words are one shingle;
@@ -190,8 +190,8 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("hub", "node", "sig", "hub_sig").mapInArrow(run, "hub long, node long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, set (sorted hashes) of the wanted documents."""
+def full_sets(docs: DataFrame, wanted: DataFrame, sketch: DataFrame) -> DataFrame:
+    """node, set (sorted hashes) of the wanted documents, once for each text of a doc_id."""
     rows = docs.select("doc_id", "text").join(broadcast_if_small(wanted).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +199,9 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for at, texts in slices(batch, 1):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["node", "set"])
 
-    return rows.mapInArrow(run, "node long, set binary").dropDuplicates(["node", "set"])
+    sets = rows.mapInArrow(run, "node long, set binary")
+    found = sketch.select("doc_id").join(broadcast_if_small(wanted).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    return sets if found.count() == wanted.count() else sets.dropDuplicates(["node", "set"])
 
 
 CHECKED = T.StructType([
@@ -213,7 +215,9 @@ def linked(shared, a, b):
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Each pair's link on full sets, and the node's difference from its hub: places of hub hashes it lacks (uint32), hashes it adds (uint64)."""
-    both = pairs.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("set").alias("hub_set")), "hub")
+    hubs = cut(pairs.select(F.col("hub").alias("node")).distinct(), "hubs")
+    hub_sets = sets.join(broadcast_if_small(hubs), "node").select(F.col("node").alias("hub"), F.col("set").alias("hub_set"))
+    both = sets.join(broadcast_if_small(pairs), "node").join(hub_sets, "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,14 +258,15 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], wide: int = 2
     return out
 
 
-def cross_links(members: DataFrame) -> DataFrame:
-    """u, v: pairs of components to join, from members (key, node, component, n_hub, n_node, lacks, adds) that have one hub for each key."""
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lacks") + F.octet_length("adds")).alias("bytes"))
-    blocks = size.select("key", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    rows = members.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+def cross_links(checked: DataFrame, component: DataFrame) -> DataFrame:
+    """u, v: components to join, by comparing all nodes of a hub that are in different components (node, component; a node without a row is its own)."""
+    members = checked.drop("link").join(broadcast_if_small(component), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    size = members.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lacks") + F.octet_length("adds")).alias("bytes")).where("a < b")
+    blocks = cut(size.select("hub", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
+    rows = members.join(broadcast_if_small(blocks), "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("*", other).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "n_hub", "n_node", "lacks", "adds")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    rows = rows.select("*", other).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "n_hub", "n_node", "lacks", "adds")
+    rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
 
     def compare(own: list[tuple], same: bool, forest: Forest, i: int, j: int) -> None:
         left = [r for r in own if r[0] == i]
@@ -295,8 +300,30 @@ def cross_links(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def _joined(component: DataFrame, more: DataFrame, name: str) -> DataFrame:
+    """node, component after components were joined (more: component, joined). A component of a single node is no row of `component`."""
+    some = component.join(broadcast_if_small(more), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    lone = more.join(component.select("node"), more["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
+    return cut(some.union(lone), name)
+
+
+def _links(pairs: DataFrame, sets: DataFrame, known: DataFrame | None) -> DataFrame:
+    """node, component: what the pairs link, and what their hubs' members link among each other, on top of what is known."""
+    checked = cut(verify(pairs, sets), "checked")
+    edges = checked.where("link").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    if known is not None:
+        edges = edges.union(known.select("node", "component"))
+    first = cut(components(edges), "first")
+    more = components(cross_links(checked, first)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return _joined(first, cut(more, "more"), "classes")
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of `docs`."""
+    """doc_id, n_shingles, component_id, kept: one row per row of `docs`.
+
+    A node's first hub is the least of those it may be linked with (or itself), and all nodes of a first hub are compared first, each difference standing once.
+    Only band buckets that still hold nodes of several first hubs and of several components are compared around their own hub.
+    """
     sketch = cut(sketches(docs), "sketches")
     nodes = cut(sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
     keyed = bands(nodes)
@@ -304,20 +331,22 @@ def classes(docs: DataFrame) -> DataFrame:
     members = cut(keyed.join(shared, "key").select("key", "hub", "m", "node"), "members")
     pairs = cut(members.where("node <> hub").groupBy("hub", "node").agg(F.max("m").alias("m")), "pairs")
     few = likely(pairs.where("m = 2").select("hub", "node"), nodes)
-    pairs = cut(pairs.where("m > 2").select("hub", "node").union(few), "verified")
+    pairs = cut(pairs.where("m > 2").select("hub", "node").union(few), "likely")
     wanted = cut(pairs.select("node").union(pairs.select("hub")).distinct(), "wanted")
-    sets = cut(full_sets(docs, wanted), "sets")
-    checked = cut(verify(pairs, sets), "checked")
-    first = cut(components(checked.where("link").select(F.col("hub").alias("u"), F.col("node").alias("v"))), "first")
-    rest = members.where("m > 2 AND node <> hub").join(first, "node", "left").select("key", "hub", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = rest.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("key")
-    left = rest.join(open_keys, "key").join(checked.drop("link"), ["hub", "node"]).select("key", "node", "component", "n_hub", "n_node", "lacks", "adds")
-    more = components(cross_links(cut(left, "open")), "more").select(F.col("node").alias("component"), F.col("component").alias("joined"))
-    # A component that was a single node is no row of `first`.
-    every = cut(first.join(more, "component", "left").select("node", F.coalesce("joined", "component").alias("component_id")).union(more.join(first.select(F.col("node").alias("component")), "component", "left_anti").select("component", "joined")), "classes")
+    sets = cut(full_sets(docs, wanted, sketch), "sets")
+    near = cut(pairs.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node"), "near")
+    component = _links(near, sets, None)
+    placed = members.select("key", "node").join(broadcast_if_small(near.withColumnRenamed("hub", "first")), "node", "left").join(broadcast_if_small(component), "node", "left")
+    placed = placed.select("key", F.coalesce("first", "node").alias("first"), F.coalesce("component", "node").alias("component"))
+    mixed_keys = placed.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.min("component").alias("c"), F.max("component").alias("d")).where("a < b AND c < d").select("key")
+    rest = members.join(mixed_keys, "key").where("node <> hub").groupBy("hub", "node").agg(F.max("m").alias("m"))
+    rest = rest.join(near.withColumn("done", F.lit(True)), ["hub", "node"], "left").where("m > 2 OR done IS NULL").select("hub", "node")
+    rest = cut(rest.join(pairs, ["hub", "node"], "left_semi"), "rest")
+    if rest.limit(1).count():
+        component = _links(rest, sets, component)
     rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(nodes.select("fp", "node"), "fp", "left")
-    rows = rows.join(broadcast_if_small(every), "node", "left")
-    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "node", "doc_id"))
+    rows = rows.join(broadcast_if_small(component), "node", "left")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return rows.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
