@@ -10,11 +10,15 @@ HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def let_workers_import(spark: SparkSession) -> None:
-    """Workers of this session look for modules where the driver has found this package (on a cluster it is shipped with --py-files)."""
+    """Prepares the session. Workers look for modules where the driver has found this package (on a cluster it is shipped with --py-files)."""
     env = spark.sparkContext.environment
     paths = [x for x in env.get("PYTHONPATH", "").split(os.pathsep) if x]
     if HOME not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, HOME])
+    # Texts differ in length a thousandfold: batches of fewer rows and bytes bound what a worker holds. A session's own setting stands.
+    for key, usual, own in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, "8m")):
+        if spark.conf.get(key) == usual or usual is None:
+            spark.conf.set(key, own)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
