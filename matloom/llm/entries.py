@@ -11,7 +11,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_mixing(spark, sf_dir):
-    mixed = mixing.mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.shares(read(spark, sf_dir, "documents"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 

@@ -20,27 +20,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matloom.plans.materialize import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: A stratum of the layout: source (null or not, name), size class, part of the class.
 KEY = ["s_null", "src", "cls", "part"]
 
 
-def word_count(text) -> F.Column:
+def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _laid_out(docs: DataFrame, spread: int) -> DataFrame:
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    rows = rows.withColumn("size", word_count(F.col("row.text")))
+def _laid_out(rows: DataFrame, spread: int) -> DataFrame:
+    """row, size and the stratum, from row (doc_id, source, ...) and size."""
     return rows.select(
         "row",
         "size",
         F.col("row.source").isNull().alias("s_null"),
         F.coalesce(F.col("row.source"), F.lit("")).alias("src"),
-        F.expr("length(bin(size)) * 8 + pmod(shiftright(size, cast(greatest(length(bin(size)) - 4, 0) as int)), 8)").cast("int").alias("cls"),
+        F.expr("length(bin(size)) * 32 + pmod(shiftright(size, cast(greatest(length(bin(size)) - 6, 0) as int)), 32)").cast("int").alias("cls"),
         F.pmod(F.coalesce(F.col("row.doc_id"), F.lit(0)), F.lit(spread)).cast("int").alias("part"),
     )
 
@@ -65,8 +66,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, spread: int = 64) -> DataFrame:
     """row (the document), size, source_size, target, copies, taken: one row per row of `docs`."""
-    rows = _laid_out(docs, spread)
-    strata = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    sizes = cut(docs.select(F.struct("doc_id", "source").alias("row"), word_count(F.col("text")).alias("size")), "sizes")
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), word_count(docs["text"]).alias("size"))
+    return _mixed(_laid_out(whole, spread), _laid_out(sizes, spread), F.xxhash64("row.text"), weights, share, cap, seed)
+
+
+def shares(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, spread: int = 64) -> DataFrame:
+    """The same without the documents: texts are read once, for their sizes; row holds doc_id and source. Rows with equal ids and sizes, which mix() orders by their texts, are not told apart."""
+    sizes = cut(docs.select(F.struct("doc_id", "source").alias("row"), word_count(F.col("text")).alias("size")), "sizes")
+    rows = _laid_out(sizes, spread)
+    return _mixed(rows, rows, F.lit(0), weights, share, cap, seed)
+
+
+def _mixed(rows: DataFrame, narrow: DataFrame, tie: Column, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    strata = narrow.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     ahead = Window.partitionBy("s_null", "src").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(strata.groupBy("s_null", "src").agg(F.sum("words").alias("source_size")), weights, share, cap)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.when(F.col("s_null"), "-").otherwise("+"), F.col("src"))), 1, 6), 16, 10).cast("double") / F.lit(16777216.0)
@@ -75,7 +88,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
         .join(targets, ["s_null", "src"])
         .select(*KEY, "first", "source_size", "target", offset.alias("u"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
     )
-    place = Window.partitionBy(*KEY).orderBy("size", F.col("row.doc_id"), F.xxhash64("row.text"))
+    place = Window.partitionBy(*KEY).orderBy("size", F.col("row.doc_id"), tie)
     at = (F.col("first") + F.col("place")).cast("double")
     crossed = F.floor(F.col("rate") * at + F.col("u")) - F.floor(F.col("rate") * (at - 1.0) + F.col("u"))
     return (
@@ -95,7 +108,7 @@ def emit(mixed: DataFrame) -> DataFrame:
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source IS NULL AS s_null, coalesce(source, '') AS src,
     CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) END::BIGINT AS size FROM documents),
-k AS (SELECT *, length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)::INT) % 8 AS cls,
+k AS (SELECT *, length(bin(size)) * 32 + (size >> greatest(length(bin(size)) - 6, 0)::INT) % 32 AS cls,
     ((coalesce(doc_id, 0) % 64) + 64) % 64 AS part FROM d),
 s AS (SELECT s_null, src, sum(size)::BIGINT AS source_size FROM k GROUP BY ALL),
 r AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY s_null, src) - 1) % 3 + 1)::INT]::DOUBLE AS w,
