@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matloom.plans.joins import broadcast_if_small
+from matloom.plans.materialize import cut
 
 LEAST = 0.6
 TERM = "[a-z0-9]+"
@@ -91,16 +92,16 @@ def scan(docs: DataFrame, path) -> DataFrame:
     """doc_id, path, own (the file's licence), score, inherited, from_dir, license: one row per row."""
     files = docs.select("doc_id", path.alias("path"), "text")
     names = F.array(*[F.lit(n) for n, _ in TEMPLATES])
-    found = detect(files).select(
+    found = cut(detect(files).select(
         "doc_id", "path", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), "hit",
         F.coalesce(F.col("hit.words") * 2 >= F.regexp_count(F.lower("text"), F.lit(TERM)), F.lit(False)).alias("whole"),
-    )
+    ), "found")
     by_dir = found.where("whole").groupBy("dir").agg(F.max(F.struct("hit.score", "hit.rank")).alias("best")).select(F.col("dir").alias("from_dir"), F.get(names, -F.col("best.rank")).alias("inherited"))
-    dirs = docs.select(F.regexp_replace(path, "/?[^/]*$", "").alias("dir")).distinct()
+    dirs = found.select("dir").distinct()
     parts = F.split("dir", "/")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("from_dir")).distinct()
     nearest = above.join(by_dir, "from_dir").groupBy("dir").agg(F.max(F.struct(F.length("from_dir").alias("depth"), "from_dir", "inherited")).alias("near")).select("dir", "near.from_dir", "near.inherited")
-    rows = found.join(broadcast_if_small(nearest), "dir", "left")
+    rows = found.join(broadcast_if_small(cut(nearest, "nearest")), "dir", "left")
     own = F.get(names, -F.col("hit.rank"))
     lone = F.col("hit").isNull()
     return rows.select(
