@@ -11,30 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 
 from matloom.llm import bpe, mixing, neardup, quality, secrets
 from matloom.plans.materialize import cut
-from matloom.sources.tables import table
+from matloom.sources.tables import let_workers_import, table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
     return quality.keep(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
     return neardup.keep_one(docs)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
     return secrets.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    let_workers_import(spark)
     return mixing.emit(mixing.mix(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    let_workers_import(spark)
     return bpe.encode(docs, public_tokenizers.path(TOKENIZER), digests=True)
 
 
