@@ -14,6 +14,8 @@ from matloom.plans.materialize import cut
 from matloom.sources.tables import let_workers_import, table
 
 TOKENIZER = "word_bpe_49k.json"
+#: The near-duplicate stage's threshold; the 0.85 of `op8_neardup` is that query's contract alone.
+SIMILAR = 0.8
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +25,7 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     let_workers_import(spark)
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, SIMILAR)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

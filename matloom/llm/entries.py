@@ -43,7 +43,7 @@ def op7_warc(spark, sf_dir):
 
 
 def op8_neardup(spark, sf_dir):
-    return neardup.classes(read(spark, sf_dir, "documents"))
+    return neardup.classes(read(spark, sf_dir, "documents"), 0.85)
 
 
 def op9_secrets(spark, sf_dir):

@@ -3,9 +3,9 @@
 A document's set is its distinct five-word shingles, as 64-bit hashes. Its registers are, for
 each of `BUCKETS` hash buckets, the leading zeros of the least hash in the bucket and the
 `MANTISSA` bits after its first one. Documents with equal sets are one node (the least
-doc_id). Nodes that agree on a band of `ROWS` registers share a band bucket; a band whose registers are all
-empty makes none. A pair with Jaccard similarity 0.85 meets in none of the 25 bands with a
-probability of about 4e-7.
+doc_id). Nodes that agree on a band of registers share a band bucket; a band whose registers are all
+empty makes none. A band has as many registers as leave a pair at the threshold a probability of at most
+`MISS` to meet in no band: 25 bands of five at 0.85 (4e-7), 32 bands of four at 0.8 (5e-8).
 
 No bucket is expanded into pairs. A bucket's hub is its least node, and members are compared with
 it: first with the least of all hubs they have, later, where that leaves a bucket in several components, with the bucket's own. A pair that meets in buckets of two only is dropped first when the collision-corrected
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +39,10 @@ from matloom.plans.components import Forest, components
 from matloom.plans.joins import broadcast_if_small
 from matloom.plans.materialize import cut
 
-BUCKETS, MANTISSA, ROWS = 128, 10, 5
-BANDS = BUCKETS // ROWS
+BUCKETS, MANTISSA = 128, 10
 SHINGLE = 5
 EMPTY = np.uint16(0xFFFF)
-NUMERATOR, DENOMINATOR = 85, 100
+THRESHOLD, MISS = 0.85, 1e-6
 BLOCK_ROWS, BLOCK_BYTES, STRIP = 1024, 64 << 20, 128
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
@@ -165,20 +165,25 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def bands(nodes: DataFrame) -> DataFrame:
+def band_rows(threshold: float) -> int:
+    """The most registers a band can have for a pair at the threshold to meet in none with a probability of `MISS` at most; one where no number does."""
+    return max((r for r in range(1, BUCKETS + 1) if (1 - threshold**r) ** (BUCKETS // r) <= MISS), default=1)
+
+
+def bands(nodes: DataFrame, threshold: float) -> DataFrame:
     """key, node: a row for each band of a node with a register in use."""
-    width = 2 * ROWS
+    size = band_rows(threshold)
+    width = 2 * size
     part = F.expr(f"substring(sig, band * {width} + 1, {width})")
-    rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band")).withColumn("part", part)
-    return rows.where(F.col("part") != F.lit(EMPTY.tobytes() * ROWS)).select(F.xxhash64("band", "part").alias("key"), "node")
+    rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(BUCKETS // size - 1))).alias("band")).withColumn("part", part)
+    return rows.where(F.col("part") != F.lit(EMPTY.tobytes() * size)).select(F.xxhash64("band", "part").alias("key"), "node")
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """hub, node of the pairs whose estimate is not five deviations below the threshold."""
     wanted = cut(pairs.select("hub").union(pairs.select("node")).distinct().select(F.col("hub").alias("node")), "wanted")
     sigs = nodes.join(broadcast_if_small(wanted), "node").select("node", "sig")
     both = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    least = NUMERATOR / DENOMINATOR
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,11 +214,12 @@ CHECKED = T.StructType([
 ])
 
 
-def linked(shared, a, b):
-    return DENOMINATOR * shared >= NUMERATOR * (a + b - shared)
+def linked(shared, a, b, threshold: float):
+    least = Fraction(str(threshold))
+    return least.denominator * shared >= least.numerator * (a + b - shared)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Each pair's link on full sets, and the node's difference from its hub: places of hub hashes it lacks (uint32), hashes it adds (uint64)."""
     hubs = cut(pairs.select(F.col("hub").alias("node")).distinct(), "hubs")
     hub_sets = sets.join(broadcast_if_small(hubs), "node").select(F.col("node").alias("hub"), F.col("set").alias("hub_set"))
@@ -231,7 +237,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     inside = h[place] == x if len(h) else np.zeros(len(x), bool)
                     missing = np.ones(len(h), bool)
                     missing[place[inside]] = False
-                    rows.append((bool(linked(int(inside.sum()), len(x), len(h))), len(h), len(x), np.flatnonzero(missing).astype(np.uint32).tobytes(), x[~inside].tobytes()))
+                    rows.append((bool(linked(int(inside.sum()), len(x), len(h), threshold)), len(h), len(x), np.flatnonzero(missing).astype(np.uint32).tobytes(), x[~inside].tobytes()))
                 kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]], names=CHECKED.names)
 
@@ -258,7 +264,7 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], wide: int = 2
     return out
 
 
-def cross_links(checked: DataFrame, component: DataFrame) -> DataFrame:
+def cross_links(checked: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """u, v: components to join, by comparing all nodes of a hub that are in different components (node, component; a node without a row is its own)."""
     members = checked.drop("link").join(broadcast_if_small(component), "node", "left").withColumn("component", F.coalesce("component", "node"))
     size = members.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lacks") + F.octet_length("adds")).alias("bytes")).where("a < b")
@@ -279,7 +285,7 @@ def cross_links(checked: DataFrame, component: DataFrame) -> DataFrame:
             number = lambda side, k: np.array([r[k] for r in side], np.float64)
             less = [np.array([len(x) for x in side], np.float64) for side in lacks]
             shared = shared_counts(*lacks) + shared_counts(*adds) + (some[0][2] - less[0][:, None] - less[1][None, :])
-            ok = linked(shared, number(some, 3)[:, None], number(right, 3)[None, :])
+            ok = linked(shared, number(some, 3)[:, None], number(right, 3)[None, :], threshold)
             ok &= np.array([r[1] for r in some])[:, None] != np.array([r[1] for r in right])[None, :]
             for x, y in zip(*[p.tolist() for p in np.nonzero(ok)]):
                 forest.join(some[x][1], right[y][1])
@@ -308,35 +314,35 @@ def _joined(component: DataFrame, more: DataFrame, name: str) -> DataFrame:
     return cut(some.union(lone), name)
 
 
-def _links(pairs: DataFrame, sets: DataFrame, known: DataFrame | None) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, known: DataFrame | None, threshold: float) -> DataFrame:
     """node, component: what the pairs link, and what their hubs' members link among each other, on top of what is known."""
-    checked = cut(verify(pairs, sets), "checked")
+    checked = cut(verify(pairs, sets, threshold), "checked")
     edges = checked.where("link").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     if known is not None:
         edges = edges.union(known.select("node", "component"))
     first = cut(components(edges), "first")
-    more = components(cross_links(checked, first)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    more = components(cross_links(checked, first, threshold)).select(F.col("node").alias("component"), F.col("component").alias("joined"))
     return _joined(first, cut(more, "more"), "classes")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of `docs`.
+def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of `docs`. Jaccard similarities of `threshold` or more are links.
 
     A node's first hub is the least of those it may be linked with (or itself), and all nodes of a first hub are compared first, each difference standing once.
     Only band buckets that still hold nodes of several first hubs and of several components are compared around their own hub.
     """
     sketch = cut(sketches(docs), "sketches")
     nodes = cut(sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
-    keyed = bands(nodes)
+    keyed = bands(nodes, threshold)
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("m")).where("top > hub").drop("top")
     members = cut(keyed.join(shared, "key").select("key", "hub", "m", "node"), "members")
     pairs = cut(members.where("node <> hub").groupBy("hub", "node").agg(F.max("m").alias("m")), "pairs")
-    few = likely(pairs.where("m = 2").select("hub", "node"), nodes)
+    few = likely(pairs.where("m = 2").select("hub", "node"), nodes, threshold)
     pairs = cut(pairs.where("m > 2").select("hub", "node").union(few), "likely")
     wanted = cut(pairs.select("node").union(pairs.select("hub")).distinct(), "wanted")
     sets = cut(full_sets(docs, wanted, sketch), "sets")
     near = cut(pairs.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node"), "near")
-    component = _links(near, sets, None)
+    component = _links(near, sets, None, threshold)
     placed = members.select("key", "node").join(broadcast_if_small(near.withColumnRenamed("hub", "first")), "node", "left").join(broadcast_if_small(component), "node", "left")
     placed = placed.select("key", F.coalesce("first", "node").alias("first"), F.coalesce("component", "node").alias("component"))
     mixed_keys = placed.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.min("component").alias("c"), F.max("component").alias("d")).where("a < b AND c < d").select("key")
@@ -344,14 +350,14 @@ def classes(docs: DataFrame) -> DataFrame:
     rest = rest.join(near.withColumn("done", F.lit(True)), ["hub", "node"], "left").where("m > 2 OR done IS NULL").select("hub", "node")
     rest = cut(rest.join(pairs, ["hub", "node"], "left_semi"), "rest")
     if rest.limit(1).count():
-        component = _links(rest, sets, component)
+        component = _links(rest, sets, component, threshold)
     rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(nodes.select("fp", "node"), "fp", "left")
     rows = rows.join(broadcast_if_small(component), "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return rows.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` less the documents that are not the least of their class."""
-    gone = cut(classes(docs).where("NOT kept").select("doc_id").distinct(), "gone")
+    gone = cut(classes(docs, threshold).where("NOT kept").select("doc_id").distinct(), "gone")
     return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)

@@ -53,3 +53,17 @@ def test_registers_estimate_similarity():
     j, used = neardup.estimate(*[neardup.registers(x)[None, :] for x in (a, b)])
     assert used[0] == neardup.BUCKETS and abs(j[0] - 2200 / 3000) < 0.15
     assert (neardup.registers(np.zeros(0, np.uint64)) == neardup.EMPTY).all()
+
+
+def test_the_pipeline_drops_copies_of_similarity_above_four_fifths(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(100)]
+    # 96 shingles each: 86 of 106 are shared, 0.811.
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:90] + [f"x{i}" for i in range(10)])), (3, "another text of six words")], "doc_id long, text string")
+    assert sorted(r[0] for r in corpus_pipeline.distinct(spark, d, "").collect()) == [1, 3]
+    assert sorted(r[0] for r in neardup.keep_one(d, 0.85).collect()) == [1, 2, 3]
+    assert sorted(r[0] for r in neardup.keep_one(d, 0.82).collect()) == [1, 2, 3]
+    for threshold in (0.8, 0.85):
+        size = neardup.band_rows(threshold)
+        assert (1 - threshold**size) ** (neardup.BUCKETS // size) < 1e-6
