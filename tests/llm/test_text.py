@@ -92,6 +92,16 @@ def test_secret_base_spans_and_random_tokens():
     assert find("ordinary words like internationalization_of_everything and 2024-01-01 stay")[1] == []
 
 
+def test_keys_without_a_digit_are_secrets_and_identifiers_are_not():
+    find, rng = secrets.find(), random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for alphabet, least in ((letters, 95), (letters[:26], 80), (letters[26:], 80)):
+        keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(100)]
+        assert sum(("random", 5, 37) in find(f"key: {k} ends")[1] for k in keys) >= least
+    for word in ["getElementsByTagNameAndClassName", "DoNotUseThisInYourCodeAtAll", "THIS_IS_A_LONG_CONSTANT_NAME", "src/main/java/org/apache/spark/sql", letters[26:], "VXVXVXVXMVXVXVXVXVXVXVXV", "-" * 60, "1234567890" * 2, "2024-01-01_2024-12-31-00-00"]:
+        assert find(f"see {word} here")[1] == []
+
+
 def test_media_tables_and_blocks():
     assert media.TABLES["mulaw"][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert media.TABLES["alaw"][[0x55, 0xD5, 0xAA, 0x2A]].tolist() == [-8, 8, 32256, -32256]
