@@ -148,14 +148,14 @@ def geary_stat(spark, d):
     return r6(stats.geary(net(spark, d)[0], _scores(spark, d), _n(spark, d)), "stat", "classic")
 
 
-def drawn(what: str) -> str:
+def drawn(what: str, some: str = " WHERE dim < 4") -> str:
     less = "dx.dx - " if what == "geary" else ""
     pd = "pd AS (SELECT perm, dim, sum(d * value ** 2) AS dx FROM px JOIN (SELECT dst AS id, sum(weight) AS d FROM net GROUP BY dst) USING (id) GROUP BY ALL), " if what == "geary" else ""
     raw = "SELECT perm, dim, pd.dx - pg.gx AS gx FROM pg JOIN pd USING (perm, dim)" if what == "geary" else "SELECT * FROM pg"
     real = "gx JOIN dx USING (dim)" if what == "geary" else "gx"
     factor = "(n - 1) / (2 * w * x2)" if what == "geary" else "n / (w * x2)"
     return (
-        f"WITH {G}, {EV.replace('FROM v)', 'FROM v)')}, {ZX.replace('FROM e)', 'FROM e WHERE dim < 4)')}, {GX}, {DX}, pl AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM v), dr AS (SELECT id AS own, perm, row_number() OVER (PARTITION BY perm ORDER BY md5('0:' || perm || ':' || id)) AS place FROM v CROSS JOIN (SELECT range AS perm FROM range(1, 31))), "
+        f"WITH {G}, {EV.replace('FROM v)', 'FROM v)')}, {ZX.replace('FROM e)', f'FROM e{some})')}, {GX}, {DX}, pl AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM v), dr AS (SELECT id AS own, perm, row_number() OVER (PARTITION BY perm ORDER BY md5('0:' || perm || ':' || id)) AS place FROM v CROSS JOIN (SELECT range AS perm FROM range(1, 31))), "
         "px AS MATERIALIZED (SELECT own AS id, perm, dim, value FROM dr JOIN pl USING (place) JOIN xx ON xx.id = pl.id), pg AS (SELECT a.perm, a.dim, sum(weight * a.value * b.value) AS gx FROM net JOIN px a ON a.id = src JOIN px b ON b.id = dst AND a.dim = b.dim AND a.perm = b.perm GROUP BY ALL), "
         f"{pd}mo AS (SELECT dim, avg(gx) AS mu, stddev_samp(gx) AS sigma FROM ({raw}) GROUP BY dim) "
         f"SELECT dim, {R(f'({less}gx.gx) * {factor}', 'stat')}, {R(f'{-1 if what == chr(103) + chr(101) + chr(97) + chr(114) + chr(121) else 1} * ({less}gx.gx - mu) / sigma', 'z')}, {R('mu', 'mu')}, {R('sigma', 'sigma')} FROM {real} JOIN sx USING (dim) JOIN mo USING (dim), k"
@@ -164,6 +164,7 @@ def drawn(what: str) -> str:
 
 for w in ("moran", "geary"):
     query(f"{w}_perm", drawn(w))(lambda spark, d, w=w: r6(stats.permuted(net(spark, d)[0], _scores(spark, d).where("dim < 4"), _n(spark, d), w), "stat", "z", "mu", "sigma"))
+    query(f"{w}_perm_all", drawn(w, ""))(lambda spark, d, w=w: r6(stats.permuted(net(spark, d)[0], _scores(spark, d), _n(spark, d), w), "stat", "z", "mu", "sigma"))
 
 
 def chatterjee(cols: str) -> str:
@@ -193,6 +194,11 @@ def xicor_matrix(spark, d):
     return r6(stats.xicor(_pairs(spark, d, "dim < 4", "dim >= 4 AND dim < 10"), _n(spark, d)), "xi", "z")
 
 
+@query("xicor_matrix_all", chatterjee("true"))
+def xicor_matrix_all(spark, d):
+    return r6(stats.xicor(_pairs(spark, d, "true", "true"), _n(spark, d)), "xi", "z")
+
+
 @query("rank1_match", "WITH u AS (SELECT c_custkey AS u_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer WHERE c_acctbal > 0), w AS (SELECT s_suppkey AS v_id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS rank FROM supplier WHERE s_acctbal > 0) SELECT rank, u_id, v_id FROM u JOIN w USING (rank)")
 def rank1_match(spark, d):
     u = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("value"))
