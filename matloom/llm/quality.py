@@ -44,7 +44,8 @@ def repetition(words: list[bytes]) -> tuple[float, float]:
     if n < 3:
         return 0.0, 0.0
     echo = sum(map(eq, words, words[1:])) / n
-    stale = max(1 - len(set(words[i : i + 200])) / len(words[i : i + 200]) for i in range(0, max(1, n - 100), 200))
+    starts = [*range(0, n - 199, 200), max(0, n - 200)]  # the last stretch ends with the text
+    stale = max(1 - len(set(words[i : i + 200])) / len(words[i : i + 200]) for i in starts)
     return echo, stale
 
 

@@ -102,6 +102,12 @@ def test_keys_without_a_digit_are_secrets_and_identifiers_are_not():
         assert find(f"see {word} here")[1] == []
 
 
+def test_repetition_at_the_end_of_a_text_is_seen():
+    words = [f"w{i}".encode() for i in range(200)] + [b"buy", b"it", b"now", b"ok"] * 25
+    assert quality.repetition(words)[1] == 1 - 104 / 200
+    assert quality.repetition(words[:200])[1] == 0 and quality.repetition(words[:150])[1] == 0 and quality.repetition(words[200:])[1] == 0.96
+
+
 def test_media_tables_and_blocks():
     assert media.TABLES["mulaw"][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert media.TABLES["alaw"][[0x55, 0xD5, 0xAA, 0x2A]].tolist() == [-8, 8, 32256, -32256]
