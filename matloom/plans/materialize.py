@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of a row group, which each task that writes holds in memory.
+ROW_GROUP = 16 << 20
 _WRITTEN: list[tuple[SparkSession, str]] = []
 _LOCAL: dict[str, str] = {}
 
@@ -34,7 +36,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Writes `df` as a Parquet table in the shared folder and reads it back, so that later plans start from files."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
