@@ -8,11 +8,12 @@ memory of the worker. A word too long for the array (`SHORT` parts) is merged wi
 linked parts, so its time grows as n log n.
 
 Text goes through the tokenizer file's own steps: special strings are cut out first, then
-NFC, white space, lower case, the word pattern and the byte alphabet. Only files of this
-kind (BPE with a word end, no decoder) are taken; others raise ValueError.
+NFC, white space, lower case, the word pattern and the byte alphabet. Letters, numbers and
+lower case are at the library's level of Unicode whatever the installed Python and regex
+modules know. Only files of this kind (BPE with a word end, no decoder) are taken; others raise ValueError.
 
 Null or empty text has no ids and decodes to the empty text. Whole texts are encoded.
-Rows are handled one by one, so repeated rows give repeated results; extra columns are not read.
+Rows are handled one by one, so repeated rows give repeated results; an empty table gives no rows; extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,11 +30,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 SHORT = 40
-REMEMBERED = 250_000
+#: Bytes that a generation of remembered chunks may take in a worker, by the estimate `ENTRY` + 2 bytes a character; there are two generations.
+REMEMBERED, ENTRY = 24 << 20, 400
+#: Chunks that are encoded together.
+TOGETHER = 20_000
 SPACE = regex.compile(r"\p{White_Space}+")
 #: What Python's split() takes for white space and the Unicode property does not.
 ODD = regex.compile("[\x1c-\x1f]")
 NONE = np.int32(2**31 - 1)
+#: What Unicode 16 adds to the letters and numbers of Unicode 15.1 (Python's `unicodedata`), in ranges. The library's word pattern is at that level.
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C),
+    (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
+#: Capitals since Unicode 15.1 (first, last, first of their small letters); the library's lower case is at Unicode 17.
+NEW_CAPITALS = [
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3), (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+]
+#: What stands for a letter, a number or another character where the pattern's module and these tables differ.
+STAND_INS = {"L": "\u4e00", "N": "\u0663", "": "\u00a7"}
 
 
 def byte_alphabet() -> list[str]:
@@ -43,6 +59,15 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+def new_classes() -> dict[str, str]:
+    """Code points that the pattern's module takes for another class (L, N or neither) than the library does, with the class that holds."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x40000)]))
+    taken = {c: k for k in "LN" for c in regex.findall(rf"\p{{{k}}}", every)}
+    right = {c: k for c in every if (k := unicodedata.category(c)[0]) in "LN"}
+    right |= {chr(c): k for k, ranges in (("L", NEW_LETTERS), ("N", NEW_NUMBERS)) for a, b in ranges for c in range(a, b + 1)}
+    return {c: right.get(c, "") for c in taken.keys() | right.keys() if taken.get(c) != right.get(c)}
+
+
 class WordBpe:
     def __init__(self, spec: str):
         t = json.loads(spec)
@@ -67,8 +92,14 @@ class WordBpe:
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         split = next(p for p in t["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        other = new_classes()
+        self.other = frozenset(other)
+        self.stand_in = str.maketrans({c: STAND_INS[k] for c, k in other.items()})
+        self.lower = str.maketrans({chr(a + i): chr(low + i) for a, b, low in NEW_CAPITALS for i in range(b - a + 1)})
+        self.capitals = regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b, _ in NEW_CAPITALS) + "]")
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
+        self.held = 0  # the estimate for `young`
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 32 | b
@@ -144,31 +175,45 @@ class WordBpe:
                     out[x] = ids
         return out
 
+    def words(self, chunk: str) -> list[str]:
+        """The matches of the word pattern, with characters in the library's classes."""
+        if chunk.isascii() or self.other.isdisjoint(chunk):
+            return self.pattern.findall(chunk)
+        return [chunk[m.start() : m.end()] for m in self.pattern.finditer(chunk.translate(self.stand_in))]
+
     def learn(self, chunks: set[str]) -> None:
-        """Encodes the chunks that are not remembered; what two rounds of `REMEMBERED` chunks have not used is forgotten."""
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
+        """Encodes the chunks that are not remembered; what two generations of `REMEMBERED` bytes have not used is forgotten."""
+        if self.held > REMEMBERED:
+            self.young, self.old, self.held = {}, self.young, 0
         young, old, new = self.young, self.old, []
         for c in chunks:
             if c not in young:
                 if (got := old.get(c)) is None:
                     new.append(c)
                 else:
-                    young[c] = got
-        split = [self.pattern.findall(c) for c in new]
+                    self.remember(c, got)
+        split = [self.words(c) for c in new]
         words = {w: i for i, w in enumerate({w for ws in split for w in ws})}
         ids = self.encode_words(list(words))
         texts = [" ".join(map(str, x)) for x in ids]
         decoded = [self.decode(x) for x in ids]
         for c, ws in zip(new, split):
             at = [words[w] for w in ws]
-            young[c] = (" ".join([texts[i] for i in at]), " ".join([decoded[i] for i in at]))
+            self.remember(c, (" ".join([texts[i] for i in at]), " ".join([decoded[i] for i in at])))
+
+    def remember(self, chunk: str, got: tuple[str, str]) -> None:
+        self.young[chunk] = got
+        self.held += ENTRY + 2 * (len(chunk) + len(got[0]) + len(got[1]))
 
     def chunks(self, text: str) -> list[str]:
         """The stretches between white space, which no word of the pattern crosses."""
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        text = text.lower()
+            text = text.lower()
+            if self.capitals.search(text):
+                text = text.translate(self.lower)
+        else:
+            text = text.lower()
         return [x for x in SPACE.split(text) if x] if ODD.search(text) else text.split()
 
     def pieces(self, text: str) -> list[tuple[str, list[str]]]:
@@ -200,7 +245,7 @@ class WordBpe:
             waiting.append(self.pieces(text))
             for _, chunks in waiting[-1]:
                 needed.update(chunks)
-            if len(needed) > REMEMBERED // 4:
+            if len(needed) > TOGETHER:
                 flush()
         flush()
         return out

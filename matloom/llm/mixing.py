@@ -35,10 +35,11 @@ def word_count(text: Column) -> Column:
 
 
 def _laid_out(rows: DataFrame, spread: int) -> DataFrame:
-    """row, size and the stratum, from row (doc_id, source, ...) and size."""
+    """row, size, tie and the stratum, from row (doc_id, source), size and tie."""
     return rows.select(
         "row",
         "size",
+        "tie",
         F.col("row.source").isNull().alias("s_null"),
         F.coalesce(F.col("row.source"), F.lit("")).alias("src"),
         F.expr("length(bin(size)) * 32 + pmod(shiftright(size, cast(greatest(length(bin(size)) - 6, 0) as int)), 32)").cast("int").alias("cls"),
@@ -65,26 +66,52 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, spread: int = 64) -> DataFrame:
-    """row (the document), size, source_size, target, copies, taken: one row per row of `docs`."""
-    sizes = cut(docs.select(F.struct("doc_id", "source").alias("row"), word_count(F.col("text")).alias("size")), "sizes")
-    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), word_count(docs["text"]).alias("size"))
-    return _mixed(_laid_out(whole, spread), _laid_out(sizes, spread), F.xxhash64("row.text"), weights, share, cap, seed)
+    """row (the document), size, source_size, target, copies, taken: one row per row of `docs`.
+
+    Copies are worked out on narrow rows (doc_id, source, size, hash of the text); documents are then dealt once, to be
+    hashed against them, and never sorted. Only where rows repeat in full are those numbered, to share their places' copies.
+    """
+    text = docs["text"]
+    narrow = cut(docs.select(F.struct("doc_id", "source").alias("row"), word_count(text).alias("size"), F.xxhash64(text).alias("tie")), "sizes")
+    placed = _mixed(_laid_out(narrow, spread), F.col("tie"), weights, share, cap, seed)
+    same = [F.coalesce(F.col("row.doc_id"), F.lit(0)).alias("_id"), F.xxhash64(F.col("row.doc_id").isNull(), F.col("row.source").isNull(), "row.source", "tie").alias("_key")]
+    found = placed.groupBy(*same, "size", "source_size", "target").agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
+    found = cut(found, "copies")
+    whole = docs.select(
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(0)).alias("_id"), F.xxhash64(docs["doc_id"].isNull(), docs["source"].isNull(), docs["source"], F.xxhash64(text)).alias("_key")
+    )
+    out = lambda df, copies: df.select("row", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    joined = whole.join(found.where("_rows = 1").hint("shuffle_hash"), ["_id", "_key"])
+    result = out(joined, F.col("_copies"))
+    repeated = found.where("_rows > 1")
+    if repeated.limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0)))
+        rows = whole.join(repeated.hint("shuffle_hash"), ["_id", "_key"]).withColumn("_nth", nth)
+        result = result.union(out(rows, F.expr("_copies div _rows + if(_nth <= _copies % _rows, 1, 0)")))
+    return result
 
 
 def shares(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = 0, spread: int = 64) -> DataFrame:
     """The same without the documents: texts are read once, for their sizes; row holds doc_id and source. Rows with equal ids and sizes, which mix() orders by their texts, are not told apart."""
-    sizes = cut(docs.select(F.struct("doc_id", "source").alias("row"), word_count(F.col("text")).alias("size")), "sizes")
-    rows = _laid_out(sizes, spread)
-    return _mixed(rows, rows, F.lit(0), weights, share, cap, seed)
+    sizes = cut(docs.select(F.struct("doc_id", "source").alias("row"), word_count(F.col("text")).alias("size"), F.lit(0).alias("tie")), "sizes")
+    return _mixed(_laid_out(sizes, spread), F.col("tie"), weights, share, cap, seed)
 
 
-def _mixed(rows: DataFrame, narrow: DataFrame, tie: Column, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
-    strata = narrow.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    ahead = Window.partitionBy("s_null", "src").orderBy("cls", "part").rowsBetween(Window.unboundedPreceding, -1)
+def _before(strata: DataFrame) -> DataFrame:
+    """`first`: rows of the source in earlier strata, in two steps, so that no task holds more than a source's classes or a class's parts."""
+    classes = strata.groupBy("s_null", "src", "cls").agg(F.sum("n").alias("n"))
+    above = Window.partitionBy("s_null", "src").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
+    beside = Window.partitionBy("s_null", "src", "cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    classes = classes.select("s_null", "src", "cls", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
+    return strata.withColumn("beside", F.coalesce(F.sum("n").over(beside), F.lit(0))).join(classes, ["s_null", "src", "cls"]).withColumn("first", F.col("above") + F.col("beside"))
+
+
+def _mixed(rows: DataFrame, tie: Column, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
+    strata = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     targets = source_targets(strata.groupBy("s_null", "src").agg(F.sum("words").alias("source_size")), weights, share, cap)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.when(F.col("s_null"), "-").otherwise("+"), F.col("src"))), 1, 6), 16, 10).cast("double") / F.lit(16777216.0)
     strata = (
-        strata.withColumn("first", F.coalesce(F.sum("n").over(ahead), F.lit(0)))
+        _before(strata)
         .join(targets, ["s_null", "src"])
         .select(*KEY, "first", "source_size", "target", offset.alias("u"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("rate"))
     )
@@ -95,7 +122,7 @@ def _mixed(rows: DataFrame, narrow: DataFrame, tie: Column, weights: Sequence[fl
         rows.withColumn("place", F.row_number().over(place))
         .join(strata, KEY)
         .withColumn("copies", F.greatest(F.lit(0), F.least(crossed, F.floor(F.lit(float(cap))))).cast("long"))
-        .select("row", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("row", "size", "tie", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 

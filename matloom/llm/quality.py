@@ -202,13 +202,12 @@ def score(docs: DataFrame, sample: int = 1500) -> DataFrame:
 
 
 def keep(docs: DataFrame, sample: int = 1500) -> DataFrame:
-    """The documents that are not rejected, with all their columns."""
+    """The documents that are not rejected, with all their columns; only texts go to the workers, and a verdict comes back."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, sample))
-    at = docs.columns.index("text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
         m = model.value
-        for batch in batches:
-            yield batch.filter(pa.array([not (text := t.as_py() or "") or m.scorer(text) >= KEEP for t in batch.column(at)], pa.bool_()))
+        return pa.array([not (text := t.as_py() or "") or m.scorer(text) >= KEEP for t in texts], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(good(docs["text"]))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Span = tuple[str, int, int]
@@ -40,30 +41,26 @@ def scan(docs: DataFrame, kinds: list[str], find: Callable[[], Callable[[str], t
 
 
 def redact(docs: DataFrame, find: Callable, mark: Callable[[str], str]) -> DataFrame:
-    """`docs` with each marked stretch of `text` replaced, overlapping ones as one; n_chars, where there is such a column, follows the new text."""
-    names = docs.columns
-    at = names.index("text")
-    length = names.index("n_chars") if "n_chars" in names else None
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`docs` with each marked stretch of `text` replaced, overlapping ones as one; n_chars, where there is such a column, follows the new text. Only texts go to the workers."""
+
+    def clean(spans_of: Callable, text: str | None) -> str | None:
+        """The new text, or None where nothing is marked."""
+        spans = sorted(spans_of(text)[1], key=lambda s: s[1]) if text else []
+        parts, done = [], 0
+        for kind, a, b in spans:
+            if a >= done:
+                parts += [text[done:a], mark(kind)]
+            done = max(done, b)
+        return "".join([*parts, text[done:]]) if spans else None
+
+    @F.arrow_udf("string")
+    def changed(texts: pa.Array) -> pa.Array:
         spans_of = find()
-        for batch in batches:
-            texts = batch.column(at).to_pylist()
-            new, sizes = [], batch.column(length).to_pylist() if length is not None else []
-            for i, text in enumerate(texts):
-                spans = sorted(spans_of(text)[1], key=lambda s: s[1]) if text else []
-                parts, done = [], 0
-                for kind, a, b in spans:
-                    if a >= done:
-                        parts += [text[done:a], mark(kind)]
-                    done = max(done, b)
-                new.append("".join([*parts, text[done:]]) if spans else text)
-                if spans and length is not None:
-                    sizes[i] = len(new[-1])
-            columns = batch.columns
-            columns[at] = pa.array(new, columns[at].type)
-            if length is not None:
-                columns[length] = pa.array(sizes, columns[length].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
+        return pa.array([clean(spans_of, t.as_py()) for t in texts], pa.string())
+
+    # The row travels as one column, so that no name of its own is taken.
+    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), changed(docs["text"]).alias("changed"))
+    new = {"text": F.coalesce("changed", "row.text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("changed").isNull(), F.col("row.n_chars")).otherwise(F.length("changed")).cast(docs.schema["n_chars"].dataType)
+    return held.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
