@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 
 SHORT = 40
 #: Bytes that a generation of remembered chunks may take in a worker, by the estimate `ENTRY` + 2 bytes a character; there are two generations.
-REMEMBERED, ENTRY = 24 << 20, 400
+REMEMBERED, ENTRY = 40 << 20, 400
 #: Chunks that are encoded together.
-TOGETHER = 20_000
+TOGETHER = 50_000
 SPACE = regex.compile(r"\p{White_Space}+")
 #: What Python's split() takes for white space and the Unicode property does not.
 ODD = regex.compile("[\x1c-\x1f]")
