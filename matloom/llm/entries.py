@@ -16,8 +16,10 @@ def op1_mixing(spark, sf_dir):
 
 
 def op4_licenses(spark, sf_dir):
+    """Documents have no paths: a file stands below its source, its language and a directory for each digit of its doc_id but the last, so that every directory may hold licence files for those below it."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
-    return licenses.scan(read(spark, sf_dir, "documents"), F.concat_ws("/", part("source"), part("lang"), part("doc_id")))
+    digits = F.expr("CASE WHEN doc_id >= 10 THEN regexp_replace(string(doc_id div 10), '(.)', '/$1') ELSE '' END")
+    return licenses.scan(read(spark, sf_dir, "documents"), F.concat(part("source"), F.lit("/"), part("lang"), F.coalesce(digits, F.lit("")), F.lit("/"), part("doc_id")))
 
 
 def op5_bpe(spark, sf_dir):
