@@ -1,26 +1,29 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field over the rest.
 
 Base spans are the leftmost non-overlapping matches of four patterns, less those that fail
-their kind's test. The field then labels every other token that holds a digit or '@'
-(plain words are observed as being nothing). Its potentials are a log-linear score of the
-token's shape, a transition between neighbouring tokens, and a skip potential between a
-token and the last one before it that is the same or similar (same text but for case and
-punctuation, or the same last digits), so that repeats anywhere in a document pull each
-other to one label. Tokens in base spans are clamped to their kind. Loopy sum-product
-messages run over all edges at once for `ROUNDS` rounds; a run of tokens whose marginal for
+their kind's test. The field then labels units: tokens with an '@', and maximal groups of digits with the marks that
+phone, card and address numbers are written with. A unit's own potential is a log-linear score of its
+shape and of the words around it (the last three before it, and the next); neighbouring units that are not similar share a transition; and a unit shares a skip potential with the
+last one before it that is the same or similar, however distant: the same address but for case, the same last ten digits but for marks and spaces, or the same
+four numbers but for leading zeros. So a repeat of something found, written in a way that the base patterns don't
+take, is pulled to its label, and repeats anywhere in a document agree. Units in base spans are clamped to their kind. Loopy sum-product
+messages run over all edges at once for `ROUNDS` rounds; a unit whose marginal for
 one kind reaches `SURE` becomes a further span.
 
-The weights are trained here, piece by piece, on at most `sample` documents with such tokens,
-those of the least hash of their text, with the base spans as labels. Without any, nothing is added.
+The weights are trained here, piece by piece, on the units of at most `sample` documents with such units
+(of the least hash; at most `UNITS` units), with the base spans as labels. Each labelled unit is also shown with the marks that its base pattern asks for held
+out, so that words around it and the rest of its shape carry weight. The skip table is the smoothed share of similar units that agree, among those with a known label: a
+unit without a label that is similar to a labelled one is not known to be nothing. Without any unit nothing is added.
 
 Null text is an empty text: no spans. Whole texts are read, in time linear in their length
-(each token has one skip edge back, however often it repeats). Rows are handled one by one, so repeated rows give
-repeated results; columns other than doc_id and text are not read.
+(each unit has one skip edge back for each way of being similar, however often it repeats). Rows are handled one by one, so repeated rows give
+repeated results; an empty table gives no rows; columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,17 +35,19 @@ from matloom.llm.sampling import least_hashed
 from matloom.llm.spans import Span
 
 KINDS = ["email", "ip", "card", "phone"]
-ROUNDS, SURE = 12, 0.95
+ROUNDS, SURE = 20, 0.95
+#: Buckets of hashed words; units trained on at most; characters between neighbours at most.
+WORDS, UNITS, GAP = 512, 100_000, 40
 #: Edges whose messages are made at once.
 EDGES = 1 << 16
-LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 ANY = re.compile(r"[0-9@]")
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
+UNIT = re.compile(r"[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D]*+|\+?\(?[0-9](?:[\x20().\-/]{0,2}[0-9])*+")
+WORD = re.compile(r"[^\W\d_]+")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
 
@@ -78,62 +83,76 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
-N_FEATURES = 17
+#: What a unit's shape says; those after `MARKS` are how the base patterns want it written, held out in half of training.
+SHAPE = 22
+MARKS = 19
+#: Tails and heads that belong to the sentence, not to the unit.
+TRAIL, LEAD = ".,;:!?)]}>\"'", "([{<\"'"
 
 
-def features(token: str, before: bool, after: bool) -> list[float]:
-    digits = NOT_DIGIT.sub("", token)
-    n, at = len(digits), token.find("@")
-    letters = any(c.isalpha() for c in token)
+def shape(unit: str) -> list[float]:
+    digits = NOT_DIGIT.sub("", unit)
+    n, at, groups = len(digits), unit.find("@"), len(re.findall("[0-9]+", unit))
+    spaces, dots, dashes = unit.count(" "), unit.count("."), unit.count("-")
     return [
-        1.0, at >= 0, at > 0 and "." in token[at:], token.startswith("+"), 0 < n < 4, 4 <= n < 8, 8 <= n < 16, 16 <= n < 20, n >= 20,
-        token.count(".") == 3 and not letters, n >= 16 and n < 20 and luhn(digits), letters, "(" in token, "-" in token, before, after, n > 0 and n == len(token.strip(".,;:!?")),
+        1.0, n == 0, 0 < n < 4, 4 <= n < 7, n == 7, 8 <= n < 10, n == 10, 11 <= n < 16, 16 <= n < 20, n >= 20, groups == 1, groups == 2, groups == 3, groups == 4, groups > 4, dots > 0 and at < 0, dashes > 0,
+        at >= 0, 16 <= n < 20 and luhn(digits), at > 0 and "." in unit[at:], unit.startswith("+"), spaces > 0 or "(" in unit,
     ]
 
 
-def keys(token: str) -> list[str]:
-    """What makes two tokens similar."""
-    core = token.strip(".,;:!?()[]\"'").lower()
-    digits = NOT_DIGIT.sub("", token)
-    return [core] + ([digits[-9:]] if len(digits) >= 7 else [])
+def around(text: str, a: int, b: int) -> list[int]:
+    """Buckets of the three words before and the one after, by place and without it; WORDS where there is none."""
+    before = WORD.findall(text[max(0, a - 60) : a].lower())[-3:]
+    after = WORD.search(text[b : b + 30].lower())
+    bucket = lambda kind, w: zlib.crc32(f"{kind}:{w}".encode()) % WORDS
+    out = [bucket("near", w) for w in before] + [WORDS] * (3 - len(before))
+    return [*out, bucket("last", before[-1]) if before else WORDS, bucket("next", after[0]) if after else WORDS]
+
+
+def keys(unit: str) -> list[str]:
+    """What makes two units similar."""
+    if "@" in unit:
+        return ["@" + unit.strip(TRAIL + LEAD).lower()]
+    digits, numbers = NOT_DIGIT.sub("", unit), re.findall("[0-9]+", unit)
+    out = ["d" + digits[-10:]] if len(digits) >= 7 else []
+    if len(numbers) == 4 and all(len(x) <= 3 for x in numbers):
+        out.append("i" + ".".join([str(int(x)) for x in numbers]))
+    return out
 
 
 @dataclass
-class Tokens:
+class Units:
     places: list[tuple[int, int]]
-    x: np.ndarray
+    x: np.ndarray  # shapes
+    near: np.ndarray  # buckets of the words around
     label: np.ndarray  # the base span's kind + 1, else 0
-    edges: np.ndarray  # pairs of tokens
+    edges: np.ndarray  # pairs of units
     skip: np.ndarray  # of edges: whether it joins distant repeats
 
 
-def tokens(text: str, base: list[Span]) -> Tokens | None:
+def units(text: str, base: list[Span]) -> Units | None:
     places = []
-    end = -1
-    for m in ANY.finditer(text):
-        if m.start() < end:
-            continue
-        a = m.start()
-        while a > max(end, 0) and not _space(text[a - 1]):
-            a -= 1
-        end = TOKEN.match(text, a).end()
-        places.append((a, end))
+    for m in UNIT.finditer(text):
+        a, b = m.span()
+        while b > a and text[b - 1] in TRAIL and not (text[b - 1] == ")" and "(" in text[a:b]):
+            b -= 1
+        while a < b and text[a] in LEAD and not (text[a] == "(" and ")" in text[a:b]):
+            a += 1
+        if b > a and ANY.search(text, a, b):
+            places.append((a, b))
     if not places:
         return None
-    joins = [text[a:b].strip("\x20") == "" and b - a <= 2 for (_, a), (b, _) in zip(places, places[1:])]
     n = len(places)
-    x = np.array([features(text[a:b], i > 0 and joins[i - 1], i < n - 1 and joins[i]) for i, (a, b) in enumerate(places)], float)
     label = np.zeros(n, int)
     i = 0
-    order = sorted(((a, b, KINDS.index(k) + 1) for k, a, b in base))
-    for a, b, k in order:
+    for a, b, k in sorted((a, b, KINDS.index(k) + 1) for k, a, b in base):
         while i < n and places[i][1] <= a:
             i += 1
         j = i
         while j < n and places[j][0] < b:
             label[j] = label[j] or k
             j += 1
-    edges = [(i, i + 1, 0) for i in range(n - 1) if joins[i]]
+    edges = []
     last: dict[str, int] = {}
     for i, (a, b) in enumerate(places):
         back = set()
@@ -142,63 +161,97 @@ def tokens(text: str, base: list[Span]) -> Tokens | None:
                 edges.append((j, i, 1))
                 back.add(j)
             last[key] = i
+        if i and i - 1 not in back and a - places[i - 1][1] <= GAP:
+            edges.append((i - 1, i, 0))
     e = np.array(edges, int).reshape(-1, 3)
-    return Tokens(places, x, label, e[:, :2], e[:, 2] == 1)
-
-
-def _space(c: str) -> bool:
-    return c == " " or "\x09" <= c <= "\x0d"
+    return Units(places, np.array([shape(text[a:b]) for a, b in places], float), np.array([around(text, a, b) for a, b in places]), label, e[:, :2], e[:, 2] == 1)
 
 
 @dataclass
 class Field:
-    weights: np.ndarray  # features x labels
+    weights: np.ndarray  # shape x labels
+    words: np.ndarray  # buckets x labels; the last is no word
     chain: np.ndarray  # labels x labels, log potentials
     skip: np.ndarray
 
 
-def train(texts: list[str], rounds: int = 300, decay: float = 1e-3) -> Field | None:
-    """Piecewise: the shape score by logistic regression, each kind of edge by its smoothed log odds against independence."""
-    seen = [t for t in (tokens(x, base_spans(x)) for x in texts) if t]
+def table(pairs: np.ndarray, share: np.ndarray, start: float, weight: float) -> np.ndarray:
+    """Log odds of two labels on an edge against independence, from counts of pairs; where there are few, from the share of all pairs that agree, which starts as `start` of `weight` pairs."""
+    both = pairs + pairs.T
+    agree = (np.trace(both) + 2 * start * weight) / (both.sum() + 2 * weight)
+    prior = agree * np.eye(len(share)) + (1 - agree) * share[None, :]
+    given = (both + weight * prior) / (both.sum(1, keepdims=True) + weight)
+    odds = np.log(given / share[None, :])
+    return np.clip((odds + odds.T) / 2, -6, 6)
+
+
+def train(texts: list[str], rounds: int = 500, decay: float = 3e-4) -> Field | None:
+    """Piecewise: the own score by logistic regression, each kind of edge by its table."""
+    seen, total = [], 0
+    for text in texts:
+        if total < UNITS and (t := units(text, base_spans(text))):
+            seen.append(t)
+            total += len(t.label)
     if not seen:
         return None
     k = len(KINDS) + 1
-    x, y = np.concatenate([t.x for t in seen]), np.concatenate([t.label for t in seen])
-    w, target = np.zeros((N_FEATURES, k)), np.eye(k)[y]
+    # Units without a label that are similar to labelled ones are left out: they may be anything.
+    known = []
+    for t in seen:
+        ok = np.ones(len(t.label), bool)
+        for i, j in t.edges[t.skip].tolist():
+            if (t.label[i] > 0) != (t.label[j] > 0):
+                ok[i if t.label[i] == 0 else j] = False
+        known.append(ok)
+    x, near, y = [np.concatenate([getattr(t, f)[ok] for t, ok in zip(seen, known)]) for f in ("x", "near", "label")]
+    held = x[y > 0].copy()
+    held[:, MARKS:] = 0
+    x, near, y = np.concatenate([x, held]), np.concatenate([near, near[y > 0]]), np.concatenate([y, y[y > 0]])
+    n, target = len(y), np.eye(k)[y]
+    w, c, vw, vc = np.zeros((SHAPE, k)), np.zeros((WORDS + 1, k)), np.zeros((SHAPE, k)), np.zeros((WORDS + 1, k))
+    flat = near.ravel()
     for _ in range(rounds):
-        z = x @ w
+        z = x @ w + c[near].sum(1)
         z = np.exp(z - z.max(1, keepdims=True))
-        w += 1.0 * (x.T @ (target - z / z.sum(1, keepdims=True)) / len(x) - decay * w)
-    share = (np.bincount(y, minlength=k) + 1.0) / (len(y) + k)
+        miss = target - z / z.sum(1, keepdims=True)
+        vw = 0.9 * vw + x.T @ miss / n - decay * w
+        wide = np.repeat(miss, near.shape[1], 0)
+        vc = 0.9 * vc + np.stack([np.bincount(flat, wide[:, i], WORDS + 1) for i in range(k)], 1) / n - decay * c
+        w, c = w + 0.8 * vw, c + 0.8 * vc
+        c[WORDS] = 0
+    share = (np.bincount(y, minlength=k) + 1.0) / (n + k)
     tables = []
     for kind in (False, True):
-        both = np.full((k, k), 0.5)
-        for t in seen:
-            e = t.edges[t.skip == kind]
-            np.add.at(both, (t.label[e[:, 0]], t.label[e[:, 1]]), 1.0)
-        tables.append(np.clip(np.log(both / both.sum()) - np.log(share[:, None] * share[None, :]), -4, 4))
-    # Similar tokens share a label; how strongly is what agreement in the sample says.
-    agree = np.diag(tables[1]).mean()
-    return Field(w, tables[0], np.eye(k) * max(agree, 1.0))
+        pairs = np.zeros((k, k))
+        for t, ok in zip(seen, known):
+            e = t.edges[(t.skip == kind) & ok[t.edges].all(1)]
+            np.add.at(pairs, (t.label[e[:, 0]], t.label[e[:, 1]]), 1.0)
+        tables.append(table(pairs, share, 0.95 if kind else float(share @ share), 20.0))
+    return Field(w, c, *tables)
 
 
-def marginals(t: Tokens, field: Field) -> np.ndarray:
+def marginals(t: Units, field: Field) -> np.ndarray:
     """Loopy sum-product in logs; messages of all edges, in both directions, at once."""
-    k = len(KINDS) + 1
-    own = t.x @ field.weights
+    own = t.x @ field.weights + field.words[t.near].sum(1)
     own -= own.max(1, keepdims=True)
     fixed = t.label > 0
     own[fixed] = -50.0
     own[fixed, t.label[fixed]] = 0.0
-    if not len(t.edges):
-        p = np.exp(own)
+    return messages(own, t.edges, t.skip, field.chain, field.skip)
+
+
+def messages(own: np.ndarray, edges: np.ndarray, skip: np.ndarray, chain: np.ndarray, similar: np.ndarray) -> np.ndarray:
+    """Marginals from log potentials of nodes (own) and of the two kinds of edges."""
+    k = own.shape[1]
+    if not len(edges):
+        p = np.exp(own - own.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
-    src = np.concatenate([t.edges[:, 0], t.edges[:, 1]])
-    dst = np.concatenate([t.edges[:, 1], t.edges[:, 0]])
-    m = len(t.edges)
+    src = np.concatenate([edges[:, 0], edges[:, 1]])
+    dst = np.concatenate([edges[:, 1], edges[:, 0]])
+    m = len(edges)
     # Potentials of an edge's two directions, by its kind.
-    pot = np.stack([field.chain, field.skip, field.chain.T, field.skip.T])
-    kind = np.concatenate([t.skip.astype(int), t.skip + 2])
+    pot = np.stack([chain, similar, chain.T, similar.T])
+    kind = np.concatenate([skip.astype(int), skip + 2])
     msg = np.zeros((2 * m, k))
     back = np.concatenate([np.arange(m, 2 * m), np.arange(m)])
     for _ in range(ROUNDS):
@@ -212,7 +265,7 @@ def marginals(t: Tokens, field: Field) -> np.ndarray:
             top = z.max(1)
             new[some] = top + np.log(np.exp(z - top[:, None, :]).sum(1))
         new -= new.max(1, keepdims=True)
-        msg = 0.5 * msg + 0.5 * new
+        msg = 0.3 * msg + 0.7 * new
     belief = own.copy()
     np.add.at(belief, dst, msg)
     p = np.exp(belief - belief.max(1, keepdims=True))
@@ -220,30 +273,13 @@ def marginals(t: Tokens, field: Field) -> np.ndarray:
 
 
 def added(text: str, base: list[Span], field: Field) -> list[Span]:
-    t = tokens(text, base)
+    t = units(text, base)
     if t is None or (t.label > 0).all():
         return []
     p = marginals(t, field)
     best = p.argmax(1)
     sure = (best > 0) & (p[np.arange(len(p)), best] >= SURE) & (t.label == 0)
-    near = {tuple(e) for e in t.edges[~t.skip].tolist()}
-    busy = sorted((a, b) for _, a, b in base)
-    out: list[Span] = []
-    i = 0
-    while i < len(best):
-        j = i
-        if sure[i]:
-            while (j, j + 1) in near and sure[j + 1] and best[j + 1] == best[i]:
-                j += 1
-            a, b = t.places[i][0], t.places[j][1]
-            while b > a and text[b - 1] in ".,;:!?)]\"'":
-                b -= 1
-            while a < b and text[a] in "([\"'":
-                a += 1
-            if a < b and not any(x < b and a < y for x, y in busy):
-                out.append((KINDS[best[i] - 1], a, b))
-        i = j + 1
-    return out
+    return [(KINDS[best[i] - 1], *t.places[i]) for i in np.flatnonzero(sure).tolist()]
 
 
 def by_kind(s: Span) -> tuple[int, int]:

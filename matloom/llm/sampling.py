@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: The most characters that a sample holds.
+CHARS = 20_000_000
 
-def least_hashed(docs: DataFrame, n: int) -> list[str]:
-    """The texts of the n documents (doc_id, text; repeated rows count once) with the least hashes, in their order.
 
-    The n-th hash is found first, so that tasks send numbers and not texts; then only the texts below it are read.
+def least_hashed(docs: DataFrame, n: int, chars: int = CHARS) -> list[str]:
+    """The texts of the n documents (doc_id, text; repeated rows count once) with the least hashes, in their order; fewer where these have more than `chars` characters, but one at least.
+
+    The last hash is found first, so that tasks send numbers and not texts, `n` at most each; then only the texts up to it are read.
+    Null texts are no documents here; an empty table gives no texts.
     """
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h"))
-    hashes = rows.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
-    if hashes is None:
+    rows = docs.select("text", F.xxhash64("doc_id", "text").alias("h")).where("text IS NOT NULL")
+    sizes = rows.select("h", F.length("text").alias("size"))
+    taken: dict[int, int] = {}
+    rest = sizes
+    # Rows that repeat are passed over by starting after the last hash seen.
+    while len(taken) < n and (got := rest.orderBy("h").limit(n).collect()):
+        taken |= {r["h"]: r["size"] for r in got if len(taken) < n or r["h"] in taken}
+        rest = sizes.where(F.col("h") > got[-1]["h"])
+        if len(got) < n:
+            break
+    held, last = 0, None
+    for h in sorted(taken)[:n]:
+        held += taken[h]
+        if last is not None and held > chars:
+            break
+        last = h
+    if last is None:
         return []
-    got = rows.where(F.col("h") <= hashes).dropDuplicates(["h"]).collect()
+    got = rows.where(F.col("h") <= last).dropDuplicates(["h"]).collect()
     return [r["text"] for r in sorted(got, key=lambda r: r["h"])]
