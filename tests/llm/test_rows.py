@@ -108,9 +108,47 @@ def test_nearest_against_brute_force(spark):
     assert sorted(got) == [*range(0, 900, 20), 1120] and got[1120] == [(1, 1121, 11.0)]
 
 
-def test_licences_inherit_from_the_nearest_directory(spark):
-    files = [("r/LICENSE", "Released under the MIT License."), ("r/a/x", "code"), ("r/b/NOTICE", "Licensed under the Apache License, Version 2.0."), ("r/b/c/y", "more\ncode"), ("q/z", None), ("r/b/own", "Licensed under CC BY-NC 4.0.\n" + "word " * 50)]
-    d = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(files)], "doc_id long, p string, text string")
-    got = {r["path"]: (r["own"], r["license"], r["from_dir"]) for r in licenses.scan(d, d["p"]).collect()}
-    assert got["r/a/x"] == (None, "MIT", "r") and got["r/b/c/y"] == (None, "Apache-2.0", "r/b")
-    assert got["q/z"] == (None, None, None) and got["r/b/own"][:2] == ("CC-BY-NC-4.0", "CC-BY-NC-4.0")
+def notices():
+    """Files: path, text, and the licence that each should get."""
+    import textwrap
+
+    full = {name: text for name, kind, _, text in licenses.TEMPLATES if kind == "text"}
+    gpl = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    title = next(text for name, kind, _, text in licenses.TEMPLATES if kind == "title" and name == "Apache-2.0")
+    return [
+        ("r/LICENSE", "Released under the MIT License.", "MIT"), ("r/a/x", "code", "MIT"), ("r/b/NOTICE", "Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("r/b/c/d/y", "more\ncode", "Apache-2.0"), ("q/z", None, None), ("r/b/own", "Licensed under CC BY-NC 4.0.\n" + "word " * 50, "CC-BY-NC-4.0"),
+        ("m/LICENSE", "MIT License\n\nCopyright (c) 2020 Jane Doe\n\n" + textwrap.fill(full["MIT"], 70), "MIT"), ("m/src/deep/er/a.py", "print(1)", "MIT"), ("b/COPYING", "Copyright (c) 2019\n" + textwrap.fill(full["BSD-3-Clause"], 50), "BSD-3-Clause"), ("b/b", "", "BSD-3-Clause"),
+        ("g/x.c", "\n".join(["# " + x for x in gpl]) + "\nint main();\n" + "code " * 300, "GPL-3.0"), ("g/y.c", "no notice", None), ("s/y.py", "# SPDX-License-Identifier: MIT\ncode", "MIT"), ("s/z.py", "// SPDX-License-Identifier: (MIT OR Apache-2.0)", "(MIT OR Apache-2.0)"),
+        ("i/x", "Permission to use, copy, modify, and/or distribute this software for any purpose\nwith or without fee is hereby granted." + " code" * 100, "ISC"), ("w/t", "an ordinary sentence. This work is licensed under the GNU General Public License, version 3. Another ordinary sentence.", "GPL-3.0"),
+        ("ap/LICENSE", title + " license text" * 700, "Apache-2.0"), ("ap/src/main/x", "code", "Apache-2.0"), ("e/a", "", None), ("e/b", "mit dem license", None),
+    ]
+
+
+def test_licences_of_whole_notices_and_files(spark):
+    files = notices()
+    d = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(files)], "doc_id long, p string, text string")
+    got = {r["path"]: r for r in licenses.scan(d, d["p"]).collect()}
+    assert {p: got[p]["license"] for p, _, _ in files} == {p: want for p, _, want in files}
+    assert got["r/a/x"]["from_dir"] == "r" and got["r/b/c/d/y"]["from_dir"] == "r/b" and got["m/src/deep/er/a.py"]["from_dir"] == "m"
+
+
+def test_every_template_is_like_itself(spark):
+    files = [(i, f"t{i}/x", "some words first " * 9 + text + " and words after it " * 30) for i, (*_, text) in enumerate(licenses.TEMPLATES)]
+    d = spark.createDataFrame(files, "doc_id long, p string, text string")
+    for r in licenses.scan(d, d["p"]).collect():
+        assert (r["own"], r["score"]) == (licenses.TEMPLATES[r["doc_id"]][0], 1.0)
+
+
+def test_licences_agree_with_sql_and_ancestors(spark, tmp_path):
+    """The query itself, on documents whose ids put licence files above others at several levels."""
+    from matloom.llm import entries
+
+    texts = [t for _, t, _ in notices()]
+    rows = [(i, texts[(i * 7) % len(texts)] if i % 9 == 0 or i in (3, 12) else "plain words here", None if i % 50 == 49 else "a", "en") for i in range(1300)] + [(None, "x", "a", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in entries.op4_licenses(spark, str(tmp_path)).collect()]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(got, key=repr) == sorted(con.sql(licenses.SCAN_SQL).fetchall(), key=repr)
+    levels = {r[1].count("/") - 1 - r[5].count("/") for r in got if r[5]}
+    assert {0, 1, 2} <= levels

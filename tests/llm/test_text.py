@@ -31,6 +31,15 @@ def test_bpe_equals_the_library(both):
         assert got[1] == theirs.decode(want.ids, skip_special_tokens=False) == ours.decode(want.ids)
 
 
+def test_bpe_has_the_librarys_classes(both):
+    """Every code point, between letters, doubled, and beside a number; in capitals' places too."""
+    ours, theirs = both
+    points = [chr(c) for c in range(0x40000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in (0xE0001, 0xE0100, 0xF0000, 0x10FFFF)]
+    for at in range(0, len(points), 64 * 512):
+        texts = [" ".join([f"a{c}{c}b{c}1" for c in points[i : i + 64]]) for i in range(at, min(at + 64 * 512, len(points)), 64)]
+        assert [a for a, _ in ours.encode_batch(texts)] == [" ".join(map(str, w.ids)) for w in theirs.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_forgets_and_still_agrees(both, monkeypatch):
     ours, _ = both
     texts = [f"word{i} and more{i % 7}" for i in range(400)]
@@ -63,14 +72,54 @@ def test_pii_base_spans():
         assert pii.base_spans(t) == plain_pii(t)
 
 
-def test_pii_field_links_repeats():
-    seen = [f"mail u{i}.{i}@m{i}.example.com word call +1 (269) 555-{3000 + i} word 4111111111111111 or {i % 200}.1.2.3 but {i} of {i * 7}" for i in range(200)]
-    field = pii.train(seen)
-    text = "call +1 (269) 555-3296 4111111111111111 now"
-    base, every = pii.find(field)(text)
-    assert set(base) <= set(every) and ("phone", 5, 22) in every
-    assert pii.find(field)("version 3 of 12 items, 1999")[1] == []
-    assert pii.train([]) is None and pii.find(None)(text)[0] == pii.find(None)(text)[1]
+def seen(i):
+    parts = [f"mail u{i}.{i}@m{i}.example.com word", f"call +1 (269) 555-{3000 + i} word", f"card {4000000000000000 + 7 * i} pay", f"host {i % 200}.1.2.3 up", f"but {i} of {i * 7}", f"in {1900 + i % 120} or so"]
+    random.Random(i).shuffle(parts)
+    return " ".join(parts)
+
+
+SEEN = [seen(i) for i in range(300)]
+TEXT = "call +1 (269) 555-3296 now. Later reach 269.555.3296 or (269) 555-3296; write u.Name@Mail.example.com or U.NAME@MAIL.EXAMPLE.COM; card 4111 1111 1111 1111 then 4111.1111.1111.1111; host 10.0.0.1 and 010 000 000 001; 12 apples in 2019"
+
+
+def test_pii_field_labels_repeats_in_other_shapes():
+    """What the field adds, against what was planted; without skip edges none of the rewritten repeats is found."""
+    import dataclasses
+
+    field = pii.train([f"{t} and again {t}" if i % 3 == 0 else t for i, t in enumerate(SEEN)])
+    base, every = pii.find(field)(TEXT)
+    assert base == plain_pii(TEXT) and set(base) <= set(every)
+    added = {(k, TEXT[a:b]) for k, a, b in set(every) - set(base)}
+    assert added == {("phone", "269.555.3296"), ("phone", "(269) 555-3296"), ("card", "4111.1111.1111.1111"), ("ip", "010 000 000 001")}
+    alone = dataclasses.replace(field, skip=np.zeros_like(field.skip))
+    assert not {x for x in added if x[0] in ("card", "ip")} & {(k, TEXT[a:b]) for k, a, b in pii.find(alone)(TEXT)[1]}
+    assert pii.find(field)("version 3 of 12 items, 1999, order 4512345678")[1] == []
+    assert pii.train([]) is None and pii.find(None)(TEXT)[0] == pii.find(None)(TEXT)[1]
+
+
+def test_pii_skip_table_is_learnt():
+    """Repeats that agree in the sample strengthen agreement beyond its start."""
+    once, twice = pii.train(SEEN[:100]), pii.train([f"{t} and again {t}" for t in SEEN[:100]])
+    off = lambda f: f.skip[~np.eye(len(f.skip), dtype=bool)].mean()
+    assert off(twice) < off(once) - 0.5 and (np.diag(twice.skip) > 0).all()
+
+
+@pytest.mark.parametrize("edges", [[(0, 1, 0), (1, 2, 0), (1, 3, 1)], [(0, 1, 0), (1, 2, 0), (0, 2, 1)], [(0, 1, 0), (1, 2, 1), (2, 3, 0), (0, 3, 1), (1, 3, 1)]])
+def test_pii_messages_against_enumeration(edges):
+    """Exact on trees, near on small loops."""
+    from itertools import product
+
+    rng, e = np.random.default_rng(len(edges)), np.array(edges)
+    n, k = e[:, :2].max() + 1, 3
+    own, chain, skip = rng.normal(size=(n, k)), rng.normal(size=(k, k)) * 0.5, np.eye(k) * 0.7
+    want = np.zeros((n, k))
+    for labels in product(range(k), repeat=n):
+        p = np.exp(sum(own[i, x] for i, x in enumerate(labels)) + sum((skip if s else chain)[labels[a], labels[b]] for a, b, s in edges))
+        for i, x in enumerate(labels):
+            want[i, x] += p
+    want /= want.sum(1, keepdims=True)
+    got = pii.messages(own, e[:, :2], e[:, 2] == 1, chain, skip)
+    assert np.abs(got - want).max() < (1e-4 if len(edges) < n else 0.06)
 
 
 def plain_secrets(t):
@@ -92,16 +141,41 @@ def test_secret_base_spans_and_random_tokens():
     assert find("ordinary words like internationalization_of_everything and 2024-01-01 stay")[1] == []
 
 
-def test_keys_without_a_digit_are_secrets_and_identifiers_are_not():
-    find, rng = secrets.find(), random.Random(5)
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
-    for alphabet, least in ((letters, 95), (letters[:26], 80), (letters[26:], 80)):
-        keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(100)]
-        assert sum(("random", 5, 37) in find(f"key: {k} ends")[1] for k in keys) >= least
-    for word in ["getElementsByTagNameAndClassName", "DoNotUseThisInYourCodeAtAll", "THIS_IS_A_LONG_CONSTANT_NAME", "src/main/java/org/apache/spark/sql", letters[26:], "VXVXVXVXMVXVXVXVXVXVXVXV", "-" * 60, "1234567890" * 2, "2024-01-01_2024-12-31-00-00"]:
+def test_identifiers_words_and_numbers_are_no_secrets():
+    find = secrets.find()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for word in ["getElementsByTagNameAndClassName", "DoNotUseThisInYourCodeAtAll", "THIS_IS_A_LONG_CONSTANT_NAME", "src/main/java/org/apache/spark/sql", letters, letters.upper() + "234567", "VXVXVXVXMVXVXVXVXVXVXVXV", "-" * 60, "1234567890" * 2, "83920174650192837465", "2024-01-01_2024-12-31-00-00"]:
         assert find(f"see {word} here")[1] == []
 
 
+@pytest.fixture(scope="module")
+def measured():
+    """Laws from one half of a table's documents, and ordinary tokens of the other half's words."""
+    import duckdb
+
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY hash(doc_id)").fetchall()]
+    words = [w for t in texts[500:] for w in secrets.PIECE.findall(t) if len(w) < secrets.SHORTEST]
+    random.Random(3).shuffle(words)
+    return secrets.fit(texts[:500]), [t for t in secrets.made(words, 8000) if len(t) >= secrets.SHORTEST]
+
+
+def test_false_discoveries_among_ordinary_tokens(measured):
+    """Each as its document's only token."""
+    null, tokens = measured
+    assert sum(null.probability(t) <= secrets.RATE for t in tokens) <= 5 * secrets.RATE * len(tokens)
+
+
+@pytest.mark.parametrize("alphabet, least", [
+    ("0123456789ABCDEF", (0.8, 0.9)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", (0.9, 0.97)), ("abcdefghijklmnopqrstuvwxyz", (0.5, 0.9)), ("abcdefghijklmnopqrstuvwxyz0123456789", (0.95, 0.98)),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", (0.4, 0.85)), ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", (0.9, 0.97)),
+])
+def test_power_by_encoding_and_length(measured, alphabet, least):
+    """The share of random tokens of 20 and of 32 characters that is found, each as its document's only token."""
+    null, rng = measured[0], random.Random(5)
+    for size, share in zip((20, 32), least):
+        assert sum(null.probability("".join(rng.choice(alphabet) for _ in range(size))) <= secrets.RATE for _ in range(200)) >= share * 200
+
+
 def test_repetition_at_the_end_of_a_text_is_seen():
     words = [f"w{i}".encode() for i in range(200)] + [b"buy", b"it", b"now", b"ok"] * 25
     assert quality.repetition(words)[1] == 1 - 104 / 200
@@ -136,6 +210,24 @@ def test_media_round_trip(codec):
     assert media.resample(np.array([0, 1600], np.int16)).tolist()[0::2] == [0, 1600]
 
 
+def test_agreement_finds_how_good_labellers_are():
+    """Simulated labellers of known accuracy, some abstaining: estimated posteriors call the truth as well as the true accuracies do."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    right = [0.95, 0.9, 0.9, 0.85, 0.8, 0.8, 0.75, 0.7]
+    rows = []
+    for _ in range(6000):
+        good = rng.random() < 0.7
+        rows.append((good, tuple(-1 if rng.random() < 0.2 else int(good == (rng.random() < r)) for r in right)))
+    post = quality.agree(Counter(quality.pattern(v) for _, v in rows))
+    odds = lambda v: np.log(0.7 / 0.3) + sum((1 if x else -1) * np.log(r / (1 - r)) for x, r in zip(v, right) if x >= 0)
+    ours = sum((post[quality.pattern(v)] > 0.5) == g for g, v in rows)
+    best = sum((odds(v) > 0) == g for g, v in rows)
+    assert ours >= best - 60
+    assert np.mean([abs(post[quality.pattern(v)] - 1 / (1 + np.exp(-odds(v)))) for _, v in rows]) < 0.03
+
+
 def test_quality_on_held_out_labels():
     """Posteriors and the scorer, trained without labels, against the labels that the tables have."""
     import duckdb
