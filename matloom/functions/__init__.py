@@ -11,13 +11,16 @@ from matloom.operators.archetypes import trace as archetype_trace  # noqa: F401
 from matloom.operators.color import node_colors  # noqa: F401
 from matloom.operators.coo import grouped, mean_center, normalize, normalize_graph, normalize_scores, one_hot, rank, robust_zscore, scale, symmetric, times_dense, times_sparse, times_vector, transposed, zscore  # noqa: F401
 from matloom.operators.graph import centrality, coreness, diffuse, diffuse_chebyshev, label_enrichment, propagate  # noqa: F401
+from matloom.operators.knn import approximate as approximate_neighbours  # noqa: F401
+from matloom.operators.knn import bipartite as bipartite_network  # noqa: F401
 from matloom.operators.knn import build as build_network  # noqa: F401
+from matloom.operators.knn import neighbours  # noqa: F401
 from matloom.operators.layout import find_ab, layout  # noqa: F401
 from matloom.operators.linalg import deflate, orthogonalize_basal, orthogonalize_batch, perturbed, reduce_kernel, svd  # noqa: F401
 from matloom.operators.matching import hungarian  # noqa: F401
 from matloom.operators.simplex import regression as simplex_regression  # noqa: F401
 from matloom.operators.simplex import spa  # noqa: F401
-from matloom.operators.stats import geary, label_weights, marker_scores, moran, moran_parametric, permuted, rank_one_match, set_enrichment, signature, specificity, xicor  # noqa: F401
+from matloom.operators.stats import geary, label_weights, marker_scores, moran, moran_parametric, permuted, rank_one_match, set_enrichment, set_enrichments, signature, specificity, xicor, xicor_matrix  # noqa: F401
 
 
 def network_diffusion(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float = 0.85, rounds: int = 5, approx: bool = False, method: int = 0, tol: float = 1e-8) -> DataFrame:

@@ -10,7 +10,7 @@ from matloom.operators.coo import zscore
 from matloom.operators.dense import gram
 from matloom.operators.linalg import oriented
 
-#: The white point, and the matrix from XYZ to linear sRGB.
+#: The white point, the matrix from XYZ to linear sRGB, the knee of the Lab curve; below, the numbers of the sRGB gamma.
 WHITE = (0.950456, 1.0, 1.088754)
 TO_RGB = ((3.2406, -1.5372, -0.4986), (-0.9689, 1.8758, 0.0415), (0.0557, -0.2040, 1.0570))
 KNEE = 0.206896551724137931

@@ -23,9 +23,11 @@ def normalize(m: DataFrame, by: str = "col_id", p: int = 1, value: str = "value"
         return m
     if p not in (1, 2):
         raise ValueError("p is 0, 1 or 2")
-    w = Window.partitionBy(by)
-    size = F.sum(F.abs(value)).over(w) if p == 1 else F.sqrt(F.sum(F.col(value) * F.col(value)).over(w))
-    return m.withColumn(value, F.col(value) / F.when(size == 0, 1.0).otherwise(size))
+    size = F.sum(F.abs(value)) if p == 1 else F.sqrt(F.sum(F.col(value) * F.col(value)))
+    # Sums are partial before they are shuffled, so that a common column is spread; the join is one that Spark can broadcast or split by measured sizes.
+    sizes = m.groupBy(by).agg(size.alias("_size"))
+    over = F.col(value) / F.when(F.col("_size") == 0, 1.0).otherwise(F.col("_size"))
+    return m.join(sizes, by).select(*[over.alias(c) if c == value else c for c in m.columns])
 
 
 def scale(m: DataFrame, v: DataFrame, by: str = "col_id") -> DataFrame:
@@ -49,27 +51,39 @@ def normalize_graph(g: DataFrame, nodes: DataFrame, method: int = 1) -> DataFram
 
 def zscore(x: DataFrame, by: str = "dim") -> DataFrame:
     """(x - mean) / sample deviation within each group; 0 where that is not a number."""
-    w = Window.partitionBy(by)
-    return x.withColumn("value", ratio(F.col("value") - F.avg("value").over(w), F.stddev_samp("value").over(w)))
+    stats = x.groupBy(by).agg(F.avg("value").alias("_mean"), F.stddev_samp("value").alias("_sd"))
+    z = ratio(F.col("value") - F.col("_mean"), F.col("_sd"))
+    return x.join(stats, by).select(*[z.alias(c) if c == "value" else c for c in x.columns])
+
+
+def medians(x: DataFrame, by: str, value: str) -> DataFrame:
+    """by, median: distinct values are counted, then placed by running sums over range partitions, so that no task holds a group's values."""
+    placed = running(x.where(F.col(value).isNotNull()).groupBy(by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), [by, "_v"], {"_n": "_before"})
+    spans = placed.groupBy(by).agg(F.min("_before").alias("_start"), F.sum("_n").alias("_all"))
+    first = F.col("_before") - F.col("_start")
+    middle = placed.join(spans, by).where((first <= F.floor(F.col("_all") / 2)) & (first + F.col("_n") > F.floor((F.col("_all") - 1) / 2)))
+    return middle.groupBy(by).agg(((F.min("_v") + F.max("_v")) / 2).alias("median"))
 
 
 def robust_zscore(x: DataFrame, by: str = "dim") -> DataFrame:
     """(x - median) / median absolute deviation, unscaled; a zero deviation gives 0 at the median and an infinity elsewhere."""
-    mid = x.groupBy(by).agg(F.median("value").alias("_m"))
-    off = x.join(mid, by).withColumn("_d", F.col("value") - F.col("_m"))
-    mad = off.groupBy(by).agg(F.median(F.abs("_d")).alias("_mad"))
+    off = x.join(medians(x, by, "value").withColumnRenamed("median", "_m"), by).withColumn("_d", F.col("value") - F.col("_m"))
+    mad = medians(off.withColumn("_abs", F.abs("_d")), by, "_abs").withColumnRenamed("median", "_mad")
     z = F.when(F.col("_mad") != 0, F.try_divide("_d", "_mad")).when(F.col("_d") == 0, 0.0).otherwise(F.signum("_d") * F.lit(float("inf")))
-    return off.join(mad, by).withColumn("value", z).drop("_m", "_d", "_mad")
+    return off.join(mad, by).select(*[z.alias(c) if c == "value" else c for c in x.columns])
 
 
 def mean_center(x: DataFrame, by: str = "dim") -> DataFrame:
-    return x.withColumn("value", F.col("value") - F.avg("value").over(Window.partitionBy(by)))
+    means = x.groupBy(by).agg(F.avg("value").alias("_mean"))
+    return x.join(means, by).select(*[(F.col("value") - F.col("_mean")).alias(c) if c == "value" else c for c in x.columns])
 
 
 def normalize_scores(x: DataFrame, method: int = 1, by: str = "dim") -> DataFrame:
     """0: unchanged, 1: z-scores, 3: robust ones, 4: centred. 2 (rank-based) does not exist."""
     if method == 2:
         raise NotImplementedError("rank-based inverse normal scores")
+    if method not in (0, 1, 3, 4):
+        raise ValueError("the method is 0, 1, 3 or 4")
     return {0: lambda: x, 1: lambda: zscore(x, by), 3: lambda: robust_zscore(x, by), 4: lambda: mean_center(x, by)}[method]()
 
 
@@ -121,25 +135,23 @@ def symmetric(g: DataFrame, mutual: bool = True) -> DataFrame:
     return both.groupBy("src", "dst").agg((F.sum("weight") / 2).alias("weight"))
 
 
-def grouped(m: DataFrame, groups: DataFrame, rows: DataFrame, what: str = "sum", dense: bool = False) -> DataFrame:
+def grouped(m: DataFrame, groups: DataFrame, rows: DataFrame, what: str = "sum") -> DataFrame:
     """row_id, grp, value: sum, mean or variance of a row's entries over each group (id, grp) of columns.
 
     Missing entries are zeros, and count. Group sizes are few and go to the plan as constants, so that rows are
-    spread over the groups without a join. A variance is made of two passes, centred on the group's mean; dense: over n - 1 and 0 for one
-    member; sparse: over max(1, n - 1).
+    spread over the groups without a join. A variance is made in one pass, of partial counts, means and squares about them, to which the missing
+    entries are added as one more part; over n - 1, and 0 for one member.
     """
     sizes = sorted((r[0], r[1]) for r in groups.groupBy("grp").count().collect())
     every = F.explode(F.array(*[F.struct(F.lit(g).alias("grp"), F.lit(n).alias("n")) for g, n in sizes])).alias("g")
     placed = m.join(groups.select(F.col("id").alias("col_id"), "grp"), "col_id")
-    sums = placed.groupBy("row_id", "grp").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("k"))
+    sums = placed.groupBy("row_id", "grp").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("k"), F.var_pop("value").alias("v"))
     grid = rows.select(F.col("id").alias("row_id"), every).select("row_id", "g.grp", "g.n")
-    if what == "var":
-        means = sums.join(F.broadcast(grid.sparkSession.createDataFrame(sizes, "grp long, n long")), "grp").withColumn("mu", F.col("s") / F.greatest(F.lit(1), "n"))
-        sums = placed.join(means.select("row_id", "grp", "mu"), ["row_id", "grp"]).groupBy("row_id", "grp").agg(F.sum((F.col("value") - F.col("mu")) ** 2).alias("s"), F.count(F.lit(1)).alias("k"), F.max("mu").alias("mu"))
     full = grid.join(sums, ["row_id", "grp"], "left")
-    s = F.coalesce(F.col("s"), F.lit(0.0))
+    n, k, s = F.col("n"), F.coalesce(F.col("k"), F.lit(0)), F.coalesce(F.col("s"), F.lit(0.0))
     if what == "mean":
-        s = s / F.greatest(F.lit(1), F.col("n"))
+        s = s / F.greatest(F.lit(1), n)
     elif what == "var":
-        s = (s + (F.col("n") - F.coalesce("k", F.lit(0))) * F.coalesce("mu", F.lit(0.0)) ** 2) / F.greatest(F.lit(1), F.col("n") - 1)
+        mean = F.coalesce(F.try_divide(s, k), F.lit(0.0))
+        s = (k * F.coalesce("v", F.lit(0.0)) + mean * mean * k * (n - k) / F.greatest(F.lit(1), n)) / F.greatest(F.lit(1), n - 1)
     return full.select("row_id", "grp", s.alias("value"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matloom.operators.coo import normalize_graph
+from matloom.operators.coo import normalize, normalize_graph
 from matloom.plans.materialize import cut
 
 
@@ -25,27 +25,28 @@ def _step(p: DataFrame, x: DataFrame) -> DataFrame:
 
 
 def diffuse(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float = 0.85, rounds: int = 5, method: int = 0) -> DataFrame:
-    """Personalised PageRank of the seeds (id, dim, value), each column made to sum to one; `alpha` is the share of the walk. Isolated nodes gain mass with methods 0 and 1."""
+    """Personalised PageRank of the seeds (id, dim, value), each column made to sum to one (a column of zeros stays one); `alpha` is the share of the walk. Isolated nodes gain mass with methods 0 and 1."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha lies in [0, 1]")
     if alpha == 0:
         return x0
     n = nodes.count()
     p = cut(normalize_graph(g, nodes, method), "walk")
-    own = x0.withColumn("value", F.col("value") / F.sum(F.abs("value")).over(Window.partitionBy("dim")))
-    seeds = cut(_filled(nodes, own), "seeds")
+    seeds = cut(_filled(nodes, normalize(x0, "dim")), "seeds")
     linked = g.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("s")).where("s > 0").select("id", F.lit(True).alias("has"))
     z = cut(nodes.join(linked, "id", "left").select("id", (F.when(F.col("has"), 1 - alpha).otherwise(1.0) / n).alias("z")), "rest")
     x = seeds
     for _ in range(rounds):
         lost = x.join(z, "id").groupBy("dim").agg(F.sum(F.col("z") * F.col("value")).alias("s"))
         new = seeds.withColumnRenamed("value", "v0").join(_step(p, x), ["id", "dim"], "left").join(F.broadcast(lost), "dim")
-        x = cut(new.select("id", "dim", (alpha * F.coalesce("w", F.lit(0.0)) + n * F.col("v0") * F.col("s")).alias("value")), "spread")
+        x = cut(new.select("id", "dim", (alpha * F.coalesce("w", F.lit(0.0)) + n * F.col("v0") * F.col("s")).alias("value")), "spread", x if x is not seeds else None)
     return x
 
 
 def diffuse_chebyshev(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float = 0.85, rounds: int = 5, method: int = 0, tol: float = 1e-8) -> DataFrame:
     """The same by Chebyshev's recurrence; seeds are not made to sum to one. Stops when the change of all columns, as a matrix, has a norm below `tol`."""
+    if not 0 <= alpha <= 1:
+        raise ValueError("alpha lies in [0, 1]")
     if alpha == 0:
         return x0
     a = 1 - alpha
@@ -93,12 +94,13 @@ def label_enrichment(g: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataF
     rows = g.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("r"), F.sum(F.col("weight") ** 2).alias("q"), F.max("weight").alias("a"))
     over = F.col("o") - F.col("r") * F.col("p")
     score = F.when(over > 0, F.try_divide(over * over, 2 * (F.col("q") * F.col("p") + F.col("a") * over / 3))).otherwise(0.0)
-    return seen.join(rows, "id").join(F.broadcast(share), "label").select("id", "label", F.coalesce(score, F.lit(0.0)).alias("score"))
+    return seen.join(rows, "id").join(share, "label").select("id", "label", F.coalesce(score, F.lit(0.0)).alias("score"))
 
 
 def propagate(g: DataFrame, nodes: DataFrame, labels: DataFrame, fixed: DataFrame | None = None, self_weight: float = 0.0, rounds: int = 3, least: float = 3.0) -> DataFrame:
-    """id, label: a node takes the label with the highest enrichment if that exceeds `least` (ties: the smaller label); fixed nodes keep theirs. Null or negative labels are none."""
+    """id, label: a node takes the label with the highest enrichment if that exceeds `least` (ties: the smaller label); fixed nodes keep theirs. Null or negative labels are none. Self-loops weigh `self_weight`, whatever the graph has."""
     n = nodes.count()
+    g = g.where("src <> dst").select("src", "dst", "weight")
     if self_weight:
         g = g.unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(self_weight).alias("weight")))
     t = cut(normalize_graph(g, nodes, 1).withColumn("weight", F.col("weight") * n), "walk")
@@ -110,7 +112,7 @@ def propagate(g: DataFrame, nodes: DataFrame, labels: DataFrame, fixed: DataFram
         moved = now.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"))
         if held is not None:
             moved = moved.join(held, "id", "left").select("id", F.when(F.col("held"), F.col("own")).otherwise(F.col("label")).alias("label"))
-        now = cut(moved.select("id", F.col("label").cast("int").alias("label")), "labels")
+        now = cut(moved.select("id", F.col("label").cast("int").alias("label")), "labels", now)
     return now
 
 
@@ -120,16 +122,19 @@ def coreness(g: DataFrame, nodes: DataFrame) -> DataFrame:
     The h-index counts, from the largest down, a histogram of neighbours' numbers, so a node with many neighbours is summed before it is shuffled.
     """
     edges = cut(g.select("src", "dst").distinct(), "edges")
-    now = cut(nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("core")), "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core")), "cores")
+    degrees = edges.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("core"))
+    now = cut(nodes.join(degrees, "id", "left").select("id", F.coalesce("core", F.lit(0)).alias("core"), F.lit(True).alias("moved")), "cores")
     while True:
-        seen = edges.join(now.select(F.col("id").alias("dst"), "core"), "dst").groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
+        # Only nodes beside one whose number has just fallen can fall.
+        touched = edges.join(now.where("moved").select(F.col("id").alias("dst")), "dst", "left_semi").select("src").distinct()
+        near = edges.join(touched, "src", "left_semi").join(now.select(F.col("id").alias("dst"), "core"), "dst")
+        seen = near.groupBy("src", "core").agg(F.count(F.lit(1)).alias("n"))
         down = Window.partitionBy("src").orderBy(F.col("core").desc())
         h = seen.withColumn("m", F.sum("n").over(down)).groupBy(F.col("src").alias("id")).agg(F.max(F.least("core", "m")).alias("h"))
-        new = cut(now.join(h, "id", "left").select("id", F.least("core", F.coalesce("h", F.lit(0))).alias("core"), F.col("core").alias("was")), "cores")
-        changed = new.where("core <> was").limit(1).count()
-        now = new.select("id", "core")
-        if not changed:
-            return now
+        low = F.least("core", F.coalesce("h", "core"))
+        now = cut(now.join(h, "id", "left").select("id", low.alias("core"), (low < F.col("core")).alias("moved")), "cores", now)
+        if not now.where("moved").limit(1).count():
+            return now.select("id", "core")
 
 
 def centrality(g: DataFrame, groups: DataFrame) -> DataFrame:

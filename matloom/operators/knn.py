@@ -1,7 +1,9 @@
-"""Exact neighbours and the graphs made of them.
+"""Neighbours, exact or from a candidate index, and the graphs made of them.
 
-Neighbours are found in a grid of blocks: a cell of the grid holds one block of rows and streams a share of
-all others past it, keeping the k nearest of each row; a window merges the k of each share. Distances are
+Exact neighbours are found in a grid of blocks: a cell of the grid holds one block of rows and streams a share of
+all others past it, keeping the k nearest of each row; a window merges the k of each share. That is every row with every other: for large
+tables `approximate` deals rows into cells around centres first, and a row looks into the `probes` cells nearest to it only, with
+exact distances there. Distances are
 `l2` (squared), `ip` (one minus the product) and `jsd` (the root of the Jensen-Shannon divergence in bits, plus half of any missing mass).
 """
 
@@ -16,35 +18,142 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matloom.operators.dense import rows_of
+from matloom.plans.materialize import cut
 
-BLOCK, TILE = 1024, 256
+BLOCK, TILE, SPARE = 1024, 4096, 16
 METRICS = ("l2", "ip", "jsd")
+#: Rows up to which graphs are built from exact neighbours.
+EXACT = 50_000
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
-    return x * np.log2(np.where(x > 0, x, 1.0))
+    return x * np.log2(np.maximum(x, 1e-300))
 
 
-def tile(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+def exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances along the last axis, where both are rows of the same shape but for broadcasting."""
     if metric == "ip":
-        return 1.0 - a @ b.T
+        return 1.0 - (a * b).sum(-1)
     if metric == "l2":
-        out = np.empty((len(a), len(b)))
-        for i, row in enumerate(a):
-            out[i] = ((b - row) ** 2).sum(1)
-        return out
-    own = [0.5 * _plogp(x).sum(1) + 0.5 * np.maximum(0.0, 1 - x.sum(1)) for x in (a, b)]
-    out = np.empty((len(a), len(b)))
-    for i, row in enumerate(a):
-        out[i] = own[0][i] + own[1] - _plogp((b + row) / 2).sum(1)
+        return ((b - a) ** 2).sum(-1)
     # The missing mass stands outside of the floor at zero.
+    lost = 0.5 * np.maximum(0.0, 1 - a.sum(-1)) + 0.5 * np.maximum(0.0, 1 - b.sum(-1))
+    return np.sqrt(np.maximum(0.0, 0.5 * _plogp(a).sum(-1) + 0.5 * _plogp(b).sum(-1) - _plogp((a + b) / 2).sum(-1)) + lost)
+
+
+def tile(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
+    """Distances of all rows of a from all of b, and a bound of their error: products of matrices where the distance allows them, for choosing which to compute exactly."""
+    if metric == "ip":
+        return 1.0 - a @ b.T, 1e-13 * (1 + float(np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) * a.shape[1])
+    if metric == "l2":
+        p, q = (a * a).sum(1), (b * b).sum(1)
+        return p[:, None] + q[None, :] - 2 * (a @ b.T), 1e-13 * float(p.max(initial=0) + q.max(initial=0) + 1)
+    own = [0.5 * _plogp(x).sum(1) for x in (a, b)]
     lost = [0.5 * np.maximum(0.0, 1 - x.sum(1)) for x in (a, b)]
-    more = lost[0][:, None] + lost[1][None, :]
-    return np.sqrt(np.maximum(0.0, out - more) + more)
+    out = np.empty((len(a), len(b)))
+    for i, row in enumerate(a):
+        out[i] = np.maximum(0.0, own[0][i] + own[1] - _plogp((b + row) / 2).sum(1)) + (lost[0][i] + lost[1])
+    return np.sqrt(out), 0.0
+
+
+def nearest(x: np.ndarray, ids: np.ndarray, y: np.ndarray, names: np.ndarray, k: int, metric: str, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Exact distances and names of the k nearest rows of y for each row of x, in order, ties to the smaller name; infinite where there are fewer. With `same`, a row is not its own neighbour.
+
+    A few more than k are chosen by the tile and computed exactly. Rows where those left out are not clearly farther, as among many equal ones, are computed in full.
+    """
+    d, error = tile(x, y, metric)
+    if same:
+        d[ids[:, None] == names[None, :]] = np.inf
+    wide = min(k + SPARE, len(y))
+    if wide < len(y):
+        some = np.argpartition(d, wide - 1, axis=1)[:, :wide]
+        near = np.take_along_axis(d, some, 1)
+        kth = np.partition(near, min(k, wide) - 1, axis=1)[:, min(k, wide) - 1]
+        unclear = np.flatnonzero(~(near.max(1) > kth + 2 * error))
+    else:
+        some, near, unclear = np.broadcast_to(np.arange(len(y)), d.shape), d, np.zeros(0, int)
+    real = np.where(np.isfinite(near), near, np.inf)
+    if metric != "jsd":
+        for i in range(0, len(x), 64):
+            real[i : i + 64] = np.where(np.isfinite(near[i : i + 64]), exact(x[i : i + 64, None, :], y[some[i : i + 64]], metric), np.inf)
+    who = names[some]
+    order = np.lexsort((who, real), axis=1)[:, :k]
+    real, who = np.take_along_axis(real, order, 1), np.take_along_axis(who, order, 1)
+    for i in unclear.tolist():
+        full = np.where(np.isfinite(d[i]), exact(x[i], y, metric), np.inf)
+        best = np.lexsort((names, full))[:k]
+        real[i], who[i] = full[best], names[best]
+    return real, who
+
+
+def _cells(cells: DataFrame, k: int, metric: str, same: bool) -> DataFrame:
+    """id, nbr, dist of the k nearest within each cell (cell, side, id, vec): rows of side 1 for each row of side 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, waiting, ids, x, near, who = None, [], [], None, None, None, None
+
+        def look() -> None:
+            nonlocal near, who, ids, x
+            if not waiting or not held:
+                waiting.clear()
+                return
+            if near is None:
+                ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                near, who = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
+            names, y = np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting])
+            waiting.clear()
+            for i in range(0, len(ids), BLOCK):
+                some = slice(i, i + BLOCK)
+                d, name = nearest(x[some], ids[some], y, names, k, metric, same)
+                d, name = np.concatenate([near[some], d], 1), np.concatenate([who[some], name], 1)
+                order = np.lexsort((name, d), axis=1)[:, :k]
+                near[some], who[some] = np.take_along_axis(d, order, 1), np.take_along_axis(name, order, 1)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            look()
+            for i in range(0, len(ids) if near is not None else 0, 256):
+                some = np.isfinite(near[i : i + 256])
+                a = np.repeat(ids[i : i + 256], some.sum(1))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(who[i : i + 256][some]), pa.array(near[i : i + 256][some])], names=["id", "nbr", "dist"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            every_id = batch.column(2).to_numpy()
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:]):
+                if cell[a] != at:
+                    yield from out()
+                    at, held, near = cell[a], [], None
+                for i in range(a, b, TILE):
+                    part = (every_id[i : min(b, i + TILE)], rows_of(batch.column(3).slice(i, min(b, i + TILE) - i)))
+                    if side[a] == 0:
+                        held.append(part)
+                    else:
+                        waiting.append(part)
+                        if sum(len(w[0]) for w in waiting) >= TILE:
+                            look()
+        yield from out()
+
+    return cells.mapInArrow(run, "id long, nbr long, dist double")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    pos = F.row_number().over(Window.partitionBy("id").orderBy("dist", "nbr"))
+    return found.withColumn("pos", pos).where(F.col("pos") <= k).select("id", "nbr", "pos", "dist")
+
+
+def _dealt(m) -> Column:
+    return F.pmod(F.xxhash64("id"), m if isinstance(m, Column) else F.lit(m)).cast("int")
+
+
+def _every(m) -> Column:
+    return F.explode(F.sequence(F.lit(0), (m if isinstance(m, Column) else F.lit(m)) - 1))
 
 
 def neighbours(v: DataFrame, k: int, metric: str, others: DataFrame | None = None) -> DataFrame:
-    """id, nbr, pos (from 1), dist: the k nearest other rows (id, vec) of each row, ties to the smaller id. With `others`, the nearest of those, of whichever id."""
+    """id, nbr, pos (from 1), dist: the k nearest other rows (id, vec) of each row, ties to the smaller id. With `others`, the nearest of those, of whichever id (a bipartite graph's)."""
     if metric not in METRICS:
         raise ValueError(f"the distance is one of {', '.join(METRICS)}")
     same = others is None
@@ -52,52 +161,62 @@ def neighbours(v: DataFrame, k: int, metric: str, others: DataFrame | None = Non
     n = v.count()
     blocks = max(1, math.ceil(n / BLOCK))
     shares = max(1, math.ceil(2 * v.sparkSession.sparkContext.defaultParallelism / blocks))
-    dealt = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    rows = v.select(F.lit(0).alias("side"), dealt(blocks).alias("block"), every(shares).alias("share"), "id", "vec")
-    past = others.select(F.lit(1).alias("side"), every(blocks).alias("block"), dealt(shares).alias("share"), "id", "vec")
-    cells = rows.union(past).repartition(blocks * shares, "block", "share").sortWithinPartitions("block", "share", "side").select("block", "share", "side", "id", "vec")
+    rows = v.select(F.lit(0).alias("side"), _dealt(blocks).alias("block"), _every(shares).alias("share"), "id", "vec")
+    past = others.select(F.lit(1).alias("side"), _every(blocks).alias("block"), _dealt(shares).alias("share"), "id", "vec")
+    cells = rows.union(past).withColumn("cell", (F.col("block") * shares + F.col("share")).cast("long")).repartition(blocks * shares, "cell").sortWithinPartitions("cell", "side")
+    return _best(_cells(cells.select("cell", "side", "id", "vec"), k, metric, same), k)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, ids, x, near, who = None, [], None, None, None, None
 
-        def out() -> Iterator[pa.RecordBatch]:
-            if near is None:
-                return
-            for i in range(0, len(ids), TILE):
-                some = np.isfinite(near[i : i + TILE])
-                a = np.repeat(ids[i : i + TILE], some.sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(who[i : i + TILE][some]), pa.array(near[i : i + TILE][some])], names=["id", "nbr", "dist"])
+def centres(v: DataFrame, count: int, sample: int = 20_000, rounds: int = 8) -> np.ndarray:
+    """Centres of k-means over a bounded sample: the rows of the least hashes of their ids."""
+    rows = v.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample).toArrow()
+    x = rows_of(rows.column("vec").combine_chunks())
+    c = x[:count].copy()
+    for _ in range(rounds):
+        own = np.concatenate([tile(x[i : i + TILE], c, "l2")[0].argmin(1) for i in range(0, len(x), TILE)])
+        n = np.bincount(own, minlength=len(c))
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, x)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
+    return c
+
+
+def approximate(v: DataFrame, k: int, metric: str, probes: int = 12, count: int | None = None) -> DataFrame:
+    """The same as neighbours(), from the `probes` cells nearest to each row of `count` (about the root of the number of rows) around centres; every row stands in one cell.
 
+    A cell with more rows than a block is looked at in a grid of blocks as a whole table is, so a common region is spread over tasks. Under jsd cells are laid out over the roots of the entries, where distances are alike.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"the distance is one of {', '.join(METRICS)}")
+    n = v.count()
+    if not n:
+        return neighbours(v, k, metric)
+    laid = v.select("id", F.transform("vec", lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))).alias("vec")) if metric == "jsd" else v
+    c = centres(laid, count or max(1, min(4096, int(math.sqrt(n)))))
+    probes = min(probes, len(c))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            place = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
-            every_id = batch.column(3).to_numpy()
-            cuts = [0, *(np.nonzero((place[1:] != place[:-1]).any(1))[0] + 1).tolist(), len(place)]
-            for a, b in zip(cuts, cuts[1:]):
-                if tuple(place[a, :2]) != at:
-                    yield from out()
-                    at, held, near = tuple(place[a, :2]), [], None
-                y, names = rows_of(batch.column(4).slice(a, b - a)), every_id[a:b]
-                if place[a, 2] == 0:
-                    held.append((names, y))
-                    continue
-                if near is None:
-                    if not held:
-                        continue
-                    ids, x = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-                    near, who = np.full((len(ids), k), np.inf), np.zeros((len(ids), k), np.int64)
-                for i in range(0, len(names), TILE):
-                    d, name = tile(x, y[i : i + TILE], metric), np.broadcast_to(names[i : i + TILE], (len(ids), len(names[i : i + TILE])))
-                    if same:
-                        d[ids[:, None] == name] = np.inf
-                    d, name = np.concatenate([near, d], 1), np.concatenate([who, name], 1)
-                    order = np.lexsort((name, d), axis=1)[:, :k]
-                    near, who = np.take_along_axis(d, order, 1), np.take_along_axis(name, order, 1)
-        yield from out()
+            for i in range(0, batch.num_rows, TILE):
+                part = batch.slice(i, TILE)
+                x = rows_of(part.column(1))
+                d = tile(np.sqrt(np.maximum(x, 0)) if metric == "jsd" else x, c, "l2")[0]
+                some = np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < len(c) else np.broadcast_to(np.arange(len(c)), d.shape)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d.argmin(1), pa.int32()), pa.array(some.tolist(), pa.list_(pa.int32()))], names=["id", "vec", "own", "near"])
+
+    placed = cut(v.select("id", "vec").mapInArrow(run, "id long, vec array<double>, own int, near array<int>"), "placed")
+    asking = placed.select(F.explode("near").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("asks"))
+    holding = placed.groupBy(F.col("own").alias("list")).agg(F.count(F.lit(1)).alias("holds"))
+    # As many numbers as there are centres.
+    grid = asking.join(holding, "list").select("list", F.ceil(F.col("asks") / (4 * BLOCK)).cast("int").alias("blocks"), F.ceil(F.col("holds") / (4 * BLOCK)).cast("int").alias("shares"))
+    ask = placed.select("id", "vec", F.explode("near").alias("list")).join(F.broadcast(grid), "list").select(F.lit(0).alias("side"), "list", _dealt(F.col("blocks")).alias("block"), _every(F.col("shares")).alias("share"), "id", "vec")
+    hold = placed.select("id", "vec", F.col("own").alias("list")).join(F.broadcast(grid), "list").select(F.lit(1).alias("side"), "list", _every(F.col("blocks")).alias("block"), _dealt(F.col("shares")).alias("share"), "id", "vec")
+    cells = ask.union(hold).withColumn("cell", F.col("list").cast("long") * (1 << 40) + F.col("block").cast("long") * (1 << 20) + F.col("share")).repartition("cell").sortWithinPartitions("cell", "side")
+    return _best(_cells(cells.select("cell", "side", "id", "vec"), k, metric, True), k)
 
-    best = cells.mapInArrow(run, "id long, nbr long, dist double")
-    pos = F.row_number().over(Window.partitionBy("id").orderBy("dist", "nbr"))
-    return best.withColumn("pos", pos).where(F.col("pos") <= k).select("id", "nbr", "pos", "dist")
+
+def found(v: DataFrame, n: int, k: int, metric: str, exact_up_to: int) -> DataFrame:
+    return neighbours(v, k, metric) if n <= exact_up_to else approximate(v, k, metric)
 
 
 def _similar(directed: DataFrame, metric: str) -> DataFrame:
@@ -118,10 +237,8 @@ def breadth(n: int) -> int:
     return min(n - 1, 5 * int(math.floor(math.sqrt(n) + 0.5)))
 
 
-def adaptive(v: DataFrame, metric: str = "jsd", density: float = 1.0, mutual: bool = True, directed: bool = False) -> DataFrame:
-    """The k*-nearest-neighbour graph (src, dst, weight): every node keeps as many of its nearest as the cut of running sums allows, less the last."""
-    k = breadth(v.count())
-    near = neighbours(v, k, metric)
+def kept(near: DataFrame, k: int, density: float = 1.0) -> DataFrame:
+    """Of the k nearest (id, nbr, pos, dist) of each row those before the cut of running sums, less the last."""
     w = Window.partitionBy("id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     beta = F.col("dist") / F.lit(float(density))
     near = near.withColumn("b", beta).withColumn("s1", F.sum("b").over(w)).withColumn("s2", F.sum(F.col("b") * F.col("b")).over(w))
@@ -129,14 +246,27 @@ def adaptive(v: DataFrame, metric: str = "jsd", density: float = 1.0, mutual: bo
     lam = F.when(under < 0, 0.0).otherwise((F.col("s1") + F.sqrt(F.greatest(under, F.lit(0.0)))) / F.col("pos"))
     near = near.withColumn("neg", lam - F.col("b") < 0)
     first: Column = F.min(F.when(F.col("neg"), F.col("pos"))).over(Window.partitionBy("id"))
-    kept = near.withColumn("last", F.coalesce(first - 2, F.lit(k - 1))).where(F.col("pos") <= F.col("last"))
-    g = _similar(kept.select(F.col("nbr").alias("src"), F.col("id").alias("dst"), F.col("dist").alias("d")), metric)
+    return near.withColumn("last", F.coalesce(first - 2, F.lit(k - 1))).where(F.col("pos") <= F.col("last"))
+
+
+def adaptive(v: DataFrame, metric: str = "jsd", density: float = 1.0, mutual: bool = True, directed: bool = False, exact_up_to: int = EXACT) -> DataFrame:
+    """The k*-nearest-neighbour graph (src, dst, weight): every node keeps as many of its nearest as the cut of running sums allows, less the last. Beyond `exact_up_to` rows neighbours come from approximate()."""
+    n = v.count()
+    k = breadth(n)
+    g = _similar(kept(found(v, n, k, metric, exact_up_to), k, density).select(F.col("nbr").alias("src"), F.col("id").alias("dst"), F.col("dist").alias("d")), metric)
     return g if directed else symmetric(g, mutual)
 
 
-def fixed(v: DataFrame, k: int = 10, metric: str = "jsd", mutual: bool = True, farthest: bool = False, directed: bool = False) -> DataFrame:
+def bipartite(v: DataFrame, others: DataFrame, metric: str = "jsd", density: float = 1.0) -> DataFrame:
+    """The k*-nearest rows of `others` for each row of v, by the same cut: src (of others), dst (of v), weight."""
+    m = others.count()
+    k = min(m, 5 * int(math.floor(math.sqrt(m) + 0.5)))
+    return _similar(kept(neighbours(v, k, metric, others), k, density).select(F.col("nbr").alias("src"), F.col("id").alias("dst"), F.col("dist").alias("d")), metric)
+
+
+def fixed(v: DataFrame, k: int = 10, metric: str = "jsd", mutual: bool = True, farthest: bool = False, directed: bool = False, exact_up_to: int = EXACT) -> DataFrame:
     """The graph of the k nearest, of which a node itself is one. `farthest` keeps only the farther half of them."""
-    near = neighbours(v, k - 1, metric)
+    near = found(v, v.count(), k - 1, metric, exact_up_to)
     if farthest:
         near = near.where(F.col("pos") + 1 > k - math.ceil(k / 2))
     g = _similar(near.select(F.col("id").alias("src"), F.col("nbr").alias("dst"), F.col("dist").alias("d")), metric)

@@ -39,37 +39,42 @@ def gram_schmidt(a: np.ndarray, least: float = 1e-4) -> np.ndarray:
     return q
 
 
+def eig_gram(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values, in ascending order, and right vectors of a matrix whose Gram matrix is g."""
+    w, v = np.linalg.eigh((g + g.T) / 2)
+    return np.sqrt(np.maximum(w, 0)), v
+
+
 def eig_svd(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Thin SVD of a tall matrix from the eigenvectors of its Gram matrix, in ascending order."""
-    w, v = np.linalg.eigh(a.T @ a)
-    s = np.sqrt(np.maximum(w, 0))
+    s, v = eig_gram(a.T @ a)
     return a @ v / np.where(s > 0, s, 1.0), s, v
 
 
-def _sum_of(v: DataFrame, work, width: int) -> np.ndarray:
-    """The sum over tasks of what `work` makes of a block of rows: a flat array of `width` numbers."""
+def _sum_of(rows: DataFrame, work, width: int) -> np.ndarray:
+    """The sum over tasks of what `work` makes of a block of rows, an array for each column: a flat array of `width` numbers, added up in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
             if batch.num_rows:
-                total += work(rows_of(batch.column(0))).ravel()
+                total += work(*map(rows_of, batch.columns)).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["sum"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.array(x)
+            for x in batch.column(0):
+                total += x.values.to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["sum"])
 
-    some = v.select("vec").mapInArrow(run, "sum array<double>").repartition(8).mapInArrow(add, "sum array<double>")
+    some = rows.mapInArrow(run, "sum array<double>").repartition(8).mapInArrow(add, "sum array<double>")
     return sum((np.array(r[0]) for r in some.collect()), np.zeros(width))
 
 
 def gram_times(v: DataFrame, q: np.ndarray) -> np.ndarray:
     """XᵀX Q in one pass."""
-    return _sum_of(v, lambda x: x.T @ (x @ q), q.size).reshape(q.shape)
+    return _sum_of(v.select("vec"), lambda x: x.T @ (x @ q), q.size).reshape(q.shape)
 
 
 @dataclass
@@ -102,19 +107,20 @@ def _from_left(left: np.ndarray, values: np.ndarray) -> Svd:
     return Svd(left, values, left / np.where(values > 0, values, 1.0), np.zeros(len(values)))
 
 
-def svd(v: DataFrame, k: int, algorithm: str = "irlb", rounds: int = 0, seed: int = 0) -> Svd:
-    """irlb: block Krylov steps on the Gram matrix with full orthogonalisation; halko: randomised range finder with orthonormal power steps; feng: the same with oversampling 5 and eigSVD at the end. Up to a few thousand features."""
+def svd(v: DataFrame, k: int, algorithm: str = "irlb", rounds: int = 0, seed: int = 0, whole: int = 2048) -> Svd:
+    """irlb: block Krylov steps on the Gram matrix with full orthogonalisation (the whole Gram matrix up to `whole` features); halko: randomised range finder with orthonormal power steps; feng: the same with oversampling 5 and eigSVD at the end, of the projected matrix through its Gram matrix. Up to a few thousand features."""
+    if algorithm not in ("irlb", "halko", "feng"):
+        raise ValueError("the algorithm is irlb, halko or feng")
     n, m = v.count(), len(v.select("vec").first()[0])
     k = min(k, m, n)
     rng = np.random.default_rng(seed)
     if algorithm == "irlb":
-        if m <= 2048:
-            w, u = np.linalg.eigh(gram(v).products)
-            order = np.argsort(w)[::-1][:k]
-            return _from_left(u[:, order], np.sqrt(np.maximum(w[order], 0)))
-        space = np.linalg.qr(rng.standard_normal((m, k + 7)))[0]
+        if m <= whole:
+            values, u = eig_gram(gram(v).products)
+            return _from_left(u[:, ::-1][:, :k], values[::-1][:k])
+        space = np.linalg.qr(rng.standard_normal((m, min(m, k + 7))))[0]
         blocks = [space]
-        for _ in range(rounds or 10):
+        for _ in range(min(rounds or 10, -(-m // space.shape[1]))):
             nxt = gram_times(v, blocks[-1])
             for b in blocks:
                 nxt -= b @ (b.T @ nxt)
@@ -125,10 +131,8 @@ def svd(v: DataFrame, k: int, algorithm: str = "irlb", rounds: int = 0, seed: in
         q = np.linalg.qr(rng.standard_normal((m, min(m, k + extra))))[0]
         for _ in range(rounds or 5):
             q = np.linalg.qr(gram_times(v, q))[0]
-    core = q.T @ gram_times(v, q)
-    w, u = np.linalg.eigh((core + core.T) / 2)
-    order = np.argsort(w)[::-1][:k]
-    return _from_left(q @ u[:, order], np.sqrt(np.maximum(w[order], 0)))
+    values, u = eig_gram(q.T @ gram_times(v, q))
+    return _from_left(q @ u[:, ::-1][:, :k], values[::-1][:k])
 
 
 def perturbed(v: DataFrame, old: Svd, a: np.ndarray, project: np.ndarray, shift: np.ndarray) -> Svd:
@@ -136,7 +140,7 @@ def perturbed(v: DataFrame, old: Svd, a: np.ndarray, project: np.ndarray, shift:
     k, c = len(old.values), a.shape[1]
     p, s0 = np.concatenate([old.project, project], 1), np.concatenate([old.shift, shift])
     size = k + c
-    both = _sum_of(v, lambda x: (y := x @ p + s0).T @ y, size * size).reshape(size, size)
+    both = _sum_of(v.select("vec"), lambda x: (y := x @ p + s0).T @ y, size * size).reshape(size, size)
     m, cross = old.left.T @ a, both[:k, k:]
     q1, r1 = np.linalg.qr(a - old.left @ m)
     # B less its part in V, orthonormalised through its Gram matrix.
@@ -176,17 +180,8 @@ def orthogonalize_batch(v: DataFrame, old: Svd, design: DataFrame) -> Svd:
     """Takes the profiles of batches, sums of observations weighted by the design (id, vec), out of the decomposition."""
     width = len(design.select("vec").first()[0])
     m = old.left.shape[0]
-    joined = v.select("id", "vec").join(design.withColumnRenamed("vec", "design"), "id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((m, width))
-        for batch in batches:
-            if batch.num_rows:
-                total += rows_of(batch.column(0)).T @ rows_of(batch.column(1))
-        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], names=["sum"])
-
-    rows = joined.select("vec", "design").mapInArrow(run, "sum array<double>").collect()
-    return orthogonalize_basal(v, old, sum(np.array(r[0]) for r in rows).reshape(m, width))
+    joined = v.select("id", "vec").join(design.withColumnRenamed("vec", "design"), "id").select("vec", "design")
+    return orthogonalize_basal(v, old, _sum_of(joined, lambda x, d: x.T @ d, m * width).reshape(m, width))
 
 
 def orthogonalize_basal(v: DataFrame, old: Svd, basal: np.ndarray) -> Svd:
@@ -201,8 +196,8 @@ class Reduced:
     reduced: DataFrame  # id, vec of length k
 
 
-def reduce_kernel(v: DataFrame, k: int, algorithm: str = "irlb", seed: int = 0) -> Reduced:
-    """The reduced kernel: an SVD with the mean profile and the column means taken out, right vectors rounded to a grid of 0.01 / root n, times the values."""
+def reduce_kernel(v: DataFrame, k: int, algorithm: str = "irlb", seed: int = 0, grid: float = 0.01) -> Reduced:
+    """The reduced kernel: an SVD with the mean profile and the column means taken out, right vectors rounded to a grid of `grid` / root n (0: not rounded), times the values."""
     first = svd(v, k, algorithm, seed=seed)
     n, total = _totals(v)
     m = first.left.shape[0]
@@ -210,4 +205,4 @@ def reduce_kernel(v: DataFrame, k: int, algorithm: str = "irlb", seed: int = 0)
     a1 = mu / (np.linalg.norm(mu) or 1.0)
     project = np.stack([-a1, a1.mean() * a1 - np.full(m, 1.0 / m)], 1)
     got = perturbed(v, first, np.stack([a1, np.ones(m)], 1), project, np.zeros(2))
-    return Reduced(got, got.right(v, scaled=True, grid=0.01 / np.sqrt(n)))
+    return Reduced(got, got.right(v, scaled=True, grid=grid / np.sqrt(n)))

@@ -19,17 +19,23 @@ def _bound(over: Column, variance: Column, most: Column) -> Column:
 
 
 def specificity(s: DataFrame, h: DataFrame, n: int, m: int) -> DataFrame:
-    """row_id, dim, profile, upper, lower (log10) of non-negative features x observations (n columns, m rows) against weights h (id, dim, value) of observations."""
+    """row_id, dim, profile, upper, lower (log10) of features x observations (n columns, m rows) against weights h (id, dim, value) of observations.
+
+    A matrix with negative entries is first raised by its least one, entries that are present only.
+    """
+    low = s.agg(F.min("value")).first()[0]
+    if low is not None and low < 0:
+        s = s.withColumn("value", F.col("value") - F.lit(float(low)))
     mean = h.groupBy("dim").agg((F.sum("value") / n).alias("mu"))
-    scaled = h.join(F.broadcast(mean), "dim").select("id", "dim", F.when(F.col("mu") == 0, F.lit(0.0)).otherwise(F.try_divide("value", "mu")).alias("value"))
+    scaled = h.join(mean, "dim").select("id", "dim", F.when(F.col("mu") == 0, F.lit(0.0)).otherwise(F.try_divide("value", "mu")).alias("value"))
     rows = s.groupBy("row_id").agg(F.avg("value").alias("r"), (F.count(F.lit(1)) / n).alias("f"))
     q = s.groupBy(F.col("col_id").alias("id")).agg((F.count(F.lit(1)) / m).alias("q"))
     whole = q.agg((F.sum("q") / n).alias("mq"))
     gamma = scaled.join(q, "id").join(F.broadcast(whole), F.lit(True)).withColumn("g", F.col("value") * F.col("q") / F.col("mq"))
     sums = gamma.groupBy("dim").agg(F.sum("g").alias("g1"), F.sum(F.col("g") ** 2).alias("g2"), F.greatest(F.max("g"), F.lit(0.0)).alias("a"))
-    dims = F.broadcast(sums)
     obs = coo.times_dense(s, scaled).select(F.col("id").alias("row_id"), "dim", F.col("value").alias("o"))
-    grid = rows.join(dims, F.lit(True))  # a few columns beside each feature
+    dims = F.explode(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("dim", "g1", "g2", "a"), r)]) for r in sums.orderBy("dim").collect()])).alias("g")
+    grid = rows.select("*", dims).select(*rows.columns, "g.*")  # a few columns beside each feature
     both = grid.join(obs, ["row_id", "dim"], "left").withColumn("o", F.coalesce("o", F.lit(0.0)))
     over = F.col("o") - F.col("f") * F.col("r") * F.col("g1")
     nu = F.col("f") * F.col("r") ** 2 * F.col("g2")
@@ -47,7 +53,7 @@ def signature(s: DataFrame, x: DataFrame, ids: DataFrame, m: int) -> DataFrame:
     """id, dim, value: z-scores of marker sums of each observation, adjusted for its depth: s is features (m) x observations (ids), x features x sets."""
     stat = coo.times_sparse(coo.transposed(s), x).select(F.col("row_id").alias("id"), F.col("col_id").alias("dim"), F.col("value").alias("stat"))
     depth = s.groupBy(F.col("col_id").alias("id")).agg((F.sum("value") / m).alias("mu"), F.count(F.lit(1)).alias("k"))
-    spread = s.join(depth.withColumnRenamed("id", "col_id"), "col_id").groupBy(F.col("col_id").alias("id")).agg(F.max("mu").alias("mu"), ((F.sum((F.col("value") - F.col("mu")) ** 2) + (m - F.max("k")) * F.max("mu") ** 2) / (m - 1)).alias("var"))
+    spread = s.join(depth.withColumnRenamed("id", "col_id"), "col_id").groupBy(F.col("col_id").alias("id")).agg(F.max("mu").alias("mu"), ((F.sum((F.col("value") - F.col("mu")) ** 2) + (m - F.max("k")) * F.max("mu") ** 2) / max(1, m - 1)).alias("var"))
     sets = sorted((r[0], r[1], r[2]) for r in x.groupBy("col_id").agg(F.sum("value"), F.sum(F.col("value") ** 2)).collect())
     every = F.explode(F.array(*[F.struct(F.lit(c).alias("dim"), F.lit(a).alias("x1"), F.lit(b).alias("x2")) for c, a, b in sets])).alias("g")
     grid = ids.join(spread, "id", "left").select("id", "mu", "var", every).select("id", "mu", "var", "g.*")
@@ -68,21 +74,28 @@ def marker_scores(g: DataFrame, nodes: DataFrame, s: DataFrame, x: DataFrame, al
     w = w.withColumn("w", F.col("value") if ignore_baseline else F.col("value") * F.col("b") / F.sum("b").over(per))
     w = w.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(per))).select("dim", "set", "w")
     ratio = F.when((F.col("value") > 0) & (F.col("pr") > 0), F.col("value") * F.log2(F.col("value") / F.col("pr"))).otherwise(0.0)
-    return spread.join(plain, "id").join(F.broadcast(w), "dim").groupBy("id", "set").agg(F.sum(F.col("w") * ratio).alias("value"))
+    return spread.join(plain, "id").join(w, "dim").groupBy("id", "set").agg(F.sum(F.col("w") * ratio).alias("value"))
 
 
 def set_enrichment(scores: DataFrame, sets: DataFrame) -> DataFrame:
     """set, logp, threshold for scores (id, score) and memberships (row_id, col_id): the largest bound along the ranking from the top, and the rank (from 0) where it stands."""
-    ranked = running(scores.select("id", "score", (-F.col("score")).alias("neg"), F.lit(1).alias("one"), (F.col("score") ** 2).alias("sq")), ["neg", "id"], {"one": "r", "score": "a", "sq": "q"})
-    m, top = scores.agg(F.count(F.lit(1)), F.max("score")).first()
-    hits = ranked.join(sets.where("value <> 0").select(F.col("row_id").alias("id"), F.col("col_id").alias("set")).distinct(), "id")
-    size = hits.groupBy("set").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("set").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.join(F.broadcast(size), "set").withColumn("o", F.sum("score").over(w)).withColumn("p", F.col("n") / m)
+    return set_enrichments(scores.select("id", F.lit(0).alias("dim"), F.col("score").alias("value")), sets).drop("dim")
+
+
+def set_enrichments(scores: DataFrame, sets: DataFrame) -> DataFrame:
+    """dim, set, logp, threshold: the same for every column of a matrix of scores (id, dim, value); all columns are ranked together, over range partitions."""
+    keyed = scores.select("dim", "id", F.col("value").alias("score"), (-F.col("value")).alias("neg"), F.lit(1).alias("one"), (F.col("value") ** 2).alias("sq"))
+    ranked = running(keyed, ["dim", "neg", "id"], {"one": "r", "score": "a", "sq": "q"})
+    start = ranked.groupBy("dim").agg(F.min("r").alias("r0"), F.min(F.struct("r", "a", "q")).alias("first"), F.count(F.lit(1)).alias("m"), F.max("score").alias("top"))
+    hits = ranked.join(sets.where("value <> 0").select(F.col("row_id").alias("id"), F.col("col_id").alias("set")).distinct(), "id").join(start, "dim")
+    hits = hits.select("dim", "set", "score", "sq", (F.col("r") - F.col("r0")).alias("r"), (F.col("a") - F.col("first.a")).alias("a"), (F.col("q") - F.col("first.q")).alias("q"), "m", "top")
+    size = hits.groupBy("dim", "set").agg(F.count(F.lit(1)).alias("n"))
+    w = Window.partitionBy("dim", "set").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
+    hits = hits.join(size, ["dim", "set"]).withColumn("o", F.sum("score").over(w)).withColumn("p", F.col("n") / F.col("m"))
     over = F.col("o") - (F.col("a") + F.col("score")) * F.col("p")
-    l = _bound(over, (F.col("q") + F.col("sq")) * F.col("p"), F.lit(float(top)))
-    best = hits.withColumn("l", l).groupBy("set").agg(F.max("n").alias("n"), F.max(F.struct("l", (-F.col("r")).alias("r"))).alias("b"))
-    return best.select("set", F.when(F.col("n") > 1, F.col("b.l")).otherwise(0.0).alias("logp"), F.when(F.col("n") > 1, -F.col("b.r")).otherwise(0).cast("long").alias("threshold"))
+    best = hits.withColumn("l", _bound(over, (F.col("q") + F.col("sq")) * F.col("p"), F.col("top")))
+    best = best.groupBy("dim", "set").agg(F.max("n").alias("n"), F.max(F.struct("l", (-F.col("r")).alias("r"))).alias("b"))
+    return best.select("dim", "set", F.when(F.col("n") > 1, F.col("b.l")).otherwise(0.0).alias("logp"), F.when(F.col("n") > 1, -F.col("b.r")).otherwise(0).cast("long").alias("threshold"))
 
 
 def _products(g: DataFrame, x: DataFrame, keys: list[str]) -> DataFrame:
@@ -100,24 +113,24 @@ def moran(g: DataFrame, x: DataFrame, n: int, method: int = 1) -> DataFrame:
     """dim, stat: n xᵀGx / (W Σx²), of normalised scores; null for a constant."""
     x = cut(coo.normalize_scores(x, method), "scores")
     w = g.agg(F.sum("weight").alias("w"))
-    return _products(g, x, ["dim"]).join(F.broadcast(_sums(x)), "dim").join(F.broadcast(w), F.lit(True)).select("dim", F.try_divide(n * F.col("gx"), F.col("w") * F.col("x2")).alias("stat"))
+    return _products(g, x, ["dim"]).join(_sums(x), "dim").join(F.broadcast(w), F.lit(True)).select("dim", F.try_divide(n * F.col("gx"), F.col("w") * F.col("x2")).alias("stat"))
 
 
 def moran_parametric(g: DataFrame, x: DataFrame, n: int, method: int = 4) -> DataFrame:
-    """dim, stat, z, mu, sigma, by the moments of a random assignment."""
+    """dim, stat, z, mu, sigma, by the moments of a random assignment; with fewer than four nodes these have no variance: z and sigma are null."""
     x = cut(coo.normalize_scores(x, method), "scores")
-    w = g.agg(F.sum("weight")).first()[0]
+    w = g.agg(F.sum("weight")).first()[0] or 0.0
     both = g.select("src", "dst", "weight").union(g.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.sum("weight").alias("w"))
-    s1 = 0.5 * both.agg(F.sum(F.col("w") ** 2)).first()[0]
-    s2 = both.groupBy("src").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") ** 2)).first()[0]
+    s1 = 0.5 * (both.agg(F.sum(F.col("w") ** 2)).first()[0] or 0.0)
+    s2 = both.groupBy("src").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") ** 2)).first()[0] or 0.0
     s4 = (n * (n - 3) + 3) * s1 - n * s2 + 3 * w * w
     s5 = n * (n - 1) * s1 - 2 * n * s2 + 6 * w * w
     below = (n - 1) * (n - 2) * (n - 3) * w * w
-    mu = -1.0 / (n - 1)
-    sums = _products(g, x, ["dim"]).join(F.broadcast(_sums(x)), "dim")
-    stat = F.try_divide(n * F.col("gx"), w * F.col("x2"))
+    mu = -1.0 / max(1, n - 1)
+    sums = _products(g, x, ["dim"]).join(_sums(x), "dim")
+    stat = F.try_divide(n * F.col("gx"), F.lit(w) * F.col("x2"))
     s3 = F.try_divide(F.col("x4") / n, (F.col("x2") / n) ** 2)
-    sigma = F.sqrt(F.lit(n * s4 / below) - F.lit(s5 / below) * s3 - F.lit(mu * mu))
+    sigma = F.sqrt(F.lit(n * s4 / below) - F.lit(s5 / below) * s3 - F.lit(mu * mu)) if below else F.lit(None).cast("double")
     return sums.select("dim", stat.alias("stat"), F.try_divide(stat - mu, sigma).alias("z"), F.lit(mu).alias("mu"), sigma.alias("sigma"))
 
 
@@ -126,7 +139,7 @@ def geary(g: DataFrame, x: DataFrame, n: int, method: int = 1) -> DataFrame:
     x = cut(coo.normalize_scores(x, method), "scores")
     w = g.agg(F.sum("weight").alias("w"))
     stat = F.try_divide((n - 1) * (F.col("dx") - F.col("gx")), 2 * F.col("w") * F.col("x2"))
-    return _products(g, x, ["dim"]).join(_degrees(g, x, ["dim"]), "dim").join(F.broadcast(_sums(x)), "dim").join(F.broadcast(w), F.lit(True)).select("dim", stat.alias("stat"), (2 * stat).alias("classic"))
+    return _products(g, x, ["dim"]).join(_degrees(g, x, ["dim"]), "dim").join(_sums(x), "dim").join(F.broadcast(w), F.lit(True)).select("dim", stat.alias("stat"), (2 * stat).alias("classic"))
 
 
 def _degrees(g: DataFrame, x: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,7 +152,9 @@ def permuted(g: DataFrame, x: DataFrame, n: int, what: str = "moran", rounds: in
     ids = x.select("id").distinct()
     place = running(ids.withColumn("one", F.lit(1)), ["id"], {"one": "place"}).select("id", "place")
     drawn = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("perm"))
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("perm").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), "perm", "id")))) - 1)
+    # Ranks of the hashes of all rounds at once, over range partitions; round r's places follow those of r - 1.
+    drawn = drawn.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "perm", "id"))).withColumn("one", F.lit(1))
+    drawn = running(drawn, ["perm", "h", "id"], {"one": "place"}).withColumn("place", F.col("place") - (F.col("perm") - 1) * ids.count())
     moved = drawn.select(F.col("id").alias("own"), "perm", "place").join(place, "place").select("own", "perm", F.col("id"))
     shuffled = cut(moved.join(x, "id").select(F.col("own").alias("id"), "perm", "dim", "value"), "permuted")
     raw = _products(g, shuffled, ["perm", "dim"])
@@ -151,27 +166,47 @@ def permuted(g: DataFrame, x: DataFrame, n: int, what: str = "moran", rounds: in
     w = g.agg(F.sum("weight").alias("w"))
     sign = -1 if what == "geary" else 1
     factor = F.try_divide(F.lit(float(n - 1 if what == "geary" else n)), (2 if what == "geary" else 1) * F.col("w") * F.col("x2"))
-    got = real.join(F.broadcast(moments), "dim").join(F.broadcast(_sums(x)), "dim").join(F.broadcast(w), F.lit(True))
+    got = real.join(moments, "dim").join(_sums(x), "dim").join(F.broadcast(w), F.lit(True))
     z = F.coalesce(F.try_divide(F.col("gx") - F.col("mu"), F.col("sigma")), F.lit(0.0)) * sign
     return got.select("dim", (F.col("gx") * factor).alias("stat"), z.alias("z"), "mu", "sigma")
 
 
-def xicor(pairs: DataFrame, n: int, compat: bool = False) -> DataFrame:
-    """i, j, xi, z of Chatterjee's rank correlation, direction x to y, for rows (i, j, id, x, y), n of each pair. Ties in x go by id. `compat`: tied ranks one too small and the variance's index from 0."""
-    per = Window.partitionBy("i", "j")
-    less = F.when(F.count(F.lit(1)).over(Window.partitionBy("i", "j", "y")) > 1, 1).otherwise(0) if compat else F.lit(0)
-    tied = F.count(F.lit(1)).over(Window.partitionBy("i", "j", "y"))
-    f = (F.rank().over(per.orderBy("y")) + tied - 1 - less) / n
-    g = (F.rank().over(per.orderBy(F.col("y").desc())) + tied - 1 - less) / n
-    ranked = pairs.withColumn("f", f).withColumn("g", g)
-    up = per.orderBy("f", "id")
-    ranked = ranked.withColumn("step", F.abs(F.col("f") - F.lead("f").over(per.orderBy("x", "id")))).withColumn("k", F.row_number().over(up) - (1 if compat else 0)).withColumn("cum", F.sum("f").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+def _ranks(y: DataFrame, n: int, compat: bool) -> DataFrame:
+    """id, dim, f, g and k, cum: shares of values up to each one and from it on, and the place and running sum by f. Columns are ranked together over range partitions."""
+    counts = running(y.groupBy("dim", "value").agg(F.count(F.lit(1)).alias("n")), ["dim", "value"], {"n": "before"})
+    start = counts.groupBy("dim").agg(F.min("before").alias("start"))
+    less = F.when(F.col("n") > 1, 1).otherwise(0) if compat else F.lit(0)
+    counts = counts.join(start, "dim").select("dim", "value", ((F.col("before") - F.col("start") + F.col("n") - less) / n).alias("f"), ((n - F.col("before") + F.col("start") - less) / n).alias("g"))
+    placed = running(y.join(counts, ["dim", "value"]).withColumn("one", F.lit(1)), ["dim", "f", "id"], {"one": "k", "f": "cum"})
+    first = placed.groupBy("dim").agg(F.min(F.struct("k", "cum")).alias("first"))
+    return placed.join(first, "dim").select("id", "dim", "f", "g", (F.col("k") - F.col("first.k") + (0 if compat else 1)).alias("k"), (F.col("cum") - F.col("first.cum") + F.col("f")).alias("cum"))
+
+
+def xicor_matrix(x: DataFrame, y: DataFrame, n: int, compat: bool = False) -> DataFrame:
+    """i, j, xi, z of Chatterjee's rank correlation of every column of x with every column of y (id, dim, value; the same n ids), direction x to y. Ties in x go by id. `compat`: tied ranks one too small and the variance's index from 0.
+
+    Every column is ranked once. A row then meets the one after it in an x column by id, with the ranks of all its y columns at once, and what they differ by is summed before it is shuffled.
+    """
+    ranked = cut(_ranks(y, n, compat), "ranks")
     b = 2 * n - 2 * F.col("k") + 1
     m = (F.col("cum") + (n - F.col("k")) * F.col("f")) / n
-    s = ranked.groupBy("i", "j").agg((F.sum("step") / (2 * n)).alias("a1"), F.avg(F.col("g") * (1 - F.col("g"))).alias("cu"), (F.avg(b * F.col("f") ** 2) / n).alias("ai"), (F.avg(b * F.col("f")) / n).alias("ci"), F.avg(m * m).alias("bb"))
+    own = ranked.groupBy(F.col("dim").alias("j")).agg(F.avg(F.col("g") * (1 - F.col("g"))).alias("cu"), (F.avg(b * F.col("f") ** 2) / n).alias("ai"), (F.avg(b * F.col("f")) / n).alias("ci"), F.avg(m * m).alias("bb"))
+    place = running(x.withColumn("one", F.lit(1)), ["dim", "value", "id"], {"one": "place"}).select(F.col("dim").alias("i"), "id", "place")
+    after = place.join(place.select("i", F.col("id").alias("next"), (F.col("place") - 1).alias("place")), ["i", "place"]).select("i", "id", "next")
+    wide = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "f"))).alias("fs"))
+    steps = after.join(wide, "id").join(wide.select(F.col("id").alias("next"), F.col("fs").alias("nexts")), "next")
+    steps = steps.select("i", F.explode(F.zip_with("fs", "nexts", lambda p, q: F.struct(p["dim"].alias("j"), F.abs(p["f"] - q["f"]).alias("step")))).alias("s"))
+    steps = steps.groupBy("i", F.col("s.j").alias("j")).agg((F.sum("s.step") / (2 * n)).alias("a1"))
     xi = 1 - F.try_divide("a1", "cu")
     v = F.try_divide(F.col("ai") - 2 * F.col("bb") + F.col("ci") ** 2, F.col("cu") ** 2)
-    return s.select("i", "j", xi.alias("xi"), F.try_divide(math.sqrt(n) * xi, F.sqrt(v)).alias("z"))
+    return steps.join(own, "j").select("i", "j", xi.alias("xi"), F.try_divide(math.sqrt(n) * xi, F.sqrt(v)).alias("z"))
+
+
+def xicor(pairs: DataFrame, n: int, compat: bool = False) -> DataFrame:
+    """i, j, xi, z for rows (i, j, id, x, y) of pairs of columns, each column's values standing in every pair it is in."""
+    x = pairs.select("id", F.col("i").alias("dim"), F.col("x").alias("value")).distinct()
+    y = pairs.select("id", F.col("j").alias("dim"), F.col("y").alias("value")).distinct()
+    return xicor_matrix(x, y, n, compat).join(pairs.select("i", "j").distinct(), ["i", "j"], "left_semi")
 
 
 def rank_one_match(u: DataFrame, v: DataFrame, u_least: float = 0.0, v_least: float = 0.0) -> DataFrame:

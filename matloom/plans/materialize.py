@@ -32,12 +32,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Writes `df` as a Parquet table in the shared folder and reads it back, so that later plans start from files."""
+def cut(df: DataFrame, name: str = "cut", instead_of: DataFrame | None = None) -> DataFrame:
+    """Writes `df` as a Parquet table in the shared folder and reads it back, so that later plans start from files.
+
+    `instead_of`: a result of cut() that this one takes the place of, as a round does of the round before; its table is removed. No other DataFrame may still read it.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    got = spark.read.schema(df.schema).parquet(path)
+    got._written = path
+    if (old := getattr(instead_of, "_written", None)) is not None:
+        _WRITTEN.remove((spark, old))
+        _remove(spark, old)
+    return got
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release() -> None:
@@ -45,9 +58,7 @@ def release() -> None:
     while _WRITTEN:
         spark, path = _WRITTEN.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _remove(spark, path)
         except Exception:  # the session may have ended
             return
 

@@ -72,6 +72,6 @@ E = V + ", e AS (SELECT id, unnest(vec) AS value, (generate_subscripts(vec, 1) -
 H = (
     V
     + ", h0 AS (SELECT id, list_transform(vec, lambda x: greatest(x, 0.0)) AS vec FROM v)"
-    + ", h AS (SELECT id, list_transform(vec, lambda x: x / CASE WHEN list_sum(vec) = 0 THEN 1.0 ELSE list_sum(vec) END) AS vec FROM h0)"
+    + ", h AS MATERIALIZED (SELECT id, list_transform(vec, lambda x: x / CASE WHEN list_sum(vec) = 0 THEN 1.0 ELSE list_sum(vec) END) AS vec FROM h0)"
 )
 X = "x AS (SELECT p_partkey AS row_id, regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT AS col_id, 1.0::DOUBLE AS value FROM part)"

@@ -19,12 +19,12 @@ DIST = {"l2": "list_sum(list_transform(list_zip(a.vec, b.vec), lambda z: (z[1] -
 
 def near(metric: str, k: str) -> str:
     t = "h" if metric == "jsd" else "v"
-    return f"{H}, p AS (SELECT a.id, b.id AS nbr, {DIST[metric]} AS d FROM {t} a JOIN {t} b ON a.id <> b.id), nn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nbr) AS pos FROM p QUALIFY pos <= {k})"
+    return f"{H}, p AS MATERIALIZED (SELECT a.id, b.id AS nbr, {DIST[metric]} AS d FROM {t} a JOIN {t} b ON a.id <> b.id), nn AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, nbr) AS pos FROM p QUALIFY pos <= {k})"
 
 
 def weights(metric: str) -> str:
     top = "1.0" if metric == "jsd" else "max(d) OVER (PARTITION BY dst)"
-    return f"g AS (SELECT src, dst, greatest(1e-7, {top} - d) AS weight FROM dir WHERE d <> 0)"
+    return f"g AS MATERIALIZED (SELECT src, dst, greatest(1e-7, {top} - d) AS weight FROM dir WHERE d <> 0)"
 
 
 MUTUAL = "SELECT a.src, a.dst, sqrt(a.weight * b.weight) AS weight FROM g a JOIN g b ON a.src = b.dst AND a.dst = b.src WHERE a.src <> a.dst"
@@ -38,12 +38,12 @@ def kstar(metric: str, final: str = MUTUAL) -> str:
         f"{near(metric, k)}, r AS (SELECT *, sum(d) OVER w AS s1, sum(d * d) OVER w AS s2 FROM nn WINDOW w AS (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING)), "
         "l AS (SELECT *, CASE WHEN pos + s1 * s1 - pos * s2 < 0 THEN 0 ELSE (s1 + sqrt(greatest(0, pos + s1 * s1 - pos * s2))) / pos END - d < 0 AS neg FROM r), "
         f"c AS (SELECT *, coalesce(min(CASE WHEN neg THEN pos END) OVER (PARTITION BY id) - 2, {k} - 1) AS last FROM l), "
-        f"dir AS (SELECT nbr AS src, id AS dst, d FROM c WHERE pos <= last), {weights(metric)}, net AS ({final})"
+        f"dir AS MATERIALIZED (SELECT nbr AS src, id AS dst, d FROM c WHERE pos <= last), {weights(metric)}, net AS MATERIALIZED ({final})"
     )
 
 
 def fixed(metric: str, keep: str = "true") -> str:
-    return f"{near(metric, '9')}, dir AS (SELECT id AS src, nbr AS dst, d FROM nn WHERE {keep}), {weights(metric)}, net AS ({MUTUAL})"
+    return f"{near(metric, '9')}, dir AS MATERIALIZED (SELECT id AS src, nbr AS dst, d FROM nn WHERE {keep}), {weights(metric)}, net AS MATERIALIZED ({MUTUAL})"
 
 
 EDGES = f"SELECT src, dst, {R('weight', 'weight')} FROM net"
@@ -68,6 +68,22 @@ for m in ("l2", "ip", "jsd"):
     centres = f"ce AS (SELECT label, dim, avg(value) AS value FROM (SELECT id, unnest(vec) AS value, generate_subscripts(vec, 1) AS dim FROM {t}) JOIN (SELECT id, label FROM v) USING (id) GROUP BY ALL), cv AS (SELECT label, list(value ORDER BY dim) AS vec FROM ce GROUP BY label)"
     query(f"{m}_pairs", f"WITH {H}, {centres} SELECT a.id, b.label::BIGINT AS label, {R(DIST[m], 'dist')} FROM {t} a CROSS JOIN cv b")(to_centres)
 
+def _halves(v):
+    return v.where("id % 2 = 0"), v.where("id % 2 = 1")
+
+
+@query("bipartite_kstar", kstar("l2").replace("ON a.id <> b.id", "ON a.id % 2 = 0 AND b.id % 2 = 1").replace("(SELECT count(*) FROM v) - 1", "(SELECT count(*) FROM v WHERE id % 2 = 1)").replace("sqrt((SELECT count(*) FROM v))", "sqrt((SELECT count(*) FROM v WHERE id % 2 = 1))").join(["WITH ", f" SELECT src, dst, {R('weight', 'weight')} FROM g"]))
+def bipartite_kstar(spark, d):
+    """Vectors of odd ids as neighbours of those of even ids."""
+    return r6(knn.bipartite(*_halves(vectors(spark, d)), "l2"), "weight")
+
+
+@query("knn_cells")
+def knn_cells(spark, d):
+    """The ten nearest from cells around centres, as for tables too large for every pair; tests measure the recall."""
+    return r6(knn.approximate(vectors(spark, d), 10, "l2").select("id", "nbr", "pos", "dist"), "dist")
+
+
 query("kstar_union", f"WITH {kstar('l2', UNION)} {EDGES}")(lambda spark, d: r6(knn.adaptive(vectors(spark, d), "l2", mutual=False), "weight"))
 query("knn_compat", f"WITH {fixed('l2', 'pos + 1 > 5')} {EDGES}")(lambda spark, d: r6(knn.fixed(vectors(spark, d), 10, "l2", farthest=True), "weight"))
 query("sym_mutual", f"WITH {fixed('l2')} {EDGES}")(lambda spark, d: r6(coo.symmetric(knn.fixed(vectors(spark, d), 10, "l2", directed=True), True), "weight"))

@@ -6,21 +6,35 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from matloom.operators import archetypes, color, layout, linalg, matching, simplex
-from matloom.queries.base import V, query, vectors
-from matloom.queries.graphs import net
+from matloom.queries.base import E, V, query, r6, vectors
+from matloom.queries.graphs import R, net
 from matloom.sources.tables import table
 
 
-def _energy(spark, d, algorithm):
-    """All singular values: their squares add up to the squares of all entries, and left vectors are orthonormal."""
+def powers(matrix: str) -> str:
+    """SQL of p, value: the p-th root of the sum of the singular values' 2p-th powers, p = 1 to 4, of a matrix (id, dim, value), through traces of powers of its products."""
+    return (
+        f"m AS MATERIALIZED ({matrix}), gm AS MATERIALIZED (SELECT a.dim AS i, b.dim AS j, sum(a.value * b.value) AS g FROM m a JOIN m b USING (id) GROUP BY ALL), g2 AS MATERIALIZED (SELECT a.i, b.j, sum(a.g * b.g) AS g FROM gm a JOIN gm b ON a.j = b.i GROUP BY ALL), "
+        "tr AS (SELECT 1 AS p, sum(g) AS t FROM gm WHERE i = j UNION ALL SELECT 2, sum(g * g) FROM gm UNION ALL SELECT 3, sum(gm.g * g2.g) FROM gm JOIN g2 USING (i, j) UNION ALL SELECT 4, sum(g * g) FROM g2), "
+        "pw AS (SELECT p::INT AS p, round(t ** (1.0 / p), 6) AS value FROM tr)"
+    )
+
+
+def _powers(values) -> list[tuple[int, float]]:
+    return [(p, round(float((values ** (2 * p)).sum() ** (1 / p)), 6)) for p in (1, 2, 3, 4)]
+
+
+def _decomposed(spark, d, algorithm):
+    """All singular values, by sums of their powers, and whether left and right vectors are orthonormal, which makes them the vectors of these values."""
     v = vectors(spark, d)
     got = linalg.svd(v, len(v.first()["vec"]), algorithm)
-    good = bool(np.allclose(got.left.T @ got.left, np.eye(len(got.values)), atol=1e-8))
-    return spark.createDataFrame([(algorithm, len(got.values), round(float((got.values**2).sum()), 4), good)], "algorithm string, rank int, energy double, orthonormal boolean")
+    right = linalg.gram(got.right(v)).products
+    good = [bool(np.allclose(x, np.eye(len(got.values)), atol=1e-6)) for x in (got.left.T @ got.left, right)]
+    return spark.createDataFrame([(algorithm, p, x, *good) for p, x in _powers(got.values)], "algorithm string, p int, value double, left_unit boolean, right_unit boolean")
 
 
 for name in ("irlb", "halko", "feng"):
-    query(f"svd_{name}", f"WITH {V} SELECT '{name}' AS algorithm, max(len(vec))::INT AS rank, round(sum(list_sum(list_transform(vec, lambda x: x * x))), 4) AS energy, true AS orthonormal FROM v")(lambda spark, d, name=name: _energy(spark, d, name))
+    query(f"svd_{name}", f"WITH {E}, {powers('SELECT id, dim, value FROM e')} SELECT '{name}' AS algorithm, p, value, true AS left_unit, true AS right_unit FROM pw")(lambda spark, d, name=name: _decomposed(spark, d, name))
 
 
 @query("singular_values")
@@ -31,43 +45,55 @@ def singular_values(spark, d):
     return spark.createDataFrame(rows, "algorithm string, i int, value double")
 
 
-def _lengths(df, *columns):
-    return df.select("id", *[F.round(F.col("vec")[i], 4).alias(c) for i, c in enumerate(columns)])
-
-
-@query("perturbed_svd")
+@query("perturbed_svd", f"WITH {E}, {powers('SELECT id, dim, value - avg(value) OVER (PARTITION BY id) AS value FROM e')} SELECT p, value FROM pw")
 def perturbed_svd(spark, d):
-    """The decomposition after taking the mean vector out: its values."""
+    """The decomposition after taking every vector's mean out: its values."""
     v = vectors(spark, d)
     old = linalg.svd(v, 64)
     m = old.left.shape[0]
     mean = np.full((m, 1), 1 / np.sqrt(m))
     got = linalg.perturbed(v, old, mean, -mean, np.zeros(1))
-    return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(got.values)], "i int, value double")
+    return spark.createDataFrame(_powers(got.values), "p int, value double")
+
+
+def without(profile: str) -> str:
+    """SQL of the vectors less their part along a profile (dim, a), and less their mean then."""
+    return f"SELECT id, dim, r - avg(r) OVER (PARTITION BY id) AS value FROM (SELECT id, dim, value - a * sum(a * value) OVER (PARTITION BY id) AS r FROM e JOIN ({profile}) USING (dim))"
 
 
-@query("reduce_kernel", f"WITH {V} SELECT id, 10 AS k FROM v")
+AVERAGE = "SELECT dim, mu / sqrt(sum(mu * mu) OVER ()) AS a FROM (SELECT dim, avg(value) AS mu FROM e GROUP BY dim)"
+
+
+@query("reduce_kernel", f"WITH {E}, m AS MATERIALIZED ({without(AVERAGE)}) SELECT x.id, {R('sum(x.value * x.value)', 'norm2')}, {R('sum(x.value * y.value)', 'dot')} FROM m x JOIN m y ON x.dim = y.dim AND y.id = 0 GROUP BY x.id")
 def reduce_kernel(spark, d):
-    return linalg.reduce_kernel(vectors(spark, d), 10).reduced.select("id", F.size("vec").alias("k"))
+    """At full rank and without rounding, reduced rows keep all products of the centred vectors: with themselves, and with the first."""
+    v = vectors(spark, d)
+    got = linalg.reduce_kernel(v, 64, grid=0.0).reduced
+    first = F.array(*[F.lit(float(x)) for x in got.where("id = 0").first()["vec"]])
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    return r6(got.select("id", dot("vec", "vec").alias("norm2"), dot(F.col("vec"), first).alias("dot")), "norm2", "dot")
 
 
 def _reduced(spark, d, k=8):
     return linalg.reduce_kernel(vectors(spark, d), k).reduced
 
 
-@query("orthogonalize_batch")
+BATCH = "SELECT dim, t / sqrt(sum(t * t) OVER ()) AS a FROM (SELECT dim, sum(value) AS t FROM e JOIN (SELECT id, label FROM v) USING (id) WHERE label = 0 GROUP BY dim)"
+
+
+@query("orthogonalize_batch", f"WITH {E}, {powers(without(BATCH))} SELECT p, value FROM pw")
 def orthogonalize_batch(spark, d):
+    """The profile of the vectors with label 0 taken out."""
     v = vectors(spark, d)
-    design = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(*[(F.col("label") == k).cast("double") for k in range(3)]).alias("vec"))
-    got = linalg.orthogonalize_batch(v, linalg.svd(v, 10), design)
-    return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(got.values)], "i int, value double")
+    design = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array((F.col("label") == 0).cast("double")).alias("vec"))
+    return spark.createDataFrame(_powers(linalg.orthogonalize_batch(v, linalg.svd(v, 64), design).values), "p int, value double")
 
 
-@query("orthogonalize_basal")
+@query("orthogonalize_basal", f"WITH {E}, {powers('SELECT id, dim, r - avg(r) OVER (PARTITION BY id) AS value FROM (SELECT id, dim, CASE WHEN dim < 2 THEN 0.0 ELSE value END AS r FROM e)')} SELECT p, value FROM pw")
 def orthogonalize_basal(spark, d):
+    """The first two components taken out."""
     v = vectors(spark, d)
-    got = linalg.orthogonalize_basal(v, linalg.svd(v, 10), np.eye(64)[:, :2])
-    return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(got.values)], "i int, value double")
+    return spark.createDataFrame(_powers(linalg.orthogonalize_basal(v, linalg.svd(v, 64), np.eye(64)[:, :2]).values), "p int, value double")
 
 
 def _spa_sql(k: int) -> str:
@@ -132,13 +158,25 @@ def archetype_pipeline(spark, d):
     return archetypes.pipeline(_reduced(spark, d), 2, 6, rounds=10).labels
 
 
-@query("hungarian")
+def _matched() -> str:
+    """SQL of the best total by trying all: with five columns, each needs its five best rows only."""
+    names = [f"c{i}" for i in range(5)]
+    apart = " AND ".join(f"{a}.r <> {b}.r" for i, a in enumerate(names) for b in names[:i])
+    sides = " CROSS JOIN ".join(f"(SELECT r, w FROM best WHERE c = {i} UNION ALL SELECT -1 - {i}, 0) {n}" for i, n in enumerate(names))
+    return (
+        "WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS c FROM (SELECT DISTINCT event_type FROM events)), w AS (SELECT user_id AS r, c, count(*)::DOUBLE AS w FROM events JOIN k USING (event_type) GROUP BY ALL), "
+        f"best AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY c ORDER BY w DESC, r) <= 5) SELECT max({' + '.join(n + '.w' for n in names)}) AS total, 5::BIGINT AS pairs, true AS apart FROM {sides} WHERE {apart}"
+    )
+
+
+@query("hungarian", _matched())
 def hungarian(spark, d):
-    """Users and event types, by how often they meet."""
+    """Users and event types, by how often they meet: the matched weights' total, and whether every user and every type is matched once."""
     e = table(spark, d, "events")
     kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())
     col = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")) - 1
-    return matching.hungarian(e.groupBy(F.col("user_id").alias("row_id"), col.alias("col_id")).agg(F.count(F.lit(1)).cast("double").alias("value")))
+    got = matching.hungarian(e.groupBy(F.col("user_id").alias("row_id"), col.alias("col_id")).agg(F.count(F.lit(1)).cast("double").alias("value")))
+    return got.agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("pairs"), ((F.count_distinct("row_id") == F.count(F.lit(1))) & (F.count_distinct("col_id") == F.count(F.lit(1)))).alias("apart"))
 
 
 for method in layout.METHODS:

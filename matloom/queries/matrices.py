@@ -136,7 +136,7 @@ for what, e in (("sum", "sum(value)"), ("mean", "avg(value)"), ("var", "coalesce
     def dense_group(spark, d, what=what):
         m = long(vectors(spark, d)).select(F.col("dim").cast("long").alias("row_id"), F.col("id").alias("col_id"), "value")
         groups = labels(spark, d).select("id", F.col("label").cast("long").alias("grp"))
-        return r6(coo.grouped(m, groups, m.select(F.col("row_id").alias("id")).distinct(), what, dense=True), "value")
+        return r6(coo.grouped(m, groups, m.select(F.col("row_id").alias("id")).distinct(), what), "value")
 
     query(f"group_{what}_dense", f"{DENSE} SELECT dim::BIGINT AS row_id, grp, {_r(e)} FROM e JOIN l USING (id) GROUP BY ALL")(dense_group)
 

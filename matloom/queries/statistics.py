@@ -113,6 +113,23 @@ def set_enrichment(spark, d):
     return r6(stats.set_enrichment(scores, brands(spark, d)), "logp")
 
 
+ENRICH_MATRIX = (
+    f"WITH {XB}, c AS (SELECT p_partkey AS row_id, 0 AS dim, p_retailprice AS score FROM part UNION ALL SELECT p_partkey, 1, p_size::DOUBLE FROM part UNION ALL SELECT p_partkey, 2, (p_partkey % 97)::DOUBLE FROM part), "
+    "r AS (SELECT *, row_number() OVER w - 1 AS r, sum(score) OVER w AS a, sum(score ** 2) OVER w AS q, max(score) OVER (PARTITION BY dim) AS top FROM c WINDOW w AS (PARTITION BY dim ORDER BY score DESC, row_id ROWS UNBOUNDED PRECEDING)), "
+    "hi AS (SELECT dim, col_id AS set, r, sum(score) OVER (PARTITION BY dim, col_id ORDER BY r) AS o, a, q, top, count(*) OVER (PARTITION BY dim, col_id) AS n, (count(*) OVER (PARTITION BY dim, col_id))::DOUBLE / (SELECT count(*) FROM part) AS p FROM r JOIN x USING (row_id)), "
+    "l AS (SELECT *, CASE WHEN o - a * p > 0 THEN (o - a * p) ** 2 / (2 * (q * p + top * (o - a * p) / 3)) ELSE 0 END AS l FROM hi) "
+    f"SELECT dim, set, {R('CASE WHEN n > 1 THEN l ELSE 0 END', 'logp')}, CASE WHEN n > 1 THEN r ELSE 0 END AS threshold FROM l QUALIFY row_number() OVER (PARTITION BY dim, set ORDER BY l DESC, r) = 1"
+)
+
+
+@query("set_enrichment_matrix", ENRICH_MATRIX)
+def set_enrichment_matrix(spark, d):
+    """Three columns of scores at once."""
+    p = table(spark, d, "part")
+    scores = p.select(F.col("p_partkey").alias("id"), F.posexplode(F.array(F.col("p_retailprice"), F.col("p_size").cast("double"), (F.col("p_partkey") % 97).cast("double"))).alias("dim", "value"))
+    return r6(stats.set_enrichments(scores, brands(spark, d)), "logp")
+
+
 EV = "e AS (SELECT id, unnest(vec) AS value, (generate_subscripts(vec, 1) - 1)::INT AS dim FROM v)"
 ZX = "xx AS (SELECT id, dim, coalesce((value - avg(value) OVER (PARTITION BY dim)) / nullif(stddev_samp(value) OVER (PARTITION BY dim), 0), 0) AS value FROM e)"
 CX = "xx AS (SELECT id, dim, value - avg(value) OVER (PARTITION BY dim) AS value FROM e)"
@@ -148,14 +165,14 @@ def geary_stat(spark, d):
     return r6(stats.geary(net(spark, d)[0], _scores(spark, d), _n(spark, d)), "stat", "classic")
 
 
-def drawn(what: str, some: str = " WHERE dim < 4") -> str:
+def drawn(what: str) -> str:
     less = "dx.dx - " if what == "geary" else ""
     pd = "pd AS (SELECT perm, dim, sum(d * value ** 2) AS dx FROM px JOIN (SELECT dst AS id, sum(weight) AS d FROM net GROUP BY dst) USING (id) GROUP BY ALL), " if what == "geary" else ""
     raw = "SELECT perm, dim, pd.dx - pg.gx AS gx FROM pg JOIN pd USING (perm, dim)" if what == "geary" else "SELECT * FROM pg"
     real = "gx JOIN dx USING (dim)" if what == "geary" else "gx"
     factor = "(n - 1) / (2 * w * x2)" if what == "geary" else "n / (w * x2)"
     return (
-        f"WITH {G}, {EV.replace('FROM v)', 'FROM v)')}, {ZX.replace('FROM e)', f'FROM e{some})')}, {GX}, {DX}, pl AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM v), dr AS (SELECT id AS own, perm, row_number() OVER (PARTITION BY perm ORDER BY md5('0:' || perm || ':' || id)) AS place FROM v CROSS JOIN (SELECT range AS perm FROM range(1, 31))), "
+        f"WITH {G}, {EV}, {ZX}, {GX}, {DX}, pl AS (SELECT id, row_number() OVER (ORDER BY id) AS place FROM v), dr AS (SELECT id AS own, perm, row_number() OVER (PARTITION BY perm ORDER BY md5('0:' || perm || ':' || id)) AS place FROM v CROSS JOIN (SELECT range AS perm FROM range(1, 31))), "
         "px AS MATERIALIZED (SELECT own AS id, perm, dim, value FROM dr JOIN pl USING (place) JOIN xx ON xx.id = pl.id), pg AS (SELECT a.perm, a.dim, sum(weight * a.value * b.value) AS gx FROM net JOIN px a ON a.id = src JOIN px b ON b.id = dst AND a.dim = b.dim AND a.perm = b.perm GROUP BY ALL), "
         f"{pd}mo AS (SELECT dim, avg(gx) AS mu, stddev_samp(gx) AS sigma FROM ({raw}) GROUP BY dim) "
         f"SELECT dim, {R(f'({less}gx.gx) * {factor}', 'stat')}, {R(f'{-1 if what == chr(103) + chr(101) + chr(97) + chr(114) + chr(121) else 1} * ({less}gx.gx - mu) / sigma', 'z')}, {R('mu', 'mu')}, {R('sigma', 'sigma')} FROM {real} JOIN sx USING (dim) JOIN mo USING (dim), k"
@@ -163,8 +180,7 @@ def drawn(what: str, some: str = " WHERE dim < 4") -> str:
 
 
 for w in ("moran", "geary"):
-    query(f"{w}_perm", drawn(w))(lambda spark, d, w=w: r6(stats.permuted(net(spark, d)[0], _scores(spark, d).where("dim < 4"), _n(spark, d), w), "stat", "z", "mu", "sigma"))
-    query(f"{w}_perm_all", drawn(w, ""))(lambda spark, d, w=w: r6(stats.permuted(net(spark, d)[0], _scores(spark, d), _n(spark, d), w), "stat", "z", "mu", "sigma"))
+    query(f"{w}_perm", drawn(w))(lambda spark, d, w=w: r6(stats.permuted(net(spark, d)[0], _scores(spark, d), _n(spark, d), w), "stat", "z", "mu", "sigma"))
 
 
 def chatterjee(cols: str) -> str:
@@ -189,14 +205,10 @@ def xicor(spark, d):
     return r6(stats.xicor(_pairs(spark, d, "dim = 0", "dim = 1"), _n(spark, d)), "xi", "z")
 
 
-@query("xicor_matrix", chatterjee("a.dim < 4 AND b.dim >= 4 AND b.dim < 10"))
+@query("xicor_matrix", chatterjee("true"))
 def xicor_matrix(spark, d):
-    return r6(stats.xicor(_pairs(spark, d, "dim < 4", "dim >= 4 AND dim < 10"), _n(spark, d)), "xi", "z")
-
-
-@query("xicor_matrix_all", chatterjee("true"))
-def xicor_matrix_all(spark, d):
-    return r6(stats.xicor(_pairs(spark, d, "true", "true"), _n(spark, d)), "xi", "z")
+    """Every component with every component."""
+    return r6(stats.xicor_matrix(_scores(spark, d), _scores(spark, d), _n(spark, d)), "xi", "z")
 
 
 @query("rank1_match", "WITH u AS (SELECT c_custkey AS u_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS rank FROM customer WHERE c_acctbal > 0), w AS (SELECT s_suppkey AS v_id, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) - 1 AS rank FROM supplier WHERE s_acctbal > 0) SELECT rank, u_id, v_id FROM u JOIN w USING (rank)")

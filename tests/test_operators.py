@@ -94,12 +94,40 @@ def test_neighbours_against_brute_force(spark, metric):
     got = {}
     for r in knn.neighbours(v, 4, metric).collect():
         got.setdefault(r.id, []).append((r.pos, r.nbr))
-    d = knn.tile(x, x, metric)
+    d = knn.exact(x[:, None, :], x[None, :, :], metric)
     np.fill_diagonal(d, np.inf)
     for i in range(60):
         assert [n for _, n in sorted(got[i])] == np.lexsort((np.arange(60), d[i]))[:4].tolist()
 
 
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_neighbours_among_many_equal_ones(metric):
+    """Tiles choose by inexact distances; equal rows and ties go by the smaller name all the same."""
+    rng = np.random.default_rng(2)
+    x = rng.dirichlet(np.ones(6), 300)
+    x[50:180] = x[7]
+    names = rng.permutation(300)
+    d = knn.exact(x[:, None, :], x[None, :, :], metric)
+    d[names[:, None] == names[None, :]] = np.inf
+    real, who = knn.nearest(x, names, x, names, 12, metric, True)
+    for i in range(300):
+        order = np.lexsort((names, d[i]))[:12]
+        assert who[i].tolist() == names[order].tolist() and np.allclose(real[i], d[i][order], atol=1e-12)
+
+
+@pytest.mark.parametrize("metric", knn.METRICS)
+def test_cells_find_nine_tenths_of_the_neighbours(spark, metric):
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.standard_normal((30, 16)))[rng.integers(0, 30, 1500)] + 0.25 * np.abs(rng.standard_normal((1500, 16)))
+    x[:500] = x[3] + 0.01 * np.abs(rng.standard_normal((500, 16)))  # a hot cell
+    x = x / x.sum(1, keepdims=True) if metric == "jsd" else x / np.linalg.norm(x, axis=1, keepdims=True)
+    v = vectors_of(spark, x)
+    want = {(r.id, r.nbr) for r in knn.neighbours(v, 10, metric).collect()}
+    got = knn.approximate(v, 10, metric).collect()
+    assert len(want & {(r.id, r.nbr) for r in got}) >= 0.9 * len(want) and max(r.pos for r in got) == 10
+    assert knn.approximate(v.limit(0), 3, metric).count() == 0
+
+
 def test_neighbours_of_one_row(spark):
     v = spark.createDataFrame([(0, [1.0, 0.0])], "id long, vec array<double>")
     assert knn.neighbours(v, 3, "l2").count() == 0
@@ -135,6 +163,46 @@ def test_propagation_keeps_fixed_labels(spark, tiny):
     assert got[0] == 1 and got[4] == 2
 
 
+def test_propagation_sets_the_weight_of_self_loops(spark, tiny):
+    """Those of the graph do not count, at whichever weight."""
+    g, nodes = tiny
+    start = spark.createDataFrame([(0, 1), (4, 2)], "id long, label int")
+    loops = g.union(nodes.selectExpr("id AS src", "id AS dst", "99.0D AS weight"))
+    for own in (0.0, 2.0):
+        assert rows(graph.propagate(loops, nodes, start, self_weight=own, least=0.0)) == rows(graph.propagate(g, nodes, start, self_weight=own, least=0.0))
+
+
+def test_seeds_of_zeros_stay_zeros(spark, tiny):
+    g, nodes = tiny
+    x0 = spark.createDataFrame([(0, 0, 1.0), (1, 1, 0.0)], "id long, dim int, value double")
+    got = dict(rows(graph.diffuse(g, nodes, x0).groupBy("dim").sum("value")))
+    assert abs(got[0] - 1) < 0.2 and got[1] == 0
+    with pytest.raises(ValueError):
+        graph.diffuse_chebyshev(g, nodes, x0, alpha=-1)
+
+
+def test_rounds_leave_no_tables_behind(spark, tiny):
+    from matloom.plans import materialize
+
+    before = len(materialize._WRITTEN)
+    graph.coreness(*tiny).collect()
+    assert len(materialize._WRITTEN) == before + 2
+
+
+def test_few_nodes_have_no_moments(spark):
+    g = spark.createDataFrame([(0, 1, 1.0), (1, 0, 1.0)], "src long, dst long, weight double")
+    x = spark.createDataFrame([(0, 0, 1.0), (1, 0, 2.0)], "id long, dim int, value double")
+    got = stats.moran_parametric(g, x, 2).first()
+    assert got.z is None and got.stat is not None
+    s = matrix(spark, [(0, 0, 1.0), (0, 1, 2.0)])
+    assert stats.signature(s, matrix(spark, [(0, 0, 1.0)]), spark.range(2).select("id"), 1).count() == 2
+
+
+def test_specificity_raises_negative_entries(spark):
+    s, h = matrix(spark, [(0, 0, -1.0), (0, 1, 3.0), (1, 1, 2.0)]), spark.createDataFrame([(0, 0, 1.0), (1, 0, 0.5)], "id long, dim int, value double")
+    assert rows(stats.specificity(s, h, 2, 2)) == rows(stats.specificity(matrix(spark, [(0, 0, 0.0), (0, 1, 4.0), (1, 1, 3.0)]), h, 2, 2))
+
+
 def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (5, 5)], "u long, v long")
     assert rows(components(e)) == [(1, 1), (2, 1), (3, 1), (7, 1), (8, 1), (9, 1), (20, 20), (21, 20)]
@@ -175,6 +243,29 @@ def test_svd_against_numpy(spark, algorithm):
     assert np.allclose(right.T @ right, np.eye(3), atol=1e-4)
 
 
+def test_krylov_steps_against_numpy(spark):
+    """The branch for many features, at few."""
+    x = np.random.default_rng(1).standard_normal((90, 24)) * np.linspace(4, 0.1, 24)
+    got = linalg.svd(vectors_of(spark, x), 3, whole=0)
+    u, s, _ = np.linalg.svd(x.T, full_matrices=False)
+    assert np.allclose(got.values, s[:3], rtol=1e-6) and np.allclose(np.abs((u[:, :3] * got.left).sum(0)), 1, atol=1e-5)
+    q, s, w = linalg.eig_svd(x)
+    assert np.allclose(q * s @ w.T, x)
+    with pytest.raises(ValueError):
+        linalg.svd(vectors_of(spark, x), 3, "other")
+
+
+def test_batches_are_taken_out(spark):
+    """Three profiles, against projections."""
+    x = np.random.default_rng(7).standard_normal((50, 8))
+    v = vectors_of(spark, x)
+    d = np.eye(3)[np.arange(50) % 3]
+    got = linalg.orthogonalize_batch(v, linalg.svd(v, 8), vectors_of(spark, d))
+    z = linalg.gram_schmidt(x.T @ d)
+    r = x.T - z @ (z.T @ x.T)
+    assert np.allclose(got.values, np.linalg.svd(r - r.mean(0), compute_uv=False)[:8], atol=1e-6)
+
+
 def test_perturbed_svd_is_the_svd_of_the_sum(spark):
     x = np.random.default_rng(2).standard_normal((40, 6))
     v = vectors_of(spark, x)
@@ -239,6 +330,12 @@ def test_layout_is_finite_and_repeats(spark, tiny):
     start = nodes.selectExpr("id", "array(cos(id), sin(id)) AS vec")
     one, two = [rows(layout.layout(g, start, "umap", epochs=50)) for _ in range(2)]
     assert one == two and np.isfinite([v for _, v in one]).all()
+    for at_once in (0, 3):
+        got = rows(layout.layout(g, start, "tumap", epochs=30, optimizer="sgd", at_once=at_once))
+        assert np.isfinite([v for _, v in got]).all() and got != one
+    assert rows(layout.layout(g, start, "umap", epochs=50, beta1=0.9)) != one
+    with pytest.raises(ValueError):
+        layout.optimize(np.zeros((2, 2)), np.zeros(0, int), np.zeros(0, int), np.zeros(0), 1, at_once=5)
 
 
 def test_components_beyond_one_task(spark, monkeypatch):
