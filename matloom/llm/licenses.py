@@ -166,11 +166,11 @@ def detect(files: DataFrame, w: Weights) -> DataFrame:
 
 def whole_files(found: DataFrame, w: Weights) -> DataFrame:
     """rid, whole: the best comparison (weight, negative rank, score) of a whole file with a full text; sparse vectors, joined by terms with fixed tables."""
-    spark = found.sparkSession
     texts = [i for i, t in enumerate(TEMPLATES) if t[1] == "text"]
-    entries = spark.createDataFrame([(t, i, v) for i in texts for t, v in w.vectors[i].items()], "t string, rank int, tv double")
-    heads = spark.createDataFrame([(i, w.norms[i], 2 * len(terms(TEMPLATES[i][3])), TEMPLATES[i][2].split()) for i in texts], "rank int, size double, most int, needs array<string>")
-    idf = spark.createDataFrame(list(w.idf.items()), "t string, idf double")
+    fixed = lambda rows: found.sparkSession.range(1).select(F.inline(F.expr(f"array({', '.join(rows)})")))
+    entries = fixed([f"named_struct('t', '{t}', 'rank', {i}, 'tv', {v!r}D)" for i in texts for t, v in w.vectors[i].items()])
+    heads = fixed([f"named_struct('rank', {i}, 'size', {w.norms[i]!r}D, 'most', {2 * len(terms(TEMPLATES[i][3]))}, 'needs', {_strings(TEMPLATES[i][2].split())})" for i in texts])
+    idf = fixed([f"named_struct('t', '{t}', 'idf', {v!r}D)" for t, v in w.idf.items()])
     counts = found.where("tokens IS NOT NULL").select("rid", "n", F.explode("tokens").alias("t")).groupBy("rid", "n", "t").agg(F.count(F.lit(1)).alias("k"))
     vectors = counts.join(F.broadcast(idf), "t", "left").select("rid", "n", "t", (F.col("k") * F.coalesce("idf", F.expr(w.other))).alias("v"))
     norms = vectors.groupBy("rid").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
