@@ -4,7 +4,7 @@ A short word is a row of parts with the rank of each adjacent pair beside it. Th
 scanned for its least rank, the boundary there is deleted, and the ranks to its left and
 right are refreshed, until no pair has a rank. All new short words of a batch of rows go
 through this together as one padded array, in numpy; each distinct word is encoded once and kept in a bounded
-memory of the worker. A word too long for the array (`SHORT` parts) is merged with a heap over
+memory for the task. A word too long for the array (`SHORT` parts) is merged with a heap over
 linked parts, so its time grows as n log n.
 
 Text goes through the tokenizer file's own steps: special strings are cut out first, then
@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from matloom.llm.workers import tidy
+
 SHORT = 40
 #: Bytes that a generation of remembered chunks may take in a worker, by the estimate `ENTRY` + 2 bytes a character; there are two generations.
 REMEMBERED, ENTRY = 40 << 20, 400
@@ -201,6 +203,9 @@ class WordBpe:
             at = [words[w] for w in ws]
             self.remember(c, (" ".join([texts[i] for i in at]), " ".join([decoded[i] for i in at])))
 
+    def forget(self) -> None:
+        self.young, self.old, self.held = {}, {}, 0
+
     def remember(self, chunk: str, got: tuple[str, str]) -> None:
         self.young[chunk] = got
         self.held += ENTRY + 2 * (len(chunk) + len(got[0]) + len(got[1]))
@@ -291,5 +296,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
                     more = [[[int(x) for x in a.split()] for a, _ in got], [b for _, b in got]]
                     types = [pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *[pa.array(x, t) for x, t in zip(more, types)]], names=(DIGESTS if digests else FULL).names)
+        model.forget()
+        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGESTS if digests else FULL)

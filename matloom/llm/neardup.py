@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matloom.llm.workers import tidy
 from matloom.plans.components import Forest, components
 from matloom.plans.joins import broadcast_if_small
 from matloom.plans.materialize import cut
@@ -43,7 +44,7 @@ BUCKETS, MANTISSA = 128, 10
 SHINGLE = 5
 EMPTY = np.uint16(0xFFFF)
 THRESHOLD, MISS = 0.85, 1e-6
-BLOCK_ROWS, BLOCK_BYTES, STRIP = 1024, 64 << 20, 128
+BLOCK_ROWS, BLOCK_BYTES, STRIP = 1024, 16 << 20, 128
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
@@ -303,6 +304,8 @@ def cross_links(checked: DataFrame, component: DataFrame, threshold: float) -> D
             compare(held, at[1] == at[2], forest, at[1], at[2])
         found = [(x, r) for x in forest.up if (r := forest.root(x)) != x]
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["u", "v"])
+        held.clear()
+        tidy()
 
     return rows.mapInArrow(run, "u long, v long")
 
