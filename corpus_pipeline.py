@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before has kept. All but the last
 return the columns of `docs`. A secret's stretch becomes `[secret]`; a document that the mix takes twice is
 two rows; the last stage returns each row's token count and the digests of its ids and of the decoded text.
+
+Null and empty texts are kept by the first four stages (nothing is against them, they are no copies, hold no secrets, and have no words to take: a mix takes
+them as often as its layout says) and have no tokens. Of texts that tie in a group, the one with the least doc_id stays. Rows that repeat in full count as one document for near-duplicates and
+stay or go together; rows with a null doc_id are no copies of anything. An empty table gives no rows from any stage. Columns of any other name pass through the first four stages as they are.
 """
 
 from __future__ import annotations
@@ -19,26 +23,31 @@ SIMILAR = 0.8
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Less the documents that the classifier rejects, which is trained on this stage's own input."""
     let_workers_import(spark)
     return quality.keep(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least doc_id, of each group of near-duplicates."""
     let_workers_import(spark)
     return neardup.keep_one(docs, SIMILAR)
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret's stretch as `[secret]`; n_chars follows the new text."""
     let_workers_import(spark)
     return secrets.redact(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
     let_workers_import(spark)
     return mixing.emit(mixing.mix(docs))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
     import public_tokenizers
 
     let_workers_import(spark)
