@@ -12,7 +12,7 @@ what `unpack` reads from the container is the payload, byte for byte. An ADPCM b
 `of_texts` takes texts as UTF-8 (null: no bytes), filled with bytes 255 to a positive
 multiple of `BLOCK`; the codec follows from the payload's CRC, so equal texts have equal
 media. Every row is handled by itself and whole; PCM of a batch is made in slices of at most `SLICE`
-bytes of payload, or one document. Other columns are not read.
+bytes of payload, or one document. Repeated rows give repeated results; an empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -156,7 +156,7 @@ OUT = T.StructType([
 ])
 DIGESTS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
-    T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
+    T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()), T.StructField("pcm_bytes", T.LongType()), T.StructField("pcm_sha256", T.StringType()),
 ])
 
 
@@ -181,7 +181,7 @@ def media_of(texts: list[str | None]) -> Iterator[tuple[int, str, bytes, memoryv
 
 
 def of_texts(docs: DataFrame, digests: bool = False) -> DataFrame:
-    """doc_id, n_bytes, codec, media (WAV), pcm (16-bit, 16 kHz), feature; with `digests`, sizes and digests of the media and of the payload read back from it."""
+    """doc_id, n_bytes, codec, media (WAV), pcm (16-bit, 16 kHz), feature; with `digests`, sizes and digests of the media, of the payload read back from it, and of the PCM."""
     schema = DIGESTS if digests else OUT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +191,10 @@ def of_texts(docs: DataFrame, digests: bool = False) -> DataFrame:
                 rows = []
                 for n, codec, wav, data, pcm in media_of(part.column(1).to_pylist()):
                     if digests:
-                        rows.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), feature(codec, pcm)))
+                        rows.append((n, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(wav), hashlib.sha256(wav).hexdigest(), feature(codec, pcm), 2 * len(pcm), hashlib.sha256(pcm.astype("<i2").tobytes()).hexdigest()))
                     else:
                         rows.append((n, codec, wav, pcm.tobytes(), feature(codec, pcm)))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] if digests else [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string()]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()] if digests else [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], names=schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -20,7 +20,7 @@ are spread over tasks.
 Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z. Fewer than five words are one shingle;
 null, empty and blank texts have none and are linked with nothing. Rows that repeat a doc_id
 count as one document: copies share a class, different texts of one id link whatever either does.
-A null doc_id takes no part: its component is null. Extra columns are not read.
+A null doc_id takes no part: its component is null. An empty table gives no rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ EMPTY = np.uint16(0xFFFF)
 THRESHOLD, MISS = 0.85, 1e-6
 BLOCK_ROWS, BLOCK_BYTES, STRIP = 1024, 16 << 20, 128
 U = np.uint64
+#: The seed of the letters' and the base's numbers, the golden-ratio step, and (in mixed) the public multipliers of a 64-bit finaliser.
 _RNG = np.random.Generator(np.random.PCG64(20240607))
 LETTER = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 BASE = int(_RNG.integers(2**40, 2**62)) * 8 + 5

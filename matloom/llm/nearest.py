@@ -8,13 +8,13 @@ reaches the k-th best found so far, or the k-th lower bound in the tile, are com
 from the original vectors and go through a heap for each query. No pair that belongs to the result can be lost, so
 recall is 1. The heaps of a query's cells, k rows each, are merged by a window.
 
-The grid keeps query groups at about `QUERY_ROWS` and makes no more shares of the
+A cell holds up to `QUERY_ROWS` queries, which it takes in blocks of `BLOCK` against each tile, so that candidates are sent to few cells; the grid makes no more shares of the
 candidates than the cluster has use for, so the rows to merge do not grow with the square.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows with a
 null id take no part. Only vectors of one length are compared. Every row with a query's id counts as the query's
 own; a query id on several rows stands for the least of their vectors; a candidate id on several
-rows is a candidate as often. Ties go to the smaller id. Extra columns are not read.
+rows is a candidate as often. Ties go to the smaller id. An empty table gives no rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-QUERY_ROWS, TILE = 2048, 1024
+QUERY_ROWS, BLOCK, TILE = 16_384, 2048, 1024
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
@@ -54,7 +54,7 @@ class Side:
 
 class Cell:
     def __init__(self, k: int):
-        self.k, self.parts, self.side = k, [], None
+        self.k, self.parts, self.sides = k, [], []
         self.heaps: list[list[tuple[float, int]]] = []
 
     def add_queries(self, ids: np.ndarray, x: np.ndarray) -> None:
@@ -63,15 +63,19 @@ class Cell:
     def add_candidates(self, ids: np.ndarray, x: np.ndarray) -> None:
         if not self.parts:
             return
-        if self.side is None:
-            self.side = Side(np.concatenate([i for i, _ in self.parts]), np.concatenate([v for _, v in self.parts]))
-            self.heaps = [[] for _ in self.side.ids]
+        if not self.sides:
+            self.ids, own = np.concatenate([i for i, _ in self.parts]), np.concatenate([v for _, v in self.parts])
+            self.sides = [Side(self.ids[i : i + BLOCK], own[i : i + BLOCK]) for i in range(0, len(own), BLOCK)]
+            self.heaps = [[] for _ in self.ids]
             self.least = np.full(len(self.heaps), -np.inf)
         for at in range(0, len(ids), TILE):
-            self._tile(Side(ids[at : at + TILE], x[at : at + TILE]))
+            c = Side(ids[at : at + TILE], x[at : at + TILE])
+            for i, q in enumerate(self.sides):
+                self._tile(q, i * BLOCK, c)
 
-    def _tile(self, c: Side) -> None:
-        q, k = self.side, self.k
+    def _tile(self, q: Side, first: int, c: Side) -> None:
+        """One block of queries, the first of which is number `first`, against one tile."""
+        k, heaps, kept = self.k, self.heaps, self.least[first : first + len(q.ids)]
         with np.errstate(over="ignore", invalid="ignore"):
             near = (q.codes @ c.codes.T) * q.scale[:, None] * c.scale[None, :]
             bound = q.kept[:, None] * c.lost[None, :] + q.lost[:, None] * c.norm[None, :] + 1e-9 * q.norm[:, None] * c.norm[None, :]
@@ -79,7 +83,7 @@ class Cell:
         top[np.isnan(top)], low[np.isnan(low)] = np.inf, -np.inf
         own = q.ids[:, None] == c.ids[None, :]
         top[own] = low[own] = -np.inf
-        least = self.least
+        least = kept
         if len(c.ids) >= k:
             least = np.maximum(least, np.partition(low, len(c.ids) - k, axis=1)[:, len(c.ids) - k])
         rows, cols = np.nonzero((top >= least[:, None]) & ~own)
@@ -88,21 +92,19 @@ class Cell:
             with np.errstate(over="ignore", invalid="ignore"):
                 score = (q.x[r] * c.x[j]).sum(1)
             score[np.isnan(score)] = -np.inf
-            for i, s, name in zip(r.tolist(), score.tolist(), c.ids[j].tolist()):
-                heap = self.heaps[i]
+            for i, s, name in zip((r + first).tolist(), score.tolist(), c.ids[j].tolist()):
+                heap = heaps[i]
                 if len(heap) < k:
                     heapq.heappush(heap, (s, -name))
                 elif (s, -name) > heap[0]:
                     heapq.heapreplace(heap, (s, -name))
         for i in set(rows.tolist()):
-            if len(self.heaps[i]) == k:
-                self.least[i] = self.heaps[i][0][0]
+            if len(heaps[first + i]) == k:
+                kept[i] = heaps[first + i][0][0]
 
     def found(self) -> Iterator[pa.RecordBatch]:
-        if self.side is None:
-            return
         for at in range(0, len(self.heaps), 512):
-            rows = [(i, -n, s) for i, h in zip(self.side.ids[at : at + 512].tolist(), self.heaps[at : at + 512]) for s, n in h]
+            rows = [(i, -n, s) for i, h in zip(self.ids[at : at + 512].tolist(), self.heaps[at : at + 512]) for s, n in h]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=FOUND.names)
 
@@ -146,11 +148,11 @@ def among(vectors: DataFrame, key: str, vector: str, k: int, every: int) -> Data
     return search(rows.where(F.col("id") % every == 0), rows, k)
 
 
-#: The same rows in DuckDB.
+#: The same rows in DuckDB; a query id on several rows stands for the least of their vectors.
 NEAREST_SQL = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score FROM (SELECT vec_id, min(e) AS e FROM v GROUP BY vec_id) q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20
 """

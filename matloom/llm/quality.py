@@ -109,9 +109,14 @@ def agree(counts: dict[int, int], rounds: int = 200) -> dict[int, float]:
     return dict(zip(pats, post.tolist()))
 
 
+#: Odd multipliers of a public mixing scheme, one for each byte of a trigram and one for the result.
+MULTIPLIERS = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)]
+
+
 def hashed(text: str) -> np.ndarray:
+    p, q, r, last = MULTIPLIERS
     b = np.frombuffer(text.encode(), np.uint8).astype(np.uint32)
-    return ((b[:-2] * np.uint32(0x9E3779B1)) ^ (b[1:-1] * np.uint32(0x85EBCA77)) ^ (b[2:] * np.uint32(0xC2B2AE3D))) * np.uint32(0x27D4EB2F) >> np.uint32(32 - BITS)
+    return ((b[:-2] * p) ^ (b[1:-1] * q) ^ (b[2:] * r)) * last >> np.uint32(32 - BITS)
 
 
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ Of pages with equal payloads of at least `least` bytes, the one with the largest
 a `response`, the others are `revisit` records without payload that refer to it. A null html is an
 empty payload; a null page_id never is the largest unless all are null (then all are responses).
 Rows repeated in full have the same role. Null urls are written as about:blank. An empty
-table gives no archives and no rows. Other columns are not read.
+table gives no archives and no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -65,8 +65,9 @@ def b32(raw: bytes) -> str:
 def roles(pages: DataFrame, least: int) -> DataFrame:
     """page_id, sha, refers_to of the pages that revisit another."""
     narrow = cut(pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= least).select("page_id", "sha"), "pages")
-    groups = narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    return cut(narrow.join(groups.drop("n"), "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct(), "revisits")
+    groups = cut(narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n"), "groups")
+    # A payload that many pages have is one row of the groups: where these are too many to broadcast, the skewed side of the join can be split.
+    return cut(narrow.join(broadcast_if_small(groups), "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct(), "revisits")
 
 
 def chunks(pages: DataFrame, revisits: DataFrame, size: int = CHUNK) -> DataFrame:
