@@ -108,6 +108,56 @@ def test_nearest_against_brute_force(spark):
     assert sorted(got) == [*range(0, 900, 20), 1120] and got[1120] == [(1, 1121, 11.0)]
 
 
+def test_mix_shares_copies_among_repeated_rows(spark):
+    rows = [(i % 40, f"w{i % 40} " * (1 + i % 40), None if i % 40 == 7 else "a" if i % 2 else "b") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d).select("row.*", "size", "copies", "taken").collect()
+    assert sorted((r[0], r[1], str(r[2])) for r in got) == sorted((a, b, str(c)) for a, b, c in rows) and all(r["copies"] in (0, 1, 2) for r in got)
+    shares = {r["row"]["doc_id"]: r["n"] for r in mixing.shares(d).groupBy("row").agg({"taken": "sum"}).withColumnRenamed("sum(taken)", "n").collect()}
+    total = {}
+    for r in got:
+        total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["taken"]
+    assert total == shares
+
+
+def test_nearest_with_repeated_ids_and_none(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.5, 2.0]), (3, [1.0, 1.0]), (3, [0.0, 1.0]), (5, [2.0, 0.0]), (40, [1.0, 1.0])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    assert sorted(tuple(r) for r in nearest.among(d, "vec_id", "embedding", 20, 20).collect()) == sorted(con.sql(nearest.NEAREST_SQL).fetchall())
+    assert nearest.among(d.limit(0), "vec_id", "embedding", 20, 20).count() == 0
+
+
+def test_nearest_in_blocks_of_queries(spark, monkeypatch):
+    """A cell that takes its queries in several blocks finds the same."""
+    import numpy as np
+
+    x = np.random.default_rng(4).standard_normal((300, 8)).astype(np.float64)
+    ids = np.arange(300)
+
+    def found():
+        cell = nearest.Cell(5)
+        cell.add_queries(ids[::3], x[::3])
+        for i in range(0, 300, 64):
+            cell.add_candidates(ids[i : i + 64], x[i : i + 64])
+        return sorted(r for b in cell.found() for r in zip(*[c.to_pylist() for c in b.columns]))
+
+    whole = found()
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    monkeypatch.setattr(nearest, "TILE", 16)
+    assert found() == whole and len(whole) == 500
+
+
+def test_warc_with_clashing_names(spark):
+    names = ["sha", "n", "refers_to", "own_id", "own_sha", "data", "last", "chunk", "html_2"]
+    rows = [(i, f"http://a/{i}", h, *["x"] * len(names)) for i, h in enumerate(["a", "a", None, "bb"])]
+    d = spark.createDataFrame(rows, ["page_id", "url", "html", *names])
+    got = {r[0]: (r[1], r[3], r[4]) for r in warc.read(warc.archive(spark, d)).collect()}
+    assert got == {0: (1, "revisit", 1), 1: (1, "response", None), 2: (0, "response", None), 3: (2, "response", None)}
+
+
 def notices():
     """Files: path, text, and the licence that each should get."""
     import textwrap
