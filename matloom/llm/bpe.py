@@ -33,7 +33,7 @@ from matloom.llm.workers import tidy
 
 SHORT = 40
 #: Bytes that a generation of remembered chunks may take in a worker, by the estimate `ENTRY` + 2 bytes a character; there are two generations.
-REMEMBERED, ENTRY = 40 << 20, 400
+REMEMBERED, ENTRY = 80 << 20, 400
 #: Chunks that are encoded together.
 TOGETHER = 50_000
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -239,10 +239,10 @@ class WordBpe:
 
         def flush() -> None:
             self.learn(needed)
-            known = self.young
+            known = self.young.__getitem__
             for doc in waiting:
-                got = [x for special, chunks in doc for x in ([(str(self.special[special]), special)] if special else [known[c] for c in chunks])]
-                out.append((" ".join([a for a, _ in got]), " ".join([b for _, b in got])))
+                got = list(map(known, doc[0][1])) if len(doc) == 1 else [x for special, chunks in doc for x in ([(str(self.special[special]), special)] if special else map(known, chunks))]
+                out.append((" ".join([x[0] for x in got]), " ".join([x[1] for x in got])))
             waiting.clear()
             needed.clear()
 
