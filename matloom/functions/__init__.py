@@ -9,8 +9,8 @@ from matloom.operators.archetypes import merge as merge_archetypes  # noqa: F401
 from matloom.operators.archetypes import pipeline as run_archetypes  # noqa: F401
 from matloom.operators.archetypes import trace as archetype_trace  # noqa: F401
 from matloom.operators.color import node_colors  # noqa: F401
-from matloom.operators.coo import grouped, mean_center, normalize, normalize_graph, normalize_scores, one_hot, rank, robust_zscore, scale, symmetric, times_dense, times_sparse, times_vector, transposed, zscore  # noqa: F401
-from matloom.operators.graph import centrality, coreness, diffuse, diffuse_chebyshev, label_enrichment, propagate  # noqa: F401
+from matloom.operators.coo import aligned, grouped, mean_center, normalize, normalize_graph, normalize_scores, one_hot, rank, robust_zscore, scale, symmetric, tf_idf, times_dense, times_sparse, times_vector, transposed, zscore  # noqa: F401
+from matloom.operators.graph import centrality, coreness, diffuse, diffuse_chebyshev, label_enrichment, propagate, sweep  # noqa: F401
 from matloom.operators.knn import approximate as approximate_neighbours  # noqa: F401
 from matloom.operators.knn import bipartite as bipartite_network  # noqa: F401
 from matloom.operators.knn import build as build_network  # noqa: F401

@@ -155,3 +155,22 @@ def grouped(m: DataFrame, groups: DataFrame, rows: DataFrame, what: str = "sum")
         mean = F.coalesce(F.try_divide(s, k), F.lit(0.0))
         s = (k * F.coalesce("v", F.lit(0.0)) + mean * mean * k * (n - k) / F.greatest(F.lit(1), n)) / F.greatest(F.lit(1), n - 1)
     return full.select("row_id", "grp", s.alias("value"))
+
+
+def tf_idf(m: DataFrame, n: int, size: float = 1e4) -> DataFrame:
+    """Entries as ln(1 + size x / column sum) ln(1 + n / row sum), n being the number of columns: the weighting before a latent semantic index."""
+    cols, rows = m.groupBy("col_id").agg(F.sum("value").alias("_c")), m.groupBy("row_id").agg(F.sum("value").alias("_r"))
+    value = F.log1p(F.col("value") * F.lit(float(size)) / F.col("_c")) * F.log1p(F.lit(float(n)) / F.col("_r"))
+    return m.join(cols, "col_id").join(rows, "row_id").select("row_id", "col_id", value.alias("value"))
+
+
+def aligned(m: DataFrame, groups: DataFrame) -> DataFrame:
+    """Columns scaled to their group's mean profile (groups: id, grp), the profiles having been scaled to the mean of all profiles: each by the least-squares factor. Missing entries count as zeros."""
+    sizes = groups.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    own = groups.select(F.col("id").alias("col_id"), "grp")
+    profile = m.join(own, "col_id").groupBy("row_id", "grp").agg(F.sum("value").alias("s")).join(sizes, "grp").select("row_id", "grp", (F.col("s") / F.col("n")).alias("p"))
+    middle = profile.groupBy("row_id").agg((F.sum("p") / sizes.count()).alias("mid"))
+    factor = profile.join(middle, "row_id").groupBy("grp").agg(ratio(F.sum(F.col("mid") * F.col("p")), F.sum(F.col("p") * F.col("p"))).alias("f"))
+    target = profile.join(factor, "grp").select("row_id", "grp", (F.col("p") * F.col("f")).alias("y"))
+    scales = m.join(own, "col_id").join(target, ["row_id", "grp"]).groupBy("col_id").agg(ratio(F.sum(F.col("y") * F.col("value")), F.sum(F.col("value") * F.col("value"))).alias("_f"))
+    return m.join(scales, "col_id").select("row_id", "col_id", (F.col("value") * F.col("_f")).alias("value"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from matloom.operators.coo import normalize, normalize_graph
 from matloom.plans.materialize import cut
+from matloom.plans.prefix import running
 
 
 def _filled(nodes: DataFrame, x: DataFrame) -> DataFrame:
@@ -144,3 +145,21 @@ def centrality(g: DataFrame, groups: DataFrame) -> DataFrame:
     cores = coreness(inside, groups.select("id")).join(groups, "id")
     sd = F.coalesce(F.stddev_samp("core").over(Window.partitionBy("label")), F.lit(0.0))
     return cores.select("id", (F.col("core") / F.when(sd == 0, 1.0).otherwise(sd)).alias("centrality"))
+
+
+def sweep(g: DataFrame, scores: DataFrame, least: int = 1) -> DataFrame:
+    """size, id, conductance of the sets of the nodes with the largest scores (id, score; ties by id), from `least` nodes on: the weight that leaves the set over the lesser of its weight and the rest's, of a symmetric graph without its self-loops. Null where one side weighs nothing.
+
+    An edge counts as inner from its later end on, so that volumes and inner weights are running sums over range partitions.
+    """
+    g = g.where("src <> dst")
+    place = running(scores.select("id", (-F.col("score")).alias("neg"), F.lit(1).alias("one")), ["neg", "id"], {"one": "place"}).select("id", F.col("place").cast("long").alias("place"))
+    place = cut(place, "places")
+    weight = g.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("w"))
+    ends = g.join(place.select(F.col("id").alias("src"), F.col("place").alias("a")), "src").join(place.select(F.col("id").alias("dst"), F.col("place").alias("b")), "dst")
+    inner = ends.groupBy(F.greatest("a", "b").alias("place")).agg(F.sum("weight").alias("inner"))
+    rows = place.join(weight, "id", "left").join(inner, "place", "left").select("place", "id", F.coalesce("w", F.lit(0.0)).alias("w"), F.coalesce("inner", F.lit(0.0)).alias("inner"))
+    summed = running(rows, ["place"], {"w": "vol", "inner": "inside"}).select((F.col("place") + 1).alias("size"), "id", (F.col("vol") + F.col("w")).alias("vol"), (F.col("inside") + F.col("inner")).alias("inside"))
+    whole = g.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("whole"))
+    found = summed.where(F.col("size") >= least).join(F.broadcast(whole), F.lit(True))
+    return found.select("size", "id", F.try_divide(F.col("vol") - F.col("inside"), F.least("vol", F.col("whole") - F.col("vol"))).alias("conductance"))

@@ -89,9 +89,9 @@ def set_enrichments(scores: DataFrame, sets: DataFrame) -> DataFrame:
     start = ranked.groupBy("dim").agg(F.min("r").alias("r0"), F.min(F.struct("r", "a", "q")).alias("first"), F.count(F.lit(1)).alias("m"), F.max("score").alias("top"))
     hits = ranked.join(sets.where("value <> 0").select(F.col("row_id").alias("id"), F.col("col_id").alias("set")).distinct(), "id").join(start, "dim")
     hits = hits.select("dim", "set", "score", "sq", (F.col("r") - F.col("r0")).alias("r"), (F.col("a") - F.col("first.a")).alias("a"), (F.col("q") - F.col("first.q")).alias("q"), "m", "top")
-    size = hits.groupBy("dim", "set").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("dim", "set").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    hits = hits.join(size, ["dim", "set"]).withColumn("o", F.sum("score").over(w)).withColumn("p", F.col("n") / F.col("m"))
+    hits = running(hits, ["dim", "set", "r"], {"score": "o"})
+    size = hits.groupBy("dim", "set").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r", "o")).alias("own"))
+    hits = hits.join(size, ["dim", "set"]).withColumn("o", F.col("o") - F.col("own.o") + F.col("score")).withColumn("p", F.col("n") / F.col("m"))
     over = F.col("o") - (F.col("a") + F.col("score")) * F.col("p")
     best = hits.withColumn("l", _bound(over, (F.col("q") + F.col("sq")) * F.col("p"), F.col("top")))
     best = best.groupBy("dim", "set").agg(F.max("n").alias("n"), F.max(F.struct("l", (-F.col("r")).alias("r"))).alias("b"))

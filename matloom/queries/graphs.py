@@ -184,3 +184,16 @@ def coreness(spark, d):
 @query("centrality", f"WITH {G}, inner_net AS (SELECT src, dst FROM net JOIN v a ON a.id = src JOIN v b ON b.id = dst WHERE a.label = b.label), {cores('inner_net', 'v')} SELECT id, {R('c / CASE WHEN coalesce(stddev_samp(c) OVER (PARTITION BY label), 0) = 0 THEN 1 ELSE stddev_samp(c) OVER (PARTITION BY label) END', 'centrality')} FROM c40 JOIN v USING (id)")
 def centrality(spark, d):
     return r6(graph.centrality(net(spark, d)[0], labels(spark, d)), "centrality")
+
+
+@query(
+    "sweep",
+    f"WITH {G}, so AS (SELECT id, row_number() OVER (ORDER BY vec[1] DESC, id) AS size FROM v), sw AS (SELECT src AS id, sum(weight) AS w FROM net GROUP BY src), si AS (SELECT greatest(a.size, b.size) AS size, sum(weight) AS inside FROM net JOIN so a ON a.id = src JOIN so b ON b.id = dst GROUP BY ALL), "
+    "sr AS (SELECT size, so.id, sum(coalesce(w, 0)) OVER k AS vol, sum(coalesce(inside, 0)) OVER k AS inside FROM so LEFT JOIN sw USING (id) LEFT JOIN si USING (size) WINDOW k AS (ORDER BY size ROWS UNBOUNDED PRECEDING)) "
+    f"SELECT size, id, {R('(vol - inside) / least(vol, (SELECT sum(weight) FROM net) - vol)', 'conductance')} FROM sr WHERE size >= 5 AND size < (SELECT count(*) FROM v)",
+)
+def sweep(spark, d):
+    """Sets of the vectors with the largest first components; the set of all has no cut."""
+    g, nodes = net(spark, d)
+    scores = vectors(spark, d).select("id", F.col("vec")[0].alias("score"))
+    return r6(graph.sweep(g, scores, 5).where(F.col("size") < nodes.count()), "conductance")

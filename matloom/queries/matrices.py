@@ -152,3 +152,19 @@ def row_stats(spark, d):
 def row_corr(spark, d):
     """Correlations of all pairs of components, from one pass that sums products."""
     return r6(gram(vectors(spark, d)).correlations(spark), "r")
+
+
+@query("tf_idf", f"WITH {S} SELECT row_id, col_id, {_r('ln(1 + value * 10000 / sum(value) OVER (PARTITION BY col_id)) * ln(1 + (SELECT count(*) FROM supplier) / sum(value) OVER (PARTITION BY row_id))')} FROM s")
+def tf_idf(spark, d):
+    return r6(coo.tf_idf(parts(spark, d), table(spark, d, "supplier").count()), "value")
+
+
+@query(
+    "aligned",
+    f"WITH {S}, g AS (SELECT s_suppkey AS col_id, s_nationkey::BIGINT AS grp FROM supplier), n AS (SELECT grp, count(*) AS n FROM g GROUP BY grp), p AS (SELECT row_id, grp, sum(value) / any_value(n) AS p FROM s JOIN g USING (col_id) JOIN n USING (grp) GROUP BY ALL), m AS (SELECT row_id, sum(p) / (SELECT count(*) FROM n) AS mid FROM p GROUP BY row_id), "
+    "f AS (SELECT grp, sum(mid * p) / sum(p * p) AS f FROM p JOIN m USING (row_id) GROUP BY grp), c AS (SELECT col_id, sum(p * f * value) / sum(value * value) AS k FROM s JOIN g USING (col_id) JOIN p USING (row_id, grp) JOIN f USING (grp) GROUP BY col_id) "
+    f"SELECT row_id, col_id, {_r('value * k')} FROM s JOIN c USING (col_id)",
+)
+def aligned(spark, d):
+    """Suppliers scaled to their nation's profile."""
+    return r6(coo.aligned(parts(spark, d), _nations(spark, d)), "value")
