@@ -31,7 +31,7 @@ def normalize(m: DataFrame, by: str = "col_id", p: int = 1, value: str = "value"
 
 
 def scale(m: DataFrame, v: DataFrame, by: str = "col_id") -> DataFrame:
-    """Columns or rows times the vector v (id, value)."""
+    """Columns or rows times the vector v (id, value); those that v has no value for are left out, as times zero."""
     return m.join(v.select(F.col("id").alias(by), F.col("value").alias("_v")), by).withColumn("value", F.col("value") * F.col("_v")).drop("_v")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matloom import functions
 from matloom.operators import coo, graph, knn
 from matloom.queries.base import E, H, V, labels, long, query, r6, simplex, vectors
 from matloom.plans.materialize import cut
@@ -122,7 +123,7 @@ def walk(method: int) -> str:
 
 
 for k in (0, 1, 2):
-    query(f"pagerank_{k}", f"WITH {walk(k)} SELECT id, dim, {R('value', 'value')} FROM t5")(lambda spark, d, k=k: r6(graph.diffuse(*net(spark, d), _seeds(spark, d), method=k), "value"))
+    query(f"pagerank_{k}", f"WITH {walk(k)} SELECT id, dim, {R('value', 'value')} FROM t5")(lambda spark, d, k=k: r6(functions.network_diffusion(*net(spark, d), _seeds(spark, d), method=k), "value"))
 
 
 def cheb() -> str:
@@ -136,7 +137,7 @@ def cheb() -> str:
     return ", ".join(steps)
 
 
-query("pagerank_cheb", f"WITH {cheb()} SELECT id, dim, {R('greatest(value, 0)', 'value')} FROM y6")(lambda spark, d: r6(graph.diffuse_chebyshev(*net(spark, d), _seeds(spark, d), tol=0.0), "value"))
+query("pagerank_cheb", f"WITH {cheb()} SELECT id, dim, {R('greatest(value, 0)', 'value')} FROM y6")(lambda spark, d: r6(functions.network_diffusion(*net(spark, d), _seeds(spark, d), approx=True, tol=0.0), "value"))
 
 
 def enriched(w: str, lab: str, at: str = "") -> str:

@@ -110,20 +110,23 @@ def spa(spark, d):
     return spark.createDataFrame([(i, a) for i, (a, _) in enumerate(simplex.spa(vectors(spark, d), 6)) if i], "pick int, id long")
 
 
+def _optimal(rows, w: np.ndarray):
+    """`rows` (x: weights, vec) with whether x lies on the simplex, and whether no weight can move to bring W x nearer to vec."""
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+    row = lambda values: F.array(*[F.lit(float(z)) for z in values])
+    g = w.T @ w
+    got = rows.withColumn("g", F.array(*[dot(F.col("x"), row(g[k])) - dot(F.col("vec"), row(w[:, k])) for k in range(w.shape[1])]))
+    total = F.aggregate("x", F.lit(0.0), lambda s, z: s + z)
+    return got.withColumn("simplex", (F.abs(total - 1) < 1e-9) & (F.array_min("x") >= 0)).withColumn("optimal", F.array_min("g") >= dot(F.col("x"), F.col("g")) - 1e-6)
+
+
 @query("simplex_regression", f"WITH {V} SELECT id, true AS simplex, true AS optimal FROM v")
 def simplex_regression(spark, d):
     """Weights of every vector on six of them: on the simplex, and no weight can move to lower the distance."""
     v = vectors(spark, d)
     w = np.array([r["vec"] for r in v.where("id < 6").orderBy("id").collect()]).T
     got = simplex.regression(v, w).withColumnRenamed("vec", "x").join(v, "id")
-    columns = [F.array(*[F.lit(float(c)) for c in w[:, k]]) for k in range(w.shape[1])]
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    g = w.T @ w
-    grads = F.array(*[dot(F.col("x"), F.array(*[F.lit(float(z)) for z in g[k]])) - dot(F.col("vec"), columns[k]) for k in range(w.shape[1])])
-    got = got.withColumn("g", grads)
-    level = dot(F.col("x"), F.col("g"))
-    total = F.aggregate("x", F.lit(0.0), lambda s, z: s + z)
-    return got.select("id", ((F.abs(total - 1) < 1e-9) & (F.array_min("x") >= 0)).alias("simplex"), (F.array_min("g") >= level - 1e-6).alias("optimal"))
+    return _optimal(got, w).select("id", "simplex", "optimal")
 
 
 @query("archetype_trace", f"WITH {V} SELECT k::INT AS k, arch::INT AS arch, (SELECT count(*) FROM v) AS n, true AS mixes, true AS weighs FROM range(2, 6) a(k), range(0, 5) b(arch) WHERE arch < k")
@@ -133,10 +136,22 @@ def archetype_trace(spark, d):
     return t.groupBy("k", "arch").agg(F.count(F.lit(1)).alias("n"), (F.abs(F.sum("c") - 1) < 1e-6).alias("mixes"), ((F.min("h") >= 0) & (F.max("h") <= 1)).alias("weighs"))
 
 
-@query("aa", f"WITH {V} SELECT id, true AS whole FROM v")
+@query("aa", f"WITH {V} SELECT k::INT AS k, id, true AS simplex, true AS optimal FROM v, range(2, 6) a(k)")
 def aa(spark, d):
-    t = archetypes.trace(_reduced(spark, d), 4, 4, rounds=20)
-    return t.groupBy("id").agg((F.abs(F.sum("h") - 1) < 1e-6).alias("whole"))
+    """For each number of archetypes, made anew from the observations they are mixtures of: every observation's weights are the best ones."""
+    v = _reduced(spark, d)
+    t = archetypes.trace(v, 2, 5, rounds=10)
+    made = t.where("c > 0").join(v.select("id", F.posexplode("vec").alias("dim", "x")), "id").groupBy("k", "arch", "dim").agg(F.sum(F.col("c") * F.col("x")).alias("w")).collect()
+    out = None
+    for k in range(2, 6):
+        w = np.zeros((8, k))
+        for r in made:
+            if r["k"] == k:
+                w[r["dim"], r["arch"]] = r["w"]
+        rows = archetypes.stacked(t.where(F.col("k") == k)).withColumnRenamed("vec", "x").join(v, "id")
+        got = _optimal(rows, w).select(F.lit(k).alias("k"), "id", "simplex", "optimal")
+        out = got if out is None else out.union(got)
+    return out
 
 
 @query("archetype_collect")

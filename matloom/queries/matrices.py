@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from matloom import functions
 from matloom.operators import coo
 from matloom.operators.dense import gram
 from matloom.queries.base import S, X, E, V, brands, labels, long, part_ids, parts, query, r6, supplier_vector, vectors
@@ -168,3 +169,19 @@ def tf_idf(spark, d):
 def aligned(spark, d):
     """Suppliers scaled to their nation's profile."""
     return r6(coo.aligned(parts(spark, d), _nations(spark, d)), "value")
+
+
+@query("clamp_simplex", f"WITH {E}, c AS (SELECT id, dim, least(1, greatest(0, value)) AS value FROM e) SELECT id, dim, {_r('value / CASE WHEN sum(value) OVER (PARTITION BY id) = 0 THEN 1 ELSE sum(value) OVER (PARTITION BY id) END')} FROM c")
+def clamp_simplex(spark, d):
+    return r6(functions.clamp_to_simplex(long(vectors(spark, d))), "value")
+
+
+@query("binarize", f"WITH {S} SELECT row_id, col_id, 1.0::DOUBLE AS value FROM s WHERE value <> 0")
+def binarize(spark, d):
+    return functions.binarize(parts(spark, d))
+
+
+@query("normalize_scores", f"WITH {E} SELECT id, dim, {_r('value - avg(value) OVER (PARTITION BY dim)')} FROM e")
+def normalize_scores(spark, d):
+    """By its number: 4 is centring."""
+    return r6(functions.normalize_scores(long(vectors(spark, d)), 4), "value")
