@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import json
 import unicodedata
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from matloom.llm.workers import tidy
 
 SHORT = 40
 #: Bytes that a generation of remembered chunks may take in a worker, by the estimate `ENTRY` + 2 bytes a character; there are two generations.
-REMEMBERED, ENTRY = 80 << 20, 400
+REMEMBERED, ENTRY = 56 << 20, 400
 #: Chunks that are encoded together.
 TOGETHER = 50_000
 SPACE = regex.compile(r"\p{White_Space}+")
@@ -61,6 +62,7 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+@cache
 def new_classes() -> dict[str, str]:
     """Code points that the pattern's module takes for another class (L, N or neither) than the library does, with the class that holds."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x40000)]))
@@ -203,9 +205,6 @@ class WordBpe:
             at = [words[w] for w in ws]
             self.remember(c, (" ".join([texts[i] for i in at]), " ".join([decoded[i] for i in at])))
 
-    def forget(self) -> None:
-        self.young, self.old, self.held = {}, {}, 0
-
     def remember(self, chunk: str, got: tuple[str, str]) -> None:
         self.young[chunk] = got
         self.held += ENTRY + 2 * (len(chunk) + len(got[0]) + len(got[1]))
@@ -259,17 +258,6 @@ class WordBpe:
         return " ".join([self.tokens[i] for i in ids])
 
 
-_LOADED: dict[str, WordBpe] = {}
-
-
-def loaded(spec: str) -> WordBpe:
-    key = hashlib.md5(spec.encode()).hexdigest()
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(spec)
-    return _LOADED[key]
-
-
 DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 FULL = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
@@ -283,7 +271,7 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches):
-        model = loaded(spec.value)
+        model = WordBpe(spec.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -296,7 +284,8 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
                     more = [[[int(x) for x in a.split()] for a, _ in got], [b for _, b in got]]
                     types = [pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *[pa.array(x, t) for x, t in zip(more, types)]], names=(DIGESTS if digests else FULL).names)
-        model.forget()
+        # Idle workers stay alive for a while: they keep neither the words nor the model.
+        del model
         tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGESTS if digests else FULL)
