@@ -3,6 +3,8 @@
 import random
 from itertools import combinations
 
+import pytest
+
 from matloom.llm import neardup
 
 
@@ -67,3 +69,29 @@ def test_the_pipeline_drops_copies_of_similarity_above_four_fifths(spark):
     for threshold in (0.8, 0.85):
         size = neardup.band_rows(threshold)
         assert (1 - threshold**size) ** (neardup.BUCKETS // size) < 1e-6
+
+
+@pytest.mark.parametrize("threshold, share", [(0.85, (85, 100)), (0.8, (8, 10))])
+def test_classes_of_a_whole_table_equal_all_pairs(spark, threshold, share):
+    """1,000 documents with planted copies, against the intersections of all pairs that share a shingle."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {r[0]: shingles(r[1]) for r in d.select("doc_id", "text").collect()}
+    holders, shared, up = {}, {}, {i: i for i in sets}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    for ids in holders.values():
+        for pair in combinations(ids, 2):
+            shared[pair] = shared.get(pair, 0) + 1
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if share[1] * n >= share[0] * (len(sets[a]) + len(sets[b]) - n):
+            p, q = sorted((root(a), root(b)))
+            up[q] = p
+    got = {r[0]: (r[1], r[2], r[3]) for r in neardup.classes(d, threshold).collect()}
+    assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
