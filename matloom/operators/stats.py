@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matloom.operators import coo
+from matloom.operators.dense import rows_of
 from matloom.operators.graph import diffuse
 from matloom.plans.materialize import cut
 from matloom.plans.prefix import running
@@ -182,6 +186,17 @@ def _ranks(y: DataFrame, n: int, compat: bool) -> DataFrame:
     return placed.join(first, "dim").select("id", "dim", "f", "g", (F.col("k") - F.col("first.k") + (0 if compat else 1)).alias("k"), (F.col("cum") - F.col("first.cum") + F.col("f")).alias("cum"))
 
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """i, steps: what the ranks of all columns move by from a row to the next (i, fs, nexts), summed for each i of a batch."""
+    for batch in batches:
+        if batch.num_rows:
+            i, own = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            moved = np.abs(rows_of(batch.column(1)) - rows_of(batch.column(2)))
+            sums = np.zeros((len(i), moved.shape[1]))
+            np.add.at(sums, own, moved)
+            yield pa.RecordBatch.from_arrays([pa.array(i, batch.column(0).type), pa.array(sums.tolist(), pa.list_(pa.float64()))], names=["i", "steps"])
+
+
 def xicor_matrix(x: DataFrame, y: DataFrame, n: int, compat: bool = False) -> DataFrame:
     """i, j, xi, z of Chatterjee's rank correlation of every column of x with every column of y (id, dim, value; the same n ids), direction x to y. Ties in x go by id. `compat`: tied ranks one too small and the variance's index from 0.
 
@@ -193,10 +208,12 @@ def xicor_matrix(x: DataFrame, y: DataFrame, n: int, compat: bool = False) -> Da
     own = ranked.groupBy(F.col("dim").alias("j")).agg(F.avg(F.col("g") * (1 - F.col("g"))).alias("cu"), (F.avg(b * F.col("f") ** 2) / n).alias("ai"), (F.avg(b * F.col("f")) / n).alias("ci"), F.avg(m * m).alias("bb"))
     place = running(x.withColumn("one", F.lit(1)), ["dim", "value", "id"], {"one": "place"}).select(F.col("dim").alias("i"), "id", "place")
     after = place.join(place.select("i", F.col("id").alias("next"), (F.col("place") - 1).alias("place")), ["i", "place"]).select("i", "id", "next")
-    wide = ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "f"))).alias("fs"))
-    steps = after.join(wide, "id").join(wide.select(F.col("id").alias("next"), F.col("fs").alias("nexts")), "next")
-    steps = steps.select("i", F.explode(F.zip_with("fs", "nexts", lambda p, q: F.struct(p["dim"].alias("j"), F.abs(p["f"] - q["f"]).alias("step")))).alias("s"))
-    steps = steps.groupBy("i", F.col("s.j").alias("j")).agg((F.sum("s.step") / (2 * n)).alias("a1"))
+    dims = ranked.select("dim").distinct().select(F.col("dim").alias("j"), (F.row_number().over(Window.orderBy("dim")) - 1).alias("pos"))  # a row for each column
+    wide = ranked.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "f"))), lambda x: x["f"]).alias("fs"))
+    steps = after.join(wide, "id").join(wide.select(F.col("id").alias("next"), F.col("fs").alias("nexts")), "next").select("i", "fs", "nexts")
+    kind = x.schema["dim"].dataType.simpleString()
+    steps = steps.mapInArrow(_steps, f"i {kind}, steps array<double>").select("i", F.posexplode("steps").alias("pos", "step"))
+    steps = steps.groupBy("i", "pos").agg((F.sum("step") / (2 * n)).alias("a1")).join(dims, "pos")
     xi = 1 - F.try_divide("a1", "cu")
     v = F.try_divide(F.col("ai") - 2 * F.col("bb") + F.col("ci") ** 2, F.col("cu") ** 2)
     return steps.join(own, "j").select("i", "j", xi.alias("xi"), F.try_divide(math.sqrt(n) * xi, F.sqrt(v)).alias("z"))

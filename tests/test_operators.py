@@ -181,9 +181,20 @@ def test_seeds_of_zeros_stay_zeros(spark, tiny):
         graph.diffuse_chebyshev(g, nodes, x0, alpha=-1)
 
 
-def test_rounds_leave_no_tables_behind(spark, tiny):
+def test_cores_by_rounds_and_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    e = {(int(a), int(b)) for a, b in rng.integers(0, 60, (260, 2))}
+    g = spark.createDataFrame([(a, b, 1.0) for a, b in e | {(b, a) for a, b in e}], "src long, dst long, weight double")
+    nodes = spark.range(62).select("id")
+    few = rows(graph.coreness(g, nodes))
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
+    assert rows(graph.coreness(g, nodes)) == few and len(few) == 62 and few[61] == (61, 0)
+
+
+def test_rounds_leave_no_tables_behind(spark, tiny, monkeypatch):
     from matloom.plans import materialize
 
+    monkeypatch.setattr(graph, "ONE_TASK", 0)
     before = len(materialize._WRITTEN)
     graph.coreness(*tiny).collect()
     assert len(materialize._WRITTEN) == before + 2

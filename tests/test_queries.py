@@ -11,7 +11,7 @@ from matloom.registry import ORACLES, QUERIES
 DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 #: Slow ones; tests/test_operators.py has their small cases.
-SLOW = {"coreness", "centrality", "archetype_trace", "aa"} | {f"layout_{m}" for m in ("umap", "tumap", "largevis")}
+SLOW = {"archetype_trace", "aa"} | {f"layout_{m}" for m in ("umap", "tumap", "largevis")}
 
 
 @pytest.fixture(scope="module")
