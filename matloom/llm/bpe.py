@@ -34,7 +34,7 @@ from matloom.llm.workers import tidy
 
 SHORT = 40
 #: Bytes that a generation of remembered chunks may take in a worker, by the estimate `ENTRY` + 2 bytes a character; there are two generations.
-REMEMBERED, ENTRY = 56 << 20, 400
+REMEMBERED, ENTRY = 36 << 20, 400
 #: Chunks that are encoded together.
 TOGETHER = 50_000
 SPACE = regex.compile(r"\p{White_Space}+")
