@@ -364,3 +364,12 @@ def test_components_beyond_one_task(spark, monkeypatch):
     for a, b in pairs:
         forest.join(a, b)
     assert few == sorted((x, forest.root(x)) for x in {n for a, b in pairs if a != b for n in (a, b)})
+
+
+def test_broadcasts_are_small(spark):
+    """A driver of 750 MB of heap holds several at once."""
+    from matloom.plans.joins import broadcast_if_small
+
+    some = lambda n: broadcast_if_small(spark.range(n))._jdf.queryExecution().logical().toString()
+    assert "ResolvedHint" in some(1000) or "UnresolvedHint" in some(1000)
+    assert "Hint" not in some(300_000)
