@@ -366,6 +366,18 @@ def test_components_beyond_one_task(spark, monkeypatch):
     assert few == sorted((x, forest.root(x)) for x in {n for a, b in pairs if a != b for n in (a, b)})
 
 
+def test_written_tables_have_few_files(spark, tmp_path):
+    """However many partitions a session has: the local file system starts processes for each file."""
+    import os
+
+    from matloom.plans import materialize
+
+    got = materialize.cut(spark.range(5000).repartition(300), "few")
+    names = [n for n in os.listdir(got._written.removeprefix("file://")) if not n.startswith(".")]
+    assert len(names) <= materialize.FILES * spark.sparkContext.defaultParallelism
+    assert "_SUCCESS" not in names and got.count() == 5000 and got.agg({"id": "sum"}).first()[0] == 4999 * 2500
+
+
 def test_broadcasts_are_small(spark):
     """A driver of 750 MB of heap holds several at once."""
     from matloom.plans.joins import broadcast_if_small
