@@ -176,6 +176,33 @@ def test_power_by_encoding_and_length(measured, alphabet, least):
         assert sum(null.probability("".join(rng.choice(alphabet) for _ in range(size))) <= secrets.RATE for _ in range(200)) >= share * 200
 
 
+def test_laws_are_of_every_document(spark):
+    """However the rows are dealt out; long tables are measured as a whole, in words that no other document has too."""
+    rows = [(i, f"{a} {b} {i} " * (1 + i % 4)) for i, (a, b) in enumerate(zip(secrets.WORDS * 8, (secrets.WORDS * 9)[7:]))]
+    rows += [(len(rows), "zyzzyx qwijbo " * 30), (len(rows) + 1, None), (len(rows) + 2, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = secrets.fit([t for _, t in rows if t])
+    for n in (1, 5):
+        null = secrets.measured(docs.repartition(n))
+        assert (null.pairs == own.pairs).all() and null.laws.keys() == own.laws.keys()
+        for k, law in null.laws.items():
+            assert (law.mean == own.laws[k].mean).all() and (law.spread == own.laws[k].spread).all() and (law.middle, law.width, law.tail) == (own.laws[k].middle, own.laws[k].width, own.laws[k].tail)
+    for gone in (0, len(rows) // 2, len(rows) - 3):
+        assert (secrets.fit([t for i, t in rows if t and i != gone]).pairs != own.pairs).any()
+    made = "".join(secrets.ordinary("alpha bravo +/ charlie " + "x" * 25 + " delta7")).lower()
+    assert all(w in made for w in ("alpha", "bravo", "charlie", "delta7")) and "xxx" not in made
+
+
+def test_statistics_of_many_tokens_are_those_of_each():
+    rng = random.Random(3)
+    tokens = secrets.made(secrets.WORDS, 900) + ["".join(rng.choice(a) for _ in range(24)) for a in ("ABCDEF01", "abcdef", "a2b7", "aB", "aB3", "aB3+/", "0-9_5/") for _ in range(20)] + ["a" * 20]
+    null, many = secrets.usual(), secrets.Many.of(tokens)
+    for t, values, law, usual in zip(tokens, many.values, many.law, many.usual(null.pairs)):
+        assert secrets.statistics(t, null.pairs) == pytest.approx([*values, usual])
+        name = secrets.encoding(t)[0]
+        assert law == secrets.LAWS[secrets.GROUP.get(name, name)]
+
+
 def test_repetition_at_the_end_of_a_text_is_seen():
     words = [f"w{i}".encode() for i in range(200)] + [b"buy", b"it", b"now", b"ok"] * 25
     assert quality.repetition(words)[1] == 1 - 104 / 200
