@@ -34,13 +34,11 @@ from functools import cache
 from itertools import batched, chain
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from matloom.llm import spans
+from matloom.llm.counting import counts
 from matloom.llm.spans import Span
-from matloom.llm.workers import tidy
 
 KINDS = ["assign", "access", "hex"]
 ORDER = {k: i for i, k in enumerate([*KINDS, "random"])}
@@ -240,7 +238,7 @@ class Many:
         b = np.frombuffer("".join(tokens).encode(), np.uint8)
         n = np.array([len(t) for t in tokens])
         start, row = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
-        counts = np.bincount(row * 128 + b, minlength=128 * len(n)).reshape(len(n), 128)
+        times = np.bincount(row * 128 + b, minlength=128 * len(n)).reshape(len(n), 128)
         kind, value, s = CLASS[b], VALUE[b], SYMBOL[b]
         off = value - (np.bincount(row, value, len(n)) / n)[row]
         spread = np.bincount(row, off * off, len(n))
@@ -248,7 +246,7 @@ class Many:
         first = row[:-1][inner]
         add = lambda x: np.bincount(first, x[inner], len(n))
         serial = np.where(spread > 0, np.abs(add(off[1:] * off[:-1])) / np.where(spread > 0, spread, 1.0), 1.0)
-        values = np.stack([((counts * counts).sum(1) - n) / (n * (n - 1.0)), -add((kind[1:] != kind[:-1]).astype(float)) / (n - 1.0), serial], 1)
+        values = np.stack([((times * times).sum(1) - n) / (n * (n - 1.0)), -add((kind[1:] != kind[:-1]).astype(float)) / (n - 1.0), serial], 1)
         return cls(n, groups(np.bitwise_or.reduceat(BITS[b], start)), values, first, (s[:-1] * 28 + s[1:])[inner], (np.abs(value[1:] - value[:-1]) <= 1)[inner])
 
     def usual(self, pairs: np.ndarray) -> np.ndarray:
@@ -346,8 +344,8 @@ def laws_of(total: Total) -> Null:
     pairs, laws = scales(total(moments, shape) + counted(fixed, moments, shape))
     second = lambda m: sums(m, pairs, laws)
     shape = (len(LAWS), BINS)
-    counts = total(second, shape) + counted(fixed, second, shape)
-    return Null(pairs, {name: settled(law, counts[LAWS[name]]) for name, law in laws.items()})
+    found = total(second, shape) + counted(fixed, second, shape)
+    return Null(pairs, {name: settled(law, found[LAWS[name]]) for name, law in laws.items()})
 
 
 def fit(texts: list[str]) -> Null:
@@ -357,22 +355,7 @@ def fit(texts: list[str]) -> Null:
 
 def measured(docs: DataFrame) -> Null:
     """From all ordinary words of every row's text; equal to fit() of all texts."""
-    texts = docs.select("text").where("text IS NOT NULL")
-
-    def total(count: Callable[[Many], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            tokens = (t for batch in batches for text in batch.column(0) for t in ordinary(text.as_py()))
-            got = counted(tokens, count, shape).ravel()
-            at = np.flatnonzero(got)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(got[at], pa.int64())], names=["slot", "n"])
-            tidy()
-
-        out = np.zeros(shape, np.int64)
-        for slot, n in texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n")).collect():
-            out.ravel()[slot] = n
-        return out
-
-    return laws_of(total)
+    return laws_of(lambda count, shape: counts(docs, lambda texts: counted(chain.from_iterable(map(ordinary, texts)), count, shape), shape))
 
 
 @cache

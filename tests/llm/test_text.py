@@ -209,6 +209,38 @@ def test_repetition_at_the_end_of_a_text_is_seen():
     assert quality.repetition(words[:200])[1] == 0 and quality.repetition(words[:150])[1] == 0 and quality.repetition(words[200:])[1] == 0.96
 
 
+def test_the_scorer_is_trained_on_every_document(spark):
+    """More documents than any sample held before, however the rows are dealt out."""
+    from collections import Counter
+
+    d = "/root/testdata/sf0.1/documents.parquet"
+    docs = spark.read.parquet(d).select("doc_id", "text").where("doc_id % 3 = 0")
+    texts = [r["text"] for r in docs.collect() if r["text"]]
+    assert len(texts) > 3000
+    seen = [quality.pattern(quality.votes(t)) for t in texts]
+    counted = Counter(seen)
+    if blank := docs.where("text IS NULL OR text = ''").count():
+        counted[quality.pattern(quality.votes(""))] += blank
+    post = quality.agree(counted)
+    own = quality.train(texts, [post[p] for p in seen])
+    for n in (2, 9):
+        scorer = quality.fit(docs.repartition(n)).scorer
+        assert scorer.bias == own.bias and (scorer.weights == own.weights).all()
+    for gone in (0, 1700, len(texts) - 1):
+        less = quality.train(texts[:gone] + texts[gone + 1 :], [post[p] for i, p in enumerate(seen) if i != gone])
+        assert (less.weights != own.weights).any()
+
+
+def test_a_score_leaves_its_own_document_out():
+    """The counts of a document alone hold nothing of itself: its score by the others' weights is even."""
+    rows = [("some plain words of a text", 0.9)]
+    alone = quality.cells(rows, quality.shares(rows))
+    assert alone[0].sum() == 1 and alone[0, quality.LIMIT * quality.STEPS].sum() == 1
+    pair = quality.shares([*rows, ("other plain words of one more", 0.2)])
+    at, share = quality.features(rows[0][0])
+    assert (pair[:, at].sum(0) * quality.UNIT >= share - 1e-6).all()
+
+
 def test_media_tables_and_blocks():
     assert media.TABLES["mulaw"][[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
     assert media.TABLES["alaw"][[0x55, 0xD5, 0xAA, 0x2A]].tolist() == [-8, 8, 32256, -32256]
