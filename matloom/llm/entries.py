@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from matloom.llm import bpe, licenses, media, mixing, nearest, neardup, pii, quality, secrets, warc
+from matloom.llm import audit, bpe, licenses, media, mixing, nearest, neardup, pii, quality, secrets, sharding, trie, warc
 from matloom.sources.tables import table as read
 
 TOKENIZER = "word_bpe_49k.json"
@@ -56,5 +56,27 @@ def op10_quality(spark, sf_dir):
     return quality.score(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_nearest, op3_pii, op4_licenses, op5_bpe, op6_media, op7_warc, op8_neardup, op9_secrets, op10_quality)}
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op2_nearest": nearest.NEAREST_SQL, "op4_licenses": licenses.SCAN_SQL}
+def op11_sharding(spark, sf_dir):
+    return sharding.of_texts(read(spark, sf_dir, "documents"), shards=24)
+
+
+def op12_trie(spark, sf_dir):
+    return trie.trie(read(spark, sf_dir, "conversations"), heads=5, most=8)
+
+
+def op13_audit(spark, sf_dir):
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_nearest, op3_pii, op4_licenses, op5_bpe, op6_media, op7_warc, op8_neardup, op9_secrets, op10_quality, op11_sharding, op12_trie, op13_audit)
+}
+ORACLES = {
+    "op1_mixing": mixing.MIX_SQL,
+    "op2_nearest": nearest.NEAREST_SQL,
+    "op4_licenses": licenses.SCAN_SQL,
+    "op11_sharding": sharding.sql(24),
+    "op12_trie": trie.sql(5, 8),
+    "op13_audit": audit.AUDIT_SQL,
+}

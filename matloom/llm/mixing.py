@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matloom.plans.materialize import cut
+from matloom.plans.names import quoted
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A stratum of the layout: source (null or not, name), size class, part of the class.
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     found = placed.groupBy(*same, "size", "source_size", "target").agg(F.count(F.lit(1)).alias("_rows"), F.sum("copies").alias("_copies"))
     found = cut(found, "copies")
     whole = docs.select(
-        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(0)).alias("_id"), F.xxhash64(docs["doc_id"].isNull(), docs["source"].isNull(), docs["source"], F.xxhash64(text)).alias("_key")
+        F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), F.coalesce(docs["doc_id"], F.lit(0)).alias("_id"), F.xxhash64(docs["doc_id"].isNull(), docs["source"].isNull(), docs["source"], F.xxhash64(text)).alias("_key")
     )
     out = lambda df, copies: df.select("row", "size", "source_size", "target", copies.cast("long").alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
     joined = whole.join(found.where("_rows = 1").hint("shuffle_hash"), ["_id", "_key"])

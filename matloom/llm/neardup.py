@@ -363,5 +363,5 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """`docs` less the documents that are not the least of their class."""
-    gone = cut(classes(docs, threshold).where("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    gone = broadcast_if_small(cut(classes(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")

@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matloom.plans.names import quoted
+
 QUERY_ROWS, BLOCK, TILE = 16_384, 2048, 1024
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
 
 def clean(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    v = F.col(f"`{vector}`")
-    return vectors.select(F.col(f"`{key}`").cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0))
+    v = F.col(quoted(vector))
+    return vectors.select(F.col(quoted(key)).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull()).where(F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("vec", lambda x: x != 0))
 
 
 class Side:

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matloom.plans.names import quoted
+
 Span = tuple[str, int, int]
 
 
@@ -59,8 +61,8 @@ def redact(docs: DataFrame, find: Callable, mark: Callable[[str], str]) -> DataF
         return pa.array([clean(spans_of, t.as_py()) for t in texts], pa.string())
 
     # The row travels as one column, so that no name of its own is taken.
-    held = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), changed(docs["text"]).alias("changed"))
+    held = docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("row"), changed(docs["text"]).alias("changed"))
     new = {"text": F.coalesce("changed", "row.text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("changed").isNull(), F.col("row.n_chars")).otherwise(F.length("changed")).cast(docs.schema["n_chars"].dataType)
-    return held.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return held.select(*[new.get(c, F.col("row." + quoted(c))).alias(c) for c in docs.columns])

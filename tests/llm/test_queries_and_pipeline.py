@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_neardup": ["doc_id", "n_shingles", "component_id", "kept"],
     "op9_secrets": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
     "op10_quality": ["doc_id", "votes", "posterior", "score", "keep"],
+    "op11_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
+    "op12_trie": ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    "op13_audit": ["part", "filter_order", "step", "filter", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
 }
 
 
@@ -31,9 +34,13 @@ def tables(spark, odd, none, tmp_path_factory):
     out = []
     pages = spark.createDataFrame([(1, "u", "<p>", 1), (2, None, None, 2), (3, "v", "<p>", 3), (None, "w", "", 4)], "page_id long, url string, html string, n int")
     vectors = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.5, 0.5]), (7, None), (8, [0.0, 0.0]), (9, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    turns = [(0, 0, "user", "hi", 1), (0, None, None, None, 2), (0, 1, "user", "x" * 100_000, 3), (1, 0, "user", "hi", 4), (1, 0, "user", "hi", 4), (5, 3, "", "é", 5), (6, 3, "", None, 6), (None, 0, "user", "hi", 7)]
+    conversations = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string, part int")
+    labels = spark.createDataFrame([(4, 1, 0), (6, 1, 1), (6, 0, 1), (7, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    others = {"pages": pages, "embeddings": vectors, "conversations": conversations, "labels": labels}
     for some in (False, True):
         folder = tmp_path_factory.mktemp("tables")
-        for name, df in (("documents", odd if some else none), ("pages", pages if some else pages.limit(0)), ("embeddings", vectors if some else vectors.limit(0))):
+        for name, df in ({"documents": odd} | others if some else {"documents": none} | {k: df.limit(0) for k, df in others.items()}).items():
             df.write.parquet(f"{folder}/{name}.parquet")
         out.append(str(folder))
     return out
@@ -46,10 +53,10 @@ def test_queries_on_odd_and_empty_tables(spark, tables, name):
     df = entries.QUERIES[name](spark, some)
     assert df.columns[: len(COLUMNS[name])] == COLUMNS[name]
     rows = df.collect()
-    assert len(rows) == {"op2_nearest": 5, "op7_warc": 4}.get(name, 12)
+    assert len(rows) == {"op2_nearest": 5, "op7_warc": 4, "op12_trie": 5, "op13_audit": 1800}.get(name, 12)
     if name in entries.ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages", "embeddings"):
+        for t in ("documents", "pages", "embeddings", "conversations", "labels"):
             con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{some}/{t}.parquet/*.parquet'")
         at = [c for c in COLUMNS[name] if not (name == "op1_mixing" and c == "taken")]  # rows that repeat share their places' copies
         want = con.sql(f"SELECT {', '.join(at)} FROM ({entries.ORACLES[name]})").fetchall()
