@@ -10,8 +10,8 @@ take, is pulled to its label, and repeats anywhere in a document agree. Units in
 messages run over all edges at once for `ROUNDS` rounds; a unit whose marginal for
 one kind reaches `SURE` becomes a further span.
 
-The weights are trained here, piece by piece, on the units of at most `sample` documents with such units
-(of the least hash; at most `UNITS` units), with the base spans as labels. Each labelled unit is also shown with the marks that its base pattern asks for held
+The weights are trained here, piece by piece, with the base spans as labels. Labels and edges are counted over the units of all documents; the regression of a
+unit's own score is fitted on at most `sample` units, those with the least hashes among the units of all documents, a parameter of `scan`. Each labelled unit is also shown with the marks that its base pattern asks for held
 out, so that words around it and the rest of its shape carry weight. The skip table is the smoothed share of similar units that agree, among those with a known label: a
 unit without a label that is similar to a labelled one is not known to be nothing. Without any unit nothing is added.
 
@@ -24,20 +24,24 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matloom.llm import spans
-from matloom.llm.sampling import least_hashed
+from matloom.llm.counting import counts
 from matloom.llm.spans import Span
+from matloom.llm.workers import tidy
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS, SURE = 20, 0.95
-#: Buckets of hashed words; units trained on at most; characters between neighbours at most.
-WORDS, UNITS, GAP = 512, 100_000, 40
+#: Buckets of hashed words; characters between neighbours at most.
+WORDS, GAP = 512, 40
 #: Edges whose messages are made at once.
 EDGES = 1 << 16
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -185,30 +189,43 @@ def table(pairs: np.ndarray, share: np.ndarray, start: float, weight: float) ->
     return np.clip((odds + odds.T) / 2, -6, 6)
 
 
-def train(texts: list[str], rounds: int = 500, decay: float = 3e-4) -> Field | None:
-    """Piecewise: the own score by logistic regression, each kind of edge by its table."""
-    seen, total = [], 0
+def known(t: Units) -> np.ndarray:
+    """The units that may be learnt from: those without a label that are similar to labelled ones are left out, for they may be anything."""
+    ok = np.ones(len(t.label), bool)
+    for i, j in t.edges[t.skip].tolist():
+        if (t.label[i] > 0) != (t.label[j] > 0):
+            ok[i if t.label[i] == 0 else j] = False
+    return ok
+
+
+K = len(KINDS) + 1
+#: What is counted: units by label, then pairs of labels on the edges of neighbours and of similar units.
+COUNTS = K + 2 * K * K
+
+
+def tally(texts: Iterable[str]) -> np.ndarray:
+    """COUNTS whole numbers of the texts' units."""
+    out = np.zeros(COUNTS, np.int64)
     for text in texts:
-        if total < UNITS and (t := units(text, base_spans(text))):
-            seen.append(t)
-            total += len(t.label)
-    if not seen:
+        if ANY.search(text) and (t := units(text, base_spans(text))):
+            ok = known(t)
+            out[:K] += np.bincount(t.label[ok], minlength=K)
+            for kind in (0, 1):
+                e = t.edges[(t.skip == bool(kind)) & ok[t.edges].all(1)]
+                pairs = out[K + kind * K * K :][: K * K]
+                pairs += np.bincount(t.label[e[:, 0]] * K + t.label[e[:, 1]], minlength=K * K)
+    return out
+
+
+def learn(counted: np.ndarray, x: np.ndarray, near: np.ndarray, y: np.ndarray, rounds: int = 500, decay: float = 3e-4) -> Field | None:
+    """Piecewise: the own score by logistic regression on labelled units (shapes, words around, labels), each kind of edge by its table of counts."""
+    if not counted[:K].sum() or not len(y):
         return None
-    k = len(KINDS) + 1
-    # Units without a label that are similar to labelled ones are left out: they may be anything.
-    known = []
-    for t in seen:
-        ok = np.ones(len(t.label), bool)
-        for i, j in t.edges[t.skip].tolist():
-            if (t.label[i] > 0) != (t.label[j] > 0):
-                ok[i if t.label[i] == 0 else j] = False
-        known.append(ok)
-    x, near, y = [np.concatenate([getattr(t, f)[ok] for t, ok in zip(seen, known)]) for f in ("x", "near", "label")]
     held = x[y > 0].copy()
     held[:, MARKS:] = 0
     x, near, y = np.concatenate([x, held]), np.concatenate([near, near[y > 0]]), np.concatenate([y, y[y > 0]])
-    n, target = len(y), np.eye(k)[y]
-    w, c, vw, vc = np.zeros((SHAPE, k)), np.zeros((WORDS + 1, k)), np.zeros((SHAPE, k)), np.zeros((WORDS + 1, k))
+    n, target = len(y), np.eye(K)[y]
+    w, c, vw, vc = np.zeros((SHAPE, K)), np.zeros((WORDS + 1, K)), np.zeros((SHAPE, K)), np.zeros((WORDS + 1, K))
     flat = near.ravel()
     for _ in range(rounds):
         z = x @ w + c[near].sum(1)
@@ -216,18 +233,22 @@ def train(texts: list[str], rounds: int = 500, decay: float = 3e-4) -> Field | N
         miss = target - z / z.sum(1, keepdims=True)
         vw = 0.9 * vw + x.T @ miss / n - decay * w
         wide = np.repeat(miss, near.shape[1], 0)
-        vc = 0.9 * vc + np.stack([np.bincount(flat, wide[:, i], WORDS + 1) for i in range(k)], 1) / n - decay * c
+        vc = 0.9 * vc + np.stack([np.bincount(flat, wide[:, i], WORDS + 1) for i in range(K)], 1) / n - decay * c
         w, c = w + 0.8 * vw, c + 0.8 * vc
         c[WORDS] = 0
-    share = (np.bincount(y, minlength=k) + 1.0) / (n + k)
-    tables = []
-    for kind in (False, True):
-        pairs = np.zeros((k, k))
-        for t, ok in zip(seen, known):
-            e = t.edges[(t.skip == kind) & ok[t.edges].all(1)]
-            np.add.at(pairs, (t.label[e[:, 0]], t.label[e[:, 1]]), 1.0)
-        tables.append(table(pairs, share, 0.95 if kind else float(share @ share), 20.0))
-    return Field(w, c, *tables)
+    # Units with a label stand for two, as they do in the regression.
+    own = counted[:K] * np.where(np.arange(K) > 0, 2, 1)
+    share = (own + 1.0) / (own.sum() + K)
+    pairs = counted[K:].reshape(2, K, K).astype(float)
+    return Field(w, c, table(pairs[0], share, float(share @ share), 20.0), table(pairs[1], share, 0.95, 20.0))
+
+
+def train(texts: list[str], rounds: int = 500, decay: float = 3e-4) -> Field | None:
+    """The field of some texts at hand."""
+    seen = [(t, known(t)) for text in texts if (t := units(text, base_spans(text)))]
+    if not seen:
+        return None
+    return learn(tally(texts), *[np.concatenate([getattr(t, f)[ok] for t, ok in seen]) for f in ("x", "near", "label")], rounds, decay)
 
 
 def marginals(t: Units, field: Field) -> np.ndarray:
@@ -297,11 +318,43 @@ def find(field: Field | None):
     return of
 
 
+def labelled(docs: DataFrame, share: float) -> DataFrame:
+    """hash, x, near, label of the units of all documents (text) whose hashes, of their text and place, are below `share` of all hashes; units of equal texts are one."""
+    below = min(share, 1.0) * float(1 << 63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for text in batch.column(0).to_pylist():
+                t = units(text, base_spans(text))
+                if t is None:
+                    continue
+                own = np.uint64(xxhash.xxh64_intdigest(text.encode(errors="surrogatepass")))
+                h = (own ^ (np.arange(1, len(t.label) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+                h = ((h ^ (h >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+                for i in np.flatnonzero((h < below) & known(t)).tolist():
+                    for column, value in zip(out, (int(h[i]), t.x[i].tolist(), t.near[i].tolist(), int(t.label[i]))):
+                        column.append(value)
+            kinds = (pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["hash", "x", "near", "label"])
+        tidy()
+
+    found = docs.select("text").where(F.col("text").rlike("[0-9@]")).mapInArrow(run, "hash long, x array<double>, near array<int>, label int")
+    return found.groupBy("hash").agg(F.first("x").alias("x"), F.first("near").alias("near"), F.first("label").alias("label"))
+
+
 def fit(docs: DataFrame, sample: int) -> Field | None:
-    return train(least_hashed(docs.where(F.col("text").rlike("[0-9@]")), sample))
+    """Counts of labels and of edges from all units; the regression from the `sample` units with the least hashes, or somewhat fewer where texts repeat."""
+    counted = counts(docs.where(F.col("text").rlike("[0-9@]")), tally, (COUNTS,))
+    n = int(counted[:K].sum())
+    if not n:
+        return None
+    rows = labelled(docs, 2 * sample / n).orderBy("hash").limit(sample).toArrow().sort_by("hash")
+    x, near = (np.array(rows.column(c).to_pylist()) for c in ("x", "near"))
+    return learn(counted, x, near, rows.column("label").to_numpy())
 
 
-def scan(docs: DataFrame, sample: int = 1000) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. `sample`: documents that the field is trained on, at most."""
+def scan(docs: DataFrame, sample: int = 20_000) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans. `sample`: labelled units that the field's regression is fitted on, at most; they are drawn from all documents, and everything else is counted over all of them."""
     field = fit(docs, sample)
     return spans.scan(docs, KINDS, lambda: find(field))
