@@ -6,14 +6,16 @@ executor costs one step. Columns of seeds (dim) are spread together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matloom.operators.coo import normalize, normalize_graph
+from matloom.operators.linalg import sum_of
+from matloom.plans.components import components
 from matloom.plans.materialize import cut
 from matloom.plans.prefix import running
 
@@ -21,15 +23,46 @@ from matloom.plans.prefix import running
 ONE_TASK = 2_000_000
 
 
-def _filled(nodes: DataFrame, x: DataFrame) -> DataFrame:
-    """x (id, dim, value) with a row for every node and column; columns are few and go to the plan as constants."""
+#: Columns of seeds that are spread at once, as one array a node.
+TOGETHER = 64
+
+
+def _groups(x: DataFrame) -> list[list]:
+    """The columns of x (id, dim, value), in order, TOGETHER at a time. Their names alone come to the driver; each group is a run of its own."""
     dims = sorted(r[0] for r in x.select("dim").distinct().collect())
-    grid = nodes.select("id", F.explode(F.array(*map(F.lit, dims))).alias("dim"))
-    return grid.join(x, ["id", "dim"], "left").select("id", "dim", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return [dims[i : i + TOGETHER] for i in range(0, len(dims), TOGETHER)]
+
+
+def _wide(nodes: DataFrame, x: DataFrame, dims: list, name: str = "vec") -> DataFrame:
+    """id and an array of a node's values in the columns `dims` of x (id, dim, value), zeros where it has none."""
+    have = x.where(F.col("dim").isin(dims)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
+    return nodes.select("id").join(have, "id", "left").select("id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(d)), F.lit(0.0)) for d in dims]).alias(name))
+
+
+def _long(x: DataFrame, dims: list, kind) -> DataFrame:
+    return x.select("id", F.explode(F.arrays_zip(F.array(*map(F.lit, dims)).alias("dim"), F.col("vec").alias("value"))).alias("e")).select("id", F.col("e.dim").cast(kind).alias("dim"), F.col("e.value").alias("value"))
+
+
+def _each(f: Callable[[int], Column], width: int) -> Column:
+    return F.array(*[f(d) for d in range(width)])
+
+
+def _step(p: DataFrame, x: DataFrame, width: int, name: str = "vec") -> DataFrame:
+    """id, w: edges times the arrays of x (id, and `name`). Sums are partial before they are shuffled."""
+    return p.join(x.select(F.col("id").alias("dst"), F.col(name).alias("x")), "dst").groupBy(F.col("src").alias("id")).agg(_each(lambda d: F.sum(F.col("weight") * F.col("x")[d]), width).alias("w"))
 
 
-def _step(p: DataFrame, x: DataFrame) -> DataFrame:
-    return p.join(x.select(F.col("id").alias("dst"), "dim", "value"), "dst").groupBy(F.col("src").alias("id"), "dim").agg(F.sum(F.col("weight") * F.col("value")).alias("w"))
+def _or_zero(c: str, width: int) -> Column:
+    return F.coalesce(F.col(c), F.array(*[F.lit(0.0)] * width))
+
+
+def _by_groups(x0: DataFrame, run: Callable[[list], DataFrame]) -> DataFrame:
+    """The columns of all groups, each spread by `run`."""
+    out = None
+    for dims in _groups(x0):
+        got = _long(run(dims), dims, x0.schema["dim"].dataType)
+        out = got if out is None else out.union(got)
+    return x0.limit(0) if out is None else out
 
 
 def diffuse(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float = 0.85, rounds: int = 5, method: int = 0) -> DataFrame:
@@ -40,64 +73,129 @@ def diffuse(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float = 0.85,
         return x0
     n = nodes.count()
     p = cut(normalize_graph(g, nodes, method), "walk")
-    seeds = cut(_filled(nodes, normalize(x0, "dim")), "seeds")
     linked = g.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("s")).where("s > 0").select("id", F.lit(True).alias("has"))
-    z = cut(nodes.join(linked, "id", "left").select("id", (F.when(F.col("has"), 1 - alpha).otherwise(1.0) / n).alias("z")), "rest")
-    x = seeds
-    for _ in range(rounds):
-        lost = x.join(z, "id").groupBy("dim").agg(F.sum(F.col("z") * F.col("value")).alias("s"))
-        new = seeds.withColumnRenamed("value", "v0").join(_step(p, x), ["id", "dim"], "left").join(F.broadcast(lost), "dim")
-        x = cut(new.select("id", "dim", (alpha * F.coalesce("w", F.lit(0.0)) + n * F.col("v0") * F.col("s")).alias("value")), "spread", x if x is not seeds else None)
-    return x
+    z = nodes.join(linked, "id", "left").select("id", (F.when(F.col("has"), 1 - alpha).otherwise(1.0) / n).alias("z"))
+    seeds = cut(normalize(x0, "dim"), "seeds")
+
+    def run(dims: list) -> DataFrame:
+        width = len(dims)
+        x = first = cut(_wide(nodes, seeds, dims, "v0").join(z, "id").select("id", "z", "v0", F.col("v0").alias("vec")), "spread")
+        for _ in range(rounds):
+            lost = x.agg(*[F.sum(F.col("z") * F.col("vec")[d]) for d in range(width)]).first()
+            new = x.join(_step(p, x, width), "id", "left").withColumn("w", _or_zero("w", width))
+            new = new.select("id", "z", "v0", _each(lambda d: alpha * F.col("w")[d] + F.lit(n * float(lost[d] or 0.0)) * F.col("v0")[d], width).alias("vec"))
+            x = cut(new, "spread", x if x is not first else None)
+        return x
+
+    return _by_groups(seeds, run)
 
 
 def diffuse_chebyshev(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float = 0.85, rounds: int = 5, method: int = 0, tol: float = 1e-8) -> DataFrame:
-    """The same by Chebyshev's recurrence; seeds are not made to sum to one. Stops when the change of all columns, as a matrix, has a norm below `tol`."""
+    """The same by Chebyshev's recurrence; seeds are not made to sum to one. Stops when the change of a group of columns, as a matrix, has a norm below `tol`."""
     if not 0 <= alpha <= 1:
         raise ValueError("alpha lies in [0, 1]")
     if alpha == 0:
         return x0
     a = 1 - alpha
     p = cut(normalize_graph(g, nodes, method), "walk")
-    seeds = cut(_filled(nodes, x0), "seeds")
-    base = seeds.withColumnRenamed("value", "v0")
-    join = lambda y: base.join(_step(p, y), ["id", "dim"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-    y0 = seeds
-    y1 = cut(join(seeds).select("id", "dim", (alpha * F.col("w") + a * F.col("v0")).alias("value")), "spread")
-    m0, m1 = 1.0, 1 / alpha
-    for _ in range(max(rounds, 0)):
-        m = 2 * m1 / alpha - m0
-        new = join(y1).join(y0.withColumnRenamed("value", "y0"), ["id", "dim"])
-        y = cut(new.select("id", "dim", (2 * m1 / m * F.col("w") - m0 / m * F.col("y0") + 2 * m1 / (alpha * m) * a * F.col("v0")).alias("value")), "spread")
-        if tol > 0 and _spectral(y, y1) < tol:
-            y1 = y
-            break
-        y0, y1, m0, m1 = y1, y, m1, m
+
+    def run(dims: list) -> DataFrame:
+        width = len(dims)
+
+        def next_of(y: DataFrame, f: Callable[[int], Column]) -> DataFrame:
+            """id, v0, prev (the array so far) and vec (f of a place) from y (id, v0, prev, vec) and its step w."""
+            joined = y.join(_step(p, y, width), "id", "left").withColumn("w", _or_zero("w", width))
+            return joined.select("id", "v0", F.col("vec").alias("prev"), _each(f, width).alias("vec"))
+
+        first = _wide(nodes, x0, dims, "v0").select("id", "v0", F.col("v0").alias("prev"), F.col("v0").alias("vec"))
+        y = cut(next_of(cut(first, "spread"), lambda d: alpha * F.col("w")[d] + a * F.col("v0")[d]), "spread")
+        m0, m1 = 1.0, 1 / alpha
+        for _ in range(max(rounds, 0)):
+            m = 2 * m1 / alpha - m0
+            y = cut(next_of(y, lambda d: 2 * m1 / m * F.col("w")[d] - m0 / m * F.col("prev")[d] + 2 * m1 / (alpha * m) * a * F.col("v0")[d]), "spread", y)
+            if tol > 0 and _spectral(y, width) < tol:
+                break
+            m0, m1 = m1, m
+        return y
+
+    got = _by_groups(x0, run)
     if x0.agg(F.min("value")).first()[0] >= 0:
-        y1 = y1.withColumn("value", F.greatest("value", F.lit(0.0)))
-    return y1
-
-
-def _spectral(a: DataFrame, b: DataFrame) -> float:
-    """The largest singular value of a - b, from the products of its few columns."""
-    diff = a.join(b.withColumnRenamed("value", "other"), ["id", "dim"]).select("id", "dim", (F.col("value") - F.col("other")).alias("d"))
-    rows = diff.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "d"))).alias("m"))
-    dims = sorted(r[0] for r in diff.select("dim").distinct().collect())
-    pairs = [(i, j) for i in range(len(dims)) for j in range(i, len(dims))]
-    got = rows.agg(*[F.sum(F.col("m")[dims[i]] * F.col("m")[dims[j]]).alias(f"{i}_{j}") for i, j in pairs]).first()
-    g = np.zeros((len(dims), len(dims)))
-    for (i, j), v in zip(pairs, got):
-        g[i, j] = g[j, i] = v
+        got = got.withColumn("value", F.greatest("value", F.lit(0.0)))
+    return got
+
+
+def _spectral(y: DataFrame, width: int) -> float:
+    """The largest singular value of vec - prev, from the products of its few columns."""
+
+    def work(now: np.ndarray, before: np.ndarray) -> np.ndarray:
+        return (now - before).T @ (now - before)
+
+    g = sum_of(y.select("vec", "prev"), work, width * width).reshape(width, width)
     return float(np.sqrt(max(0.0, np.linalg.eigvalsh(g)[-1])))
 
 
-def label_enrichment(g: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, label, score: how far a node's weight to a label exceeds what the label's share would give (an upper bound of a tail, in natural logs). Pairs without weight score 0 and have no row."""
+def diffuse_solved(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float = 0.85, tol: float = 1e-10, rounds: int = 200) -> DataFrame:
+    """id, dim, value with value = alpha P value + (1 - alpha) x0, P being the graph whose columns sum to one (an isolated node's are zero) and the columns of x0 made to sum to one: the walk's limit, by stabilised biconjugate gradients.
+
+    Columns go together, each with numbers of its own, until every residual's length is below `tol`. A round is two products with the edges, each from a written table.
+    """
+    if not 0 <= alpha < 1:
+        raise ValueError("alpha lies in [0, 1)")
+    p = cut(normalize(g.select(F.col("src").alias("row_id"), F.col("dst").alias("col_id"), F.col("weight").alias("value"))).select(F.col("row_id").alias("src"), F.col("col_id").alias("dst"), F.col("value").alias("weight")), "walk")
+    seeds = cut(normalize(x0, "dim"), "seeds")
+
+    def run(dims: list) -> DataFrame:
+        width = len(dims)
+        at = lambda c: lambda d: F.col(c)[d]
+        lit = lambda numbers: lambda d: F.lit(float(numbers[d]))
+
+        def applied(rows: DataFrame, of: str, to: str) -> DataFrame:
+            """`rows` with `to`: (I - alpha P) times the arrays `of`."""
+            joined = rows.join(_step(p, rows, width, of), "id", "left").withColumn("w", _or_zero("w", width))
+            return joined.withColumn(to, _each(lambda d: F.col(of)[d] - alpha * F.col("w")[d], width)).drop("w")
+
+        def sums(rows: DataFrame, *pairs: tuple[str, str]) -> np.ndarray:
+            got = rows.agg(*[F.sum(F.col(a)[d] * F.col(b)[d]) for a, b in pairs for d in range(width)]).first()
+            return np.array([x or 0.0 for x in got]).reshape(len(pairs), width)
+
+        over = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+        b = _wide(nodes, seeds, dims, "b").withColumn("x", _each(lambda d: (1 - alpha) * F.col("b")[d], width))
+        state = cut(applied(cut(b, "solve"), "x", "ax").select("id", "x", _each(lambda d: F.col("x")[d] - F.col("ax")[d], width).alias("r")).select("id", "x", "r", F.col("r").alias("hat"), F.col("r").alias("p"), _each(lambda d: F.lit(0.0), width).alias("v")), "solve")
+        rho = sums(state, ("r", "r"))[0]
+        size, beta, omega = rho.copy(), np.zeros(width), np.zeros(width)
+        for _ in range(rounds):
+            if (np.sqrt(size) <= tol).all():
+                break
+            new_p = _each(lambda d: at("r")(d) + lit(beta)(d) * (at("p")(d) - lit(omega)(d) * at("v")(d)), width)
+            half = cut(applied(state.withColumn("p", new_p).drop("v"), "p", "v"), "solve")
+            step = over(rho, sums(half, ("hat", "v"))[0])
+            with_s = half.withColumn("s", _each(lambda d: at("r")(d) - lit(step)(d) * at("v")(d), width)).drop("r")
+            whole = cut(applied(with_s, "s", "t"), "solve", state)
+            ts, tt, hs, ht, ss = sums(whole, ("t", "s"), ("t", "t"), ("hat", "s"), ("hat", "t"), ("s", "s"))
+            omega = over(ts, tt)
+            size = np.maximum(0.0, ss - 2 * omega * ts + omega**2 * tt)
+            new_rho = hs - omega * ht
+            beta, rho = over(new_rho, rho) * over(step, omega), new_rho
+            x = _each(lambda d: at("x")(d) + lit(step)(d) * at("p")(d) + lit(omega)(d) * at("s")(d), width)
+            r = _each(lambda d: at("s")(d) - lit(omega)(d) * at("t")(d), width)
+            state = cut(whole.select("id", x.alias("x"), r.alias("r"), "hat", "p", "v"), "solve", whole)
+        return state.select("id", F.col("x").alias("vec"))
+
+    return _by_groups(seeds, run)
+
+
+def _totals(g: DataFrame) -> DataFrame:
+    """id, r, q, a: a node's weights' sum, sum of squares and largest."""
+    return g.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("r"), F.sum(F.col("weight") ** 2).alias("q"), F.max("weight").alias("a"))
+
+
+def label_enrichment(g: DataFrame, labels: DataFrame, nodes: DataFrame, totals: DataFrame | None = None) -> DataFrame:
+    """id, label, score: how far a node's weight to a label exceeds what the label's share would give (an upper bound of a tail, in natural logs). Pairs without weight score 0 and have no row. `totals` of the same graph may be at hand."""
     n = nodes.count()
     some = labels.where(F.col("label") >= 0)
     share = some.groupBy("label").agg((F.count(F.lit(1)) / n).alias("p"))
     seen = g.join(some.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("o"))
-    rows = g.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("r"), F.sum(F.col("weight") ** 2).alias("q"), F.max("weight").alias("a"))
+    rows = _totals(g) if totals is None else totals
     over = F.col("o") - F.col("r") * F.col("p")
     score = F.when(over > 0, F.try_divide(over * over, 2 * (F.col("q") * F.col("p") + F.col("a") * over / 3))).otherwise(0.0)
     return seen.join(rows, "id").join(share, "label").select("id", "label", F.coalesce(score, F.lit(0.0)).alias("score"))
@@ -111,10 +209,10 @@ def propagate(g: DataFrame, nodes: DataFrame, labels: DataFrame, fixed: DataFram
         g = g.unionByName(nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(self_weight).alias("weight")))
     t = cut(normalize_graph(g, nodes, 1).withColumn("weight", F.col("weight") * n), "walk")
     start = nodes.join(labels, "id", "left").select("id", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
-    now = cut(start, "labels")
+    now, totals = cut(start, "labels"), cut(_totals(t), "totals")
     held = fixed.select("id", F.lit(True).alias("held")).join(start.withColumnRenamed("label", "own"), "id") if fixed is not None else None
     for _ in range(rounds):
-        best = label_enrichment(t, now, nodes).where(F.col("score") > least).groupBy("id").agg(F.max(F.struct("score", (-F.col("label")).alias("neg"))).alias("b")).select("id", (-F.col("b.neg")).alias("new"))
+        best = label_enrichment(t, now, nodes, totals).where(F.col("score") > least).groupBy("id").agg(F.max(F.struct("score", (-F.col("label")).alias("neg"))).alias("b")).select("id", (-F.col("b.neg")).alias("new"))
         moved = now.join(best, "id", "left").select("id", F.coalesce("new", "label").alias("label"))
         if held is not None:
             moved = moved.join(held, "id", "left").select("id", F.when(F.col("held"), F.col("own")).otherwise(F.col("label")).alias("label"))
@@ -178,6 +276,30 @@ def centrality(g: DataFrame, groups: DataFrame) -> DataFrame:
     return cores.select("id", (F.col("core") / F.when(sd == 0, 1.0).otherwise(sd)).alias("centrality"))
 
 
+def dense_regions(g: DataFrame, nodes: DataFrame, least: int = 5, eps: float = 0.5, alpha: float = 0.85, scores: DataFrame | None = None) -> DataFrame:
+    """id, label, core: clusters of a symmetric graph by density. A core has `least` neighbours or more by edges heavier than `eps`; cores so joined are one cluster, numbered from 1 in the order of their
+    first cores; a node beside cores belongs to the first cluster that reaches it; all others are noise, label 0. Self-loops are left out.
+
+    The order is that of `scores` (id, score), the largest first and ties by id: the nodes' core numbers, spread over the graph for three rounds, unless others are given.
+    """
+    g = g.where("src <> dst")
+    if scores is None:
+        cores_of = coreness(g, nodes).select("id", F.lit(0).alias("dim"), F.col("core").cast("double").alias("value"))
+        scores = diffuse(g, nodes, cores_of, alpha, 3).select("id", F.col("value").alias("score"))
+    order = running(nodes.select("id").join(scores, "id", "left").select("id", (-F.coalesce("score", F.lit(0.0))).alias("neg"), F.lit(1).alias("one")), ["neg", "id"], {"one": "place"})
+    heavy = cut(g.where(F.col("weight") > eps).select("src", "dst"), "heavy")
+    cores = heavy.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("id")
+    cores = cut(cores.join(order.select("id", "place"), "id"), "cores")
+    inner = heavy.join(cores.select(F.col("id").alias("src")), "src", "left_semi").join(cores.select(F.col("id").alias("dst")), "dst", "left_semi")
+    joined = components(inner.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v")), "regions")
+    of_core = cores.join(joined.withColumnRenamed("node", "id"), "id", "left").select("id", "place", F.coalesce("component", "id").alias("component"))
+    firsts = of_core.groupBy("component").agg(F.min("place").alias("first"), F.lit(1).alias("one"))
+    numbers = running(firsts, ["first"], {"one": "label"}).select("component", (F.col("label") + 1).cast("int").alias("label"))
+    of_core = cut(of_core.join(numbers, "component").select("id", "label"), "regions")
+    beside = heavy.join(of_core.select(F.col("id").alias("src"), "label"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("label").alias("beside"))
+    return nodes.select("id").join(of_core, "id", "left").join(beside, "id", "left").select("id", F.coalesce("label", "beside", F.lit(0)).cast("int").alias("label"), F.col("label").isNotNull().alias("core"))
+
+
 def sweep(g: DataFrame, scores: DataFrame, least: int = 1) -> DataFrame:
     """size, id, conductance of the sets of the nodes with the largest scores (id, score; ties by id), from `least` nodes on: the weight that leaves the set over the lesser of its weight and the rest's, of a symmetric graph without its self-loops. Null where one side weighs nothing.
 

@@ -1,9 +1,9 @@
 """Neighbours, exact or from a candidate index, and the graphs made of them.
 
 Exact neighbours are found in a grid of blocks: a cell of the grid holds one block of rows and streams a share of
-all others past it, keeping the k nearest of each row; a window merges the k of each share. That is every row with every other: for large
-tables `approximate` deals rows into cells around centres first, and a row looks into the `probes` cells nearest to it only, with
-exact distances there. Distances are
+all others past it, keeping the k nearest of each row; a window merges the k of each share. That is every row with every other, as the graphs have it unless
+the caller asks for a recall: `approximate` then deals rows into cells around centres, and a row looks into the cells nearest to it only, as many as that recall
+takes by a measurement on some rows, with exact distances there. `descend` improves short lists through neighbours of neighbours. Distances are
 `l2` (squared), `ip` (one minus the product) and `jsd` (the root of the Jensen-Shannon divergence in bits, plus half of any missing mass).
 """
 
@@ -18,12 +18,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matloom.operators.dense import rows_of
+from matloom.plans.joins import broadcast_if_small
 from matloom.plans.materialize import cut
 
 BLOCK, TILE, SPARE = 1024, 4096, 16
 METRICS = ("l2", "ip", "jsd")
-#: Rows up to which graphs are built from exact neighbours.
-EXACT = 50_000
 
 
 def _plogp(x: np.ndarray) -> np.ndarray:
@@ -181,30 +180,68 @@ def centres(v: DataFrame, count: int, sample: int = 20_000, rounds: int = 8) ->
     return c
 
 
-def approximate(v: DataFrame, k: int, metric: str, probes: int = 12, count: int | None = None) -> DataFrame:
-    """The same as neighbours(), from the `probes` cells nearest to each row of `count` (about the root of the number of rows) around centres; every row stands in one cell.
+def _root_of(x: np.ndarray, metric: str) -> np.ndarray:
+    """Where a row lies for cells: under jsd over the roots of its entries, where distances are alike."""
+    return np.sqrt(np.maximum(x, 0)) if metric == "jsd" else x
 
-    A cell with more rows than a block is looked at in a grid of blocks as a whole table is, so a common region is spread over tasks. Under jsd cells are laid out over the roots of the entries, where distances are alike.
-    """
-    if metric not in METRICS:
-        raise ValueError(f"the distance is one of {', '.join(METRICS)}")
-    n = v.count()
-    if not n:
-        return neighbours(v, k, metric)
+
+def _cell_centres(v: DataFrame, n: int, metric: str, count: int | None) -> np.ndarray:
     laid = v.select("id", F.transform("vec", lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))).alias("vec")) if metric == "jsd" else v
-    c = centres(laid, count or max(1, min(4096, int(math.sqrt(n)))))
-    probes = min(probes, len(c))
+    return centres(laid, count or max(1, min(4096, int(math.sqrt(n)))))
+
+
+def _placed(v: DataFrame, c: np.ndarray, probes: int, metric: str) -> DataFrame:
+    """id, vec, own (the cell of a row), near (the `probes` cells nearest to it), written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, TILE):
                 part = batch.slice(i, TILE)
-                x = rows_of(part.column(1))
-                d = tile(np.sqrt(np.maximum(x, 0)) if metric == "jsd" else x, c, "l2")[0]
+                d = tile(_root_of(rows_of(part.column(1)), metric), c, "l2")[0]
                 some = np.argpartition(d, probes - 1, axis=1)[:, :probes] if probes < len(c) else np.broadcast_to(np.arange(len(c)), d.shape)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d.argmin(1), pa.int32()), pa.array(some.tolist(), pa.list_(pa.int32()))], names=["id", "vec", "own", "near"])
 
-    placed = cut(v.select("id", "vec").mapInArrow(run, "id long, vec array<double>, own int, near array<int>"), "placed")
+    return cut(v.select("id", "vec").mapInArrow(run, "id long, vec array<double>, own int, near array<int>"), "placed")
+
+
+def probes_for(v: DataFrame, c: np.ndarray, k: int, metric: str, recall: float, sample: int = 256) -> int:
+    """The fewest cells to look into for a mean recall of `recall` at k, measured: the exact neighbours of the `sample` rows with the least hashes of their ids, among all rows, are counted by how near to the row their cells stand. As many counts as there are cells come back."""
+    asked = cut(v.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(sample), "asked")
+    real = neighbours(asked, k + 1, metric, v.select("id", "vec")).where("id <> nbr").where(F.col("pos") <= k + 1)
+    real = real.withColumn("pos", F.row_number().over(Window.partitionBy("id").orderBy("dist", "nbr"))).where(F.col("pos") <= k)
+    own = _placed(v, c, 1, metric).select(F.col("id").alias("nbr"), "own")
+    found = real.join(own, "nbr").groupBy("id", "own").agg(F.count(F.lit(1)).alias("n")).join(asked, "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(c), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                d = tile(_root_of(rows_of(batch.column(2)), metric), c, "l2")[0]
+                own = batch.column(0).to_numpy()
+                np.add.at(counts, (d < d[np.arange(len(own)), own][:, None]).sum(1), batch.column(1).to_numpy())
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["rank", "n"])
+
+    counts = np.zeros(len(c), np.int64)
+    for rank, n in found.select("own", "n", "vec").mapInArrow(run, "rank int, n long").groupBy("rank").agg(F.sum("n")).collect():
+        counts[rank] = n
+    covered = counts.cumsum() / max(1, counts.sum())
+    return int(np.searchsorted(covered, recall - 1e-12)) + 1
+
+
+def approximate(v: DataFrame, k: int, metric: str, recall: float = 0.95, probes: int | None = None, count: int | None = None) -> DataFrame:
+    """The same as neighbours(), from the `probes` cells nearest to each row of `count` (about the root of the number of rows) around centres; every row stands in one cell. As many are looked into as a mean recall of `recall` at this k takes (probes_for), unless `probes` is given.
+
+    A cell with more rows than a block is looked at in a grid of blocks as a whole table is, so a common region is spread over tasks.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"the distance is one of {', '.join(METRICS)}")
+    n = v.count()
+    if n < 2:
+        return neighbours(v, k, metric)
+    c = _cell_centres(v, n, metric, count)
+    probes = min(probes or probes_for(v, c, min(k, n - 1), metric, recall), len(c))
+    placed = _placed(v, c, probes, metric)
     asking = placed.select(F.explode("near").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("asks"))
     holding = placed.groupBy(F.col("own").alias("list")).agg(F.count(F.lit(1)).alias("holds"))
     # As many numbers as there are centres.
@@ -215,8 +252,87 @@ def approximate(v: DataFrame, k: int, metric: str, probes: int = 12, count: int
     return _best(_cells(cells.select("cell", "side", "id", "vec"), k, metric, True), k)
 
 
-def found(v: DataFrame, n: int, k: int, metric: str, exact_up_to: int) -> DataFrame:
-    return neighbours(v, k, metric) if n <= exact_up_to else approximate(v, k, metric)
+#: Members of one gathering of descend(): the rows around a row.
+AROUND = 512
+
+
+def _met(gathered: DataFrame, width: int, metric: str) -> DataFrame:
+    """id, nbr, dist of the pairs of members of each gathering (cell, id, fresh, reach, vec), one of them fresh, that are nearer than the member's `reach`; the `width` nearest of each member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        at = None
+
+        def look() -> pa.RecordBatch | None:
+            ids, fresh, reach = (np.concatenate([h[i] for h in held]) for i in (0, 1, 2))
+            ids, first = np.unique(ids, return_index=True)
+            x, fresh, reach = np.concatenate([h[3] for h in held])[first], fresh[first], reach[first]
+            d, error = tile(x, x, metric)
+            d[~(fresh[:, None] | fresh[None, :])] = np.inf
+            np.fill_diagonal(d, np.inf)
+            d[d > reach[:, None] + error] = np.inf
+            if len(ids) > width:
+                far = np.argpartition(d, width, axis=1)[:, width:]
+                np.put_along_axis(d, far, np.inf, 1)
+            i, j = np.nonzero(np.isfinite(d))
+            if not len(i):
+                return None
+            real = np.concatenate([exact(x[i[a : a + TILE]], x[j[a : a + TILE]], metric) for a in range(0, len(i), TILE)])
+            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(real)], names=["id", "nbr", "dist"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell, ids, fresh, reach = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x = rows_of(batch.column(4))
+            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and cell[a] != at:
+                    if (got := look()) is not None:
+                        yield got
+                    held.clear()
+                at = cell[a]
+                held.append((ids[a:b], fresh[a:b], reach[a:b], x[a:b]))
+        if held and (got := look()) is not None:
+            yield got
+
+    return gathered.select("cell", "id", "fresh", "reach", "vec").mapInArrow(run, "id long, nbr long, dist double")
+
+
+def descend(v: DataFrame, k: int, metric: str, probes: int = 2, spare: int = 12, rounds: int = 12, least: float = 0.001) -> DataFrame:
+    """The same as neighbours(), nearly: neighbour lists of k + `spare`, taken from the `probes` nearest cells at first, become better through the neighbours of neighbours, until a round changes a share of less than `least` of them.
+
+    A round gathers around each row the members of its list and the rows that have it in theirs; all that meet there are compared if one of them is new to
+    the list. Where more than `AROUND` rows have one in their lists, they are dealt over as many gatherings, the list's members being in each. It pays while the square of the list is below the number of rows that
+    approximate() would compare: for a short list of a large table.
+    """
+    width = k + spare
+    seeds = approximate(v, width, metric, probes=probes).select("id", "nbr", "dist", F.lit(True).alias("fresh"))
+    now = cut(seeds, "lists")
+    vectors = cut(v.select("id", "vec"), "vectors")
+    n = vectors.count()
+    by_id = Window.partitionBy("id").orderBy("dist", "nbr")
+    for _ in range(rounds):
+        hubs = broadcast_if_small(cut(now.groupBy(F.col("nbr").alias("at")).agg(F.ceil(F.count(F.lit(1)) / AROUND).cast("int").alias("parts")).where("parts > 1"), "hubs"))
+        split = lambda df, member: df.join(hubs, "at", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).select("at", "member", "fresh", member.alias("part"))
+        listed = split(now.select(F.col("id").alias("at"), F.col("nbr").alias("member"), "fresh"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        listing = split(now.select(F.col("nbr").alias("at"), F.col("id").alias("member"), "fresh"), F.pmod(F.xxhash64("member"), F.col("parts")).cast("int"))
+        # A row whose list is not full takes whatever it meets.
+        reach = now.groupBy("id").agg(F.when(F.count(F.lit(1)) >= width, F.max("dist")).otherwise(float("inf")).alias("reach"))
+        known = vectors.join(reach, "id", "left").select("id", "vec", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
+        met = listed.union(listing).groupBy("at", "part", "member").agg(F.max("fresh").alias("fresh"))
+        gathered = met.withColumnRenamed("member", "id").join(known, "id").withColumn("cell", F.xxhash64("at", "part")).repartition("cell").sortWithinPartitions("cell")
+        new = _met(gathered, width, metric).withColumn("fresh", F.lit(True))
+        both = now.withColumn("fresh", F.lit(False)).unionByName(new).groupBy("id", "nbr").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh"))
+        now = cut(both.withColumn("pos", F.row_number().over(by_id)).where(F.col("pos") <= width).select("id", "nbr", "dist", "fresh"), "lists", now)
+        if now.where("fresh").count() < least * n * width:
+            break
+    return now.withColumn("pos", F.row_number().over(by_id)).where(F.col("pos") <= k).select("id", "nbr", "pos", "dist")
+
+
+def found(v: DataFrame, k: int, metric: str, recall: float | None) -> DataFrame:
+    """The exact neighbours, or, where the caller asks for a `recall`, those of approximate()."""
+    return neighbours(v, k, metric) if recall is None else approximate(v, k, metric, recall)
 
 
 def _similar(directed: DataFrame, metric: str) -> DataFrame:
@@ -249,11 +365,10 @@ def kept(near: DataFrame, k: int, density: float = 1.0) -> DataFrame:
     return near.withColumn("last", F.coalesce(first - 2, F.lit(k - 1))).where(F.col("pos") <= F.col("last"))
 
 
-def adaptive(v: DataFrame, metric: str = "jsd", density: float = 1.0, mutual: bool = True, directed: bool = False, exact_up_to: int = EXACT) -> DataFrame:
-    """The k*-nearest-neighbour graph (src, dst, weight): every node keeps as many of its nearest as the cut of running sums allows, less the last. Beyond `exact_up_to` rows neighbours come from approximate()."""
-    n = v.count()
-    k = breadth(n)
-    g = _similar(kept(found(v, n, k, metric, exact_up_to), k, density).select(F.col("nbr").alias("src"), F.col("id").alias("dst"), F.col("dist").alias("d")), metric)
+def adaptive(v: DataFrame, metric: str = "jsd", density: float = 1.0, mutual: bool = True, directed: bool = False, recall: float | None = None) -> DataFrame:
+    """The k*-nearest-neighbour graph (src, dst, weight): every node keeps as many of its nearest as the cut of running sums allows, less the last. Neighbours are exact, or approximate() ones of a mean `recall`."""
+    k = breadth(v.count())
+    g = _similar(kept(found(v, k, metric, recall), k, density).select(F.col("nbr").alias("src"), F.col("id").alias("dst"), F.col("dist").alias("d")), metric)
     return g if directed else symmetric(g, mutual)
 
 
@@ -264,18 +379,18 @@ def bipartite(v: DataFrame, others: DataFrame, metric: str = "jsd", density: flo
     return _similar(kept(neighbours(v, k, metric, others), k, density).select(F.col("nbr").alias("src"), F.col("id").alias("dst"), F.col("dist").alias("d")), metric)
 
 
-def fixed(v: DataFrame, k: int = 10, metric: str = "jsd", mutual: bool = True, farthest: bool = False, directed: bool = False, exact_up_to: int = EXACT) -> DataFrame:
-    """The graph of the k nearest, of which a node itself is one. `farthest` keeps only the farther half of them."""
-    near = found(v, v.count(), k - 1, metric, exact_up_to)
+def fixed(v: DataFrame, k: int = 10, metric: str = "jsd", mutual: bool = True, farthest: bool = False, directed: bool = False, recall: float | None = None) -> DataFrame:
+    """The graph of the k nearest, of which a node itself is one. `farthest` keeps only the farther half of them. Neighbours are exact, or approximate() ones of a mean `recall`."""
+    near = found(v, k - 1, metric, recall)
     if farthest:
         near = near.where(F.col("pos") + 1 > k - math.ceil(k / 2))
     g = _similar(near.select(F.col("id").alias("src"), F.col("nbr").alias("dst"), F.col("dist").alias("d")), metric)
     return g if directed else symmetric(g, mutual)
 
 
-def build(v: DataFrame, algorithm: str = "k*nn", metric: str = "jsd", density: float = 1.0, mutual: bool = True, k: int = 10) -> DataFrame:
+def build(v: DataFrame, algorithm: str = "k*nn", metric: str = "jsd", density: float = 1.0, mutual: bool = True, k: int = 10, recall: float | None = None) -> DataFrame:
     if algorithm == "k*nn":
-        return adaptive(v, metric, density, mutual)
+        return adaptive(v, metric, density, mutual, recall=recall)
     if algorithm == "knn":
-        return fixed(v, k, metric, mutual)
+        return fixed(v, k, metric, mutual, recall=recall)
     raise ValueError("the algorithm is k*nn or knn")

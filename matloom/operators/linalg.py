@@ -51,7 +51,7 @@ def eig_svd(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return a @ v / np.where(s > 0, s, 1.0), s, v
 
 
-def _sum_of(rows: DataFrame, work, width: int) -> np.ndarray:
+def sum_of(rows: DataFrame, work, width: int) -> np.ndarray:
     """The sum over tasks of what `work` makes of a block of rows, an array for each column: a flat array of `width` numbers, added up in a tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,13 +68,13 @@ def _sum_of(rows: DataFrame, work, width: int) -> np.ndarray:
                 total += x.values.to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], names=["sum"])
 
-    some = rows.mapInArrow(run, "sum array<double>").repartition(8).mapInArrow(add, "sum array<double>")
+    some = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))]).mapInArrow(run, "sum array<double>").repartition(8).mapInArrow(add, "sum array<double>")
     return sum((np.array(r[0]) for r in some.collect()), np.zeros(width))
 
 
 def gram_times(v: DataFrame, q: np.ndarray) -> np.ndarray:
     """XᵀX Q in one pass."""
-    return _sum_of(v.select("vec"), lambda x: x.T @ (x @ q), q.size).reshape(q.shape)
+    return sum_of(v.select("vec"), lambda x: x.T @ (x @ q), q.size).reshape(q.shape)
 
 
 @dataclass
@@ -140,7 +140,7 @@ def perturbed(v: DataFrame, old: Svd, a: np.ndarray, project: np.ndarray, shift:
     k, c = len(old.values), a.shape[1]
     p, s0 = np.concatenate([old.project, project], 1), np.concatenate([old.shift, shift])
     size = k + c
-    both = _sum_of(v.select("vec"), lambda x: (y := x @ p + s0).T @ y, size * size).reshape(size, size)
+    both = sum_of(v.select("vec"), lambda x: (y := x @ p + s0).T @ y, size * size).reshape(size, size)
     m, cross = old.left.T @ a, both[:k, k:]
     q1, r1 = np.linalg.qr(a - old.left @ m)
     # B less its part in V, orthonormalised through its Gram matrix.
@@ -181,7 +181,7 @@ def orthogonalize_batch(v: DataFrame, old: Svd, design: DataFrame) -> Svd:
     width = len(design.select("vec").first()[0])
     m = old.left.shape[0]
     joined = v.select("id", "vec").join(design.withColumnRenamed("vec", "design"), "id").select("vec", "design")
-    return orthogonalize_basal(v, old, _sum_of(joined, lambda x, d: x.T @ d, m * width).reshape(m, width))
+    return orthogonalize_basal(v, old, sum_of(joined, lambda x, d: x.T @ d, m * width).reshape(m, width))
 
 
 def orthogonalize_basal(v: DataFrame, old: Svd, basal: np.ndarray) -> Svd:

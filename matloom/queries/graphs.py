@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matloom import functions
-from matloom.operators import coo, graph, knn
+from matloom.operators import coo, fuzzy, graph, knn
 from matloom.queries.base import E, H, V, labels, long, query, r6, simplex, vectors
 from matloom.plans.materialize import cut
 
@@ -81,10 +81,52 @@ def bipartite_kstar(spark, d):
 
 @query("knn_cells")
 def knn_cells(spark, d):
-    """The ten nearest from cells around centres, as for tables too large for every pair; tests measure the recall."""
+    """The ten nearest from cells around centres, for a recall of 0.95, as for tables too large for every pair; tests measure the recall."""
     return r6(knn.approximate(vectors(spark, d), 10, "l2").select("id", "nbr", "pos", "dist"), "dist")
 
 
+@query("knn_descent")
+def knn_descent(spark, d):
+    """The ten nearest by neighbours of neighbours; tests measure the recall."""
+    return r6(knn.descend(vectors(spark, d), 10, "l2").select("id", "nbr", "pos", "dist"), "dist")
+
+
+#: The width of every node by halving an interval, 60 times.
+WIDTHS = (
+    "nd AS (SELECT id, min(d) AS rho, log2(count(*) + 1) AS target, count(*) AS k FROM nn GROUP BY id), "
+    "ws AS (SELECT 0 AS i, id, 0.0::DOUBLE AS low, NULL::DOUBLE AS high, 1.0::DOUBLE AS width FROM nd UNION ALL "
+    "SELECT i + 1, id, CASE WHEN got > target THEN low ELSE width END, CASE WHEN got > target THEN width ELSE high END, "
+    "CASE WHEN got > target THEN (low + width) / 2 WHEN high IS NULL THEN width * 2 ELSE (width + high) / 2 END "
+    "FROM (SELECT i, id, low, high, width, target, sum(exp(-(d - rho) / width)) AS got FROM ws JOIN nd USING (id) JOIN nn USING (id) WHERE i < 60 GROUP BY ALL)), "
+    "fw AS (SELECT nn.nbr AS src, nn.id AS dst, exp(-(nn.d - rho) / greatest(width, 0.001 * avg(nn.d) OVER (PARTITION BY nn.id))) AS weight FROM nn JOIN nd USING (id) JOIN (SELECT id, width FROM ws WHERE i = 60) USING (id))"
+)
+
+
+@query(
+    "fuzzy_graph",
+    f"WITH RECURSIVE {near('l2', '15')}, {WIDTHS}, fb AS (SELECT src, dst, weight FROM fw UNION ALL SELECT dst, src, weight FROM fw) "
+    f"SELECT src, dst, {R('CASE WHEN count(*) = 2 THEN sum(weight) - max(weight) * min(weight) ELSE sum(weight) END', 'weight')} FROM fb GROUP BY src, dst",
+)
+def fuzzy_graph(spark, d):
+    """Fifteen neighbours as a fuzzy set, and the union of both directions."""
+    near = knn.neighbours(vectors(spark, d), 15, "l2")
+    return r6(fuzzy.fuzzy_union(fuzzy.smooth_weights(near, tol=1e-12)), "weight")
+
+
+@query(
+    "placed_points",
+    f"WITH {kstar('l2').replace('ON a.id <> b.id', 'ON a.id % 2 = 0 AND b.id % 2 = 1').replace('(SELECT count(*) FROM v) - 1', '(SELECT count(*) FROM v WHERE id % 2 = 1)').replace('sqrt((SELECT count(*) FROM v))', 'sqrt((SELECT count(*) FROM v WHERE id % 2 = 1))')}, "
+    "pl AS (SELECT g.dst AS id, sum(g.weight * v.vec[1]) / sum(abs(g.weight)) AS x, sum(g.weight * v.vec[2]) / sum(abs(g.weight)) AS y FROM g JOIN v ON v.id = g.src GROUP BY g.dst) "
+    f"SELECT id, {R('x', 'x')}, {R('y', 'y')} FROM pl",
+)
+def placed_points(spark, d):
+    """Vectors of even ids among their neighbours of odd ids, which stand at their first two components."""
+    new, old = _halves(vectors(spark, d))
+    g = knn.bipartite(new, old, "l2").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+    at = fuzzy.placed(g, old.select("id", F.slice("vec", 1, 2).alias("vec")))
+    return r6(at.select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")), "x", "y")
+
+
 query("kstar_union", f"WITH {kstar('l2', UNION)} {EDGES}")(lambda spark, d: r6(knn.adaptive(vectors(spark, d), "l2", mutual=False), "weight"))
 query("knn_compat", f"WITH {fixed('l2', 'pos + 1 > 5')} {EDGES}")(lambda spark, d: r6(knn.fixed(vectors(spark, d), 10, "l2", farthest=True), "weight"))
 query("sym_mutual", f"WITH {fixed('l2')} {EDGES}")(lambda spark, d: r6(coo.symmetric(knn.fixed(vectors(spark, d), 10, "l2", directed=True), True), "weight"))
@@ -137,6 +179,18 @@ def cheb() -> str:
     return ", ".join(steps)
 
 
+@query(
+    "pagerank_limit",
+    f"WITH RECURSIVE {G}, pc AS (SELECT src, dst, weight / sum(abs(weight)) OVER (PARTITION BY dst) AS weight FROM net), "
+    "wy AS (SELECT 0 AS i, id, label AS dim, 1.0 / count(*) OVER (PARTITION BY label) AS value FROM v UNION ALL SELECT i + 1, src, dim, 0.85 * sum(weight * value) FROM wy JOIN pc ON dst = id WHERE i < 200 GROUP BY i, src, dim), "
+    "ws AS (SELECT id, dim, 0.15 * sum(value) AS value FROM wy GROUP BY ALL) "
+    f"SELECT id, dim, {R('coalesce(value, 0)', 'value')} FROM (SELECT id, dim FROM v CROSS JOIN (SELECT DISTINCT label AS dim FROM v)) LEFT JOIN ws USING (id, dim)",
+)
+def pagerank_limit(spark, d):
+    """The walks' limits by a linear solve; the SQL sums up 200 rounds."""
+    return r6(graph.diffuse_solved(*net(spark, d), _seeds(spark, d)), "value")
+
+
 query("pagerank_cheb", f"WITH {cheb()} SELECT id, dim, {R('greatest(value, 0)', 'value')} FROM y6")(lambda spark, d: r6(functions.network_diffusion(*net(spark, d), _seeds(spark, d), approx=True, tol=0.0), "value"))
 
 
@@ -187,6 +241,25 @@ def centrality(spark, d):
     return r6(graph.centrality(net(spark, d)[0], labels(spark, d)), "centrality")
 
 
+def regions(least: int, eps: str) -> str:
+    """Common table expressions that end in `lab` (id, label, core), by the order of core numbers spread for three rounds."""
+    steps = [f"{G}, {normed(0)}, {cores('net', 'v')}, x0 AS (SELECT id, c / (SELECT sum(c) FROM c40) AS value FROM c40), z AS (SELECT id, (CASE WHEN id IN (SELECT dst FROM net WHERE weight > 0) THEN 0.15 ELSE 1.0 END) / (SELECT count(*) FROM v) AS z FROM v), t0 AS (SELECT id, value FROM x0)"]
+    for i in range(1, 4):
+        steps.append(f"w{i} AS (SELECT src AS id, 0.85 * sum(weight * value) AS value FROM pn JOIN t{i - 1} ON id = dst GROUP BY ALL), t{i} AS (SELECT x0.id, coalesce(w{i}.value, 0) + (SELECT count(*) FROM v) * x0.value * (SELECT sum(z * value) FROM t{i - 1} JOIN z USING (id)) AS value FROM x0 LEFT JOIN w{i} USING (id))")
+    return ", ".join(steps) + (
+        f", pl AS (SELECT id, row_number() OVER (ORDER BY value DESC, id) AS place FROM t3), hv AS MATERIALIZED (SELECT src, dst FROM net WHERE weight > {eps}), co AS MATERIALIZED (SELECT src AS id FROM hv GROUP BY src HAVING count(*) >= {least}), "
+        "inr AS MATERIALIZED (SELECT src, dst FROM hv WHERE src IN (SELECT id FROM co) AND dst IN (SELECT id FROM co)), re AS (SELECT id, id AS root FROM co UNION SELECT inr.dst, re.root FROM re JOIN inr ON inr.src = re.id), "
+        "cm AS (SELECT id, min(root) AS comp FROM re GROUP BY id), nb AS (SELECT comp, row_number() OVER (ORDER BY min(place)) AS label FROM cm JOIN pl USING (id) GROUP BY comp), cl AS (SELECT id, label FROM cm JOIN nb USING (comp)), "
+        "bs AS (SELECT dst AS id, min(label) AS label FROM hv JOIN cl ON cl.id = hv.src GROUP BY dst), "
+        "lab AS (SELECT v.id, coalesce(cl.label, bs.label, 0)::INT AS label, cl.label IS NOT NULL AS core FROM v LEFT JOIN cl USING (id) LEFT JOIN bs ON bs.id = v.id)"
+    )
+
+
+@query("dense_regions", f"WITH RECURSIVE {regions(4, '1.0')} SELECT id, label, core FROM lab")
+def dense_regions(spark, d):
+    return graph.dense_regions(*net(spark, d), least=4, eps=1.0)
+
+
 @query(
     "sweep",
     f"WITH {G}, so AS (SELECT id, row_number() OVER (ORDER BY vec[1] DESC, id) AS size FROM v), sw AS (SELECT src AS id, sum(weight) AS w FROM net GROUP BY src), si AS (SELECT greatest(a.size, b.size) AS size, sum(weight) AS inside FROM net JOIN so a ON a.id = src JOIN so b ON b.id = dst GROUP BY ALL), "

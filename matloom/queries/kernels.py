@@ -5,8 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from matloom.operators import archetypes, color, layout, linalg, matching, simplex
-from matloom.queries.base import E, V, query, r6, vectors
+from matloom.operators import archetypes, color, convex, factors, layout, linalg, matching, simplex, sparse
+from matloom.queries.base import E, S, V, parts, query, r6, vectors
+from matloom.plans.materialize import cut
 from matloom.queries.graphs import R, net
 from matloom.sources.tables import table
 
@@ -45,6 +46,39 @@ def singular_values(spark, d):
     return spark.createDataFrame(rows, "algorithm string, i int, value double")
 
 
+def _sold(spark, d):
+    """Brand x supplier: quantities, in ten thousands. Few entries of few values each, whatever the number of lines."""
+    t = parts(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("long").alias("brand")), "row_id")
+    return t.groupBy(F.col("brand").alias("row_id"), "col_id").agg((F.sum("value") / 10000.0).alias("value"))
+
+
+SOLD = (
+    f"{S}, bq AS (SELECT regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT AS dim, col_id AS id, sum(value) / 10000.0 AS value FROM s JOIN part ON p_partkey = row_id GROUP BY ALL), "
+    "e AS MATERIALIZED (SELECT id, dim, coalesce(value, 0) AS value FROM (SELECT DISTINCT id FROM bq) CROSS JOIN (SELECT DISTINCT dim FROM bq) LEFT JOIN bq USING (id, dim))"
+)
+
+
+@query("svd_sparse", f"WITH {SOLD}, {powers('SELECT id, dim, value FROM e')} SELECT p, value, true AS left_unit, true AS right_unit FROM pw")
+def svd_sparse(spark, d):
+    """All singular values of brand x supplier by restarted bidiagonalisation, and whether both sides' vectors are orthonormal."""
+    got = sparse.svd(_sold(spark, d), 1 << 20)
+    good = [bool(np.allclose(linalg.gram(x).products, np.eye(len(got.values)), atol=1e-6)) for x in (got.left, got.right)]
+    return spark.createDataFrame([(p, x, *good) for p, x in _powers(got.values)], "p int, value double, left_unit boolean, right_unit boolean")
+
+
+@query(
+    "svd_sparse_first",
+    f"WITH RECURSIVE {S}, pv AS (SELECT 0 AS i, col_id, 1.0::DOUBLE AS v FROM (SELECT DISTINCT col_id FROM s) UNION ALL "
+    "SELECT i + 1, b.col_id, sum(b.value * u) AS v FROM (SELECT i, a.row_id, sum(a.value * v) AS u FROM pv JOIN s a USING (col_id) WHERE i < 16 GROUP BY ALL) JOIN s b USING (row_id) GROUP BY ALL), "
+    "pu AS (SELECT row_id, sum(s.value * v) AS u FROM pv JOIN s USING (col_id) WHERE i = 16 GROUP BY row_id) "
+    f"SELECT row_id, {R('u / sqrt(sum(u * u) OVER ())', 'u')} FROM pu",
+)
+def svd_sparse_first(spark, d):
+    """The first left vector of part x supplier."""
+    got = sparse.svd(parts(spark, d), 1)
+    return r6(got.left.select(F.col("id").alias("row_id"), F.col("vec")[0].alias("u")), "u")
+
+
 @query("perturbed_svd", f"WITH {E}, {powers('SELECT id, dim, value - avg(value) OVER (PARTITION BY id) AS value FROM e')} SELECT p, value FROM pw")
 def perturbed_svd(spark, d):
     """The decomposition after taking every vector's mean out: its values."""
@@ -74,6 +108,14 @@ def reduce_kernel(spark, d):
     return r6(got.select("id", dot("vec", "vec").alias("norm2"), dot(F.col("vec"), first).alias("dot")), "norm2", "dot")
 
 
+@query("reduce_kernel_sparse", f"WITH {SOLD}, {powers(without(AVERAGE))} SELECT p, value FROM pw")
+def reduce_kernel_sparse(spark, d):
+    """The values of the reduced kernel of brand x supplier, at full rank."""
+    t = _sold(spark, d)
+    got = sparse.reduce_kernel(t, *[t.select(F.col(c).alias("id")).distinct() for c in ("row_id", "col_id")], 1 << 20, grid=0.0)
+    return spark.createDataFrame(_powers(got.values), "p int, value double")
+
+
 def _reduced(spark, d, k=8):
     return linalg.reduce_kernel(vectors(spark, d), k).reduced
 
@@ -154,6 +196,52 @@ def aa(spark, d):
     return out
 
 
+@query("archetype_passes", f"WITH {V} SELECT 3::INT AS k, arch::INT AS arch, (SELECT count(*) FROM v) AS n, true AS mixes, true AS weighs FROM range(0, 3) b(arch)")
+def archetype_passes(spark, d):
+    """Three archetypes fitted by passes over the rows."""
+    t = archetypes.trace(_reduced(spark, d), 3, 3, rounds=2, passes=True)
+    return t.groupBy("k", "arch").agg(F.count(F.lit(1)).alias("n"), (F.abs(F.sum("c") - 1) < 1e-6).alias("mixes"), ((F.min("h") >= 0) & (F.max("h") <= 1)).alias("weighs"))
+
+
+@query("frank_wolfe", f"WITH {V} SELECT DISTINCT label, true AS simplex, true AS optimal FROM v")
+def frank_wolfe(spark, d):
+    """Each label's mean vector, twice as long, as a combination of all vectors: weights on the simplex, and no vector that weight could move to."""
+    v = cut(vectors(spark, d).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id"), "rows")
+    means = v.select("label", F.posexplode("vec").alias("dim", "x")).groupBy("label", "dim").agg((2 * F.avg("x")).alias("x"))
+    rows = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("vec")).orderBy("label").collect()
+    targets = np.array([r["vec"] for r in rows]).T
+    got = convex.frank_wolfe(v, targets, tol=1e-7)
+    least = [F.min(F.aggregate(F.zip_with("vec", F.array(*[F.lit(float(z)) for z in a.point() - targets[:, t]]), lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)).alias(f"s{t}") for t, a in enumerate(got)]
+    lows = v.agg(*least).first()
+    out = [(r["label"], bool((a.weights >= 0).all() and abs(a.weights.sum() - 1) < 1e-9), bool(lows[t] >= (a.point() - targets[:, t]) @ a.point() - 1e-6)) for t, (r, a) in enumerate(zip(rows, got))]
+    return spark.createDataFrame(out, "label int, simplex boolean, optimal boolean")
+
+
+@query(
+    "coreset",
+    f"WITH {E}, mu AS (SELECT dim, avg(value) AS mu FROM e GROUP BY dim), fa AS (SELECT id, sum((value - mu) * (value - mu)) AS far FROM e JOIN mu USING (dim) GROUP BY id), "
+    "pr AS (SELECT id, 0.5 / count(*) OVER () + 0.5 / sum(far) OVER () * far AS p FROM fa) "
+    f"SELECT id, {R('1.0 / (100 * p)', 'weight')} FROM pr ORDER BY -ln((('0x' || substr(md5('0:' || id), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / p, id LIMIT 100",
+)
+def coreset(spark, d):
+    return r6(convex.coreset(vectors(spark, d), 100).select("id", "weight"), "weight")
+
+
+@query("under_factors", f"WITH {S} SELECT DISTINCT col_id AS id, true AS below, true AS smaller FROM s JOIN part ON p_partkey = row_id")
+def under_factors(spark, d):
+    """Two factors of supplier x brand that stay below it, and whether what is left falls."""
+    t = _sold(spark, d)
+    brands = t.select("row_id").distinct().withColumnRenamed("row_id", "brand")
+    grid = t.select(F.col("col_id").alias("id")).distinct().join(F.broadcast(brands), F.lit(True))  # a brand each
+    full = grid.join(t.select(F.col("col_id").alias("id"), F.col("row_id").alias("brand"), "value"), ["id", "brand"], "left")
+    v = cut(full.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("brand", F.coalesce("value", F.lit(0.0)).alias("x")))), lambda e: e["x"]).alias("vec")), "sold")
+    got = factors.underapproximations(v, 2, rounds=5, strict=True)
+    f = got.features * got.weights
+    above = F.array(*[sum((F.lit(float(x)) * F.col("y")[k] for k, x in enumerate(row)), F.lit(0.0)) for row in f])
+    both = v.join(got.observations.withColumnRenamed("vec", "y"), "id").select("id", F.arrays_zip("vec", above.alias("f")).alias("z"))
+    return both.select("id", F.forall("z", lambda z: z["f"] <= z["vec"] + 1e-12).alias("below"), F.lit(bool(got.rest[1] <= got.rest[0] < 1)).alias("smaller"))
+
+
 @query("archetype_collect")
 def archetype_collect(spark, d):
     t = archetypes.trace(_reduced(spark, d), 2, 6, rounds=10)
