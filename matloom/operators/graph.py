@@ -27,29 +27,34 @@ ONE_TASK = 2_000_000
 TOGETHER = 64
 
 
-def _groups(x: DataFrame) -> list[list]:
+def column_groups(x: DataFrame) -> list[list]:
     """The columns of x (id, dim, value), in order, TOGETHER at a time. Their names alone come to the driver; each group is a run of its own."""
     dims = sorted(r[0] for r in x.select("dim").distinct().collect())
     return [dims[i : i + TOGETHER] for i in range(0, len(dims), TOGETHER)]
 
 
+def arrays(x: DataFrame, dims: list, keys: list[str]) -> DataFrame:
+    """keys and vec: the values of x (keys, dim, value) in the columns `dims`, zeros where there are none."""
+    have = x.where(F.col("dim").isin(dims)).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
+    return have.select(*keys, F.array(*[F.coalesce(F.try_element_at("m", F.lit(d)), F.lit(0.0)) for d in dims]).alias("vec"))
+
+
 def _wide(nodes: DataFrame, x: DataFrame, dims: list, name: str = "vec") -> DataFrame:
     """id and an array of a node's values in the columns `dims` of x (id, dim, value), zeros where it has none."""
-    have = x.where(F.col("dim").isin(dims)).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
-    return nodes.select("id").join(have, "id", "left").select("id", F.array(*[F.coalesce(F.try_element_at("m", F.lit(d)), F.lit(0.0)) for d in dims]).alias(name))
+    return nodes.select("id").join(arrays(x, dims, ["id"]), "id", "left").select("id", F.coalesce("vec", F.array(*[F.lit(0.0)] * len(dims))).alias(name))
 
 
 def _long(x: DataFrame, dims: list, kind) -> DataFrame:
     return x.select("id", F.explode(F.arrays_zip(F.array(*map(F.lit, dims)).alias("dim"), F.col("vec").alias("value"))).alias("e")).select("id", F.col("e.dim").cast(kind).alias("dim"), F.col("e.value").alias("value"))
 
 
-def _each(f: Callable[[int], Column], width: int) -> Column:
+def each(f: Callable[[int], Column], width: int) -> Column:
     return F.array(*[f(d) for d in range(width)])
 
 
 def _step(p: DataFrame, x: DataFrame, width: int, name: str = "vec") -> DataFrame:
     """id, w: edges times the arrays of x (id, and `name`). Sums are partial before they are shuffled."""
-    return p.join(x.select(F.col("id").alias("dst"), F.col(name).alias("x")), "dst").groupBy(F.col("src").alias("id")).agg(_each(lambda d: F.sum(F.col("weight") * F.col("x")[d]), width).alias("w"))
+    return p.join(x.select(F.col("id").alias("dst"), F.col(name).alias("x")), "dst").groupBy(F.col("src").alias("id")).agg(each(lambda d: F.sum(F.col("weight") * F.col("x")[d]), width).alias("w"))
 
 
 def _or_zero(c: str, width: int) -> Column:
@@ -59,7 +64,7 @@ def _or_zero(c: str, width: int) -> Column:
 def _by_groups(x0: DataFrame, run: Callable[[list], DataFrame]) -> DataFrame:
     """The columns of all groups, each spread by `run`."""
     out = None
-    for dims in _groups(x0):
+    for dims in column_groups(x0):
         got = _long(run(dims), dims, x0.schema["dim"].dataType)
         out = got if out is None else out.union(got)
     return x0.limit(0) if out is None else out
@@ -83,7 +88,7 @@ def diffuse(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float = 0.85,
         for _ in range(rounds):
             lost = x.agg(*[F.sum(F.col("z") * F.col("vec")[d]) for d in range(width)]).first()
             new = x.join(_step(p, x, width), "id", "left").withColumn("w", _or_zero("w", width))
-            new = new.select("id", "z", "v0", _each(lambda d: alpha * F.col("w")[d] + F.lit(n * float(lost[d] or 0.0)) * F.col("v0")[d], width).alias("vec"))
+            new = new.select("id", "z", "v0", each(lambda d: alpha * F.col("w")[d] + F.lit(n * float(lost[d] or 0.0)) * F.col("v0")[d], width).alias("vec"))
             x = cut(new, "spread", x if x is not first else None)
         return x
 
@@ -105,7 +110,7 @@ def diffuse_chebyshev(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: floa
         def next_of(y: DataFrame, f: Callable[[int], Column]) -> DataFrame:
             """id, v0, prev (the array so far) and vec (f of a place) from y (id, v0, prev, vec) and its step w."""
             joined = y.join(_step(p, y, width), "id", "left").withColumn("w", _or_zero("w", width))
-            return joined.select("id", "v0", F.col("vec").alias("prev"), _each(f, width).alias("vec"))
+            return joined.select("id", "v0", F.col("vec").alias("prev"), each(f, width).alias("vec"))
 
         first = _wide(nodes, x0, dims, "v0").select("id", "v0", F.col("v0").alias("prev"), F.col("v0").alias("vec"))
         y = cut(next_of(cut(first, "spread"), lambda d: alpha * F.col("w")[d] + a * F.col("v0")[d]), "spread")
@@ -152,32 +157,32 @@ def diffuse_solved(g: DataFrame, nodes: DataFrame, x0: DataFrame, alpha: float =
         def applied(rows: DataFrame, of: str, to: str) -> DataFrame:
             """`rows` with `to`: (I - alpha P) times the arrays `of`."""
             joined = rows.join(_step(p, rows, width, of), "id", "left").withColumn("w", _or_zero("w", width))
-            return joined.withColumn(to, _each(lambda d: F.col(of)[d] - alpha * F.col("w")[d], width)).drop("w")
+            return joined.withColumn(to, each(lambda d: F.col(of)[d] - alpha * F.col("w")[d], width)).drop("w")
 
         def sums(rows: DataFrame, *pairs: tuple[str, str]) -> np.ndarray:
             got = rows.agg(*[F.sum(F.col(a)[d] * F.col(b)[d]) for a, b in pairs for d in range(width)]).first()
             return np.array([x or 0.0 for x in got]).reshape(len(pairs), width)
 
         over = lambda a, b: np.divide(a, b, out=np.zeros_like(a), where=b != 0)
-        b = _wide(nodes, seeds, dims, "b").withColumn("x", _each(lambda d: (1 - alpha) * F.col("b")[d], width))
-        state = cut(applied(cut(b, "solve"), "x", "ax").select("id", "x", _each(lambda d: F.col("x")[d] - F.col("ax")[d], width).alias("r")).select("id", "x", "r", F.col("r").alias("hat"), F.col("r").alias("p"), _each(lambda d: F.lit(0.0), width).alias("v")), "solve")
+        b = _wide(nodes, seeds, dims, "b").withColumn("x", each(lambda d: (1 - alpha) * F.col("b")[d], width))
+        state = cut(applied(cut(b, "solve"), "x", "ax").select("id", "x", each(lambda d: F.col("x")[d] - F.col("ax")[d], width).alias("r")).select("id", "x", "r", F.col("r").alias("hat"), F.col("r").alias("p"), each(lambda d: F.lit(0.0), width).alias("v")), "solve")
         rho = sums(state, ("r", "r"))[0]
         size, beta, omega = rho.copy(), np.zeros(width), np.zeros(width)
         for _ in range(rounds):
             if (np.sqrt(size) <= tol).all():
                 break
-            new_p = _each(lambda d: at("r")(d) + lit(beta)(d) * (at("p")(d) - lit(omega)(d) * at("v")(d)), width)
+            new_p = each(lambda d: at("r")(d) + lit(beta)(d) * (at("p")(d) - lit(omega)(d) * at("v")(d)), width)
             half = cut(applied(state.withColumn("p", new_p).drop("v"), "p", "v"), "solve")
             step = over(rho, sums(half, ("hat", "v"))[0])
-            with_s = half.withColumn("s", _each(lambda d: at("r")(d) - lit(step)(d) * at("v")(d), width)).drop("r")
+            with_s = half.withColumn("s", each(lambda d: at("r")(d) - lit(step)(d) * at("v")(d), width)).drop("r")
             whole = cut(applied(with_s, "s", "t"), "solve", state)
             ts, tt, hs, ht, ss = sums(whole, ("t", "s"), ("t", "t"), ("hat", "s"), ("hat", "t"), ("s", "s"))
             omega = over(ts, tt)
             size = np.maximum(0.0, ss - 2 * omega * ts + omega**2 * tt)
             new_rho = hs - omega * ht
             beta, rho = over(new_rho, rho) * over(step, omega), new_rho
-            x = _each(lambda d: at("x")(d) + lit(step)(d) * at("p")(d) + lit(omega)(d) * at("s")(d), width)
-            r = _each(lambda d: at("s")(d) - lit(omega)(d) * at("t")(d), width)
+            x = each(lambda d: at("x")(d) + lit(step)(d) * at("p")(d) + lit(omega)(d) * at("s")(d), width)
+            r = each(lambda d: at("s")(d) - lit(omega)(d) * at("t")(d), width)
             state = cut(whole.select("id", x.alias("x"), r.alias("r"), "hat", "p", "v"), "solve", whole)
         return state.select("id", F.col("x").alias("vec"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from matloom.operators import coo
 from matloom.operators.dense import rows_of
-from matloom.operators.graph import diffuse
+from matloom.operators.graph import arrays, column_groups, diffuse, each
 from matloom.plans.materialize import cut
 from matloom.plans.prefix import running
 
@@ -103,10 +103,18 @@ def set_enrichments(scores: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _products(g: DataFrame, x: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, gx: xᵀGx; keys, besides the node, are carried along."""
-    far = x.select(F.col("id").alias("dst"), *keys, F.col("value").alias("xd"))
-    y = g.join(far, "dst").groupBy(F.col("src").alias("id"), *keys).agg(F.sum(F.col("weight") * F.col("xd")).alias("y"))
-    return y.join(x, ["id", *keys]).groupBy(*keys).agg(F.sum(F.col("y") * F.col("value")).alias("gx"))
+    """keys, gx: xᵀGx of every column; keys besides it are carried along. A node's columns go over the edges as one array, and sums are partial before they are shuffled."""
+    extra = [k for k in keys if k != "dim"]
+    out = None
+    for dims in column_groups(x):
+        own = cut(arrays(x, dims, ["id", *extra]), "columns")
+        far = own.select(F.col("id").alias("dst"), *extra, F.col("vec").alias("x"))
+        y = g.join(far, "dst").groupBy(F.col("src").alias("id"), *extra).agg(each(lambda d: F.sum(F.col("weight") * F.col("x")[d]), len(dims)).alias("y"))
+        sums = y.join(own, ["id", *extra]).groupBy(*extra).agg(each(lambda d: F.sum(F.col("y")[d] * F.col("vec")[d]), len(dims)).alias("s"))
+        got = sums.select(*extra, F.explode(F.arrays_zip(F.array(*map(F.lit, dims)).alias("dim"), F.col("s").alias("gx"))).alias("e"))
+        got = got.select(*extra, F.col("e.dim").cast(x.schema["dim"].dataType).alias("dim"), F.col("e.gx").alias("gx"))
+        out = got if out is None else out.union(got)
+    return x.limit(0).select(*extra, "dim", F.col("value").alias("gx")) if out is None else out
 
 
 def _sums(x: DataFrame) -> DataFrame:
