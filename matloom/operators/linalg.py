@@ -87,6 +87,12 @@ class Svd:
     project: np.ndarray
     shift: np.ndarray
     a: np.ndarray | None = field(default=None)
+    #: How each row x gives its entries of B: x @ b[0] + b[1].
+    b: tuple[np.ndarray, np.ndarray] | None = field(default=None)
+
+    def added(self, v: DataFrame) -> DataFrame | None:
+        """id, vec: the rows of B, where something has been added to S."""
+        return None if self.b is None else Svd(self.left, np.ones(len(self.b[1])), *self.b).right(v)
 
     def right(self, v: DataFrame, scaled: bool = False, grid: float = 0.0) -> DataFrame:
         """id, vec: right vectors (times the values, if scaled), rounded to a grid."""
@@ -158,13 +164,15 @@ def perturbed(v: DataFrame, old: Svd, a: np.ndarray, project: np.ndarray, shift:
     to_v = np.concatenate([np.eye(k), np.zeros((c, k))])
     to_q = np.concatenate([-cross, np.eye(c)]) @ inverse
     mix = to_v @ turn[:k] + to_q @ turn[k:]
+    added = (a, (project, shift)) if old.a is None else (np.concatenate([old.a, a], 1), (np.concatenate([old.b[0], project], 1), np.concatenate([old.b[1], shift])))
     flip = np.where((oriented(left) == left).all(0), 1.0, -1.0)
-    return Svd(left * flip, values[:k], p @ mix * flip, s0 @ mix * flip, a if old.a is None else np.concatenate([old.a, a], 1))
+    return Svd(left * flip, values[:k], p @ mix * flip, s0 @ mix * flip, *added)
 
 
 def _totals(v: DataFrame) -> tuple[int, np.ndarray]:
-    g = gram(v)
-    return g.n, g.total
+    width = len(v.select("vec").first()[0])
+    got = sum_of(v.select("vec"), lambda x: np.append(x.sum(0), len(x)), width + 1)
+    return int(got[-1]), got[:-1]
 
 
 def deflate(v: DataFrame, old: Svd, a: np.ndarray, project: np.ndarray, shift: np.ndarray) -> Svd:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from matloom import functions
-from matloom.operators import coo, fuzzy, graph, knn
+from matloom.operators import coo, density, fuzzy, graph, knn
 from matloom.queries.base import E, H, V, labels, long, query, r6, simplex, vectors
 from matloom.plans.materialize import cut
 
@@ -260,6 +260,27 @@ def dense_regions(spark, d):
     return graph.dense_regions(*net(spark, d), least=4, eps=1.0)
 
 
+@query("density_clusters")
+def density_clusters(spark, d):
+    """Clusters of all vectors by density; tests hold them against the definition."""
+    return r6(density.hdbscan(vectors(spark, d), 4, 5), "probability", "outlier")
+
+
+#: The tree's weight by taking the nearest row outside again and again is no single query; how many of its edges are lighter than a bound is: rows less components.
+TREE = (
+    f"{V}, td AS MATERIALIZED (SELECT a.id AS a, b.id AS b, sqrt({DIST['l2']}) AS d FROM v a JOIN v b ON a.id <> b.id), tc AS (SELECT a AS id, d AS core FROM td QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 3), "
+    "tw AS MATERIALIZED (SELECT a, b, greatest(d, x.core, y.core) AS w FROM td JOIN tc x ON x.id = a JOIN tc y ON y.id = b), bo AS (SELECT unnest([1.12, 1.15, 1.18]) AS bound), "
+    "tr AS (SELECT bound, id AS node, id AS root FROM v, bo UNION SELECT tr.bound, tw.b, tr.root FROM tr JOIN tw ON tw.a = tr.node AND tw.w <= tr.bound)"
+)
+
+
+@query("density_tree", f"WITH RECURSIVE {TREE} SELECT bound::DOUBLE AS bound, ((SELECT count(*) FROM v) - count(DISTINCT least))::BIGINT AS edges FROM (SELECT bound, node, min(root) AS least FROM tr GROUP BY ALL) GROUP BY bound")
+def density_tree(spark, d):
+    """How many edges of the spanning tree of mutual reachability are at most as heavy as three bounds, which is rows less the components that such edges make."""
+    tree = density.spanning_tree(vectors(spark, d), 4)
+    return tree.select(F.explode(F.array(F.lit(1.12), F.lit(1.15), F.lit(1.18))).alias("bound"), "w").groupBy("bound").agg(F.sum((F.col("w") <= F.col("bound")).cast("long")).alias("edges"))
+
+
 @query(
     "sweep",
     f"WITH {G}, so AS (SELECT id, row_number() OVER (ORDER BY vec[1] DESC, id) AS size FROM v), sw AS (SELECT src AS id, sum(weight) AS w FROM net GROUP BY src), si AS (SELECT greatest(a.size, b.size) AS size, sum(weight) AS inside FROM net JOIN so a ON a.id = src JOIN so b ON b.id = dst GROUP BY ALL), "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from matloom import functions
 from matloom.operators import coo
-from matloom.operators.dense import gram
+from matloom.operators.dense import correlations
 from matloom.queries.base import S, X, E, V, brands, labels, long, part_ids, parts, query, r6, supplier_vector, vectors
 from matloom.sources.tables import table
 
@@ -152,7 +152,7 @@ def row_stats(spark, d):
 @query("row_corr", f"WITH {E} SELECT a.dim AS i, b.dim AS j, {_r('corr(a.value, b.value)', 'r')} FROM e a JOIN e b USING (id) GROUP BY ALL")
 def row_corr(spark, d):
     """Correlations of all pairs of components, from one pass that sums products."""
-    return r6(gram(vectors(spark, d)).correlations(spark), "r")
+    return r6(correlations(vectors(spark, d)), "r")
 
 
 @query("tf_idf", f"WITH {S} SELECT row_id, col_id, {_r('ln(1 + value * 10000 / sum(value) OVER (PARTITION BY col_id)) * ln(1 + (SELECT count(*) FROM supplier) / sum(value) OVER (PARTITION BY row_id))')} FROM s")

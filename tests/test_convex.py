@@ -4,7 +4,8 @@ import duckdb
 import numpy as np
 import pytest
 
-from matloom.operators import archetypes, convex, factors, simplex, sparse
+from matloom.operators import archetypes, convex, factors, linalg, simplex, sparse
+from matloom.operators import dense as dense_module
 from matloom.operators.linalg import reduce_kernel
 
 SF = "/root/testdata/sf0.01"
@@ -64,6 +65,47 @@ def test_archetypes_by_passes_equal_those_at_hand(spark, mixtures):
     assert np.allclose(back, got.w)
 
 
+def test_analysis_gives_what_archetypes_are_made_of(spark, mixtures):
+    _, x = mixtures
+    v, start = table(spark, x), x[[10, 20, 30]].T
+    for passes in (False, True):
+        got = archetypes.analysis(v, start, rounds=3, passes=passes)
+        made = np.zeros_like(got.w)
+        for r in got.c.collect():
+            made[:, r.arch] += r.c * x[r.id]
+        assert np.allclose(made, got.w)
+        h = dense(got.h, len(x), 3)
+        assert (h >= 0).all() and np.allclose(h.sum(1), 1)
+
+
+def test_what_orthogonalising_adds(spark):
+    """S plus A Bᵀ is the decomposed matrix."""
+    rng = np.random.default_rng(6)
+    x = rng.random((20, 5))
+    v = table(spark, x)
+    got = linalg.orthogonalize_basal(v, linalg.svd(v, 5), rng.random((5, 2)))
+    b, right = dense(got.added(v), 20, 3), dense(got.right(v), 20, 5)
+    assert got.a.shape == (5, 3)
+    assert np.allclose(x.T + got.a @ b.T, (got.left * got.values) @ right.T, atol=1e-8)
+    assert linalg.svd(v, 2).added(v) is None
+
+
+def test_products_go_by_tiles(spark, monkeypatch):
+    monkeypatch.setattr(dense_module, "TILE", 3)
+    rng = np.random.default_rng(9)
+    x = rng.random((30, 8))
+    v = table(spark, x)
+    got = dense_module.gram(v)
+    assert got.n == 30 and np.allclose(got.total, x.sum(0)) and np.allclose(got.products, x.T @ x)
+    r = np.corrcoef(x.T)
+    rows = dense_module.correlations(v).collect()
+    assert len(rows) == 64 and all(abs(r[e.i, e.j] - e.r) < 1e-12 for e in rows)
+    assert dense_module.correlations(v.limit(0)).count() == 0
+    monkeypatch.setattr(dense_module, "MOST", 7)
+    with pytest.raises(ValueError):
+        dense_module.gram(v)
+
+
 def test_traces_beyond_what_a_task_holds(spark, mixtures, monkeypatch):
     _, x = mixtures
     monkeypatch.setattr(archetypes, "LIMIT", 100)
