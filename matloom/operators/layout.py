@@ -92,6 +92,12 @@ def optimize(y: np.ndarray, src: np.ndarray, dst: np.ndarray, every: np.ndarray,
     return y
 
 
+def schedule(g: DataFrame, epochs: int) -> DataFrame:
+    """src, dst, every: the edges (src, dst, weight) that act in `epochs` epochs, and once in how many; the heaviest acts in each, an edge too light to act once is left out. No edges give no rows."""
+    top = g.agg(F.max("weight")).first()[0] or 1.0
+    return g.where(F.col("weight") >= top / epochs).select("src", "dst", (top / F.col("weight")).alias("every"))
+
+
 def layout(g: DataFrame, start: DataFrame, method: str = "umap", components: int = 2, spread: float = 1.0, min_dist: float = 1.0, epochs: int = 0, rate: float = 1.0, gamma: float = 1.0, negatives: int = 5, a: float = 0.0, b: float = 0.0, seed: int = 0, optimizer: str = "adam", beta1: float = 0.5, beta2: float = 0.9, eps: float = 1e-7, at_once: int = 0) -> DataFrame:
     """id, vec of the laid-out nodes of `start` (id, vec, whose first components are the initial place)."""
     if method not in METHODS:
@@ -100,8 +106,7 @@ def layout(g: DataFrame, start: DataFrame, method: str = "umap", components: int
     epochs = epochs or (500 if n <= 10_000 else 200)
     fit = find_ab(spread, min_dist)
     a, b = a or fit[0], b or fit[1]
-    top = g.agg(F.max("weight")).first()[0] or 1.0
-    edges = g.where(F.col("weight") >= top / epochs).select("src", "dst", (top / F.col("weight")).alias("every"))
+    edges = schedule(g, epochs)
     if (size := edges.count() + n * components) > LIMIT:
         raise ValueError(f"{size} numbers are more than {LIMIT}")
     own = start.select(F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("every"), F.slice("vec", 1, components).alias("vec"))

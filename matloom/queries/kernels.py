@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matloom.operators import archetypes, color, convex, factors, layout, linalg, matching, simplex, sparse
 from matloom.queries.base import E, S, V, parts, query, r6, vectors
 from matloom.plans.materialize import cut
-from matloom.queries.graphs import R, net
+from matloom.queries.graphs import G, R, net
 from matloom.sources.tables import table
 
 
@@ -242,6 +242,86 @@ def under_factors(spark, d):
     return both.select("id", F.forall("z", lambda z: z["f"] <= z["vec"] + 1e-12).alias("below"), F.lit(bool(got.rest[1] <= got.rest[0] < 1)).alias("smaller"))
 
 
+def _stack(spark, d, k_max):
+    """A trace of 2 to k_max archetypes: weights from the components of the vectors, one after the other, shares from components two deviations above their mean."""
+    v = vectors(spark, d)
+    rows, at = [], 0
+    for k in range(2, k_max + 1):
+        up = [F.greatest(F.col("vec")[at + i], F.lit(0.0)) for i in range(k)]
+        total = sum(up[1:], up[0])
+        rows += [F.struct(F.lit(k).alias("k"), F.lit(i).alias("arch"), F.col("vec")[at + i].alias("x"), (up[i] / F.when(total > 0, total).otherwise(1.0)).alias("h")) for i in range(k)]
+        at += k
+    long = v.select("id", F.inline(F.array(*rows)))
+    far = long.join(long.groupBy("k", "arch").agg((F.avg("x") + 2 * F.stddev_samp("x")).alias("far")), ["k", "arch"]).withColumn("over", F.greatest(F.col("x") - F.col("far"), F.lit(0.0)))
+    sums = far.groupBy("k", "arch").agg(F.sum("over").alias("total"))
+    return cut(far.join(sums, ["k", "arch"]).select("k", "arch", "id", "h", F.when(F.col("total") > 0, F.col("over") / F.col("total")).otherwise(0.0).alias("c")), "stack")
+
+
+def surveyed(k_max: int, least_z: float, least_obs: int) -> str:
+    """Common table expressions that end in `sv`: what each archetype of the stack survives by."""
+    at = [(k, i, k * (k - 1) // 2 - 1) for k in range(2, k_max + 1) for i in range(k)]
+    h = ", ".join(f"({k}, {i}, {o + i}, {o}, {o + k - 1})" for k, i, o in at)
+    return (
+        f"{E}, names(k, arch, dim, low, high) AS (VALUES {h}), x AS MATERIALIZED (SELECT k, arch, id, value AS x, greatest(value, 0) / CASE WHEN t > 0 THEN t ELSE 1 END AS h FROM names JOIN e USING (dim) "
+        "JOIN (SELECT k, id, sum(greatest(value, 0)) AS t FROM (SELECT DISTINCT k, low, high FROM names) JOIN e ON dim BETWEEN low AND high GROUP BY ALL) USING (k, id)), "
+        "ov AS MATERIALIZED (SELECT *, greatest(x - avg(x) OVER w - 2 * stddev_samp(x) OVER w, 0) AS over FROM x WINDOW w AS (PARTITION BY k, arch)), "
+        "t AS MATERIALIZED (SELECT k, arch, id, h, CASE WHEN sum(over) OVER w > 0 THEN over / sum(over) OVER w ELSE 0 END AS c FROM ov WINDOW w AS (PARTITION BY k, arch)), "
+        "b AS MATERIALIZED (SELECT a.k, a.arch, b.k AS k2, b.arch AS arch2, corr(a.h, b.h) AS w FROM t a JOIN t b USING (id) WHERE (a.k, a.arch) <> (b.k, b.arch) GROUP BY ALL HAVING corr(a.h, b.h) > 0), "
+        "tri AS (SELECT p.k, p.arch, sum((p.w + q.w) / 2) AS s FROM b p JOIN b q ON (p.k, p.arch) = (q.k, q.arch) JOIN b r ON (r.k, r.arch) = (p.k2, p.arch2) AND (r.k2, r.arch2) = (q.k2, q.arch2) GROUP BY ALL), "
+        "tv AS (SELECT k, arch, CASE WHEN n > 1 THEN coalesce(s, 0) / (strength * (n - 1)) END AS transitivity FROM names LEFT JOIN (SELECT k, arch, sum(w) AS strength, count(*) AS n FROM b GROUP BY ALL) USING (k, arch) LEFT JOIN tri USING (k, arch)), "
+        "tz AS (SELECT *, coalesce((transitivity - avg(transitivity) OVER ()) / nullif(stddev_samp(transitivity) OVER (), 0), 0) AS z FROM tv), "
+        "lm AS (SELECT k, arch, arg_max(id, (c, -id)) FILTER (top - h < 1e-3 AND c > 0) AS landmark, count(*) FILTER (c > 1e-6) AS observations FROM (SELECT *, max(h) OVER (PARTITION BY k, arch) AS top FROM t) GROUP BY ALL), "
+        f"sv AS MATERIALIZED (SELECT *, coalesce(z >= {least_z} AND landmark IS NOT NULL AND observations >= {least_obs}, false) AS kept FROM tz JOIN lm USING (k, arch))"
+    )
+
+
+@query("archetype_survey", f"WITH {surveyed(6, -1.0, 10)} SELECT k::INT AS k, arch::INT AS arch, {R('transitivity', 'transitivity')}, {R('z', 'z')}, landmark, observations, kept FROM sv")
+def archetype_survey(spark, d):
+    """What each archetype of the stack is kept or pruned by, and whether `collect` keeps it."""
+    t = _stack(spark, d, 6)
+    kept = spark.createDataFrame([(*a, True) for a in archetypes.collect(t, -1.0, 10)], "k int, arch int, kept boolean")
+    return r6(archetypes.survey(t).join(F.broadcast(kept), ["k", "arch"], "left").withColumn("kept", F.coalesce("kept", F.lit(False))), "transitivity", "z")
+
+
+def _merged_sql() -> str:
+    dot = "list_inner_product(r, {})"
+    steps = [
+        surveyed(4, -1.0, 10),
+        "th AS MATERIALIZED (SELECT k * 10 + arch AS i, id, h / CASE WHEN sum(h) OVER (PARTITION BY id) > 0 THEN sum(h) OVER (PARTITION BY id) ELSE 1 END AS h, c FROM t JOIN sv USING (k, arch) WHERE kept)",
+        "r0 AS MATERIALIZED (SELECT j, list(x ORDER BY i) AS r FROM (SELECT a.i, b.i AS j, sum(a.h * b.c) AS x FROM th a JOIN th b USING (id) GROUP BY ALL) GROUP BY j)",
+    ]
+    for i in range(9):
+        steps.append(
+            f"p{i} AS MATERIALIZED (SELECT {i} AS pick, j, sqrt({dot.format('r')}) AS size, list_transform(r, lambda x: x / sqrt({dot.format('r')})) AS u FROM r{i} WHERE {dot.format('r')} > 1e-20 ORDER BY {dot.format('r')} DESC, j LIMIT 1), "
+            f"r{i + 1} AS MATERIALIZED (SELECT r{i}.j, list_transform(list_zip(r, u), lambda z: z[1] - z[2] * {dot.format('u')}) AS r FROM r{i}, p{i})"
+        )
+    steps.append("pk AS (" + " UNION ALL ".join(f"SELECT pick, j, size FROM p{i}" for i in range(9)) + ")")
+    return (
+        f"WITH {', '.join(steps)} SELECT pick::INT AS pick, (j // 10)::INT AS k, (j % 10)::INT AS arch, dim, {R('sum(c * value)', 'w')} FROM pk JOIN th ON i = j JOIN e USING (id) "
+        "WHERE pick < (SELECT floor(sum(size) * sum(size) / sum(size * size) + 0.5) FROM pk) GROUP BY ALL"
+    )
+
+
+def _merged(spark, d):
+    t = _stack(spark, d, 4)
+    return archetypes.merge(vectors(spark, d), t, archetypes.collect(t, -1.0, 10))
+
+
+@query("archetype_profiles", _merged_sql())
+def archetype_profiles(spark, d):
+    """The archetypes that merging keeps of the stack's survivors, in their order, and their profiles."""
+    got = _merged(spark, d)
+    return r6(spark.createDataFrame([(p, k, a, dim, float(x)) for p, (k, a) in enumerate(got.kept) for dim, x in enumerate(got.profiles[:, p])], "pick int, k int, arch int, dim int, w double"), "w")
+
+
+@query("archetype_weights", f"WITH {V} SELECT id, true AS simplex, true AS optimal, true AS largest FROM v")
+def archetype_weights(spark, d):
+    """Every vector's weights on the merged archetypes: the best ones, and its label has the largest."""
+    got = _merged(spark, d)
+    rows = got.weights.withColumnRenamed("vec", "x").join(vectors(spark, d), "id").join(got.labels, "id")
+    return _optimal(rows, got.profiles).select("id", "simplex", "optimal", (F.col("x")[F.col("label")] == F.array_max("x")).alias("largest"))
+
+
 @query("archetype_collect")
 def archetype_collect(spark, d):
     t = archetypes.trace(_reduced(spark, d), 2, 6, rounds=10)
@@ -282,6 +362,12 @@ def hungarian(spark, d):
     return got.agg(F.sum("value").alias("total"), F.count(F.lit(1)).alias("pairs"), ((F.count_distinct("row_id") == F.count(F.lit(1))) & (F.count_distinct("col_id") == F.count(F.lit(1)))).alias("apart"))
 
 
+@query("layout_schedule", f"WITH {G} SELECT src, dst, {R('top / weight', 'every')} FROM net, (SELECT max(weight) AS top FROM net) WHERE weight >= top / 8")
+def layout_schedule(spark, d):
+    """The edges that act in eight epochs, and how often."""
+    return r6(layout.schedule(net(spark, d)[0], 8), "every")
+
+
 for method in layout.METHODS:
 
     def laid(spark, d, method=method):
@@ -296,3 +382,31 @@ def node_colors(spark, d):
     got = color.node_colors(vectors(spark, d))
     inside = [(F.col(c) >= 0) & (F.col(c) <= 1) for c in ("r", "g", "b")]
     return got.select("id", (inside[0] & inside[1] & inside[2]).alias("inside"))
+
+
+def _first_three() -> str:
+    """Common table expressions that end in `pc` (id, k, z): standardised products of the first three components with the eigenvectors of their 3 x 3 products, whose values are roots of a cubic."""
+    pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
+    sums = ", ".join(f"sum(x{i} * x{j}) AS g{i}{j}" for i, j in pairs)
+    rows = [("g00 - l", "g01", "g02"), ("g01", "g11 - l", "g12"), ("g02", "g12", "g22 - l")]
+    cross = lambda a, b: f"[({a[1]}) * ({b[2]}) - ({a[2]}) * ({b[1]}), ({a[2]}) * ({b[0]}) - ({a[0]}) * ({b[2]}), ({a[0]}) * ({b[1]}) - ({a[1]}) * ({b[0]})]"
+    tries = " UNION ALL ".join(f"SELECT k, {cross(rows[i], rows[j])} AS u FROM ev" for i, j in ((0, 1), (0, 2), (1, 2)))
+    heavy = lambda f: f"list_sum(list_transform(u, lambda y: pow({f}(y, 0), 2)))"
+    return (
+        f"{V}, xs AS MATERIALIZED (SELECT id, vec[1] AS x0, vec[2] AS x1, vec[3] AS x2 FROM v), gm AS (SELECT {sums} FROM xs), q0 AS (SELECT *, (g00 + g11 + g22) / 3 AS q FROM gm), "
+        "q1 AS (SELECT *, sqrt((pow(g00 - q, 2) + pow(g11 - q, 2) + pow(g22 - q, 2) + 2 * (g01 * g01 + g02 * g02 + g12 * g12)) / 6) AS p FROM q0), "
+        "q2 AS (SELECT *, acos(greatest(-1, least(1, ((g00 - q) * ((g11 - q) * (g22 - q) - g12 * g12) - g01 * (g01 * (g22 - q) - g12 * g02) + g02 * (g01 * g12 - (g11 - q) * g02)) / (2 * p * p * p)))) / 3 AS phi FROM q1), "
+        "ev AS MATERIALIZED (SELECT *, q + 2 * p * cos(phi + CASE k WHEN 0 THEN 0 WHEN 1 THEN 4 * pi() / 3 ELSE 2 * pi() / 3 END) AS l FROM q2, range(3) n(k)), "
+        f"us AS (SELECT k, arg_max(u, list_inner_product(u, u)) AS u FROM ({tries}) GROUP BY k), uo AS MATERIALIZED (SELECT k, list_transform(u, lambda y: y * CASE WHEN {heavy('greatest')} < {heavy('least')} THEN -1 ELSE 1 END) AS u FROM us), "
+        "pr AS (SELECT id, k, x0 * u[1] + x1 * u[2] + x2 * u[3] AS x FROM xs, uo), pc AS MATERIALIZED (SELECT id, k, (x - avg(x) OVER (PARTITION BY k)) / stddev_samp(x) OVER (PARTITION BY k) AS z FROM pr)"
+    )
+
+
+@query(
+    "node_colors_values",
+    f"WITH {_first_three()}, wd AS (SELECT id, max(z) FILTER (k = 0) AS z0, max(z) FILTER (k = 1) AS z1, max(z) FILTER (k = 2) AS z2 FROM pc GROUP BY id), "
+    f"lab AS (SELECT id, 25 + 70 * (z2 - min(z2) OVER ()) / (max(z2) OVER () - min(z2) OVER ()) AS l, 75 * z0 AS a, 75 * z1 AS b FROM wd), {color.rgb_sql('lab')} SELECT id, {R('r', 'r')}, {R('g', 'g')}, {R('b', 'b')} FROM rgb",
+)
+def node_colors_values(spark, d):
+    """Colours from the first three components as coordinates."""
+    return r6(color.node_colors(vectors(spark, d).select("id", F.slice("vec", 1, 3).alias("vec"))), "r", "g", "b")
