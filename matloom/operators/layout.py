@@ -1,6 +1,7 @@
-"""Graph layout by stochastic gradients, in one task: each epoch needs the whole small state of the one before.
+"""Graph layout by stochastic gradients: each epoch needs the whole state of the one before.
 
-The edges (src, dst, weight) are filtered and counted by Spark; coordinates and kept edges, which are checked against `LIMIT`, go to one task.
+The edges (src, dst, weight) are filtered and counted by Spark. Small layouts go to one task with the edges kept, which are checked against `LIMIT`; with `rounds` an epoch is a join of
+the edges with their ends' places and a sum for each node, at any size.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matloom.operators.dense import rows_of
+from matloom.plans.joins import broadcast_if_small
+from matloom.plans.materialize import cut
 
 LIMIT = 50_000_000
 METHODS = ("umap", "tumap", "largevis")
@@ -98,15 +101,84 @@ def schedule(g: DataFrame, epochs: int) -> DataFrame:
     return g.where(F.col("weight") >= top / epochs).select("src", "dst", (top / F.col("weight")).alias("every"))
 
 
-def layout(g: DataFrame, start: DataFrame, method: str = "umap", components: int = 2, spread: float = 1.0, min_dist: float = 1.0, epochs: int = 0, rate: float = 1.0, gamma: float = 1.0, negatives: int = 5, a: float = 0.0, b: float = 0.0, seed: int = 0, optimizer: str = "adam", beta1: float = 0.5, beta2: float = 0.9, eps: float = 1e-7, at_once: int = 0) -> DataFrame:
-    """id, vec of the laid-out nodes of `start` (id, vec, whose first components are the initial place)."""
+def _drawn(src: np.ndarray, dst: np.ndarray, salt: int, j: int, n: int) -> np.ndarray:
+    """A number below n for each edge, by a mixing hash of its ends, the salt and j."""
+    with np.errstate(over="ignore"):
+        x = (src.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (dst.astype(np.uint64) + np.uint64((salt * 1_000_003 + j) % 2**64) * np.uint64(0xD1342543DE82EF95))
+        for shift in (30, 27):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(0xBF58476D1CE4E5B9)
+        return ((x ^ (x >> np.uint64(31))) % np.uint64(n)).astype(np.int64)
+
+
+def _pulls(pairs: DataFrame, away: list, salt: int, negatives: int, shape: tuple) -> DataFrame:
+    """id, g: the gradients that edges (src, dst, from, to) give their first ends, added up within a batch. `away`: nodes (id, y) to be pushed from."""
+    ids, places = np.array([r["id"] for r in away], np.int64), np.array([r["y"] for r in away], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attract, repel, clamp = _gradients(*shape)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            src, dst, y = batch.column(0).to_numpy(), batch.column(1).to_numpy(), rows_of(batch.column(2))
+            diff = y - rows_of(batch.column(3))
+            g = 2 * np.clip(attract((diff * diff).sum(1))[:, None] * diff, -clamp, clamp)
+            for j in range(negatives if len(ids) else 0):
+                some = _drawn(src, dst, salt, j, len(ids))
+                diff = y - places[some]
+                push = np.clip(repel((diff * diff).sum(1))[:, None] * diff, -clamp, clamp)
+                push[ids[some] == src] = 0
+                g += push
+            heads, at = np.unique(src, return_inverse=True)
+            total = np.zeros((len(heads), y.shape[1]))
+            np.add.at(total, at, g)
+            flat = pa.array(total.ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(heads, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(heads) + 1) * y.shape[1], pa.int32()), flat)], names=["id", "g"])
+
+    return pairs.mapInArrow(run, "id long, g array<double>")
+
+
+def _by_rounds(edges: DataFrame, start: DataFrame, dims: int, epochs: int, shape: tuple, rate: float, negatives: int, seed: int, optimizer: str, betas: tuple[float, float], eps: float, pool: int) -> DataFrame:
+    """`optimize` over tables. A node's negatives come from `pool` nodes, which each epoch draws anew from all by a hash."""
+    (b1, b2), each = betas, range(dims)
+    edges = cut(edges, "edges")
+    state = cut(start.select("id", *[F.col("vec")[c].alias(f"y{c}") for c in each], *[F.lit(0.0).alias(f"{m}{c}") for m in "mv" for c in each]), "places")
+    for epoch in range(epochs):
+        # An edge acts where another multiple of its interval is reached; the little keeps rounding from deferring it.
+        on = edges.where(F.floor((epoch + 1) / F.col("every") + 1e-9) > F.floor(epoch / F.col("every") + 1e-9)).select("src", "dst")
+        y = state.select("id", F.array(*[f"y{c}" for c in each]).alias("y"))
+        away = y.orderBy(F.xxhash64("id", F.lit(seed), F.lit(epoch)), "id").limit(pool).collect() if negatives else []
+        y = broadcast_if_small(y)
+        pairs = on.join(y.select(F.col("id").alias("src"), F.col("y").alias("from")), "src").join(y.select(F.col("id").alias("dst"), F.col("y").alias("to")), "dst").select("src", "dst", "from", "to")
+        sums = _pulls(pairs, away, seed * 1_000_003 + epoch, negatives, shape).groupBy("id").agg(*[F.sum(F.col("g")[c]).alias(f"g{c}") for c in each])
+        g = [F.coalesce(f"g{c}", F.lit(0.0)) for c in each]
+        left = rate * (1 - epoch / epochs)
+        if optimizer == "adam":
+            m = [b1 * F.col(f"m{c}") + (1 - b1) * g[c] for c in each]
+            v = [b2 * F.col(f"v{c}") + (1 - b2) * g[c] * g[c] for c in each]
+            step = [left * (m[c] / (1 - b1 ** (epoch + 1))) / (F.sqrt(v[c] / (1 - b2 ** (epoch + 1))) + eps) for c in each]
+        else:
+            m, v, step = [F.col(f"m{c}") for c in each], [F.col(f"v{c}") for c in each], [left * x for x in g]
+        new = [(F.col(f"y{c}") + step[c]).alias(f"y{c}") for c in each] + [x[c].alias(f"{n}{c}") for n, x in (("m", m), ("v", v)) for c in each]
+        state = cut(state.join(sums, "id", "left").select("id", *new), "places", instead_of=state)
+    return state.select("id", F.array(*[f"y{c}" for c in each]).alias("vec"))
+
+
+def layout(g: DataFrame, start: DataFrame, method: str = "umap", components: int = 2, spread: float = 1.0, min_dist: float = 1.0, epochs: int = 0, rate: float = 1.0, gamma: float = 1.0, negatives: int = 5, a: float = 0.0, b: float = 0.0, seed: int = 0, optimizer: str = "adam", beta1: float = 0.5, beta2: float = 0.9, eps: float = 1e-7, at_once: int = 0, rounds: bool = False, pool: int = 4096) -> DataFrame:
+    """id, vec of the laid-out nodes of `start` (id, vec, whose first components are the initial place).
+
+    `rounds`: no task holds the layout, each epoch is a pass over the edges, and negatives come from `pool` nodes drawn anew each epoch. Without negatives both ways give the same places.
+    """
     if method not in METHODS:
         raise ValueError(f"the method is one of {', '.join(METHODS)}")
+    if rounds and (at_once or optimizer not in ("adam", "sgd")):
+        raise ValueError("rounds take adam or sgd, and move all nodes at once")
     n = start.count()
     epochs = epochs or (500 if n <= 10_000 else 200)
     fit = find_ab(spread, min_dist)
     a, b = a or fit[0], b or fit[1]
     edges = schedule(g, epochs)
+    if rounds:
+        return _by_rounds(edges, start, components, epochs, (method, a, b, gamma), rate, negatives, seed, optimizer, (beta1, beta2), eps, pool)
     if (size := edges.count() + n * components) > LIMIT:
         raise ValueError(f"{size} numbers are more than {LIMIT}")
     own = start.select(F.lit(0).alias("kind"), "id", F.lit(None).cast("long").alias("dst"), F.lit(None).cast("double").alias("every"), F.slice("vec", 1, components).alias("vec"))

@@ -368,6 +368,29 @@ def layout_schedule(spark, d):
     return r6(layout.schedule(net(spark, d)[0], 8), "every")
 
 
+def _pulled_sql(epochs: int, a: float, b: float) -> str:
+    """Epochs of attraction with Adam's steps at its defaults, one table after the other."""
+    steps = [f"{G}, sc AS MATERIALIZED (SELECT src, dst, top / weight AS every FROM net, (SELECT max(weight) AS top FROM net) WHERE weight >= top / {epochs})", "s0 AS (SELECT id, vec[1] AS x, vec[2] AS y, 0.0::DOUBLE AS mx, 0.0::DOUBLE AS my, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM v)"]
+    for e in range(epochs):
+        pull = lambda c: f"sum(2 * greatest(-4, least(4, f * (p{c} - q{c})))) AS g{c}"
+        move = lambda c: f"{c} + {1 - e / epochs!r} * (m{c} / {1 - 0.5 ** (e + 1)!r}) / (sqrt(v{c} / {1 - 0.9 ** (e + 1)!r}) + 1e-7) AS {c}"
+        steps += [
+            f"d{e} AS (SELECT src, p.x AS px, p.y AS py, q.x AS qx, q.y AS qy, pow(p.x - q.x, 2) + pow(p.y - q.y, 2) AS d FROM sc JOIN s{e} p ON p.id = src JOIN s{e} q ON q.id = dst WHERE floor({e + 1} / every + 1e-9) > floor({e} / every + 1e-9))",
+            f"g{e} AS (SELECT src AS id, {pull('x')}, {pull('y')} FROM (SELECT *, CASE WHEN d > 0 THEN {-2 * a * b!r} * pow(d, {b - 1!r}) / (1 + {a!r} * pow(d, {b!r})) ELSE 0 END AS f FROM d{e}) GROUP BY src)",
+            f"m{e} AS (SELECT id, x, y, 0.5 * mx + 0.5 * coalesce(gx, 0) AS mx, 0.5 * my + 0.5 * coalesce(gy, 0) AS my, 0.9 * vx + {1 - 0.9!r} * coalesce(gx * gx, 0) AS vx, 0.9 * vy + {1 - 0.9!r} * coalesce(gy * gy, 0) AS vy FROM s{e} LEFT JOIN g{e} USING (id))",
+            f"s{e + 1} AS MATERIALIZED (SELECT id, {move('x')}, {move('y')}, mx, my, vx, vy FROM m{e})",
+        ]
+    return f"WITH {', '.join(steps)} SELECT id, {R('x', 'x')}, {R('y', 'y')} FROM s{epochs}"
+
+
+@query("layout_pull", _pulled_sql(4, 1.5, 0.9))
+def layout_pull(spark, d):
+    """Places after four epochs over the tables, without what is random (nodes to be pushed from)."""
+    g, _ = net(spark, d)
+    got = layout.layout(g, vectors(spark, d), "umap", epochs=4, a=1.5, b=0.9, negatives=0, rounds=True)
+    return r6(got.select("id", F.col("vec")[0].alias("x"), F.col("vec")[1].alias("y")), "x", "y")
+
+
 for method in layout.METHODS:
 
     def laid(spark, d, method=method):
