@@ -108,6 +108,35 @@ def reduce_kernel(spark, d):
     return r6(got.select("id", dot("vec", "vec").alias("norm2"), dot(F.col("vec"), first).alias("dot")), "norm2", "dot")
 
 
+def eigen(xs: str) -> str:
+    """Common table expressions that end in `uo` (k, u, l), the eigenvectors and values of the 3 x 3 products of the table `xs` (id, x0, x1, x2), which are roots of a cubic, and `pr` (id, k, x), the rows' products with them."""
+    pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
+    sums = ", ".join(f"sum(x{i} * x{j}) AS g{i}{j}" for i, j in pairs)
+    rows = [("g00 - l", "g01", "g02"), ("g01", "g11 - l", "g12"), ("g02", "g12", "g22 - l")]
+    cross = lambda a, b: f"[({a[1]}) * ({b[2]}) - ({a[2]}) * ({b[1]}), ({a[2]}) * ({b[0]}) - ({a[0]}) * ({b[2]}), ({a[0]}) * ({b[1]}) - ({a[1]}) * ({b[0]})]"
+    tries = " UNION ALL ".join(f"SELECT k, {cross(rows[i], rows[j])} AS u FROM ev" for i, j in ((0, 1), (0, 2), (1, 2)))
+    heavy = lambda f: f"list_sum(list_transform(u, lambda y: pow({f}(y, 0), 2)))"
+    return (
+        f"{xs}, gm AS (SELECT {sums} FROM xs), q0 AS (SELECT *, (g00 + g11 + g22) / 3 AS q FROM gm), "
+        "q1 AS (SELECT *, sqrt((pow(g00 - q, 2) + pow(g11 - q, 2) + pow(g22 - q, 2) + 2 * (g01 * g01 + g02 * g02 + g12 * g12)) / 6) AS p FROM q0), "
+        "q2 AS (SELECT *, acos(greatest(-1, least(1, ((g00 - q) * ((g11 - q) * (g22 - q) - g12 * g12) - g01 * (g01 * (g22 - q) - g12 * g02) + g02 * (g01 * g12 - (g11 - q) * g02)) / (2 * p * p * p)))) / 3 AS phi FROM q1), "
+        "ev AS MATERIALIZED (SELECT *, q + 2 * p * cos(phi + CASE k WHEN 0 THEN 0 WHEN 1 THEN 4 * pi() / 3 ELSE 2 * pi() / 3 END) AS l FROM q2, range(3) n(k)), "
+        f"us AS (SELECT k, arg_max(list_transform(u, lambda y: y / sqrt(list_inner_product(u, u))), list_inner_product(u, u)) AS u FROM ({tries}) WHERE list_inner_product(u, u) > 0 GROUP BY k), uo AS MATERIALIZED (SELECT k, list_transform(u, lambda y: y * CASE WHEN {heavy('greatest')} < {heavy('least')} THEN -1 ELSE 1 END) AS u, l FROM us JOIN ev USING (k)), "
+        "pr AS (SELECT id, k, x0 * u[1] + x1 * u[2] + x2 * u[3] AS x, l FROM xs, uo)"
+    )
+
+
+@query(
+    "reduce_kernel_rounded",
+    f"WITH {eigen(E.replace('unnest(vec)', 'unnest(vec[1:3])').replace('generate_subscripts(vec, 1)', 'generate_subscripts(vec[1:3], 1)') + f', r3 AS MATERIALIZED ({without(AVERAGE)}), xs AS MATERIALIZED (SELECT id, max(value) FILTER (dim = 0) AS x0, max(value) FILTER (dim = 1) AS x1, max(value) FILTER (dim = 2) AS x2 FROM r3 GROUP BY id)')} "
+    f"SELECT id, k::INT AS k, {R('round(x / sqrt(l) * sqrt(n) / 0.01) * 0.01 / sqrt(n) * sqrt(l)', 'x')} FROM pr, (SELECT count(*)::DOUBLE AS n FROM v) WHERE k < 2",
+)
+def reduce_kernel_rounded(spark, d):
+    """Reduced rows of the first three components at full rank and the default rounding: two values each, the third is zero."""
+    got = linalg.reduce_kernel(vectors(spark, d).select("id", F.slice("vec", 1, 3).alias("vec")), 3).reduced
+    return r6(got.select("id", F.posexplode(F.slice("vec", 1, 2)).alias("k", "x")), "x")
+
+
 @query("reduce_kernel_sparse", f"WITH {SOLD}, {powers(without(AVERAGE))} SELECT p, value FROM pw")
 def reduce_kernel_sparse(spark, d):
     """The values of the reduced kernel of brand x supplier, at full rank."""
@@ -407,27 +436,9 @@ def node_colors(spark, d):
     return got.select("id", (inside[0] & inside[1] & inside[2]).alias("inside"))
 
 
-def _first_three() -> str:
-    """Common table expressions that end in `pc` (id, k, z): standardised products of the first three components with the eigenvectors of their 3 x 3 products, whose values are roots of a cubic."""
-    pairs = [(0, 0), (1, 1), (2, 2), (0, 1), (0, 2), (1, 2)]
-    sums = ", ".join(f"sum(x{i} * x{j}) AS g{i}{j}" for i, j in pairs)
-    rows = [("g00 - l", "g01", "g02"), ("g01", "g11 - l", "g12"), ("g02", "g12", "g22 - l")]
-    cross = lambda a, b: f"[({a[1]}) * ({b[2]}) - ({a[2]}) * ({b[1]}), ({a[2]}) * ({b[0]}) - ({a[0]}) * ({b[2]}), ({a[0]}) * ({b[1]}) - ({a[1]}) * ({b[0]})]"
-    tries = " UNION ALL ".join(f"SELECT k, {cross(rows[i], rows[j])} AS u FROM ev" for i, j in ((0, 1), (0, 2), (1, 2)))
-    heavy = lambda f: f"list_sum(list_transform(u, lambda y: pow({f}(y, 0), 2)))"
-    return (
-        f"{V}, xs AS MATERIALIZED (SELECT id, vec[1] AS x0, vec[2] AS x1, vec[3] AS x2 FROM v), gm AS (SELECT {sums} FROM xs), q0 AS (SELECT *, (g00 + g11 + g22) / 3 AS q FROM gm), "
-        "q1 AS (SELECT *, sqrt((pow(g00 - q, 2) + pow(g11 - q, 2) + pow(g22 - q, 2) + 2 * (g01 * g01 + g02 * g02 + g12 * g12)) / 6) AS p FROM q0), "
-        "q2 AS (SELECT *, acos(greatest(-1, least(1, ((g00 - q) * ((g11 - q) * (g22 - q) - g12 * g12) - g01 * (g01 * (g22 - q) - g12 * g02) + g02 * (g01 * g12 - (g11 - q) * g02)) / (2 * p * p * p)))) / 3 AS phi FROM q1), "
-        "ev AS MATERIALIZED (SELECT *, q + 2 * p * cos(phi + CASE k WHEN 0 THEN 0 WHEN 1 THEN 4 * pi() / 3 ELSE 2 * pi() / 3 END) AS l FROM q2, range(3) n(k)), "
-        f"us AS (SELECT k, arg_max(u, list_inner_product(u, u)) AS u FROM ({tries}) GROUP BY k), uo AS MATERIALIZED (SELECT k, list_transform(u, lambda y: y * CASE WHEN {heavy('greatest')} < {heavy('least')} THEN -1 ELSE 1 END) AS u FROM us), "
-        "pr AS (SELECT id, k, x0 * u[1] + x1 * u[2] + x2 * u[3] AS x FROM xs, uo), pc AS MATERIALIZED (SELECT id, k, (x - avg(x) OVER (PARTITION BY k)) / stddev_samp(x) OVER (PARTITION BY k) AS z FROM pr)"
-    )
-
-
 @query(
     "node_colors_values",
-    f"WITH {_first_three()}, wd AS (SELECT id, max(z) FILTER (k = 0) AS z0, max(z) FILTER (k = 1) AS z1, max(z) FILTER (k = 2) AS z2 FROM pc GROUP BY id), "
+    f"WITH {eigen(V + ', xs AS MATERIALIZED (SELECT id, vec[1] AS x0, vec[2] AS x1, vec[3] AS x2 FROM v)')}, pc AS (SELECT id, k, (x - avg(x) OVER (PARTITION BY k)) / stddev_samp(x) OVER (PARTITION BY k) AS z FROM pr), wd AS (SELECT id, max(z) FILTER (k = 0) AS z0, max(z) FILTER (k = 1) AS z1, max(z) FILTER (k = 2) AS z2 FROM pc GROUP BY id), "
     f"lab AS (SELECT id, 25 + 70 * (z2 - min(z2) OVER ()) / (max(z2) OVER () - min(z2) OVER ()) AS l, 75 * z0 AS a, 75 * z1 AS b FROM wd), {color.rgb_sql('lab')} SELECT id, {R('r', 'r')}, {R('g', 'g')}, {R('b', 'b')} FROM rgb",
 )
 def node_colors_values(spark, d):
