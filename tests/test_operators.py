@@ -385,3 +385,10 @@ def test_broadcasts_are_small(spark):
     some = lambda n: broadcast_if_small(spark.range(n))._jdf.queryExecution().logical().toString()
     assert "ResolvedHint" in some(1000) or "UnresolvedHint" in some(1000)
     assert "Hint" not in some(300_000)
+
+
+def test_rows_by_the_ten_thousand_are_not_broadcast(spark):
+    """Twenty joins of one plan with up to 70,000 rows each took a driver beyond its memory."""
+    from matloom.plans.joins import broadcast_if_small
+
+    assert "Hint" not in broadcast_if_small(spark.range(30_000))._jdf.queryExecution().logical().toString()
