@@ -18,6 +18,7 @@ Rows are handled one by one, so repeated rows give repeated results; an empty ta
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -82,6 +83,7 @@ class WordBpe:
         self.tokens = {i: s for s, i in vocab.items()}
         self.special = {a["content"]: a["id"] for a in t["added_tokens"]}
         self.tokens |= {i: s for s, i in self.special.items()}
+        self.decimal = {i: str(i) for i in self.tokens}
         letters = byte_alphabet()
         self.inner = np.array([vocab[c] for c in letters], np.int32)
         self.final = np.array([vocab[c + end] for c in letters], np.int32)
@@ -96,6 +98,9 @@ class WordBpe:
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         split = next(p for p in t["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        # A chunk of ASCII letters only is one word where the pattern takes runs of letters, and what else begins with a letter is none of its alternatives.
+        kinds = split["pattern"]["Regex"].split("|")
+        self.runs = r"[\p{L}]+" in kinds and all(k[0] in "'[" for k in kinds)
         other = new_classes()
         self.other = frozenset(other)
         self.stand_in = str.maketrans({c: STAND_INS[k] for c, k in other.items()})
@@ -181,7 +186,9 @@ class WordBpe:
 
     def words(self, chunk: str) -> list[str]:
         """The matches of the word pattern, with characters in the library's classes."""
-        if chunk.isascii() or self.other.isdisjoint(chunk):
+        if chunk.isascii():
+            return [chunk] if self.runs and chunk.isalpha() else self.pattern.findall(chunk)
+        if self.other.isdisjoint(chunk):
             return self.pattern.findall(chunk)
         return [chunk[m.start() : m.end()] for m in self.pattern.finditer(chunk.translate(self.stand_in))]
 
@@ -199,9 +206,14 @@ class WordBpe:
         split = [self.words(c) for c in new]
         words = {w: i for i, w in enumerate({w for ws in split for w in ws})}
         ids = self.encode_words(list(words))
-        texts = [" ".join(map(str, x)) for x in ids]
-        decoded = [self.decode(x) for x in ids]
+        number, token = self.decimal.__getitem__, self.tokens.__getitem__
+        texts = [" ".join(map(number, x)) for x in ids]
+        decoded = [" ".join(map(token, x)) for x in ids]
         for c, ws in zip(new, split):
+            if len(ws) == 1:
+                i = words[ws[0]]
+                self.remember(c, (texts[i], decoded[i]))
+                continue
             at = [words[w] for w in ws]
             self.remember(c, (" ".join([texts[i] for i in at]), " ".join([decoded[i] for i in at])))
 
@@ -272,6 +284,17 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
 
     def run(batches):
         model = WordBpe(spec.value)
+        # The model makes no cycles, and the collector would go through all remembered words again and again.
+        gc.disable()
+        try:
+            yield from encoded(model, batches)
+        finally:
+            gc.enable()
+        # Idle workers stay alive for a while: they keep neither the words nor the model.
+        del model
+        tidy()
+
+    def encoded(model, batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -284,8 +307,5 @@ def encode(docs: DataFrame, tokenizer: str, digests: bool = False) -> DataFrame:
                     more = [[[int(x) for x in a.split()] for a, _ in got], [b for _, b in got]]
                     types = [pa.list_(pa.int32()), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(n, pa.int64()), *[pa.array(x, t) for x, t in zip(more, types)]], names=(DIGESTS if digests else FULL).names)
-        # Idle workers stay alive for a while: they keep neither the words nor the model.
-        del model
-        tidy()
 
     return docs.select("doc_id", "text").mapInArrow(run, DIGESTS if digests else FULL)

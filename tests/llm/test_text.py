@@ -301,3 +301,16 @@ def test_quality_on_held_out_labels():
     assert sum(k == (q == 1) for k, q in held) / len(held) > 0.98
     assert all(k for k, q in held if q == 1)
     assert quality.agree({}) == {} and quality.train([], [])("anything") > 0.5
+
+
+def test_letters_are_a_word_without_the_pattern():
+    """Most chunks are ASCII letters only: the pattern need not look at them."""
+    import public_tokenizers
+
+    from matloom.llm.bpe import WordBpe
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = WordBpe(f.read())
+    assert model.words("don't") == model.pattern.findall("don't") and model.words("a1b") == ["a", "1", "b"]
+    model.pattern = None
+    assert model.words("straw") == ["straw"]
