@@ -77,3 +77,31 @@ def test_schedule_leaves_out_what_never_acts(spark):
     g = spark.createDataFrame([(0, 1, 1.0), (1, 2, 0.5), (2, 0, 0.1), (0, 2, 0.09)], "src long, dst long, weight double")
     assert sorted(map(tuple, layout.schedule(g, 10).collect())) == [(0, 1, 1.0), (1, 2, 2.0), (2, 0, 10.0)]
     assert layout.schedule(g.limit(0), 10).count() == 0
+
+
+def test_many_weights_are_those_of_one_by_one():
+    from matloom.operators.simplex import solve, solve_many
+
+    rng = np.random.default_rng(5)
+    for m, k, n in ((8, 5, 60), (2, 7, 40), (12, 20, 20)):
+        w = rng.normal(size=(m, k))
+        b = np.concatenate([rng.normal(size=(n, m)) * rng.choice([0.1, 1, 3], size=(n, 1)), w.T])
+        assert np.allclose(solve_many(w, b), np.stack([solve(w, x) for x in b]), atol=1e-10)
+
+
+def test_picks_go_by_length_beyond_nine_places(spark):
+    """Lengths that differ by less than the SQL once rounded to: the longer row comes first on both sides; equal rows by id."""
+    import duckdb
+    import pyarrow as pa
+
+    from matloom.operators.simplex import spa
+    from matloom.registry import ORACLES
+
+    rows = [(i, [float(x) for x in y]) for i, y in enumerate(np.eye(7) * (1 + 1e-11 * np.arange(7))[:, None])]
+    rows += [(i + 10, y) for i, y in rows]
+    embeddings = pa.table({"vec_id": [i for i, _ in rows], "embedding": [y for _, y in rows], "label": [0] * len(rows)})
+    got = [i for i, _ in spa(spark.createDataFrame(rows, "id long, vec array<double>"), 6)]
+    assert got == [6, 5, 4, 3, 2, 1]
+    con = duckdb.connect()
+    con.register("embeddings", embeddings)
+    assert sorted(con.sql(ORACLES["spa"]).fetchall()) == list(enumerate(got))[1:]
