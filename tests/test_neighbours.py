@@ -66,3 +66,33 @@ def test_new_points_stand_among_their_neighbours(spark):
     g = spark.createDataFrame([(9, 1, 1.0), (9, 2, 3.0), (8, 1, 0.0), (7, 5, 1.0)], "src long, dst long, weight double")
     layout = spark.createDataFrame([(1, [0.0, 4.0]), (2, [4.0, 0.0])], "id long, vec array<double>")
     assert [tuple(r) for r in fuzzy.placed(g, layout).collect()] == [(9, [3.0, 1.0])]
+
+
+def test_running_nearest_are_exact_and_look_closely_at_few(monkeypatch):
+    """Copies, sparse and empty rows, over several tiles: the same as from all pairs, of which most are only bounded."""
+    import numpy as np
+
+    from matloom.operators import knn
+
+    rng = np.random.default_rng(1)
+    seen = []
+    exact = knn.exact
+    monkeypatch.setattr(knn, "exact", lambda a, b, metric: seen.append(np.broadcast(a[..., 0], b[..., 0]).size) or exact(a, b, metric))
+    for metric in knn.METRICS:
+        x = rng.normal(size=(9000, 16))
+        if metric == "jsd":
+            x = np.maximum(x, 0)
+            x /= np.maximum(x.sum(1, keepdims=True), 1e-9)
+            x[50:90] *= 0.5
+            x[95] = 0
+        x[200:220] = x[0]
+        names = rng.permutation(9000).astype(np.int64)
+        for k in (1, 60):
+            seen.clear()
+            best = knn._Best(names[:256], x[:256], k, metric, True)
+            for i in range(0, 9000, knn.TILE):
+                best.see(names[i : i + knn.TILE], x[i : i + knn.TILE])
+            assert sum(seen) < 256 * 9000 / 8
+            d, who = best.rows()
+            want = knn.nearest(x[:256], names[:256], x, names, k, metric, True)
+            assert (who == want[1]).all() and np.allclose(d, want[0], rtol=0, atol=1e-12)
