@@ -158,23 +158,124 @@ def _degrees(g: DataFrame, x: DataFrame, keys: list[str]) -> DataFrame:
     return g.groupBy(F.col("dst").alias("id")).agg(F.sum("weight").alias("d")).join(x, "id").groupBy(*keys).agg(F.sum(F.col("d") * F.col("value") ** 2).alias("dx"))
 
 
+#: Nodes and edges of a block that one task holds in moved_products(), and edges multiplied at once.
+NODES, EDGES, AT_ONCE = 16_384, 8_000_000, 16_384
+
+
+def _block_sums(rows: DataFrame, width: int, turns: int) -> DataFrame:
+    """turn, pos, gx, dx, met of each block (block, side, a, b, weight, own, vec): side 0 has its edges, side 1 the vectors of their first ends in any turn, side 2 those of all nodes. A node's values go to `own`, one for each turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        gx, dx, met = np.zeros((turns, width)), np.zeros((turns, width)), np.zeros(turns, np.int64)
+        ids = ends = near = first = weights = whole = known = x = None
+
+        def begin() -> None:
+            nonlocal ids, ends, near, first, weights, whole, known, x
+            src, dst, w = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
+            order = np.argsort(dst, kind="stable")
+            ids, near = np.unique(src[order], return_inverse=True)
+            near, weights = near.astype(np.int32), w[order]
+            ends, first = np.unique(dst[order], return_index=True)
+            whole, first = np.add.reduceat(weights, first), np.append(first, len(order))
+            known, x = np.zeros(len(ids), bool), np.zeros((turns, len(ids), width))
+
+        def places(names: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Rows whose node is among the names, and where."""
+            pos = np.minimum(np.searchsorted(names, own), len(names) - 1)
+            rows = np.flatnonzero(names[pos] == own)
+            return rows, pos[rows]
+
+        def multiply(own: np.ndarray, vec: np.ndarray) -> None:
+            for t in range(turns):
+                rows, pos = places(ends, own[:, t])
+                if not len(rows):
+                    continue
+                dx[t] += whole[pos] @ (vec[rows] ** 2)
+                long = first[pos + 1] - first[pos]
+                group = np.cumsum(long) // AT_ONCE
+                cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(rows)]
+                for i, j in zip(cuts, cuts[1:]):
+                    some, before = long[i:j], np.cumsum(long[i:j]) - long[i:j]
+                    e = np.repeat(first[pos[i:j]] - before, some) + np.arange(some.sum())
+                    far = near[e]
+                    met[t] += int(known[far].sum())
+                    y = x[t][far]
+                    y *= weights[e][:, None]
+                    gx[t] += (np.add.reduceat(y, before) * vec[rows[i:j]]).sum(0)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block, side = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(block)]
+            for a, b in zip(cuts, cuts[1:]):
+                if block[a] != at:
+                    at, ids = block[a], None
+                    held.clear()
+                part = batch.slice(a, b - a)
+                if side[a] == 0:
+                    held.append(tuple(part.column(i).to_numpy() for i in (2, 3, 4)))
+                    continue
+                if held:
+                    begin()
+                if ids is None:
+                    continue
+                own, vec = rows_of(part.column(5), np.int64), rows_of(part.column(6))
+                if side[a] == 1:
+                    for t in range(turns):
+                        rows, pos = places(ids, own[:, t])
+                        x[t, pos] = vec[rows]
+                        known[pos] = True
+                else:
+                    multiply(own, vec)
+        turn, pos = np.divmod(np.arange(turns * width), width)
+        yield pa.RecordBatch.from_arrays([pa.array(turn, pa.int32()), pa.array(pos, pa.int32()), pa.array(gx.ravel()), pa.array(dx.ravel()), pa.array(np.repeat(met, width))], names=["turn", "pos", "gx", "dx", "met"])
+
+    return rows.select("block", "side", "a", "b", "weight", "own", "vec").mapInArrow(run, "turn int, pos int, gx double, dx double, met long")
+
+
+def moved_products(g: DataFrame, x: DataFrame, moved: DataFrame, rounds: int) -> DataFrame:
+    """perm, dim, gx, dx: xᵀGx and xᵀDx, with column sums D, of every column where nothing has moved (perm 0) and in each round of `moved` (own, perm, id), in which the node `own` has the values of `id`.
+
+    No permuted values are written as rows. Edges are dealt by their first ends into blocks of a bounded size; a block holds its edges and its own nodes' values in all rounds, and all nodes stream past it once, each with the nodes that it stands for.
+    """
+    g = g.where("src IS NOT NULL AND dst IS NOT NULL AND weight IS NOT NULL")
+    owns = moved.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("perm", "own"))), lambda m: m["own"]).alias("own"))
+    owns = cut(owns.select("id", F.concat(F.array("id"), "own").alias("own")), "owns")
+    n, size = owns.count(), g.count()
+    blocks = max(1, math.ceil(n / NODES), math.ceil(size / EDGES), min(2 * g.sparkSession.sparkContext.defaultParallelism, n // 512))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    links = g.select(block(F.col("src").cast("long")).alias("block"), F.lit(0).alias("side"), F.col("src").cast("long").alias("a"), F.col("dst").cast("long").alias("b"), F.col("weight").cast("double").alias("weight"), none("array<long>").alias("own"), none("array<double>").alias("vec"))
+    out = None
+    for dims in column_groups(x):
+        nodes = owns.join(arrays(x, dims, ["id"]), "id").select(F.transform("own", lambda c: c.cast("long")).alias("own"), "vec")
+        send = lambda side, to: nodes.select(F.explode(to).alias("block"), F.lit(side).alias("side"), none("long").alias("a"), none("long").alias("b"), none("double").alias("weight"), "own", "vec")  # noqa: B023, E731
+        sent = send(1, F.array_distinct(F.transform("own", block))).union(send(2, F.sequence(F.lit(0), F.lit(blocks - 1))))
+        rows = links.union(sent).repartition(blocks, "block").sortWithinPartitions("block", "side")
+        sums = _block_sums(rows, len(dims), rounds + 1).groupBy("turn", "pos").agg(F.sum("gx").alias("gx"), F.sum("dx").alias("dx"), F.sum("met").alias("met")).where("met > 0")
+        got = sums.select(F.col("turn").alias("perm"), F.array(*map(F.lit, dims))[F.col("pos")].cast(x.schema["dim"].dataType).alias("dim"), "gx", "dx")
+        out = got if out is None else out.union(got)
+    return x.limit(0).select(F.lit(0).alias("perm"), "dim", F.col("value").alias("gx"), F.col("value").alias("dx")) if out is None else cut(out, "products")
+
+
 def permuted(g: DataFrame, x: DataFrame, n: int, what: str = "moran", rounds: int = 30, seed: int = 0, method: int = 1) -> DataFrame:
     """dim, stat, z, mu, sigma, where the moments are of the unscaled statistic under `rounds` permutations of the nodes, which follow from hashes of the seed, the round and the id."""
     x = cut(coo.normalize_scores(x, method), "scores")
-    ids = x.select("id").distinct()
+    ids = cut(x.select("id").distinct(), "ids")
     place = running(ids.withColumn("one", F.lit(1)), ["id"], {"one": "place"}).select("id", "place")
     drawn = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("perm"))
     # Ranks of the hashes of all rounds at once, over range partitions; round r's places follow those of r - 1.
     drawn = drawn.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(seed)), "perm", "id"))).withColumn("one", F.lit(1))
     drawn = running(drawn, ["perm", "h", "id"], {"one": "place"}).withColumn("place", F.col("place") - (F.col("perm") - 1) * ids.count())
     moved = drawn.select(F.col("id").alias("own"), "perm", "place").join(place, "place").select("own", "perm", F.col("id"))
-    shuffled = cut(moved.join(x, "id").select(F.col("own").alias("id"), "perm", "dim", "value"), "permuted")
-    raw = _products(g, shuffled, ["perm", "dim"])
-    real = _products(g, x, ["dim"])
+    sums = moved_products(g, x, moved, rounds)
     if what == "geary":
-        raw = raw.join(_degrees(g, shuffled, ["perm", "dim"]), ["perm", "dim"]).withColumn("gx", F.col("dx") - F.col("gx"))
-        real = real.join(_degrees(g, x, ["dim"]), "dim").withColumn("gx", F.col("dx") - F.col("gx"))
-    moments = raw.groupBy("dim").agg(F.avg("gx").alias("mu"), F.stddev_samp("gx").alias("sigma"))
+        sums = sums.withColumn("gx", F.col("dx") - F.col("gx"))
+    moments = sums.where("perm > 0").groupBy("dim").agg(F.avg("gx").alias("mu"), F.stddev_samp("gx").alias("sigma"))
+    real = sums.where("perm = 0").select("dim", "gx")
     w = g.agg(F.sum("weight").alias("w"))
     sign = -1 if what == "geary" else 1
     factor = F.try_divide(F.lit(float(n - 1 if what == "geary" else n)), (2 if what == "geary" else 1) * F.col("w") * F.col("x2"))
