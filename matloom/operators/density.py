@@ -1,6 +1,7 @@
 """Hierarchical clusters by density: mutual reachability, its minimum spanning tree, the condensed tree and what is stable in it.
 
-The tree grows by rounds: each component takes its lightest edge to another one, out of all pairs, which a grid of blocks looks through as for exact neighbours; components at least halve. Edges are
+The tree grows by rounds: each component takes its lightest edge to another one, out of all pairs. Where lists of the nearest rows already tell which that is, nothing is looked through; else the rows that may have a lighter edge are held
+against all others in a grid of blocks, as for exact neighbours, but for those of the largest component, which the others find. Components but the largest at least halve. Edges are
 then ranked by weight over range partitions and merged in that order, `EDGES` at a time: a step holds the components that its edges touch, not the points, but for those of components below the least
 size. What a cluster is worth is summed up as it grows, so the hierarchy itself is one row a cluster; which of a branch is chosen is found by doubling steps towards the root.
 """
@@ -16,77 +17,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matloom.operators.dense import rows_of
-from matloom.operators.knn import BLOCK, exact, neighbours
+from matloom.operators.knn import BLOCK, ROWS, TILE, _nearer, exact, neighbours, tile
 from matloom.plans.components import components
 from matloom.plans.materialize import cut
 from matloom.plans.prefix import running
 
-#: Edges merged in one step; rows compared at once; the least distance, which equal points have.
-EDGES, AT_ONCE, LEAST = 1_000_000, 16, 1e-10
+#: Edges merged in one step; nearest rows listed; the least distance, which equal points have.
+EDGES, LISTED, LEAST = 1_000_000, 16, 1e-10
+
+
+class _Held:
+    """Some rows of a block, and the lightest edge of each of their components so far (w, a, b); `bound` is a weight that the lightest does not exceed."""
+
+    def __init__(self, ids: np.ndarray, comp: np.ndarray, core: np.ndarray, bound: np.ndarray, x: np.ndarray):
+        self.ids, self.core, self.x = ids, core, x
+        self.comps, self.at = np.unique(comp, return_inverse=True)
+        self.bound = np.full(len(self.comps), np.inf)
+        np.minimum.at(self.bound, self.at, bound)
+        self.best: dict[int, tuple] = {}
+
+    def look(self, ids: np.ndarray, comp: np.ndarray, core: np.ndarray, x: np.ndarray) -> None:
+        """Takes in rows of all components, fewer at once for rows without any bound yet."""
+        some = np.flatnonzero(np.isfinite(self.bound)[self.at])
+        rest = np.flatnonzero(~np.isfinite(self.bound)[self.at])
+        for part in [some, *(rest[i : i + 64] for i in range(0, len(rest), 64))]:
+            if len(part):
+                self._part(part, ids, comp, core, x)
+
+    def _part(self, rows: np.ndarray, ids: np.ndarray, comp: np.ndarray, core: np.ndarray, x: np.ndarray) -> None:
+        own, limit = self.x[rows], self.bound[self.at[rows]] ** 2
+        near = _nearer(own, x, "l2", limit * (1 + 1e-12)) if np.isfinite(limit).all() else None
+        if near is None:
+            d, error = tile(own, x, "l2")
+            near = d - error <= limit[:, None] * (1 + 1e-12)
+        near &= self.comps[self.at[rows]][:, None] != comp[None, :]
+        i, j = np.divmod(np.flatnonzero(near.ravel()), len(ids))
+        for at in range(0, len(i), 8 * TILE):
+            r, c = rows[i[at : at + 8 * TILE]], j[at : at + 8 * TILE]
+            w = np.maximum(np.maximum(np.sqrt(exact(self.x[r], x[c], "l2")), self.core[r]), core[c])
+            keep = w <= self.bound[self.at[r]]
+            r, c, w = r[keep], c[keep], w[keep]
+            low, high, mine = np.minimum(self.ids[r], ids[c]), np.maximum(self.ids[r], ids[c]), self.at[r]
+            order = np.lexsort((high, low, w, mine))
+            for e in order[np.flatnonzero(np.diff(mine[order], prepend=-1))].tolist():
+                edge = (float(w[e]), int(low[e]), int(high[e]))
+                if mine[e] not in self.best or edge < self.best[mine[e]]:
+                    self.best[mine[e]] = edge
+                    self.bound[mine[e]] = edge[0]
 
 
 def _lightest(cells: DataFrame) -> DataFrame:
-    """comp, e (w, a, b): of each cell (cell, side, id, comp, core, vec) the lightest edge from the rows of side 0 of a component to rows of side 1 in others."""
+    """comp, w, a, b: of each cell (cell, side, id, comp, core, bound, vec) the lightest edge from the rows of side 0 of a component to rows of side 1 in others, unless all are heavier than its bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, best = None, [], {}
-
-        def look(ids: np.ndarray, comp: np.ndarray, core: np.ndarray, x: np.ndarray) -> None:
-            for own_ids, own_comp, own_core, own_x in held:
-                for i in range(0, len(own_ids), AT_ONCE):
-                    some = slice(i, i + AT_ONCE)
-                    d = np.sqrt(exact(own_x[some, None, :], x[None], "l2"))
-                    w = np.maximum(np.maximum(d, own_core[some, None]), core[None, :])
-                    w[own_comp[some, None] == comp[None, :]] = np.inf
-                    low = w.min(1)
-                    for r in np.flatnonzero(np.isfinite(low)).tolist():
-                        u, c = int(own_ids[i + r]), int(own_comp[i + r])
-                        if c in best and best[c][0] < low[r]:
-                            continue
-                        for v in ids[w[r] == low[r]].tolist():
-                            edge = (float(low[r]), min(u, v), max(u, v))
-                            if c not in best or edge < best[c]:
-                                best[c] = edge
-
-        def out() -> pa.RecordBatch:
-            rows = [(c, *e) for c, e in best.items()]
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["comp", "w", "a", "b"])
+        at, waiting, held, best = None, [], [], {}
+
+        def begin() -> None:
+            parts = [np.concatenate([w[i] for w in waiting]) for i in range(5)]
+            held.extend(_Held(*(p[i : i + BLOCK] for p in parts)) for i in range(0, len(parts[0]), BLOCK))
+            waiting.clear()
+
+        def end() -> None:
+            for h in held:
+                for c, edge in h.best.items():
+                    c = int(h.comps[c])
+                    best[c] = min(best.get(c, edge), edge)
+            held.clear()
+            waiting.clear()
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, side, ids, comp, core = (batch.column(i).to_numpy() for i in range(5))
-            x = rows_of(batch.column(5))
+            cell, side, *parts = (batch.column(i).to_numpy() for i in range(6))
+            parts.append(rows_of(batch.column(6)))
             cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), len(cell)]
             for a, b in zip(cuts, cuts[1:]):
                 if cell[a] != at:
+                    end()
                     at = cell[a]
-                    held.clear()
-                part = (ids[a:b], comp[a:b], core[a:b], x[a:b])
+                part = [p[a:b] for p in parts]
                 if side[a] == 0:
-                    held.append(part)
-                else:
-                    look(*part)
-        yield out()
+                    waiting.append(part)
+                    continue
+                if waiting:
+                    begin()
+                for h in held:
+                    h.look(part[0], part[1], part[2], part[4])
+        end()
+        rows = [(c, *e) for c, e in best.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["comp", "w", "a", "b"])
 
-    return cells.select("cell", "side", "id", "comp", "core", "vec").mapInArrow(run, "comp long, w double, a long, b long").groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e"))
+    return cells.select("cell", "side", "id", "comp", "core", "bound", "vec").mapInArrow(run, "comp long, w double, a long, b long")
+
+
+def _searched(asking: DataFrame, rows: DataFrame) -> DataFrame:
+    """comp, w, a, b: the lightest edges that the rows `asking` (id, comp, core, bound, vec) have to rows (id, comp, core, vec) of other components, by cells."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, math.ceil(asking.count() / ROWS))
+    shares = max(1, math.ceil(2 * cores / blocks))
+    dealt = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    own = asking.select(F.lit(0).alias("side"), dealt(blocks).alias("block"), every(shares).alias("share"), "id", "comp", "core", "bound", "vec")
+    past = rows.select(F.lit(1).alias("side"), every(blocks).alias("block"), dealt(shares).alias("share"), "id", "comp", "core", F.lit(0.0).alias("bound"), "vec")
+    cells = own.union(past).withColumn("cell", (F.col("block") * shares + F.col("share")).cast("int"))
+    return _lightest(cells.repartitionById(blocks * shares, F.col("cell")).sortWithinPartitions("cell", "side"))
 
 
 def spanning_tree(v: DataFrame, min_points: int = 5) -> DataFrame:
     """w, a, b: a minimum spanning tree of the rows (id, vec) by mutual reachability, the largest of two rows' Euclidean distance and of their core distances, that is, to their (min_points - 1)th nearest row. Ties go to the smaller ids."""
     v = cut(v.select("id", "vec"), "points")
-    n = v.count()
-    core = neighbours(v, max(1, min_points - 1), "l2").groupBy("id").agg(F.sqrt(F.max("dist")).alias("core")) if min_points > 1 else v.select("id", F.lit(0.0).alias("core"))
-    points = cut(v.join(core, "id", "left").select("id", "vec", F.coalesce("core", F.lit(0.0)).alias("core")), "cores")
-    blocks = max(1, math.ceil(n / BLOCK))
+    width = max(LISTED, min_points - 1)
+    lists = cut(neighbours(v, width, "l2").select("id", "nbr", "pos", F.sqrt("dist").alias("d")), "lists")
+    # No row that is not listed is nearer than `reach`.
+    own = lists.groupBy("id").agg(F.max(F.when(F.col("pos") < min_points, F.col("d"))).alias("core"), F.when(F.count(F.lit(1)) >= width, F.max("d")).alias("reach"))
+    core = F.coalesce("core", F.lit(0.0))
+    points = cut(v.join(own, "id", "left").select("id", "vec", core.alias("core"), F.greatest(core, F.coalesce("reach", F.lit(float("inf")))).alias("reach")), "cores")
+    cores = points.select("id", "core")
+    known = lists.join(cores, "id").join(cores.select(F.col("id").alias("nbr"), F.col("core").alias("far")), "nbr")
+    known = cut(known.select(F.least("id", "nbr").alias("a"), F.greatest("id", "nbr").alias("b"), F.greatest("d", "core", "far").alias("w")).distinct(), "known")
     comp = cut(points.select("id", F.col("id").alias("comp")), "trees")
     tree = None
-    for _ in range(max(1, n).bit_length()):
-        rows = points.join(comp, "id")
-        own = rows.select(F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), "id", "comp", "core", "vec")
-        past = rows.select(F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("other"), "id", "comp", "core", "vec")
-        cells = own.union(past).withColumn("cell", F.col("block") * blocks + F.col("other")).repartition("cell").sortWithinPartitions("cell", "side")
-        chosen = cut(_lightest(cells).select("e.w", "e.a", "e.b").distinct(), "chosen")
+    while True:
+        sizes = comp.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(2).collect()
+        if len(sizes) < 2:
+            break
+        most = sizes[0]["comp"]
+        # Listed edges between components; those within one are of no more use.
+        known = cut(known.select("a", "b", "w").join(comp.select(F.col("id").alias("a"), F.col("comp").alias("u")), "a").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("v")), "b").where("u <> v").select("a", "b", "w", "u", "v"), "known", known)
+        both = known.select(F.col("u").alias("comp"), "w", "a", "b").union(known.select(F.col("v").alias("comp"), "w", "a", "b"))
+        listed = cut(both.groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e")), "listed")
+        rows = cut(points.join(comp, "id").join(listed.select("comp", F.col("e.w").alias("bound")), "comp", "left").select("id", "comp", "core", "reach", F.coalesce("bound", F.lit(float("inf"))).alias("bound"), "vec"), "rows")
+        asking = rows.where(F.col("reach") <= F.col("bound")).where(F.col("comp") != F.lit(most))
+        settled = listed.select("comp", "e.w", "e.a", "e.b").where(F.col("comp") != F.lit(most))
+        found = cut(_searched(asking.drop("reach"), rows.drop("reach")), "found")
+        best = settled.union(found).groupBy("comp").agg(F.min(F.struct("w", "a", "b")).alias("e"))
+        chosen = cut(best.select("e.w", "e.a", "e.b").distinct(), "chosen")
         if not chosen.limit(1).count():
             break
         tree = chosen if tree is None else tree.union(chosen)
