@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from matloom.llm.workers import tidy
 from matloom.plans.components import Forest, components
-from matloom.plans.joins import broadcast_if_small
+from matloom.plans.joins import broadcast_if_small, maybe_among
 from matloom.plans.materialize import cut
 
 BUCKETS, MANTISSA = 128, 10
@@ -184,7 +184,7 @@ def bands(nodes: DataFrame, threshold: float) -> DataFrame:
 def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """hub, node of the pairs whose estimate is not five deviations below the threshold."""
     wanted = cut(pairs.select("hub").union(pairs.select("node")).distinct().select(F.col("hub").alias("node")), "wanted")
-    sigs = nodes.join(broadcast_if_small(wanted), "node").select("node", "sig")
+    sigs = maybe_among(nodes, "node", wanted).join(wanted.hint("merge"), "node").select("node", "sig")
     both = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,8 +198,8 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, sketch: DataFrame) -> DataFrame:
-    """node, set (sorted hashes) of the wanted documents, once for each text of a doc_id."""
-    rows = docs.select("doc_id", "text").join(broadcast_if_small(wanted).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    """node, set (sorted hashes) of the wanted documents, once for each text of a doc_id. Only bits of the wanted ids are broadcast, at any size; a semi-join would be pushed below them."""
+    rows = maybe_among(docs.select("doc_id", "text"), "doc_id", wanted).join(wanted.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,8 +224,8 @@ def linked(shared, a, b, threshold: float):
 def verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Each pair's link on full sets, and the node's difference from its hub: places of hub hashes it lacks (uint32), hashes it adds (uint64)."""
     hubs = cut(pairs.select(F.col("hub").alias("node")).distinct(), "hubs")
-    hub_sets = sets.join(broadcast_if_small(hubs), "node").select(F.col("node").alias("hub"), F.col("set").alias("hub_set"))
-    both = sets.join(broadcast_if_small(pairs), "node").join(hub_sets, "hub")
+    hub_sets = maybe_among(sets, "node", hubs).select(F.col("node").alias("hub"), F.col("set").alias("hub_set"))
+    both = maybe_among(sets, "node", pairs.select("node")).join(pairs.hint("merge"), "node").join(hub_sets.hint("merge"), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
