@@ -26,6 +26,7 @@ A null doc_id takes no part: its component is null. An empty table gives no rows
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -37,7 +38,7 @@ from pyspark.sql import types as T
 
 from matloom.llm.workers import tidy
 from matloom.plans.components import Forest, components
-from matloom.plans.joins import broadcast_if_small, maybe_among
+from matloom.plans.joins import broadcast_if_small, maybe_among, split_among
 from matloom.plans.materialize import cut
 
 BUCKETS, MANTISSA = 128, 10
@@ -268,10 +269,12 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], wide: int = 2
 
 def cross_links(checked: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """u, v: components to join, by comparing all nodes of a hub that are in different components (node, component; a node without a row is its own)."""
-    members = checked.drop("link").join(broadcast_if_small(component), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    size = members.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("lacks") + F.octet_length("adds")).alias("bytes")).where("a < b")
+    # Places are worked out on narrow rows; differences are shuffled to them once, at any size.
+    members = checked.select("hub", "node", (F.octet_length("lacks") + F.octet_length("adds")).alias("bytes")).join(broadcast_if_small(component), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    size = members.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where("a < b")
     blocks = cut(size.select("hub", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
-    rows = members.join(broadcast_if_small(blocks), "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = cut(members.select("hub", "node", "component").distinct().join(broadcast_if_small(blocks), "hub"), "placed")
+    rows = checked.drop("link").join(placed.hint("merge"), ["hub", "node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("*", other).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "n_hub", "n_node", "lacks", "adds")
     rows = rows.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
@@ -362,6 +365,9 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` less the documents that are not the least of their class."""
-    gone = broadcast_if_small(cut(classes(docs, threshold).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct(), "gone"))
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    """`docs` less the documents that are not the least of their class. Only those that may be such are shuffled, at any size."""
+    name = f"gone_{uuid.uuid4().hex}"
+    gone = cut(classes(docs, threshold).where("NOT kept").select(F.col("doc_id").alias(name)).distinct(), "gone")
+    maybe, others = split_among(docs, "doc_id", gone)
+    # An anti-join would be pushed below the bits, and shuffle all.
+    return others.union(maybe.join(gone.hint("merge"), F.col("doc_id") == F.col(name), "left").where(F.col(name).isNull()).drop(name))
