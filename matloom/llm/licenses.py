@@ -189,7 +189,7 @@ def scan(docs: DataFrame, path: Column) -> DataFrame:
     best = F.array_max(F.col("hits"))
     at_top = F.array_max(F.expr(f"filter(hits, h -> h.cover * 2 >= n OR h.kind = 'title' AND -h.start < {TOP})"))
     hit = lambda c: F.when(c.isNotNull(), F.struct(c["weight"].alias("weight"), c["rank"].alias("rank"), c["score"].alias("score")))
-    found = found.join(broadcast_if_small(cut(whole_files(found, w), "whole")), "rid", "left")
+    found = found.hint("merge").join(broadcast_if_small(cut(whole_files(found, w), "whole")), "rid", "left")
     found = found.select(
         "doc_id", "path", "spdx", F.regexp_replace("path", "/?[^/]*$", "").alias("dir"), F.greatest(hit(best), "whole").alias("hit"), F.greatest(hit(at_top), "whole").alias("file")
     )
@@ -197,8 +197,8 @@ def scan(docs: DataFrame, path: Column) -> DataFrame:
     by_dir = broadcast_if_small(cut(by_dir, "by_dir"))
     parts = F.split("dir", "/")
     above = found.select("dir").distinct().select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))).alias("from_dir")).distinct()
-    nearest = above.join(by_dir, "from_dir").groupBy("dir").agg(F.max(F.struct(F.length("from_dir").alias("depth"), "from_dir", "inherited")).alias("near")).select("dir", "near.from_dir", "near.inherited")
-    rows = found.join(broadcast_if_small(cut(nearest, "nearest")), "dir", "left")
+    nearest = above.hint("merge").join(by_dir, "from_dir").groupBy("dir").agg(F.max(F.struct(F.length("from_dir").alias("depth"), "from_dir", "inherited")).alias("near")).select("dir", "near.from_dir", "near.inherited")
+    rows = found.hint("merge").join(broadcast_if_small(cut(nearest, "nearest")), "dir", "left")
     own = F.coalesce("spdx", F.get(names, -F.col("hit.rank")))
     lone = own.isNull()
     score = F.when(F.col("spdx").isNotNull(), F.lit(1.0)).otherwise(F.col("hit.score"))

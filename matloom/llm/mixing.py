@@ -104,7 +104,7 @@ def _before(strata: DataFrame) -> DataFrame:
     above = Window.partitionBy("s_null", "src").orderBy("cls").rowsBetween(Window.unboundedPreceding, -1)
     beside = Window.partitionBy("s_null", "src", "cls").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     classes = classes.select("s_null", "src", "cls", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("above"))
-    return strata.withColumn("beside", F.coalesce(F.sum("n").over(beside), F.lit(0))).join(classes, ["s_null", "src", "cls"]).withColumn("first", F.col("above") + F.col("beside"))
+    return strata.withColumn("beside", F.coalesce(F.sum("n").over(beside), F.lit(0))).join(classes.hint("merge"), ["s_null", "src", "cls"]).withColumn("first", F.col("above") + F.col("beside"))
 
 
 def _mixed(rows: DataFrame, tie: Column, weights: Sequence[float], share: float, cap: float, seed: int) -> DataFrame:
@@ -121,7 +121,7 @@ def _mixed(rows: DataFrame, tie: Column, weights: Sequence[float], share: float,
     crossed = F.floor(F.col("rate") * at + F.col("u")) - F.floor(F.col("rate") * (at - 1.0) + F.col("u"))
     return (
         rows.withColumn("place", F.row_number().over(place))
-        .join(strata, KEY)
+        .join(strata.hint("merge"), KEY)
         .withColumn("copies", F.greatest(F.lit(0), F.least(crossed, F.floor(F.lit(float(cap))))).cast("long"))
         .select("row", "size", "tie", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )

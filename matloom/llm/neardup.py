@@ -186,7 +186,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """hub, node of the pairs whose estimate is not five deviations below the threshold."""
     wanted = cut(pairs.select("hub").union(pairs.select("node")).distinct().select(F.col("hub").alias("node")), "wanted")
     sigs = maybe_among(nodes, "node", wanted).join(wanted.hint("merge"), "node").select("node", "sig")
-    both = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    both = pairs.join(sigs.hint("merge"), "node").join(sigs.select(F.col("node").alias("hub"), F.col("sig").alias("hub_sig")).hint("merge"), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,7 +208,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, sketch: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)).cast(pa.int64()), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], names=["node", "set"])
 
     sets = rows.mapInArrow(run, "node long, set binary")
-    found = sketch.select("doc_id").join(broadcast_if_small(wanted).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    found = sketch.select("doc_id").hint("merge").join(broadcast_if_small(wanted).withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
     return sets if found.count() == wanted.count() else sets.dropDuplicates(["node", "set"])
 
 
@@ -270,10 +270,10 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray], wide: int = 2
 def cross_links(checked: DataFrame, component: DataFrame, threshold: float) -> DataFrame:
     """u, v: components to join, by comparing all nodes of a hub that are in different components (node, component; a node without a row is its own)."""
     # Places are worked out on narrow rows; differences are shuffled to them once, at any size.
-    members = checked.select("hub", "node", (F.octet_length("lacks") + F.octet_length("adds")).alias("bytes")).join(broadcast_if_small(component), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    members = checked.select("hub", "node", (F.octet_length("lacks") + F.octet_length("adds")).alias("bytes")).hint("merge").join(broadcast_if_small(component), "node", "left").withColumn("component", F.coalesce("component", "node"))
     size = members.groupBy("hub").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).where("a < b")
     blocks = cut(size.select("hub", F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks")), "blocks")
-    placed = cut(members.select("hub", "node", "component").distinct().join(broadcast_if_small(blocks), "hub"), "placed")
+    placed = cut(members.select("hub", "node", "component").distinct().hint("merge").join(broadcast_if_small(blocks), "hub"), "placed")
     rows = checked.drop("link").join(placed.hint("merge"), ["hub", "node"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     rows = rows.select("*", other).select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "n_hub", "n_node", "lacks", "adds")
@@ -316,8 +316,8 @@ def cross_links(checked: DataFrame, component: DataFrame, threshold: float) -> D
 
 def _joined(component: DataFrame, more: DataFrame, name: str) -> DataFrame:
     """node, component after components were joined (more: component, joined). A component of a single node is no row of `component`."""
-    some = component.join(broadcast_if_small(more), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
-    lone = more.join(component.select("node"), more["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
+    some = component.hint("merge").join(broadcast_if_small(more), "component", "left").select("node", F.coalesce("joined", "component").alias("component"))
+    lone = more.join(component.select("node").hint("merge"), more["component"] == component["node"], "left_anti").select(F.col("component").alias("node"), F.col("joined").alias("component"))
     return cut(some.union(lone), name)
 
 
@@ -342,7 +342,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = cut(sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig")), "nodes")
     keyed = bands(nodes, threshold)
     shared = keyed.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"), F.count(F.lit(1)).alias("m")).where("top > hub").drop("top")
-    members = cut(keyed.join(shared, "key").select("key", "hub", "m", "node"), "members")
+    members = cut(keyed.join(shared.hint("merge"), "key").select("key", "hub", "m", "node"), "members")
     pairs = cut(members.where("node <> hub").groupBy("hub", "node").agg(F.max("m").alias("m")), "pairs")
     few = likely(pairs.where("m = 2").select("hub", "node"), nodes, threshold)
     pairs = cut(pairs.where("m > 2").select("hub", "node").union(few), "likely")
@@ -350,16 +350,16 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sets = cut(full_sets(docs, wanted, sketch), "sets")
     near = cut(pairs.groupBy("node").agg(F.min("hub").alias("hub")).select("hub", "node"), "near")
     component = _links(near, sets, None, threshold)
-    placed = members.select("key", "node").join(broadcast_if_small(near.withColumnRenamed("hub", "first")), "node", "left").join(broadcast_if_small(component), "node", "left")
+    placed = members.select("key", "node").hint("merge").join(broadcast_if_small(near.withColumnRenamed("hub", "first")), "node", "left").hint("merge").join(broadcast_if_small(component), "node", "left")
     placed = placed.select("key", F.coalesce("first", "node").alias("first"), F.coalesce("component", "node").alias("component"))
     mixed_keys = placed.groupBy("key").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.min("component").alias("c"), F.max("component").alias("d")).where("a < b AND c < d").select("key")
-    rest = members.join(mixed_keys, "key").where("node <> hub").groupBy("hub", "node").agg(F.max("m").alias("m"))
-    rest = rest.join(near.withColumn("done", F.lit(True)), ["hub", "node"], "left").where("m > 2 OR done IS NULL").select("hub", "node")
-    rest = cut(rest.join(pairs, ["hub", "node"], "left_semi"), "rest")
+    rest = members.join(mixed_keys.hint("merge"), "key").where("node <> hub").groupBy("hub", "node").agg(F.max("m").alias("m"))
+    rest = rest.join(near.withColumn("done", F.lit(True)).hint("merge"), ["hub", "node"], "left").where("m > 2 OR done IS NULL").select("hub", "node")
+    rest = cut(rest.join(pairs.hint("merge"), ["hub", "node"], "left_semi"), "rest")
     if rest.limit(1).count():
         component = _links(rest, sets, component, threshold)
-    rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(nodes.select("fp", "node"), "fp", "left")
-    rows = rows.join(broadcast_if_small(component), "node", "left")
+    rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "fp").join(nodes.select("fp", "node").hint("merge"), "fp", "left")
+    rows = rows.hint("merge").join(broadcast_if_small(component), "node", "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id"))
     return rows.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -404,11 +404,12 @@ def of_keys(conversations: DataFrame) -> DataFrame:
     for more in levels[1:]:
         every = every.unionByName(more)
     nodes = every.where("kind = 0")
-    told = broadcast_if_small(cut(every.where("kind = 2").select("ref", F.col("conv_id").alias("told")), "told"))
-    ends = broadcast_if_small(cut(_digests(nodes, every.where("kind = 3")), "ends"))
+    told = cut(every.where("kind = 2").select("ref", F.col("conv_id").alias("told")), "told")
+    ends = cut(_digests(nodes, every.where("kind = 3")), "ends")
     own = [c for c in COLUMNS if c not in ("parent_conv_id", "ends_sha256")]
     plain = nodes.where("ref IS NULL AND ends_of IS NULL").select(*COLUMNS)
-    rest = nodes.where("ref IS NOT NULL OR ends_of IS NOT NULL").withColumn("ends", F.col("ends_of")[0]).join(told, "ref", "left").join(ends, "ends", "left")
+    rest = nodes.where("ref IS NOT NULL OR ends_of IS NOT NULL").withColumn("ends", F.col("ends_of")[0])
+    rest = rest.hint("merge").join(broadcast_if_small(told), "ref", "left").hint("merge").join(broadcast_if_small(ends), "ends", "left")
     rest = rest.select(*own, F.coalesce("parent_conv_id", "told").alias("parent_conv_id"), F.coalesce("ends_sha256", "sha256").alias("ends_sha256"))
     return plain.unionByName(rest).withColumn("depth", F.col("depth").cast("long"))
 

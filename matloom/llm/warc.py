@@ -67,7 +67,7 @@ def roles(pages: DataFrame, least: int) -> DataFrame:
     narrow = cut(pages.select("page_id", F.sha1(F.coalesce("html", F.lit(""))).alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n")).where(F.col("n") >= least).select("page_id", "sha"), "pages")
     groups = cut(narrow.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n"), "groups")
     # A payload that many pages have is one row of the groups: where these are too many to broadcast, the skewed side of the join can be split.
-    return cut(narrow.join(broadcast_if_small(groups), "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct(), "revisits")
+    return cut(narrow.hint("merge").join(broadcast_if_small(groups), "sha").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).distinct(), "revisits")
 
 
 def chunks(pages: DataFrame, revisits: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -75,7 +75,7 @@ def chunks(pages: DataFrame, revisits: DataFrame, size: int = CHUNK) -> DataFram
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha", F.sha1("html")).withColumn("n", F.octet_length("html"))
     r = broadcast_if_small(revisits).withColumnRenamed("page_id", "own_id").withColumnRenamed("sha", "own_sha")
-    p = p.join(r, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha")), "left").drop("own_id", "own_sha")
+    p = p.hint("merge").join(r, F.col("page_id").eqNullSafe(F.col("own_id")) & (F.col("sha") == F.col("own_sha")), "left").drop("own_id", "own_sha")
     data = F.when(F.col("refers_to").isNull(), F.encode("html", "UTF-8")).otherwise(F.lit(b""))
     p = p.withColumn("data", data).withColumn("last", F.expr(f"cast(greatest(ceil(octet_length(data) / {size}) - 1, 0) as int)"))
     pieces = F.expr(f"CASE WHEN last = 0 THEN array(data) ELSE transform(sequence(0, last), i -> substring(data, i * {size} + 1, {size})) END")
